@@ -13,6 +13,7 @@ from .registry import table
 
 def run(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     """Run recipe SQL with ``<name>`` standing for a table."""
+    sql = sql.replace("{", "{{").replace("}", "}}")
     for name in tables:
         sql = sql.replace(f"<{name}>", "{" + name + "}")
     return spark.sql(sql, **{name: table(spark, sf_dir, name) for name in tables})
@@ -178,3 +179,72 @@ REQUESTS_DUCK = duck(REQUESTS)
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir, REQUESTS, "documents")
+
+# ---- D6: Markdown from documents --------------------------------------------------------
+
+
+def _markdown_prefix(line: str, k: str) -> str:
+    return f"""CASE {k} WHEN 0 THEN '# ' || {line} WHEN 1 THEN '- ' || {line} WHEN 2 THEN '1. ' || {line} WHEN 3 THEN '> ' || {line}
+    WHEN 4 THEN '---' WHEN 5 THEN '[ref](https://e.example/x) ' || {line} WHEN 6 THEN {line} WHEN 7 THEN '' WHEN 8 THEN '| head | b |'
+    WHEN 9 THEN '| --- | :-: |' WHEN 10 THEN '| c' || chr(92) || '|d | `x|y` | ' || {line} WHEN 11 THEN '```py' WHEN 12 THEN {line}
+    WHEN 13 THEN '```' WHEN 14 THEN '   - ' || {line} WHEN 15 THEN '## ' || {line} || ' ##' WHEN 16 THEN '![i](http://e.example/a.png) ' || {line}
+    WHEN 17 THEN '~~~' WHEN 18 THEN '2) ' || {line} WHEN 19 THEN '* * *' WHEN 20 THEN '  ' || {line} || '  ' ELSE '[bad](javascript:x) ' || {line} END"""
+
+
+MARKDOWN_DOCS = (
+    "SELECT doc_id AS doc, array_join(transform(split(text, '\\n', -1), (l, i) -> "
+    + _markdown_prefix("l", "(i * (1 + doc_id % 3) + doc_id) % 22")
+    + "), chr(10)) AS text FROM <documents>"
+)
+MARKDOWN_DOCS_DUCK = (
+    "SELECT doc_id AS doc, array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: "
+    + _markdown_prefix("l", "((i - 1) * (1 + doc_id % 3) + doc_id) % 22")
+    + "), chr(10)) AS text FROM documents"
+)
+
+
+def markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, MARKDOWN_DOCS, "documents")
+
+
+# ---- D5: positioned text items and link annotations -----------------------------------------
+
+_ITEM_STR = """CASE WHEN (word + line) % 17 = 9 THEN ' ' ELSE
+  CASE WHEN word = 0 AND line % 9 = 4 THEN '• ' WHEN word = 0 AND line % 9 = 5 THEN '3) ' WHEN (word + doc) % 29 = 7 THEN ', ' ELSE '' END
+  || s || CASE WHEN (word + doc) % 29 = 11 THEN '(' ELSE '' END END"""
+_LINE_Y = "CAST(800 - 20 * (line % 30) - 15 * floor((line % 30) / 6) AS DOUBLE)"
+_ITEMS = f"""SELECT doc, page, line, line * 100000 + word AS ord, str, CAST(40 * word AS DOUBLE) AS x, {_LINE_Y} AS y,
+  CAST(least(39, 5 * length(str)) AS DOUBLE) AS width, CAST(CASE WHEN line = 0 AND doc % 2 = 0 THEN 20 WHEN line % 13 = 7 THEN 18 ELSE 12 END AS DOUBLE) AS font_size
+  FROM (SELECT doc, CAST(floor(line / 30) AS BIGINT) + 1 AS page, line, word, {_ITEM_STR} AS str FROM (<<words>>) AS w) AS i"""
+TEXT_ITEMS = _ITEMS.replace(
+    "<<words>>",
+    """SELECT doc, line, posexplode(split(t, ' ', -1)) AS (word, s) FROM
+    (SELECT doc_id AS doc, posexplode(split(text, '\n', -1)) AS (line, t) FROM <documents>)""",
+)
+TEXT_ITEMS_DUCK = _ITEMS.replace(
+    "<<words>>",
+    """SELECT doc, line, unnest(generate_series(0, len(string_split(t, ' ')) - 1)) AS word, unnest(string_split(t, ' ')) AS s FROM
+    (SELECT doc_id AS doc, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS line, unnest(string_split(text, chr(10))) AS t FROM documents)""",
+)
+_NOTES = f"""SELECT doc, CAST(floor(line / 30) AS BIGINT) + 1 AS page, line * 10 + k AS ord, {_LINE_Y} - 2 AS y1, {_LINE_Y} + 2 AS y2,
+  CASE (doc + k) % 5 WHEN 0 THEN 'https://e.example/' || CAST(doc AS STRING) WHEN 1 THEN 'mailto:a@e.example' WHEN 2 THEN 'javascript:x'
+    WHEN 3 THEN ' http://e.example/x ' ELSE 'https://e.example/' || CAST(doc AS STRING) END AS url
+  FROM (<<lines>>) AS l WHERE line % 3 = 0"""
+NOTES = _NOTES.replace(
+    "<<lines>>",
+    """SELECT doc, line, k FROM (SELECT doc_id AS doc, posexplode(split(text, '\n', -1)) AS (line, t) FROM <documents>)
+    LATERAL VIEW explode(array(0, 1, 4)) v AS k""",
+)
+NOTES_DUCK = _NOTES.replace(
+    "<<lines>>",
+    """SELECT doc, line, unnest([0, 1, 4]) AS k FROM
+    (SELECT doc_id AS doc, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS line FROM documents)""",
+)
+
+
+def text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, TEXT_ITEMS, "documents")
+
+
+def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, NOTES, "documents")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import first_k, values_at_rank
+
 
 def inventory(files: DataFrame, k: int = 12) -> DataFrame:
     """Count, bytes and the ``k`` largest of a whole corpus, one row."""
@@ -17,3 +19,14 @@ def inventory(files: DataFrame, k: int = 12) -> DataFrame:
         ).alias("largest")
     )
     return totals.withColumn("one", F.lit(1)).join(largest.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+def output_text_reconcile(texts: DataFrame, outputs: DataFrame, k: int = 5) -> DataFrame:
+    """First ``k`` source texts per document that the output does not contain.
+
+    ``texts``: doc, ord, text (non-empty); ``outputs``: doc, output.
+    """
+    wanted = first_k(texts.where(F.col("text") != ""), ["doc"], ["ord"], k).select("doc", "ord", "text")
+    joined = wanted.join(outputs.withColumn("_found", F.lit(True)), "doc", "left")
+    problem = F.when(F.col("_found").isNull(), "no-output").when(~F.contains("output", F.col("text")), "missing-text")
+    return joined.select("doc", "ord", "text", problem.alias("problem")).where(F.col("problem").isNotNull())
