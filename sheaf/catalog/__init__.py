@@ -1,6 +1,6 @@
 """Registered queries and their oracle SQL."""
 
-from . import file_queries, page_queries, text_queries  # noqa: F401
+from . import file_queries, page_queries, quality_queries, sheet_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

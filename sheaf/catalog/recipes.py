@@ -8,15 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .registry import table
+from .registry import SPREAD_KEYS, table, wide_table
 
 
-def run(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
-    """Run recipe SQL with ``<name>`` standing for a table."""
+def run(spark: SparkSession, sf_dir: str, sql: str, *tables: str, wide: bool = False) -> DataFrame:
+    """Run recipe SQL with ``<name>`` standing for a table; ``wide``: rows fan out."""
     sql = sql.replace("{", "{{").replace("}", "}}")
     for name in tables:
         sql = sql.replace(f"<{name}>", "{" + name + "}")
-    return spark.sql(sql, **{name: table(spark, sf_dir, name) for name in tables})
+    read = {name: wide_table if wide and name in SPREAD_KEYS else table for name in tables}
+    return spark.sql(sql, **{name: read[name](spark, sf_dir, name) for name in tables})
 
 
 def duck(sql: str) -> str:
@@ -157,7 +158,7 @@ HTML_PAGES_DUCK = duck(HTML_PAGES)
 
 
 def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(spark, sf_dir, HTML_PAGES, "pages")
+    return run(spark, sf_dir, HTML_PAGES, "pages", wide=True)
 
 
 # ---- requests ---------------------------------------------------------------------------
@@ -204,7 +205,7 @@ MARKDOWN_DOCS_DUCK = (
 
 
 def markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(spark, sf_dir, MARKDOWN_DOCS, "documents")
+    return run(spark, sf_dir, MARKDOWN_DOCS, "documents", wide=True)
 
 
 # ---- D5: positioned text items and link annotations -----------------------------------------
@@ -243,8 +244,74 @@ NOTES_DUCK = _NOTES.replace(
 
 
 def text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(spark, sf_dir, TEXT_ITEMS, "documents")
+    return run(spark, sf_dir, TEXT_ITEMS, "documents", wide=True)
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(spark, sf_dir, NOTES, "documents")
+    return run(spark, sf_dir, NOTES, "documents", wide=True)
+
+# ---- D7: workbooks from lineitem: one sheet per order, one row per line number ------------------
+
+SHEET_ROWS = """SELECT l_orderkey AS file_id, CAST(0 AS BIGINT) AS sheet_ord, CAST(l_linenumber AS BIGINT) AS rown, min(l_suppkey) AS sk,
+  min(l_partkey) AS pk, CAST(min(l_quantity) AS BIGINT) AS q, CAST(floor(min(l_extendedprice)) AS BIGINT) AS price,
+  min(l_returnflag) AS flag, min(l_linestatus) AS stat FROM <lineitem> GROUP BY l_orderkey, l_linenumber"""
+SHEET_ROWS_DUCK = duck(SHEET_ROWS)
+
+# col, type, value, formula, style
+_CELL_COLUMNS = [
+    ("'s'", "CAST(sk % 9 AS STRING)", "NULL", "sk % 7"),
+    ("NULL", "CAST(q AS STRING)", "NULL", "sk % 4"),
+    ("NULL", "CASE WHEN sk % 6 = 0 THEN '' ELSE CAST(price AS STRING) END", "NULL", "rown % 7"),
+    ("'b'", "CASE WHEN stat = 'F' THEN '1' ELSE '0' END", "NULL", "0"),
+    ("NULL", "CAST(36000 + pk AS STRING)", "NULL", "pk % 7"),
+    ("NULL", "CAST(price AS STRING)", "CASE WHEN sk % 50 = 0 THEN '[1]Other!A1' ELSE 'SUM(B1:B' || CAST(rown AS STRING) || ')' END", "1"),
+    ("CASE WHEN sk % 9 = 0 THEN 's' ELSE 'inlineStr' END", "CASE WHEN sk % 9 = 0 THEN 'x' WHEN sk % 8 = 1 THEN '' ELSE flag || ' note' END", "NULL", "2"),
+]
+
+
+def _cells(rows: str, dialect: str) -> str:
+    def text(expr: str) -> str:
+        return f"CAST({expr} AS STRING)"
+
+    if dialect == "spark":
+        structs = ", ".join(
+            f"named_struct('col', CAST({i} AS BIGINT), 't', {text(t)}, 'v', {text(v)}, 'f', {text(f)}, 'style_idx', CAST({s} AS BIGINT))"
+            for i, (t, v, f, s) in enumerate(_CELL_COLUMNS)
+        )
+        return f"""SELECT file_id, sheet_ord, rown - 1 AS row, col, chr(65 + col) || CAST(rown AS STRING) AS ref, t, v, f, style_idx
+        FROM ({rows}) LATERAL VIEW inline(array({structs})) c AS col, t, v, f, style_idx"""
+    structs = ", ".join(
+        f"{{'col': CAST({i} AS BIGINT), 't': {text(t)}, 'v': {text(v)}, 'f': {text(f)}, 'style_idx': CAST({s} AS BIGINT)}}"
+        for i, (t, v, f, s) in enumerate(_CELL_COLUMNS)
+    )
+    return f"""SELECT file_id, sheet_ord, rown - 1 AS row, c.col AS col, chr(CAST(65 + c.col AS INT)) || rown AS ref, c.t AS t, c.v AS v, c.f AS f, c.style_idx AS style_idx
+      FROM (SELECT file_id, sheet_ord, rown, unnest([{structs}]) AS c FROM ({rows}))"""
+
+
+CELLS = _cells(SHEET_ROWS, "spark")
+CELLS_DUCK = _cells(SHEET_ROWS_DUCK, "duck")
+STRINGS = f"SELECT file_id, rown - 1 AS idx, 'text ' || CAST(pk AS STRING) AS text FROM ({SHEET_ROWS}) AS r"
+STYLES = f"""SELECT file_id, rown - 1 AS idx, sk % 3 AS font_id, pk % 3 AS fill_id, CASE sk % 5 WHEN 0 THEN 14 WHEN 1 THEN 165 WHEN 2 THEN 20 WHEN 3 THEN 166 ELSE 0 END AS num_fmt_id,
+  CASE pk % 4 WHEN 0 THEN 'center' WHEN 1 THEN 'right' WHEN 2 THEN 'justify' ELSE NULL END AS align FROM ({SHEET_ROWS}) AS r"""
+FONTS = f"SELECT file_id, rown - 1 AS idx, sk % 2 = 0 AS bold, pk % 2 = 0 AS italic, '#0000' || lpad(CAST(q AS STRING), 2, '0') AS color FROM ({SHEET_ROWS}) AS r"
+FILLS = f"SELECT file_id, rown - 1 AS idx, '#' || lpad(CAST(price % 1000000 AS STRING), 6, '0') AS fill FROM ({SHEET_ROWS}) AS r"
+NUM_FMTS = f"""SELECT file_id, CAST(164 + rown AS BIGINT) AS num_fmt_id, CASE rown WHEN 1 THEN 'yyyy-mm-dd' WHEN 2 THEN '[Red]0.00"day"' ELSE 'dd/mm' END AS code FROM ({SHEET_ROWS}) AS r"""
+MERGES = f"""SELECT file_id, sheet_ord, rown AS ord, rown - 1 AS row, sk % 4 AS col, 1 + pk % 2 AS rowspan, 1 + sk % 3 AS colspan
+  FROM ({SHEET_ROWS}) AS r WHERE rown % 2 = 0"""
+SPANS = f"SELECT file_id, sheet_ord, rown AS ord, rown AS min_col, rown + sk % 4 AS max_col, q * 2.0 AS width FROM ({SHEET_ROWS}) AS r"
+ROW_DIMS = f"SELECT file_id, sheet_ord, rown - 1 AS row, CAST(CASE WHEN sk % 10 = 0 THEN NULL ELSE q * 6 END AS DOUBLE) AS height FROM ({SHEET_ROWS}) AS r"
+ITEMS = f"""SELECT file_id AS doc, 1 + rown % 3 AS scene, rown * 10 + k AS ord, CASE (sk + k) % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'table' WHEN 2 THEN 'shape' WHEN 3 THEN 'image' ELSE 'text' END AS item_kind,
+  (pk + k) % 4 AS z, CASE WHEN (sk + k) % 5 IN (0, 4) THEN flag || ' words ' || CAST(pk % 50 AS STRING) ELSE '' END AS text, q + k AS table_rows
+  FROM (<<two>>) AS r"""
+_TWO = f"SELECT *, 0 AS k FROM ({SHEET_ROWS}) AS r UNION ALL SELECT *, 1 AS k FROM ({SHEET_ROWS}) AS r"
+ITEMS_DUCK = duck(ITEMS.replace("<<two>>", _TWO))
+ITEMS = ITEMS.replace("<<two>>", f"SELECT r.*, k FROM ({SHEET_ROWS}) AS r LATERAL VIEW explode(array(0, 1)) v AS k")
+EXPECTATIONS = f"""SELECT file_id AS doc, CASE WHEN file_id % 3 = 0 THEN count(*) ELSE NULL END AS scenes, CASE WHEN file_id % 3 = 1 THEN CAST(3 AS BIGINT) ELSE NULL END AS min_scenes,
+  CAST(2 AS BIGINT) AS min_text_blocks, CASE WHEN file_id % 2 = 0 THEN min(sk) % 4 ELSE NULL END AS tables, CASE WHEN file_id % 5 = 0 THEN min(q) ELSE NULL END AS table_rows,
+  CASE WHEN file_id % 4 = 0 THEN min(pk) % 3 ELSE NULL END AS shapes, CASE WHEN file_id % 7 = 0 THEN CAST(0 AS BIGINT) ELSE NULL END AS charts,
+  CASE WHEN file_id % 4 = 1 THEN min(sk) % 3 ELSE NULL END AS images, CASE WHEN file_id % 11 = 0 THEN 'A words' WHEN file_id % 11 = 1 THEN 'zzz' ELSE NULL END AS text
+  FROM ({SHEET_ROWS}) AS r GROUP BY file_id"""
+
+
+def sheet(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    return run(spark, sf_dir, sql, "lineitem")

@@ -26,3 +26,21 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Tables whose rows fan out (lines, words, cells): worth spreading when the scan
+# itself gives fewer tasks than there are cores, as one small file does.
+SPREAD_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
+def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """``table``, spread by key only where the scan cannot fill the cores.
+
+    A large table has one task per split and is left alone, so nothing is
+    shuffled at scale.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, SPREAD_KEYS[name])
+    return df
