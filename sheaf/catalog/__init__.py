@@ -1,6 +1,14 @@
 """Registered queries and their oracle SQL."""
 
-from . import file_queries, page_queries, quality_queries, sheet_queries, text_queries  # noqa: F401
+from . import (  # noqa: F401
+    file_queries,
+    package_queries,
+    page_queries,
+    quality_queries,
+    sheet_queries,
+    stream_queries,
+    text_queries,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -11,6 +11,8 @@ SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Folds and regular expressions are heavy per byte: allow small partitions.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB",
     # One hot key may hold a third of a join side; let AQE cut its reduce
     # partition up by map output, also where that costs one more exchange.
     "spark.sql.adaptive.skewJoin.enabled": "true",
