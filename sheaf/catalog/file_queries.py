@@ -536,17 +536,12 @@ def dedup_snapshot(spark, sf):
         F.col("doc_id").alias("file_id"), F.col("source").alias("batch_id"), F.col("doc_id").alias("pos"), "text"
     )
 
-    def inspect(distinct):
-        return distinct.select(
-            "digest",
-            F.col("file_id").alias("first_file"),
-            F.octet_length("text").cast("long").alias("bytes"),
-            I.plain_text_status(F.col("text")).alias("status"),
-        )
-
-    out = B.dedup_snapshot(files, F.sha2(F.encode("text", "UTF-8"), 256), inspect)
-    copies = out.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
-    return out.join(copies, "digest").select("file_id", "batch_id", "digest", "copies", "first_file", "bytes", "status")
+    out = B.dedup_snapshot(
+        files,
+        F.sha2(F.encode("text", "UTF-8"), 256),
+        {"bytes": F.octet_length("text").cast("long"), "status": I.plain_text_status(F.col("text"))},
+    )
+    return out.select("file_id", "batch_id", "digest", "copies", "first_file", "bytes", "status")
 
 
 # ---- inventories, sets -----------------------------------------------------------------------------------

@@ -187,7 +187,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _markdown_prefix(line: str, k: str) -> str:
     return f"""CASE {k} WHEN 0 THEN '# ' || {line} WHEN 1 THEN '- ' || {line} WHEN 2 THEN '1. ' || {line} WHEN 3 THEN '> ' || {line}
     WHEN 4 THEN '---' WHEN 5 THEN '[ref](https://e.example/x) ' || {line} WHEN 6 THEN {line} WHEN 7 THEN '' WHEN 8 THEN '| head | b |'
-    WHEN 9 THEN '| --- | :-: |' WHEN 10 THEN '| c' || chr(92) || '|d | `x|y` | ' || {line} WHEN 11 THEN '```py' WHEN 12 THEN {line}
+    WHEN 9 THEN '| --- | :---: |' WHEN 10 THEN '| c' || chr(92) || '|d | `x|y` | ' || {line} WHEN 11 THEN '```py' WHEN 12 THEN {line}
     WHEN 13 THEN '```' WHEN 14 THEN '   - ' || {line} WHEN 15 THEN '## ' || {line} || ' ##' WHEN 16 THEN '![i](http://e.example/a.png) ' || {line}
     WHEN 17 THEN '~~~' WHEN 18 THEN '2) ' || {line} WHEN 19 THEN '* * *' WHEN 20 THEN '  ' || {line} || '  ' ELSE '[bad](javascript:x) ' || {line} END"""
 
@@ -219,8 +219,8 @@ _ITEMS = f"""SELECT doc, page, line, line * 100000 + word AS ord, str, CAST(40 *
   FROM (SELECT doc, CAST(floor(line / 30) AS BIGINT) + 1 AS page, line, word, {_ITEM_STR} AS str FROM (<<words>>) AS w) AS i"""
 TEXT_ITEMS = _ITEMS.replace(
     "<<words>>",
-    """SELECT doc, line, posexplode(split(t, ' ', -1)) AS (word, s) FROM
-    (SELECT doc_id AS doc, posexplode(split(text, '\n', -1)) AS (line, t) FROM <documents>)""",
+    """SELECT doc, line, posexplode_outer(split(t, ' ', -1)) AS (word, s) FROM
+    (SELECT doc_id AS doc, posexplode_outer(split(text, '\n', -1)) AS (line, t) FROM <documents>)""",
 )
 TEXT_ITEMS_DUCK = _ITEMS.replace(
     "<<words>>",
@@ -233,7 +233,7 @@ _NOTES = f"""SELECT doc, CAST(floor(line / 30) AS BIGINT) + 1 AS page, line * 10
   FROM (<<lines>>) AS l WHERE line % 3 = 0"""
 NOTES = _NOTES.replace(
     "<<lines>>",
-    """SELECT doc, line, k FROM (SELECT doc_id AS doc, posexplode(split(text, '\n', -1)) AS (line, t) FROM <documents>)
+    """SELECT doc, line, k FROM (SELECT doc_id AS doc, posexplode_outer(split(text, '\n', -1)) AS (line, t) FROM <documents>)
     LATERAL VIEW explode(array(0, 1, 4)) v AS k""",
 )
 NOTES_DUCK = _NOTES.replace(

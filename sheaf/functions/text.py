@@ -7,17 +7,30 @@ from pyspark.sql import functions as F
 
 # White space as a browser regex sees it; Java's ``\s`` is ASCII only.
 WS = r"\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+# The same set as plain characters, for trimming without a regex.
+WS_CHARS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 WS_CLASS = f"[{WS}]"
 NOT_WS_CLASS = f"[^{WS}]"
 
 
 def clean_trim(col: Column) -> Column:
     """Trim Unicode white space on both ends."""
-    return F.regexp_replace(col, f"^{WS_CLASS}+|{WS_CLASS}+\\z", "")
+    return F.btrim(col, F.lit(WS_CHARS))
 
 
 def is_blank(col: Column) -> Column:
-    return ~col.rlike(NOT_WS_CLASS)
+    return clean_trim(col) == ""
+
+
+def collapse_spaces(col: Column) -> Column:
+    """Trimmed, every run of white space one space; a single word skips the regex."""
+    trimmed = clean_trim(col)
+    return F.when(solid(trimmed) == trimmed, trimmed).otherwise(F.regexp_replace(trimmed, f"{WS_CLASS}+", " "))
+
+
+def solid(col: Column) -> Column:
+    """Without any white space."""
+    return F.translate(col, WS_CHARS, "")
 
 
 def file_extension(name: Column) -> Column:

@@ -263,5 +263,5 @@ def unique_sheet_names(sheets: DataFrame) -> DataFrame:
     unique = F.aggregate("names", F.expr("cast(array() as array<string>)"), step)
     return packed.select(
         "file_id",
-        F.inline(F.zip_with("names", unique, lambda n, u: F.struct(n["ord"].alias("ord"), u.alias("sheet_name")))),
+        F.inline_outer(F.zip_with("names", unique, lambda n, u: F.struct(n["ord"].alias("ord"), u.alias("sheet_name")))),
     )

@@ -258,18 +258,20 @@ def request_validation(requests: DataFrame) -> DataFrame:
     )
 
 
-def dedup_snapshot(files: DataFrame, digest: Column, inspect) -> DataFrame:
-    """Inspect each distinct content once and hand every occurrence its result.
+def dedup_snapshot(files: DataFrame, digest: Column, inspection: dict[str, Column]) -> DataFrame:
+    """One inspection per distinct content, handed to every occurrence in its place.
 
-    The digest is computed before the shuffle and only (digest, first file) is
-    aggregated; ``inspect`` gets one row per digest.  The join back is many to
-    one; a content copied a third of the time makes one hot digest on the many
-    side only, which AQE splits by map output.
+    Digest and inspection are taken where the content lies; only they are
+    shuffled.  Copies collapse on the map side, so the distinct side has one row
+    per content; on the way back a content that makes up a third of the files is
+    one hot digest on the many side only, which AQE cuts by map output.
     """
-    keyed = files.withColumn("digest", digest)
-    first = keyed.groupBy("digest").agg(F.min("file_id").alias("file_id"))
-    distinct = inspect(keyed.join(first, ["digest", "file_id"], "left_semi"))
-    return keyed.select("file_id", "batch_id", "pos", "digest").join(distinct, "digest")
+    found = F.struct(F.col("file_id").alias("first_file"), *[c.alias(n) for n, c in inspection.items()])
+    keyed = files.select("file_id", "batch_id", "pos", digest.alias("digest"), found.alias("found"))
+    distinct = keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min_by("found", "file_id").alias("found"))
+    return keyed.select("file_id", "batch_id", "pos", "digest").join(distinct, "digest").select(
+        "file_id", "batch_id", "pos", "digest", "copies", "found.*"
+    )
 
 
 def exactly_once(groups: DataFrame, members: DataFrame, key: str) -> DataFrame:

@@ -4,6 +4,10 @@ A document is one row and stays one row until its blocks are exploded, so none
 of this shuffles text.  Every line is classified to one letter; the sequence of
 letters is cut into blocks by one regular expression whose alternatives stand in
 the order of the parser's tests.
+
+Arrays are exploded with the outer form and the empty rows dropped after it: the
+plain form makes Catalyst test the array for emptiness in a filter of its own,
+which would compute every expensive array twice.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.links import safe_href, safe_image_source
-from ..functions.text import NOT_WS_CLASS, WS, WS_CLASS, clean_trim
+from ..functions.text import WS, WS_CLASS, clean_trim, is_blank
 
 S = WS_CLASS
 
@@ -64,7 +68,7 @@ def opens_table(lines: Column, line: Column, index: Column) -> Column:
 
 def md_lines(docs: DataFrame) -> DataFrame:
     """``docs``: doc, text → doc, line (from 0), text."""
-    return docs.select("doc", F.posexplode(lines_of(F.col("text"))).alias("line", "text"))
+    return docs.select("doc", F.posexplode_outer(lines_of(F.col("text"))).alias("line", "text")).where(F.col("line").isNotNull())
 
 
 def md_line_class(docs: DataFrame) -> DataFrame:
@@ -72,13 +76,13 @@ def md_line_class(docs: DataFrame) -> DataFrame:
     lines = docs.select("doc", lines_of(F.col("text")).alias("lines"))
     flagged = lines.select(
         "doc",
-        F.posexplode(
+        F.posexplode_outer(
             F.transform("lines", lambda line, i: F.struct(line.alias("text"), opens_table(F.col("lines"), line, i).alias("opens")))
         ).alias("line", "l"),
     ).select("doc", "line", F.col("l.text").alias("text"), F.col("l.opens").alias("opens"))
     text = F.col("text")
     kind = (
-        F.when(~text.rlike(NOT_WS_CLASS), "blank")
+        F.when(is_blank(text), "blank")
         .when(text.rlike(FENCE), "fence")
         .when(text.rlike(HEADING), "heading")
         .when(text.rlike(RULE), "rule")
@@ -135,7 +139,7 @@ def _letter(lines: Column, line: Column, index: Column) -> Column:
 
     tick = F.regexp_extract(line, FENCE, 1).startswith("`")
     return (
-        F.when(~line.rlike(NOT_WS_CLASS), "b")
+        F.when(is_blank(line), "b")
         .when(~line.rlike(MARKED), cased("p", "P", "t"))
         .when(line.rlike(TICK_CLOSE), "c")
         .when(line.rlike(TILDE_CLOSE), "d")
@@ -178,7 +182,7 @@ def doc_blocks(docs: DataFrame) -> DataFrame:
 
 def md_blocks(docs: DataFrame) -> DataFrame:
     """doc, block, kind, level, ordered, language, text, items, headers, rows."""
-    exploded = doc_blocks(docs).select("doc", F.posexplode("blocks").alias("block", "raw"))
+    exploded = doc_blocks(docs).select("doc", F.posexplode_outer("blocks").alias("block", "raw")).where(F.col("block").isNotNull())
     letter = F.substring("raw", 1, 1)
     body = F.col("raw").substr(F.lit(2), F.length("raw"))
     kind = (
@@ -241,7 +245,7 @@ def md_table_cells(blocks: DataFrame) -> DataFrame:
         "doc", "block", F.concat(F.array("headers"), "rows").alias("grid")
     )
     width = F.greatest(F.lit(1), F.array_max(F.transform("grid", F.size)))
-    return tables.select("doc", "block", width.alias("width"), F.posexplode("grid").alias("row", "cells")).select(
+    return tables.select("doc", "block", width.alias("width"), F.posexplode_outer("grid").alias("row", "cells")).select(
         "doc",
         "block",
         "row",
@@ -262,7 +266,7 @@ def inline_texts(blocks: DataFrame) -> DataFrame:
         .when(F.col("kind") == "table", cells)
         .when(F.col("kind").isin("heading", "paragraph", "blockquote"), F.array("text"))
     )
-    return blocks.select("doc", "block", F.posexplode(texts).alias("part", "text"))
+    return blocks.select("doc", "block", F.posexplode_outer(texts).alias("part", "text")).where(F.col("text").isNotNull())
 
 
 def md_links(blocks: DataFrame) -> DataFrame:
@@ -271,10 +275,10 @@ def md_links(blocks: DataFrame) -> DataFrame:
         "doc",
         "block",
         "part",
-        F.posexplode(
+        F.posexplode_outer(
             F.filter(F.regexp_extract_all("text", F.lit(INLINE), F.lit(0)), lambda m: ~m.startswith("`"))
         ).alias("ord", "raw"),
-    )
+    ).where(F.col("ord").isNotNull())
     image = F.col("raw").startswith("!")
     url = F.regexp_extract("raw", INLINE_PARTS, 2)
     return found.select(

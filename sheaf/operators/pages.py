@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.text import NOT_WS_CLASS, WS_CLASS, clean_trim
+from ..functions.text import WS_CLASS, clean_trim
 from .ordering import BLOCK, block_of, exclusive_sum, rank_in_group
 
 PART = f"^[0-9]+(?:{WS_CLASS}*-{WS_CLASS}*[0-9]*)?\\z"
@@ -45,7 +45,7 @@ def expand_page_ranges(requests: DataFrame) -> DataFrame:
     ).select("*", F.transform("parts", lambda p: _range(p, F.col("page_count"))).alias("ranges"))
     bad = F.element_at(F.filter("ranges", lambda r: r["code"].isNotNull()), 1)["code"]
     error = (
-        F.when(~F.col("spec").rlike(NOT_WS_CLASS), "blank")
+        F.when(F.col("spec") == "", "blank")
         .when(F.coalesce(F.col("page_count"), F.lit(0)) < 1, "no-pages")
         .when(F.exists("parts", lambda p: p == ""), "empty-part")
         .otherwise(F.when(F.exists("ranges", lambda r: r["code"].isNotNull()), bad))

@@ -26,7 +26,9 @@ TILE = 32
 
 def shared_strings(cells: DataFrame, strings: DataFrame) -> DataFrame:
     """Adds ``shared``: the string a cell of type ``s`` points to, '' if there is none."""
-    index = F.when(F.col("t") == "s", string_index(F.col("v")))
+    # Cells of other types get spread-out keys that no string has.
+    elsewhere = -1.0 - F.pmod(F.xxhash64("ref"), F.lit(1024))
+    index = F.when(F.col("t") == "s", string_index(F.col("v"))).otherwise(elsewhere)
     table = strings.select("file_id", F.col("idx").cast("double").alias("_idx"), F.col("text").alias("_text"))
     joined = cells.withColumn("_idx", index).join(table, ["file_id", "_idx"], "left")
     return joined.withColumn("shared", F.when(F.col("t") == "s", F.coalesce("_text", F.lit("")))).drop("_idx", "_text")
@@ -310,7 +312,7 @@ def _spans(layout: DataFrame, starts: Column, total: str, names: tuple[str, str,
             i.alias(number), s.alias(first), (F.coalesce(F.get("_starts", i + 1), F.col("_total")) - 1).alias(last)
         ),
     )
-    return packed.select(*SHEET, "landscape", F.inline(spans))
+    return packed.select(*SHEET, "landscape", F.inline_outer(spans)).where(F.col(first).isNotNull())
 
 
 def column_windows(layout: DataFrame) -> DataFrame:

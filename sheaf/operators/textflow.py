@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.links import safe_extracted_link
-from ..functions.text import NOT_WS_CLASS, WS_CLASS, clean_trim
+from ..functions.text import WS_CLASS, clean_trim, collapse_spaces, is_blank
 
 PAGE = ["doc", "page"]
 LINE = ["doc", "page", "line_no"]
@@ -25,7 +25,7 @@ NO_SPACE_AFTER = r"[(\[{/]\z"
 
 def placed_items(items: DataFrame) -> DataFrame:
     size = F.greatest(F.lit(1.0), F.abs(F.coalesce("font_size", F.lit(DEFAULT_SIZE))))
-    return items.where(F.col("str").rlike(NOT_WS_CLASS)).withColumn("font_size", size)
+    return items.where(~is_blank(F.col("str"))).withColumn("font_size", size)
 
 
 def _tolerance(size: Column) -> Column:
@@ -35,29 +35,34 @@ def _tolerance(size: Column) -> Column:
 def group_lines(items: DataFrame) -> DataFrame:
     """Adds line_no and line_y: the first line, top to bottom, close enough to the item.
 
-    Items of one height and size always share a line, so the fold that finds the
-    lines of a page runs over (height, size) bands, combined before the shuffle;
+    A new line starts where some item finds none near enough, and among items of
+    one height the smallest one is the first to miss.  So the fold that finds the
+    lines of a page runs over its distinct heights, combined before the shuffle;
     the items then look their line up.
     """
     placed = placed_items(items)
-    bands = placed.groupBy(*PAGE, "y", "font_size").agg(F.min(F.struct("x", "ord")).alias("at"))
-    ordered = bands.groupBy(*PAGE).agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("up"), "at", F.col("font_size").alias("size")))).alias("bands")
+    heights = placed.groupBy(*PAGE, "y").agg(F.min("font_size").alias("size"))
+    ordered = heights.groupBy(*PAGE).agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("up"), "size"))).alias("heights")
     )
     tops = F.aggregate(
-        "bands",
+        "heights",
         F.expr("cast(array() as array<double>)"),
         lambda tops, b: F.when(F.exists(tops, lambda t: F.abs(t + b["up"]) <= _tolerance(b["size"])), tops).otherwise(
             F.concat(tops, F.array(-b["up"]))
         ),
     )
-    lines = ordered.select(*PAGE, F.transform(tops, lambda t, i: F.struct(i.alias("no"), t.alias("y"))).alias("tops"))
+    lines = ordered.select(*PAGE, tops.alias("tops"))
     joined = placed.join(lines, PAGE)
-    hit = F.element_at(
-        F.filter("tops", lambda t: F.abs(t["y"] - F.col("y")) <= _tolerance(F.col("font_size"))), 1
-    )
-    return joined.withColumn("hit", hit).select(
-        *placed.columns, F.col("hit.no").alias("line_no"), F.col("hit.y").alias("line_y")
+    # Tops go down, so a line at the item's own height is the first match unless
+    # the line just above is near enough as well; only then is the list searched.
+    y, reach = F.col("y"), _tolerance(F.col("font_size"))
+    own = F.array_position("tops", y)
+    alone = (own == 1) | ((own > 1) & (F.element_at("tops", F.greatest(own - 1, F.lit(1)).cast("int")) - y > reach))
+    near = F.filter(F.transform("tops", lambda t, i: F.when(F.abs(t - y) <= reach, i + 1)), lambda i: i.isNotNull())
+    at = F.when(alone, own.cast("int")).otherwise(F.get(near, F.lit(0)))
+    return joined.withColumn("at", at).select(
+        *placed.columns, (F.col("at") - 1).alias("line_no"), F.element_at("tops", F.col("at")).alias("line_y")
     )
 
 
@@ -67,7 +72,7 @@ def join_items(grouped: DataFrame) -> DataFrame:
     A space goes in where the gap to everything before exceeds 1.5 units, unless
     punctuation says otherwise.
     """
-    value = clean_trim(F.regexp_replace("str", f"{WS_CLASS}+", " "))
+    value = collapse_spaces(F.col("str"))
     order = Window.partitionBy(*LINE).orderBy("x", F.desc("y"), "ord")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     edged = grouped.withColumn("value", value).select(
@@ -87,15 +92,13 @@ def join_items(grouped: DataFrame) -> DataFrame:
         & ~F.col("left_value").rlike(NO_SPACE_AFTER)
     )
     piece = F.concat(F.when(space, " ").otherwise(""), F.col("value"))
-    lines = edged.groupBy(*LINE).agg(
+    lines = edged.withColumn("piece", piece).groupBy(*LINE).agg(
         F.first("line_y").alias("y"),
         F.min("x").alias("x"),
         F.max("font_size").alias("font_size"),
-        F.array_sort(F.collect_list(F.struct("rn", piece.alias("piece")))).alias("pieces"),
-    )
-    return lines.select(
-        *LINE, "y", "x", "font_size", clean_trim(F.array_join(F.transform("pieces", lambda p: p["piece"]), "")).alias("text")
+        F.expr("listagg(piece, '') within group (order by rn)").alias("text"),
     )
+    return lines.select(*LINE, "y", "x", "font_size", clean_trim(F.col("text")).alias("text"))
 
 
 def line_gaps(lines: DataFrame) -> DataFrame:

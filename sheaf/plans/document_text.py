@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.text import NOT_WS_CLASS, WS_CLASS, clean_trim
+from ..functions.text import clean_trim, solid
 from ..operators import textflow as T
 
 
@@ -17,15 +17,12 @@ def document_limits(items: DataFrame) -> DataFrame:
     over the text cap by those alone is over it for sure.  Such documents never
     enter the grouped steps, which bounds every group behind.
     """
-    solid = F.length(F.regexp_replace("str", f"{WS_CLASS}+", ""))
-    totals = items.groupBy("doc").agg(
-        F.max("page").alias("pages"), F.sum(solid).alias("chars"), F.bool_or(F.col("str").rlike(NOT_WS_CLASS)).alias("has_text")
-    )
+    totals = items.groupBy("doc").agg(F.max("page").alias("pages"), F.sum(F.length(solid(F.col("str")))).alias("chars"))
     return totals.select(
         "doc",
         F.when(F.col("pages") > dims.MAX_TEXT_PAGES, "too-many-pages")
         .when(F.col("chars") > dims.MAX_TEXT_CHARS, "too-much-text")
-        .when(~F.col("has_text"), "scanned")
+        .when(F.col("chars") == 0, "scanned")
         .alias("error_code"),
     )
 

@@ -164,7 +164,7 @@ def with_directory(files: DataFrame, limits: dict[str, int] = dims.ARCHIVE_LIMIT
 
 def scan_archive_entries(files: DataFrame, limits: dict[str, int] = dims.ARCHIVE_LIMITS) -> DataFrame:
     """One row per directory record; archives without a directory give none."""
-    return with_directory(files, limits).select("file_id", F.inline("dir.entries")).where(F.col("broken").isNull()).select(
+    return with_directory(files, limits).select("file_id", F.inline_outer("dir.entries")).where(F.col("ord").isNotNull() & F.col("broken").isNull()).select(
         "file_id", "ord", "path", "csize", "usize", "method", "flags", "crc32", "offset", F.col("path").endswith("/").alias("is_dir")
     )
 
@@ -188,4 +188,4 @@ def scan_archive_parts(files: DataFrame, wanted, limits: dict[str, int] = dims.A
     listed = with_directory(files, limits)
     chosen = F.filter(F.coalesce("dir.entries", F.array().cast(T.ArrayType(ENTRY))), lambda e: e["broken"].isNull() & wanted(e))
     picked = listed.select("file_id", "content", chosen.alias("wanted"))
-    return picked.select("file_id", F.inline(part_rows(F.col("wanted"), F.col("content"))))
+    return picked.select("file_id", F.inline_outer(part_rows(F.col("wanted"), F.col("content")))).where(F.col("path").isNotNull())

@@ -62,8 +62,8 @@ def _sheet(parts: DataFrame) -> DataFrame:
 
 def scan_sheet_cells(parts: DataFrame) -> DataFrame:
     """file_id, sheet_ord, row, col, ref, t, v, f, style_idx; cells off the grid are dropped."""
-    rows = _sheet(parts).select("file_id", "sheet_ord", F.explode("x.sheetData.row").alias("r"))
-    cells = rows.select("file_id", "sheet_ord", F.explode("r.c").alias("c"))
+    rows = _sheet(parts).select("file_id", "sheet_ord", F.explode_outer("x.sheetData.row").alias("r"))
+    cells = rows.select("file_id", "sheet_ord", F.explode_outer("r.c").alias("c"))
     inline = F.coalesce("c.is.t", F.array_join(F.transform("c.is.r", lambda r: r["t"]), ""), F.lit(""))
     return (
         cells.select(
@@ -84,7 +84,7 @@ def scan_sheet_cells(parts: DataFrame) -> DataFrame:
 def scan_sheet_dims(parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Column spans, row heights and merges of worksheets."""
     sheet = _sheet(parts)
-    cols = sheet.select("file_id", "sheet_ord", F.posexplode("x.cols.col").alias("ord", "c")).select(
+    cols = sheet.select("file_id", "sheet_ord", F.posexplode_outer("x.cols.col").alias("ord", "c")).where(F.col("ord").isNotNull()).select(
         "file_id",
         "sheet_ord",
         "ord",
@@ -92,7 +92,7 @@ def scan_sheet_dims(parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.col("c._max").try_cast("double").alias("max_col"),
         F.col("c._width").try_cast("double").alias("width"),
     )
-    rows = sheet.select("file_id", "sheet_ord", F.posexplode("x.sheetData.row").alias("at", "r")).select(
+    rows = sheet.select("file_id", "sheet_ord", F.posexplode_outer("x.sheetData.row").alias("at", "r")).where(F.col("at").isNotNull()).select(
         "file_id",
         "sheet_ord",
         F.least(
@@ -103,7 +103,7 @@ def scan_sheet_dims(parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         .alias("row"),
         clamp(F.col("r._ht").try_cast("double"), 10, 120, 20).alias("height"),
     )
-    merges = sheet.select("file_id", "sheet_ord", F.posexplode("x.mergeCells.mergeCell").alias("ord", "m")).select(
+    merges = sheet.select("file_id", "sheet_ord", F.posexplode_outer("x.mergeCells.mergeCell").alias("ord", "m")).select(
         "file_id", "sheet_ord", "ord", range_to_box(F.coalesce("m._ref", F.lit(""))).alias("box")
     )
     merges = merges.where(F.col("box").isNotNull()).select("file_id", "sheet_ord", "ord", "box.*")
@@ -116,8 +116,8 @@ RELS_SCHEMA = "struct<Relationship: array<struct<_Id: string, _Type: string, _Ta
 def scan_relationships(parts: DataFrame) -> DataFrame:
     """``parts``: file_id, source_part, xml → one row per relationship."""
     rels = parts.select(
-        "file_id", "source_part", F.explode(F.from_xml("xml", RELS_SCHEMA, {"ignoreNamespace": "true"})["Relationship"]).alias("r")
-    )
+        "file_id", "source_part", F.explode_outer(F.from_xml("xml", RELS_SCHEMA, {"ignoreNamespace": "true"})["Relationship"]).alias("r")
+    ).where(F.col("r").isNotNull())
     return rels.select(
         "file_id",
         "source_part",
