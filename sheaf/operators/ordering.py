@@ -18,13 +18,18 @@ def block_of(order: str, block: int = BLOCK) -> Column:
     return F.floor(F.col(order) / block).cast("long")
 
 
-def exclusive_sum(totals: DataFrame, group: list[str], order: str, value: str, out: str, block: int = BLOCK) -> DataFrame:
-    """Sum of ``value`` over the rows before this one; ``order`` unique per group."""
+def exclusive_sum(
+    totals: DataFrame, group: list[str], order: str, value: str, out: str, block: int = BLOCK, then: list[str] | None = None
+) -> DataFrame:
+    """Sum of ``value`` over the rows before this one.
+
+    Order is ``order`` (an integer) and ``then``; unique per group.
+    """
     blocked = totals.withColumn("_xblock", block_of(order, block))
     sums = blocked.groupBy(*group, "_xblock").agg(F.sum(value).alias("_xsum"))
     before = Window.partitionBy(*group).orderBy("_xblock").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*group, "_xblock", F.coalesce(F.sum("_xsum").over(before), F.lit(0)).alias("_xstart"))
-    inside = Window.partitionBy(*group, "_xblock").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*group, "_xblock").orderBy(order, *(then or [])).rowsBetween(Window.unboundedPreceding, -1)
     return (
         blocked.join(starts, [*group, "_xblock"])
         .withColumn(out, F.col("_xstart") + F.coalesce(F.sum(value).over(inside), F.lit(0)))

@@ -120,20 +120,13 @@ def rotate_pages(pages: DataFrame, degrees: int, selection: DataFrame | None = N
 def merge_order(pages: DataFrame, group: str = "batch_id", file: str = "file_pos", block: int = BLOCK) -> DataFrame:
     """Output page number over the files of a batch in their order, ``i / n`` label.
 
-    Three levels, none of them a whole batch in one task: pages inside a block
-    of one file, files inside a block of file positions, blocks of a batch.
+    Pages are ranked inside a block of one file; the blocks, a few rows per file,
+    are summed up along the batch in blocks of file positions.
     """
     blocked = pages.withColumn("_pb", block_of("page", block))
-    per_block = blocked.groupBy(group, file, "_pb").agg(F.count(F.lit(1)).alias("_n"))
-    per_file = per_block.groupBy(group, file).agg(F.sum("_n").alias("_f"))
-    file_start = exclusive_sum(per_file, [group], file, "_f", "_fs", block).select(group, file, "_fs")
-    block_start = exclusive_sum(per_block, [group, file], "_pb", "_n", "_bs", block).select(group, file, "_pb", "_bs")
-    total = per_file.groupBy(group).agg(F.sum("_f").alias("out_pages"))
-    starts = (
-        block_start.join(file_start, [group, file])
-        .join(total, group)
-        .select(group, file, "_pb", (F.col("_bs") + F.col("_fs")).alias("_start"), "out_pages")
-    )
+    counts = blocked.groupBy(group, file, "_pb").agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.groupBy(group).agg(F.sum("_n").alias("out_pages"))
+    starts = exclusive_sum(counts, [group], file, "_n", "_start", block, then=["_pb"]).drop("_n").join(total, group)
     inside = Window.partitionBy(group, file, "_pb").orderBy("page")
     numbered = blocked.join(starts, [group, file, "_pb"]).withColumn(
         "out_page", (F.col("_start") + F.row_number().over(inside)).cast("long")

@@ -41,26 +41,20 @@ def doc_summary(items: DataFrame, texts: int = 6) -> DataFrame:
     ``items``: doc, scene, ord, item_kind, text, table_rows.  Counts combine on the
     map side; only the first texts and the table sizes of a document are listed.
     """
-    object_kinds = ["shape", "image", "chart"]
-    counts = items.groupBy("doc").agg(
-        F.count_if(F.col("item_kind") == "text").alias("text_blocks"),
-        F.count_if(F.col("item_kind") == "table").alias("tables"),
-        *[F.count_if(F.col("item_kind") == k).alias(f"{k}s") for k in object_kinds],
-        F.count_if(F.col("item_kind") == "note").alias("notes"),
+    kinds = ["text", "table", "shape", "image", "chart", "note"]
+    per_scene = items.groupBy("doc", "scene").agg(
+        *[F.count_if(F.col("item_kind") == k).alias(k) for k in kinds],
+        F.collect_set(F.when(F.col("item_kind") == "table", F.col("table_rows"))).alias("sizes"),
     )
-    scenes = items.select("doc", "scene").distinct().groupBy("doc").agg(F.count(F.lit(1)).alias("scenes"))
-    kinds = (
-        items.where(F.col("item_kind").isin(object_kinds))
-        .groupBy("doc", "item_kind")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("doc")
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("item_kind", "n")))).alias("object_kinds"))
-    )
-    sizes = (
-        items.where(F.col("item_kind") == "table")
-        .select("doc", "table_rows")
-        .groupBy("doc")
-        .agg(F.sort_array(F.collect_set("table_rows")).alias("table_row_counts"))
+    objects = F.create_map(*[c for k in ("chart", "image", "shape") for c in (F.lit(k), F.col(f"{k}s"))])
+    counts = (
+        per_scene.groupBy("doc")
+        .agg(
+            F.count(F.lit(1)).alias("scenes"),
+            *[F.sum(k).alias("text_blocks" if k == "text" else f"{k}s") for k in kinds],
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("sizes")))).alias("table_row_counts"),
+        )
+        .withColumn("object_kinds", F.map_filter(objects, lambda k, n: n > 0))
     )
     firsts = (
         first_k(items.where((F.col("item_kind") == "text") & (F.col("text") != "")), ["doc"], ["ord"], texts)
@@ -68,13 +62,7 @@ def doc_summary(items: DataFrame, texts: int = 6) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("rn", "text"))).alias("_t"))
         .select("doc", F.array_join(F.transform("_t", lambda t: t["text"]), "\n").alias("text_corpus"))
     )
-    return (
-        counts.join(scenes, "doc")
-        .join(kinds, "doc", "left")
-        .join(sizes, "doc", "left")
-        .join(firsts, "doc", "left")
-        .withColumn("text_corpus", F.coalesce("text_corpus", F.lit("")))
-    )
+    return counts.join(firsts, "doc", "left").withColumn("text_corpus", F.coalesce("text_corpus", F.lit("")))
 
 
 def expectation_check(summaries: DataFrame, expectations: DataFrame) -> DataFrame:
