@@ -613,3 +613,46 @@ def registry_reconcile(spark, sf):
 )
 def batch_plan_query(spark, sf):
     return batch_plan(R.blobs(spark, sf).drop("empty_file"))
+
+
+# ---- scalar surface -------------------------------------------------------------------------------------
+
+
+@query(
+    "scalar_numbers",
+    f"""SELECT file_id, CAST(greatest(3.0, least(80.0, size / 65536.0)) AS DOUBLE) AS clamped,
+      greatest(1, CAST(floor(file_id * 12700 / 7.0 + 0.5) AS BIGINT)) AS emus, greatest(1440, least(31680, CAST(floor(file_id * 20 + 0.5) AS BIGINT))) AS twips,
+      round(file_id * 31 / 12700.0, 6) AS points, file_id % 4 IN (0, 1, 2) AS flag, CASE WHEN file_id % 3 = 0 THEN CAST(file_id AS DOUBLE) ELSE 7.0 END AS finite FROM ({R.FILES_DUCK})""",
+)
+def scalar_numbers(spark, sf):
+    fid = F.col("file_id")
+    flag = F.when(fid % 4 == 0, "1").when(fid % 4 == 1, "true").when(fid % 4 == 2, "on").otherwise("off")
+    text = F.when(fid % 3 == 0, fid.cast("string")).when(fid % 3 == 1, "x1").otherwise("Infinity")
+    return R.files(spark, sf).select(
+        "file_id",
+        X.clamp(F.col("size") / 65536, 3, 80, 10).alias("clamped"),
+        X.points_to_emu(fid / 7).alias("emus"),
+        X.points_to_twips(fid).alias("twips"),
+        F.round(X.emu_to_points((fid * 31).cast("string")), 6).alias("points"),
+        X.to_flag(flag).alias("flag"),
+        X.finite_or(text, 7).alias("finite"),
+    )
+
+
+@query(
+    "scalar_binary",
+    f"""SELECT file_id, CASE WHEN file_id % 3 = 0 THEN upper(substr(md5(text), 1, 6)) ELSE '111827' END AS colour, octet_length(content) AS bytes,
+      CASE WHEN octet_length(content) >= 2 THEN CAST('0x' || substr(hex(content), 1, 4) AS BIGINT) END AS u16, md5(text) AS round_trip
+    FROM (SELECT doc_id AS file_id, text, encode(text) AS content FROM documents)""",
+)
+def scalar_binary(spark, sf):
+    content = F.encode("text", "UTF-8")
+    digest = F.md5(content)
+    colour = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("#"), F.substring(digest, 1, 6))).otherwise("rgb(1,2,3)")
+    return table(spark, sf, "documents").select(
+        F.col("doc_id").alias("file_id"),
+        X.hex_colour(colour).alias("colour"),
+        F.octet_length(content).cast("long").alias("bytes"),
+        F.when(F.octet_length(content) >= 2, I.big_endian(content, 0, 2)).alias("u16"),
+        F.md5(F.unbase64(F.base64(content))).alias("round_trip"),
+    )

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from ..functions.text import escape_xml
 from ..operators import archive as A
 from ..plans.intake import batch_plan
+from ..plans.workbook import workbook_cells
 from ..session import checkpoint_dir
 from ..sources import files as S
 from ..sources import office as O
 from ..sources import sinks as K
 from ..sources.archive import scan_archive_entries, scan_archive_parts
 from . import recipes as R
-from .packages import PARTS, SHAPES, TEXT_PART, packages
+from .packages import PARTS, SHAPES, TEXT_PART, pack_workbook, packages
 from .registry import query, table, wide_table
 
 # Expected parts per shape, as rows.
@@ -292,3 +293,47 @@ def write_report(spark, sf):
     path = f"{checkpoint_dir(spark)}/report-{uuid.uuid4().hex}"
     strict = K.write_report(results, path, "2026-01-01T00:00:00Z")
     return spark.read.schema("doc long, ok boolean, generated_at string").json(path).withColumn("strict", F.lit(strict))
+
+
+# ---- whole workbooks: text lines → worksheet → package → cells -------------------------------------
+
+
+def _workbooks(spark, sf):
+    def row(line, i):
+        n = (i + 1).cast("string")
+        return F.concat(
+            F.lit('<row r="'), n, F.lit('"><c r="A'), n, F.lit('" s="1"><v>'), (F.length(line) + 40_000).cast("string"),
+            F.lit('</v></c><c r="B'), n, F.lit('" t="inlineStr"><is><t>'), escape_xml(line), F.lit('</t></is></c><c r="C'), n,
+            F.lit('" t="s"><v>'), n, F.lit('</v></c><c r="D'), n, F.lit('" t="b"><v>1</v></c></row>'),
+        )
+
+    ext = F.when(F.col("doc_id") % 50 == 0, '<row r="999"><c r="A999"><f>[1]Other!A1</f><v>1</v></c></row>').otherwise("")
+    xml = F.concat(
+        F.lit('<worksheet xmlns="urn:s"><sheetData>'), F.array_join(F.transform(_lines(), row), ""), ext, F.lit("</sheetData></worksheet>")
+    )
+    docs = wide_table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), xml.alias("xml"))
+    return docs.select("file_id", pack_workbook("xml").alias("content"))
+
+
+_WB_LINES = f"""SELECT doc_id, l, i FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i
+  FROM documents WHERE NOT {_PUBLIC} AND doc_id % 50 <> 0)"""
+
+
+@query(
+    "workbook_cells",
+    f"""SELECT doc_id AS file_id, i - 1 AS row, c AS col, CASE c WHEN 0 THEN 'double' WHEN 3 THEN 'bool' ELSE 'string' END AS value_type, CASE WHEN c = 0 THEN 'center' END AS align, c > 0 AS bold,
+      CASE c WHEN 0 THEN strftime(DATE '1899-12-30' + CAST(length(l) + 40000 AS INT), '%Y-%m-%d') WHEN 1 THEN trim(l) WHEN 2 THEN CASE i WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE '' END ELSE 'true' END AS shown
+    FROM (SELECT *, unnest([0, 1, 2, 3]) AS c FROM ({_WB_LINES}))""",
+)
+def workbook_cells_query(spark, sf):
+    cells, _ = workbook_cells(_workbooks(spark, sf))
+    return cells.select("file_id", "row", "col", "value_type", "align", "bold", "shown")
+
+
+@query(
+    "workbook_refusals",
+    f"SELECT doc_id AS file_id, CASE WHEN {_PUBLIC} THEN 'dtd-or-entity' ELSE 'external-formula' END AS problem FROM documents WHERE {_PUBLIC} OR doc_id % 50 = 0",
+)
+def workbook_refusals(spark, sf):
+    _, refused = workbook_cells(_workbooks(spark, sf))
+    return refused

@@ -75,3 +75,25 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pack("doc_id", "text").alias("content"),
     )
     return docs.withColumn("size", F.octet_length("content").cast("long"))
+
+
+WORKBOOK_PARTS = {
+    "[Content_Types].xml": TYPES.format("sheets"),
+    "xl/workbook.xml": '<workbook xmlns="urn:s" xmlns:r="urn:r"><sheets><sheet name="Lines" sheetId="1" r:id="rId7"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": '<Relationships xmlns="urn:p"><Relationship Id="rId7" Type="t/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+    "xl/sharedStrings.xml": '<sst xmlns="urn:s"><si><t>zero</t></si><si><r><t>o</t></r><r><t>ne</t></r></si><si><t>two</t></si></sst>',
+    "xl/styles.xml": '<styleSheet xmlns="urn:s"><numFmts><numFmt numFmtId="165" formatCode="yyyy-mm-dd"/></numFmts><fonts><font><b/></font><font><i/></font></fonts>'
+    '<fills><fill/></fills><cellXfs><xf numFmtId="0"/><xf numFmtId="165" fontId="1"><alignment horizontal="center"/></xf></cellXfs></styleSheet>',
+}
+
+
+@F.arrow_udf(returnType=T.BinaryType())
+def pack_workbook(sheet_xml: pa.Array) -> pa.Array:
+    packed = []
+    for sheet in sheet_xml.to_pylist():
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED) as archive:
+            for path, body in {**WORKBOOK_PARTS, "xl/worksheets/sheet1.xml": sheet}.items():
+                archive.writestr(zipfile.ZipInfo(path, (1980, 1, 1, 0, 0, 0)), body)
+        packed.append(buffer.getvalue())
+    return pa.array(packed, type=pa.binary())

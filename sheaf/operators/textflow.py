@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.links import safe_extracted_link
-from ..functions.text import WS_CLASS, clean_trim, collapse_spaces, is_blank
+from ..functions.text import WS_CLASS, clean_trim, collapse_spaces, is_blank, solid
 
 PAGE = ["doc", "page"]
 LINE = ["doc", "page", "line_no"]
@@ -32,16 +32,30 @@ def _tolerance(size: Column) -> Column:
     return F.greatest(F.lit(LEAST_TOLERANCE), size * SHARE)
 
 
-def group_lines(items: DataFrame) -> DataFrame:
+def page_heights(items: DataFrame) -> DataFrame:
+    """doc, page, y, size, chars: what lies at each height of a page.
+
+    ``size`` is the smallest type size of a readable item (null if there is none),
+    ``chars`` the characters that are not white space.
+    """
+    size = F.greatest(F.lit(1.0), F.abs(F.coalesce("font_size", F.lit(DEFAULT_SIZE))))
+    return items.groupBy(*PAGE, "y").agg(
+        F.min(F.when(~is_blank(F.col("str")), size)).alias("size"), F.sum(F.length(solid(F.col("str")))).alias("chars")
+    )
+
+
+def group_lines(items: DataFrame, heights: DataFrame | None = None) -> DataFrame:
     """Adds line_no and line_y: the first line, top to bottom, close enough to the item.
 
     A new line starts where some item finds none near enough, and among items of
     one height the smallest one is the first to miss.  So the fold that finds the
     lines of a page runs over its distinct heights, combined before the shuffle;
-    the items then look their line up.
+    the items then look their line up.  ``heights`` may be handed in, cut down to
+    the documents wanted; items of other pages are dropped.
     """
     placed = placed_items(items)
-    heights = placed.groupBy(*PAGE, "y").agg(F.min("font_size").alias("size"))
+    heights = page_heights(items) if heights is None else heights
+    heights = heights.where(F.col("size").isNotNull())
     ordered = heights.groupBy(*PAGE).agg(
         F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("up"), "size"))).alias("heights")
     )

@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.text import clean_trim, solid
+from ..functions.text import clean_trim
 from ..operators import textflow as T
 
 
-def document_limits(items: DataFrame) -> DataFrame:
+def document_limits(heights: DataFrame) -> DataFrame:
     """doc, error_code: rules that can be told from totals alone.
 
     Every character that is not white space reaches the output, so a document
     over the text cap by those alone is over it for sure.  Such documents never
     enter the grouped steps, which bounds every group behind.
     """
-    totals = items.groupBy("doc").agg(F.max("page").alias("pages"), F.sum(F.length(solid(F.col("str")))).alias("chars"))
+    totals = heights.groupBy("doc").agg(F.max("page").alias("pages"), F.sum("chars").alias("chars"))
     return totals.select(
         "doc",
         F.when(F.col("pages") > dims.MAX_TEXT_PAGES, "too-many-pages")
@@ -27,18 +27,22 @@ def document_limits(items: DataFrame) -> DataFrame:
     )
 
 
-def page_lines(items: DataFrame, annotations: DataFrame) -> DataFrame:
+def page_lines(items: DataFrame, annotations: DataFrame, heights: DataFrame | None = None) -> DataFrame:
     """Lines of every page with links, gaps and heading levels."""
-    lines = T.line_gaps(T.join_items(T.group_lines(items)))
+    lines = T.line_gaps(T.join_items(T.group_lines(items, heights)))
     return T.heading_level(T.recover_links(lines, annotations))
 
 
 def document_markdown(items: DataFrame, annotations: DataFrame) -> DataFrame:
-    """doc, markdown, error_code; exactly one of the last two is set."""
-    limits = document_limits(items)
+    """doc, markdown, error_code; exactly one of the last two is set.
+
+    Limits and line heights come from one aggregation of the items.
+    """
+    heights = T.page_heights(items)
+    limits = document_limits(heights)
     good = limits.where(F.col("error_code").isNull()).select("doc")
-    items = items.join(good, "doc", "left_semi")
-    pages = T.page_markdown(T.paragraphs(page_lines(items, annotations))).where(F.col("text") != "")
+    lines = page_lines(items, annotations, heights.join(good, "doc", "left_semi"))
+    pages = T.page_markdown(T.paragraphs(lines)).where(F.col("text") != "")
     docs = pages.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("pages"))
     text = F.array_join(F.transform("pages", lambda p: p["text"]), "\n\n")
     built = docs.select("doc", clean_trim(text).alias("text"), F.length(text).alias("chars"))

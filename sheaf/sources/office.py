@@ -46,6 +46,8 @@ def xml_guard(text: Column) -> Column:
     )
 
 
+NO_NS = {"ignoreNamespace": "true"}
+
 # ---- worksheets ---------------------------------------------------------------------------
 
 SHEET_SCHEMA = """struct<
@@ -57,7 +59,7 @@ SHEET_SCHEMA = """struct<
 
 def _sheet(parts: DataFrame) -> DataFrame:
     """``parts``: file_id, sheet_ord, xml (guarded)."""
-    return parts.select("file_id", "sheet_ord", F.from_xml("xml", SHEET_SCHEMA, {"ignoreNamespace": "true"}).alias("x"))
+    return parts.select("file_id", "sheet_ord", F.from_xml("xml", SHEET_SCHEMA, NO_NS).alias("x"))
 
 
 def scan_sheet_cells(parts: DataFrame) -> DataFrame:
@@ -116,7 +118,7 @@ RELS_SCHEMA = "struct<Relationship: array<struct<_Id: string, _Type: string, _Ta
 def scan_relationships(parts: DataFrame) -> DataFrame:
     """``parts``: file_id, source_part, xml → one row per relationship."""
     rels = parts.select(
-        "file_id", "source_part", F.explode_outer(F.from_xml("xml", RELS_SCHEMA, {"ignoreNamespace": "true"})["Relationship"]).alias("r")
+        "file_id", "source_part", F.explode_outer(F.from_xml("xml", RELS_SCHEMA, NO_NS)["Relationship"]).alias("r")
     ).where(F.col("r").isNotNull())
     return rels.select(
         "file_id",
@@ -241,3 +243,68 @@ def scan_slide_items(parts: DataFrame) -> DataFrame:
     return read.select(
         "doc", "scene", F.coalesce("refused", "s.error").alias("error"), F.explode_outer("s.items").alias("i")
     ).select("doc", "scene", "error", "i.*")
+
+
+# ---- workbook, strings, styles -------------------------------------------------------------------
+
+def _list(parts: DataFrame, schema: str, path: str) -> DataFrame:
+    """Members of a repeated element with their position."""
+    column = F.from_xml("xml", schema, NO_NS)
+    for name in path.split("."):
+        column = column[name]
+    return parts.select("file_id", F.posexplode_outer(column).alias("idx", "e")).where(F.col("idx").isNotNull())
+
+
+def scan_workbook_sheets(parts: DataFrame) -> DataFrame:
+    """file_id, sheet_ord, name, rel_id in workbook order."""
+    rows = _list(parts, "struct<sheets: struct<sheet: array<struct<_name: string, _id: string>>>>", "sheets.sheet")
+    return rows.select("file_id", F.col("idx").alias("sheet_ord"), F.col("e._name").alias("name"), F.col("e._id").alias("rel_id"))
+
+
+def scan_shared_strings(parts: DataFrame) -> DataFrame:
+    rows = _list(parts, "struct<si: array<struct<t: string, r: array<struct<t: string>>>>>", "si")
+    text = F.concat(F.coalesce("e.t", F.lit("")), F.coalesce(F.array_join(F.transform("e.r", lambda r: r["t"]), ""), F.lit("")))
+    return rows.select("file_id", "idx", text.alias("text"))
+
+
+def scan_styles(parts: DataFrame) -> DataFrame:
+    xf = "struct<_fontId: string, _fillId: string, _numFmtId: string, alignment: struct<_horizontal: string>>"
+    rows = _list(parts, f"struct<cellXfs: struct<xf: array<{xf}>>>", "cellXfs.xf")
+
+    def number(name: str) -> Column:
+        return F.coalesce(F.col(f"e.{name}").try_cast("long"), F.lit(0).cast("long"))
+
+    return rows.select(
+        "file_id",
+        "idx",
+        number("_fontId").alias("font_id"),
+        number("_fillId").alias("fill_id"),
+        number("_numFmtId").alias("num_fmt_id"),
+        F.col("e.alignment._horizontal").alias("align"),
+    )
+
+
+def _colour(value: Column) -> Column:
+    raw = F.regexp_replace(value, "^#", "")
+    return F.when(raw.rlike(r"(?i)^[0-9a-f]{6}\z"), F.concat(F.lit("#"), raw))
+
+
+def scan_fonts(parts: DataFrame) -> DataFrame:
+    font = "struct<b: string, i: string, u: string, color: struct<_rgb: string>>"
+    rows = _list(parts, f"struct<fonts: struct<font: array<{font}>>>", "fonts.font")
+    return rows.select(
+        "file_id", "idx", F.col("e.b").isNotNull().alias("bold"), F.col("e.i").isNotNull().alias("italic"), _colour(F.col("e.color._rgb")).alias("color")
+    )
+
+
+def scan_fills(parts: DataFrame) -> DataFrame:
+    fill = "struct<patternFill: struct<fgColor: struct<_rgb: string>>>"
+    rows = _list(parts, f"struct<fills: struct<fill: array<{fill}>>>", "fills.fill")
+    return rows.select("file_id", "idx", _colour(F.col("e.patternFill.fgColor._rgb")).alias("fill"))
+
+
+def scan_number_formats(parts: DataFrame) -> DataFrame:
+    rows = _list(parts, "struct<numFmts: struct<numFmt: array<struct<_numFmtId: string, _formatCode: string>>>>", "numFmts.numFmt")
+    return rows.select(
+        "file_id", F.coalesce(F.col("e._numFmtId").try_cast("long"), F.lit(0).cast("long")).alias("num_fmt_id"), F.coalesce("e._formatCode", F.lit("")).alias("code")
+    )

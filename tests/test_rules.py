@@ -231,3 +231,27 @@ def test_hex_and_units(spark):
     assert column(spark, ["#a1B2c3", "red", None], X.hex_colour) == ["A1B2C3", "111827", "111827"]
     assert column(spark, [1.0, 100.0, 5000.0], X.points_to_twips, "double") == [1440, 2000, 31680]
     assert column(spark, ["12700", "x", "-5"], X.emu_to_points) == [1.0, 0.0, 0.0]
+
+
+def test_document_limits(spark):
+    from sheaf.plans.document_text import document_markdown
+
+    schema = "doc long, page long, ord long, str string, x double, y double, width double, font_size double"
+    items = [
+        (1, 1, 0, "Title", 0.0, 700.0, 30.0, 24.0),
+        (1, 1, 1, "one two", 0.0, 650.0, 40.0, 12.0),
+        (1, 1, 2, "three", 0.0, 636.0, 30.0, 12.0),
+        (1, 2, 3, "• item", 0.0, 700.0, 30.0, 12.0),
+        (1, 2, 4, "next", 0.0, 600.0, 30.0, 12.0),
+        (2, 1, 0, "  ", 0.0, 0.0, 1.0, 12.0),
+        (3, 301, 0, "x", 0.0, 0.0, 1.0, 12.0),
+        (4, 1, 0, "y" * (5 * 1024 * 1024 + 1), 0.0, 0.0, 1.0, 12.0),
+    ]
+    notes = spark.createDataFrame([], "doc long, page long, ord long, url string, y1 double, y2 double")
+    out = {r.doc: (r.markdown, r.error_code) for r in document_markdown(spark.createDataFrame(items, schema), notes).collect()}
+    assert out == {
+        1: ("# Title\none two three\n\n- item\nnext\n", None),
+        2: (None, "scanned"),
+        3: (None, "too-many-pages"),
+        4: (None, "too-much-text"),
+    }
