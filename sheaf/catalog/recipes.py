@@ -104,7 +104,7 @@ def range_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- D4: a page table -------------------------------------------------------------
 
 PAGE_TABLE = """SELECT l_orderkey AS doc, CAST(l_linenumber AS BIGINT) AS page, l_orderkey % 50 AS batch_id,
-  max(l_returnflag) = 'R' AS selected, 90 * (min(l_suppkey) % 4) AS rotation,
+  max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 1 AS selected, 90 * (min(l_suppkey) % 4) AS rotation,
   CAST(min(l_quantity) * 20 AS DOUBLE) AS width, CAST(max(l_quantity) * 20 AS DOUBLE) AS height
   FROM <lineitem> GROUP BY l_orderkey, l_linenumber"""
 PAGE_TABLE_DUCK = duck(PAGE_TABLE)
@@ -254,7 +254,7 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SHEET_ROWS = """SELECT l_orderkey AS file_id, CAST(0 AS BIGINT) AS sheet_ord, CAST(l_linenumber AS BIGINT) AS rown, min(l_suppkey) AS sk,
   min(l_partkey) AS pk, CAST(min(l_quantity) AS BIGINT) AS q, CAST(floor(min(l_extendedprice)) AS BIGINT) AS price,
-  min(l_returnflag) AS flag, min(l_linestatus) AS stat FROM <lineitem> GROUP BY l_orderkey, l_linenumber"""
+  chr(min(ascii(l_returnflag))) AS flag, chr(min(ascii(l_linestatus))) AS stat FROM <lineitem> GROUP BY l_orderkey, l_linenumber"""
 SHEET_ROWS_DUCK = duck(SHEET_ROWS)
 
 # col, type, value, formula, style

@@ -37,7 +37,7 @@ def rolling_admission_query(spark, sf):
 def _stream(spark, sf, name):
     """The files of one table as a stream."""
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 64).parquet(sf)
 
 
 @query("stream_admission", _ADMISSION_DUCK)

@@ -242,7 +242,8 @@ def unique_sheet_names(sheets: DataFrame) -> DataFrame:
     """Sheet names fit for a workbook: cleaned, 31 characters, made unique in order.
 
     ``sheets``: file_id, ord (from 0), name.  A suffix may meet a later literal
-    name, so this is a fold over the names of a workbook.
+    name, so this is a fold over the names of a workbook, which the readers hold
+    to 100 sheets (200 scenes).
     """
     fallback = F.concat(F.lit("Sheet "), (F.col("ord") + 1).cast("string"))
     given = F.coalesce(F.nullif(F.col("name"), F.lit("")), fallback)

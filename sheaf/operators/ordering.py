@@ -11,9 +11,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 BLOCK = 1 << 16
 
 
+def kept_counts(counts: DataFrame) -> DataFrame:
+    """Block counts in the checkpoint folder: the big side is read once for them,
+    and a lost executor does not start the count over."""
+    checkpoint_dir(counts.sparkSession)
+    return counts.checkpoint()
+
+
 def block_of(order: str, block: int = BLOCK) -> Column:
     return F.floor(F.col(order) / block).cast("long")
 
@@ -40,7 +49,7 @@ def exclusive_sum(
 def rank_in_group(rows: DataFrame, group: list[str], order: str, out: str, block: int = BLOCK, ties: list[str] | None = None) -> DataFrame:
     """``row_number`` by ``order`` (an integer column) per group."""
     blocked = rows.withColumn("_block", block_of(order, block))
-    counts = blocked.groupBy(*group, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    counts = kept_counts(blocked.groupBy(*group, "_block").agg(F.count(F.lit(1)).alias("_n")))
     starts = exclusive_sum(counts, group, "_block", "_n", "_start", block).select(*group, "_block", "_start")
     inside = Window.partitionBy(*group, "_block").orderBy(order, *(ties or []))
     return (

@@ -228,8 +228,9 @@ def merge_span(merges: DataFrame, col_widths: DataFrame, row_heights: DataFrame,
 # ---- page plans -----------------------------------------------------------------------------
 
 
-def _entries(rows: DataFrame, key: str, value: str, out: str) -> DataFrame:
+def _entries(rows: DataFrame, key: str, value: str, most: int, out: str) -> DataFrame:
     """Explicit sizes of each sheet in order of their index (one row per index)."""
+    rows = rows.where(F.col(key) < most)
     pair = F.struct(F.col(key).cast("int").alias("at"), F.col(value).cast("double").alias("size"))
     return rows.where(F.col(value).isNotNull()).groupBy(*SHEET).agg(F.array_sort(F.collect_list(pair)).alias(out))
 
@@ -250,8 +251,8 @@ def _dense(found: Column, count: Column, default: float) -> Column:
 def sheet_layout(sizes: DataFrame, col_widths: DataFrame, row_heights: DataFrame) -> DataFrame:
     """One row per sheet: column widths, row heights, page orientation."""
     joined = (
-        sizes.join(_entries(col_widths, "col", "width", "_w"), SHEET, "left")
-        .join(_entries(row_heights, "row", "height", "_h"), SHEET, "left")
+        sizes.join(_entries(col_widths, "col", "width", dims.MAX_SHEET_COLUMNS, "_w"), SHEET, "left")
+        .join(_entries(row_heights, "row", "height", dims.MAX_SHEET_ROWS, "_h"), SHEET, "left")
         .withColumn("rows", F.least(F.col("rows"), F.lit(dims.MAX_SHEET_ROWS)).cast("int"))
         .withColumn("cols", F.least(F.col("cols"), F.lit(dims.MAX_SHEET_COLUMNS)).cast("int"))
     )

@@ -41,6 +41,7 @@ def document_markdown(items: DataFrame, annotations: DataFrame) -> DataFrame:
     heights = T.page_heights(items)
     limits = document_limits(heights)
     good = limits.where(F.col("error_code").isNull()).select("doc")
+    annotations = annotations.join(good, "doc", "left_semi")
     lines = page_lines(items, annotations, heights.join(good, "doc", "left_semi"))
     pages = T.page_markdown(T.paragraphs(lines)).where(F.col("text") != "")
     docs = pages.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("pages"))

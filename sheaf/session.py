@@ -14,7 +14,7 @@ SQL_SETTINGS = {
     # Folds and regular expressions are heavy per byte: allow small partitions.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB",
     # Ordered lists are built per line, page, sheet: many small groups per task.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000",
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "1024",
     # One hot key may hold a third of a join side; let AQE cut its reduce
     # partition up by map output, also where that costs one more exchange.
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -20,6 +20,8 @@ class RollingAdmission(StatefulProcessor):
 
     A timer one window after the newest stamp clears a key that went quiet.
     Rows older than the watermark are dropped by the engine, which counts them.
+    The rows of one key in one micro-batch are sorted here; the size of a
+    micro-batch is set at the source (``maxFilesPerTrigger``, offsets).
     """
 
     def __init__(self, limit: int, width: int):
