@@ -49,7 +49,7 @@ def stream_admission_query(spark, sf):
 @query("stream_dedup", "SELECT DISTINCT sha256(text) AS digest FROM documents")
 def stream_dedup_query(spark, sf):
     docs = _stream(spark, sf, "documents").select(
-        F.sha2(F.encode("text", "UTF-8"), 256).alias("digest"), F.timestamp_seconds(F.col("doc_id")).alias("ts")
+        F.sha2(F.encode("text", "UTF-8"), 256).alias("digest"), F.timestamp_seconds(F.col("doc_id") + 86_400).alias("ts")
     )
     return run_available(stream_dedup(docs, horizon="30 days"), "dedup").select("digest")
 
