@@ -176,8 +176,8 @@ def _lines():
 
 @query(
     "scan_sheet_cells",
-    """SELECT doc_id AS file_id, i - 1 AS row, c AS col, CASE c WHEN 0 THEN CAST(NULL AS VARCHAR) WHEN 1 THEN 'inlineStr' ELSE 's' END AS t,
-      CASE c WHEN 0 THEN CAST(length(l) AS VARCHAR) WHEN 1 THEN trim(l) ELSE CAST(i AS VARCHAR) END AS v, CASE WHEN c = 0 THEN 'SUM(A1:A' || i || ')' END AS f, CASE WHEN c = 2 THEN 3 ELSE 0 END AS style_idx
+    """SELECT doc_id AS file_id, i - 1 AS row, CAST(c AS BIGINT) AS col, CASE c WHEN 0 THEN CAST(NULL AS VARCHAR) WHEN 1 THEN 'inlineStr' ELSE 's' END AS t,
+      CASE c WHEN 0 THEN CAST(length(l) AS VARCHAR) WHEN 1 THEN trim(l) ELSE CAST(i AS VARCHAR) END AS v, CASE WHEN c = 0 THEN 'SUM(A1:A' || i || ')' END AS f, CAST(CASE WHEN c = 2 THEN 3 ELSE 0 END AS BIGINT) AS style_idx
     FROM (SELECT doc_id, l, i, unnest([0, 1, 2]) AS c FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents))""",
 )
 def scan_sheet_cells(spark, sf):
@@ -260,7 +260,7 @@ def scan_files(spark, sf):
 
 @query(
     "scan_manifest",
-    """SELECT source AS corpus, CASE WHEN length(source) % 2 = 0 THEN lang ELSE lang || ' kind' END AS kind, 'f' || doc_id || '.bin' AS name, lang || '/f' || doc_id || '.bin' AS path, n_chars AS bytes, 2 AS features FROM documents""",
+    """SELECT source AS corpus, CASE WHEN length(source) % 2 = 0 THEN lang ELSE lang || ' kind' END AS kind, 'f' || doc_id || '.bin' AS name, lang || '/f' || doc_id || '.bin' AS path, n_chars AS bytes, CAST(2 AS BIGINT) AS features FROM documents""",
 )
 def scan_manifest(spark, sf):
     docs = table(spark, sf, "documents")
@@ -321,7 +321,7 @@ _WB_LINES = f"""SELECT doc_id, l, i FROM (SELECT doc_id, unnest(string_split(tex
 
 @query(
     "workbook_cells",
-    f"""SELECT doc_id AS file_id, i - 1 AS row, c AS col, CASE c WHEN 0 THEN 'double' WHEN 3 THEN 'bool' ELSE 'string' END AS value_type, CASE WHEN c = 0 THEN 'center' END AS align, c > 0 AS bold,
+    f"""SELECT doc_id AS file_id, i - 1 AS row, CAST(c AS BIGINT) AS col, CASE c WHEN 0 THEN 'double' WHEN 3 THEN 'bool' ELSE 'string' END AS value_type, CASE WHEN c = 0 THEN 'center' END AS align, c > 0 AS bold,
       CASE c WHEN 0 THEN strftime(DATE '1899-12-30' + CAST(length(l) + 40000 AS INT), '%Y-%m-%d') WHEN 1 THEN trim(l) WHEN 2 THEN CASE i WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE '' END ELSE 'true' END AS shown
     FROM (SELECT *, unnest([0, 1, 2, 3]) AS c FROM ({_WB_LINES}))""",
 )

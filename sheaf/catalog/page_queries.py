@@ -146,7 +146,7 @@ def natural_page_sort(spark, sf):
 
 @query(
     "page_caps",
-    f"""SELECT batch_id, page, n AS pages, target, cap FROM (SELECT batch_id, page, count(*) AS n FROM ({PT}) GROUP BY batch_id, page),
+    f"""SELECT batch_id, page, n AS pages, target, CAST(cap AS BIGINT) AS cap FROM (SELECT batch_id, page, count(*) AS n FROM ({PT}) GROUP BY batch_id, page),
       (VALUES ('jpg', 100), ('text', 300), ('markdown', 100), ('docx', 200), ('slides', 200), ('sheets', 100), ('rows', 10000)) AS c(target, cap) WHERE n > cap""",
 )
 def page_caps(spark, sf):
@@ -210,7 +210,7 @@ def upper_median(spark, sf):
     return O.upper_median(items, ["doc", "page"], "v")
 
 
-@query("heading_level", f"SELECT doc, page, seq, body_size, level FROM ({LEVELS_DUCK})")
+@query("heading_level", f"SELECT doc, page, seq, body_size, CAST(level AS BIGINT) AS level FROM ({LEVELS_DUCK})")
 def heading_level(spark, sf):
     lines = page_lines(R.text_items(spark, sf), R.annotations(spark, sf))
     return lines.select("doc", "page", F.col("seq").cast("long").alias("seq"), "body_size", F.col("level").cast("long").alias("level"))
@@ -224,7 +224,7 @@ def paragraphs(spark, sf):
 
 @query(
     "doc_markdown",
-    f"""SELECT doc, string_agg(text, chr(10) || chr(10) ORDER BY page) || chr(10) AS markdown, NULL AS error_code FROM
+    f"""SELECT doc, string_agg(text, chr(10) || chr(10) ORDER BY page) || chr(10) AS markdown, CAST(NULL AS VARCHAR) AS error_code FROM
       (SELECT doc, page, string_agg(text, chr(10) ORDER BY block) AS text FROM ({PARAGRAPHS_DUCK}) GROUP BY doc, page) GROUP BY doc""",
 )
 def doc_markdown(spark, sf):

@@ -214,7 +214,7 @@ _ITEM_STR = """CASE WHEN (word + line) % 17 = 9 THEN ' ' ELSE
   CASE WHEN word = 0 AND line % 9 = 4 THEN '• ' WHEN word = 0 AND line % 9 = 5 THEN '3) ' WHEN (word + doc) % 29 = 7 THEN ', ' ELSE '' END
   || s || CASE WHEN (word + doc) % 29 = 11 THEN '(' ELSE '' END END"""
 _LINE_Y = "CAST(800 - 20 * (line % 30) - 15 * floor((line % 30) / 6) AS DOUBLE)"
-_ITEMS = f"""SELECT doc, page, line, line * 100000 + word AS ord, str, CAST(40 * word AS DOUBLE) AS x, {_LINE_Y} AS y,
+_ITEMS = f"""SELECT doc, page, line, CAST(line AS BIGINT) * 100000 + word AS ord, str, CAST(40 * word AS DOUBLE) AS x, {_LINE_Y} AS y,
   CAST(least(39, 5 * length(str)) AS DOUBLE) AS width, CAST(CASE WHEN line = 0 AND doc % 2 = 0 THEN 20 WHEN line % 13 = 7 THEN 18 ELSE 12 END AS DOUBLE) AS font_size
   FROM (SELECT doc, CAST(floor(line / 30) AS BIGINT) + 1 AS page, line, word, {_ITEM_STR} AS str FROM (<<words>>) AS w) AS i"""
 TEXT_ITEMS = _ITEMS.replace(
@@ -227,7 +227,7 @@ TEXT_ITEMS_DUCK = _ITEMS.replace(
     """SELECT doc, line, unnest(generate_series(0, len(string_split(t, ' ')) - 1)) AS word, unnest(string_split(t, ' ')) AS s FROM
     (SELECT doc_id AS doc, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS line, unnest(string_split(text, chr(10))) AS t FROM documents)""",
 )
-_NOTES = f"""SELECT doc, CAST(floor(line / 30) AS BIGINT) + 1 AS page, line * 10 + k AS ord, {_LINE_Y} - 2 AS y1, {_LINE_Y} + 2 AS y2,
+_NOTES = f"""SELECT doc, CAST(floor(line / 30) AS BIGINT) + 1 AS page, CAST(line AS BIGINT) * 10 + k AS ord, {_LINE_Y} - 2 AS y1, {_LINE_Y} + 2 AS y2,
   CASE (doc + k) % 5 WHEN 0 THEN 'https://e.example/' || CAST(doc AS STRING) WHEN 1 THEN 'mailto:a@e.example' WHEN 2 THEN 'javascript:x'
     WHEN 3 THEN ' http://e.example/x ' ELSE 'https://e.example/' || CAST(doc AS STRING) END AS url
   FROM (<<lines>>) AS l WHERE line % 3 = 0"""
