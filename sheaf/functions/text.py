@@ -10,7 +10,6 @@ WS = r"\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3
 # The same set as plain characters, for trimming without a regex.
 WS_CHARS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 WS_CLASS = f"[{WS}]"
-NOT_WS_CLASS = f"[^{WS}]"
 
 
 def clean_trim(col: Column) -> Column:

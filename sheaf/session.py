@@ -49,7 +49,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a scratch folder only in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        spark.sparkContext.setCheckpointDir(named)
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(named)
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
