@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +104,17 @@ def op8_similarity_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .similarity_sketch import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    done = remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("rest")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("rest", 256).alias("kept_sha256"),
+    )
