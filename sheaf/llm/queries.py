@@ -118,3 +118,50 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("rest", 256).alias("kept_sha256"),
     )
+
+
+SIZES_SQL = rf"""
+SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, coalesce(text, '') AS text FROM documents
+"""
+
+MIX_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, size,
+    -ln(1.0::DOUBLE - u) / CASE WHEN length(text) = 0 THEN 1.0 ELSE greatest(length(translate(text, '#*$%&|<>{{}}[]\^~_=+@!', ''))::DOUBLE / length(text), 0.05) END AS key
+  FROM (SELECT *, ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / (1::BIGINT << 52)::DOUBLE AS u FROM ({SIZES_SQL}))
+), s AS (
+  SELECT *, (ARRAY[5.0, 2.0, 1.0])[(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight
+  FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source)
+), lv AS (
+  SELECT *, source_size * 3 / weight AS level FROM s
+), sh AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(source_size * 3) OVER (ORDER BY level, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY level, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM lv
+), t AS (
+  SELECT source, source_size, least(source_size * 3, weight * coalesce(min(CASE WHEN share < level THEN share END) OVER (), level))::DOUBLE AS target FROM sh
+), e AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END AS epochs FROM t
+), p AS (
+  SELECT d.doc_id, d.size, e.source_size, e.target, e.epochs, target - epochs * source_size AS part,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY key, d.doc_id::VARCHAR, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
+)
+SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN before < part AND before + size / 2.0 <= part THEN 1 ELSE 0 END))::BIGINT AS taken FROM p
+"""
+
+
+@query("op7_weighted_mixing", MIX_SQL)
+def op7_weighted_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .weighted_mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op9_hypergeometric_shuffle")
+def op9_hypergeometric_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hypergeometric_shuffle import shuffle_into
+
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    placed = shuffle_into(rows, 8, ["doc_id", "size", "text_crc32"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
