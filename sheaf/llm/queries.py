@@ -165,3 +165,17 @@ def op9_hypergeometric_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     placed = shuffle_into(rows, 8, ["doc_id", "size", "text_crc32"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op2_best_fit_packing")
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .best_fit_packing import pack, pieces
+
+    cut = pieces(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pack(cut, ["doc_id", "piece", "ids_crc32"])
