@@ -136,9 +136,10 @@ WITH d AS (
   SELECT *, source_size * 3 / weight AS level FROM s
 ), sh AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(source_size * 3) OVER (ORDER BY level, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-    / sum(weight) OVER (ORDER BY level, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM lv
+    / sum(weight) OVER (ORDER BY level, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share,
+    row_number() OVER (ORDER BY level, encode(source) NULLS LAST) AS turn FROM lv
 ), t AS (
-  SELECT source, source_size, least(source_size * 3, weight * coalesce(min(CASE WHEN share < level THEN share END) OVER (), level))::DOUBLE AS target FROM sh
+  SELECT source, source_size, least(source_size * 3, weight * coalesce((SELECT arg_min(share, turn) FROM sh WHERE share < level), level))::DOUBLE AS target FROM sh
 ), e AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END AS epochs FROM t
 ), p AS (

@@ -54,10 +54,12 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     full = F.coalesce(F.sum(F.col("source_size") * most).over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rest = F.sum("weight").over(by_level.rowsBetween(0, Window.unboundedFollowing))
     known = known.withColumn("_share", (F.sum("source_size").over(everything) - full) / rest)
-    # The level of the first source that is not filled, if any.
-    known = known.withColumn("_last", F.min(F.when(F.col("_share") < F.col("_level"), F.col("_share"))).over(everything))
+    # The level of the first source, in this order, that is not filled, if any.
+    known = known.withColumn("_order", F.row_number().over(by_level))
+    open_ones = F.when(F.col("_share") < F.col("_level"), F.struct("_order", "_share"))
+    known = known.withColumn("_last", F.min(open_ones).over(everything)["_share"])
     target = F.least(F.col("source_size") * most, F.col("weight") * F.coalesce("_last", F.col("_level")))
-    return known.withColumn("target", target.cast("double")).drop("_level", "_share", "_last")
+    return known.withColumn("target", target.cast("double")).drop("_level", "_share", "_order", "_last")
 
 
 def mix(
