@@ -166,7 +166,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, doc_id: str, te
     roles = dealt.select(F.col("a").alias("node"), F.col("b").alias("hub"), "share", F.lit(True).alias("member"))
     roles = roles.union(dealt.select(F.col("b").alias("node"), F.col("b").alias("hub"), "share", F.lit(False).alias("member")).distinct())
     wanted = roles.join(nodes.select("node", "id", "k1", "k2"), "node")
-    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(C.stash(wanted, "roles"), F.col("_id").eqNullSafe(F.col("id")))
+    # A merge join at every size: roles grow with the documents, so they are never sent whole.
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).hint("merge").join(C.stash(wanted, "roles"), F.col("_id").eqNullSafe(F.col("id")))
     met = texts.select("hub", "share", "node", "member", "k1", "k2", "text").repartition("hub", "share").sortWithinPartitions("hub", "share", "member")
     return met.mapInArrow(compare, "a long, b long").distinct()
 
