@@ -8,7 +8,8 @@ smallest (round, hash), and rounds end once no bin is empty.  The share of agree
 coordinates is concentrated around the Jaccard similarity as with full MinHash, at
 the cost of one or two rounds for all but the shortest texts.
 
-Bands of the sketch propose pairs, and full shingle sets decide each of them.  Of a
+Bands of the sketch propose pairs, one bit of every coordinate screens them, and full
+shingle sets decide each of them.  Of a
 bucket's pairs only these are looked at: every member against the smallest one, and
 then, among members that this did not join, those of different components.  At
 similarity 0.75 a pair shares no band with odds of 5e-6, less above it.
@@ -30,11 +31,13 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SIZE = 128
+SIZE = 512
+BANDS = 32
 ROWS = 4  # coordinates of a band
 WIDTH = 5  # words of a shingle
 PERCENT = 75
-LEAST_BITS = 95  # of 128 one-bit coordinates; a pair at 0.75 has fewer with odds of 3e-6
+LEAST_BITS = 414  # of 512 one-bit coordinates; a pair at 0.75 has fewer with odds of 3e-6
+BITS = [f"b{i}" for i in range(SIZE // 64)]
 HUB_SHARE = 2000  # members of a hub that meet in one task
 HEAVY = 1 << 22  # pairs of a bucket, beyond which a second band must agree as well
 
@@ -81,7 +84,8 @@ def sketch(grams: np.ndarray, rows: np.ndarray, n: int, size: int = SIZE) -> np.
 
 
 def bands(sketches: np.ndarray) -> np.ndarray:
-    parts = sketches.reshape(len(sketches), -1, ROWS)
+    """Hashes of the first ``BANDS`` runs of coordinates; all coordinates give bits."""
+    parts = sketches[:, : BANDS * ROWS].reshape(len(sketches), BANDS, ROWS)
     out = np.broadcast_to(np.arange(1, parts.shape[1] + 1, dtype=np.uint64), parts.shape[:2]) * C.BASE
     for k in range(ROWS):
         out = C.mix(out + parts[:, :, k]) * C.BASE
@@ -102,8 +106,8 @@ def set_keys(grams: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, n
 def signatures(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     kept = docs.select(*[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)], F.col(text).alias("_text"))
     head = [f for f in kept.schema.fields if f.name != "_text"]
-    names = [f.name for f in head] + ["n", "k1", "k2", "b1", "b2", "bands"]
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in head] + ["n long, k1 long, k2 long, b1 long, b2 long, bands array<long>"])
+    names = [f.name for f in head] + ["n", "k1", "k2", *BITS, "bands"]
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in head] + ["n long, k1 long, k2 long", *[f"{b} long" for b in BITS], "bands array<long>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +119,7 @@ def signatures(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
                 keys = C.signed(bands(sketches))
                 ends = pa.array(np.arange(hi - lo + 1, dtype=np.int32) * keys.shape[1])
                 arrays = [batch.column(f.name).slice(lo, hi - lo) for f in head]
-                arrays += [pa.array(x) for x in (sizes.astype(np.int64), k1, k2, bits[:, 0].copy(), bits[:, 1].copy())]
+                arrays += [pa.array(x) for x in (sizes.astype(np.int64), k1, k2, *bits.T.copy())]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))], names=names)
 
     return kept.mapInArrow(run, schema)
@@ -123,9 +127,9 @@ def signatures(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 def likely(left: str, right: str) -> Column:
     """Sizes and one-bit sketches that a linked pair has."""
-    a, b = [{c: F.col(f"{s}.{c}") for c in ("n", "b1", "b2")} for s in (left, right)]
-    apart = F.bit_count(a["b1"].bitwiseXOR(b["b1"])) + F.bit_count(a["b2"].bitwiseXOR(b["b2"]))
-    return (100 * F.least(a["n"], b["n"]) >= PERCENT * F.greatest(a["n"], b["n"])) & (apart <= SIZE - LEAST_BITS)
+    apart = sum((F.bit_count(F.col(f"{left}.{b}").bitwiseXOR(F.col(f"{right}.{b}"))) for b in BITS), F.lit(0))
+    a, b = F.col(f"{left}.n"), F.col(f"{right}.n")
+    return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b)) & (apart <= SIZE - LEAST_BITS)
 
 
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +191,7 @@ def apart(multi: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
     rows = rows.join(tops, "band").select("band", "node", "comp", (F.col("comp") != F.col("major")).alias("minor"), "heavy")
     rows = rows.join(signed, "node").select(
         F.explode(F.when(F.col("heavy"), F.transform(F.filter("bands", lambda b: b != F.col("band")), lambda b: F.xxhash64("band", b))).otherwise(F.array("band"))).alias("band"),
-        "node", "comp", "minor", "n", "b1", "b2",
+        "node", "comp", "minor", "n", *BITS,
     )
     rows = C.stash(rows, "apart")
     left, right = rows.where("minor").alias("l"), rows.alias("r")
@@ -202,12 +206,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     sig = C.stash(signatures(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_tk")), "_text", ["_id", "_tk"]).withColumn("_row", F.monotonically_increasing_id()), "signatures")
     nodes = C.stash(sig.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("_row").alias("node")), "nodes")
     each = sig.join(nodes.select("node"), sig["_row"] == F.col("node"), "left_semi")
-    signed = C.stash(each.select(F.col("_row").alias("node"), F.col("k_0").alias("id"), "n", "k1", "k2", "b1", "b2", "bands"), "sets")
+    signed = C.stash(each.select(F.col("_row").alias("node"), F.col("k_0").alias("id"), "n", "k1", "k2", *BITS, "bands"), "sets")
     exploded = signed.select(F.explode("bands").alias("band"), "node")
     hubs = exploded.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "hub")
     multi = C.stash(exploded.join(C.stash(hubs, "hubs"), "band"), "buckets")
 
-    facts = signed.select("node", "n", "b1", "b2")
+    facts = signed.select("node", "n", *BITS)
     stars = multi.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     stars = stars.join(facts.alias("x"), F.col("a") == F.col("x.node")).join(facts.alias("y"), F.col("b") == F.col("y.node"))
     stars = C.stash(stars.where(likely("x", "y")).select("a", "b"), "stars")
