@@ -175,6 +175,30 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def grouped(batches: Iterator[pa.RecordBatch], key: str, least: int = 1) -> Iterator[pa.Table]:
+    """Whole groups of rows with one key, from batches sorted by it: one group at a
+    time, or as many as make up ``least`` rows."""
+    held: list[pa.RecordBatch] = []
+    rows, last = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        begin = 0
+        for cut in cuts[:-1]:
+            if (cut or (held and keys[0] != last)) and rows + cut - begin >= least:
+                if cut > begin:
+                    held.append(batch.slice(begin, cut - begin))
+                yield pa.Table.from_batches(held)
+                held, rows, begin = [], 0, cut
+        held.append(batch.slice(begin))
+        rows += batch.num_rows - begin
+        last = keys[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def ranked(rows: DataFrame, group: list[str], key: str, ties: list[str], out: str, per_block: int = 20_000) -> DataFrame:
     """``out``: place of the row in its group, from 0, by ``key`` (a double in
     [0, 1), spread evenly) and then by ``ties``.

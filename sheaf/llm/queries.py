@@ -180,3 +180,26 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cut = pieces(table(spark, sf_dir, "documents"), tokenizer_path())
     return pack(cut, ["doc_id", "piece", "ids_crc32"])
+
+
+COSINE_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+), n AS (
+  SELECT a AS vec_id, count(*)::BIGINT AS n FROM links GROUP BY a
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, r.c AS component_id, e.vec_id = r.c AS kept
+FROM embeddings e LEFT JOIN n USING (vec_id) JOIN (SELECT a AS vec_id, min(b) AS c FROM reach GROUP BY a) r USING (vec_id)
+"""
+
+
+@query("op10_collision_counting", COSINE_SQL)
+def op10_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collision_counting import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))

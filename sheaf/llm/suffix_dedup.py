@@ -243,26 +243,10 @@ def match_spans(before: list[bytes], after: list[bytes], length: int) -> tuple[n
     return left, right
 
 
-def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Runs of rows with one key, from batches sorted by it."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        keys = batch.column(key).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        for lo, hi in zip(cuts, cuts[1:]):
-            if hi > lo:
-                if held and held[-1].column(key)[0].as_py() != keys[lo]:
-                    yield pa.Table.from_batches(held)
-                    held = []
-                held.append(batch.slice(lo, hi - lo))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def sorted_matches(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, starts, ends = [], [], []
-        for group in grouped(batches, "key"):
+        for group in C.grouped(batches, "key"):
             if group.num_rows > 1:
                 # Reversed, so that what is common lies in front on both sides.
                 before = [x[::-1] for x in group.column("left").to_pylist()]
