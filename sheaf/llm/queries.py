@@ -203,3 +203,14 @@ def op10_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .collision_counting import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_ppm_language")
+def op6_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import held_out, train_rows
+    from .ppm_language import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(train_rows(4, 2)))
+    marked = docs.withColumn("held_out", held_out(4, 2))
+    return identify(marked, model, keep=("doc_id", "held_out"))
