@@ -214,3 +214,14 @@ def op6_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs.where(train_rows(4, 2)))
     marked = docs.withColumn("held_out", held_out(4, 2))
     return identify(marked, model, keep=("doc_id", "held_out"))
+
+
+@query("op3_compression_quality")
+def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import held_out, train_rows
+    from .compression_quality import classify, train
+
+    docs = table(spark, sf_dir, "documents")
+    learned = train_rows(3, 1)
+    model = train(docs.where(learned), table(spark, sf_dir, "labels").where(learned))
+    return classify(docs.withColumn("held_out", held_out(3, 1)), model, keep=("doc_id", "held_out"))
