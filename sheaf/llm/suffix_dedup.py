@@ -39,6 +39,7 @@ SHALLOW = 4  # eight-byte characters compared by multikey quicksort
 PLACE_BITS = np.uint64(24)  # places within a chunk; longer texts are cut with overlap
 PIECE = 1 << 21
 CROWD = 20_000
+PAIRWISE = 200  # contexts of a group whose common parts are laid out as a matrix
 
 
 def smallest_places(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -211,6 +212,11 @@ def match_spans(before: list[bytes], after: list[bytes], length: int) -> tuple[n
     by strings of ``length`` bytes that another context has as well; 0, 0 if none."""
     n = len(before)
     left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    if n == 2:
+        sides = common(*before), common(*after)
+        if sum(sides) >= length:
+            left[:], right[:] = sides
+        return left, right
     reach, ranks, steps = [], [], []
     for side in (before, after):
         order, shared = deep_shallow(side)
@@ -222,10 +228,16 @@ def match_spans(before: list[bytes], after: list[bytes], length: int) -> tuple[n
     live = np.flatnonzero(reach[0] + reach[1] >= length)
     if len(live) < 2:
         return left, right
-    if n == 2:
-        # No more than one other: the match is as long as both sides allow.
-        left[:], right[:] = reach[0], reach[1]
-        return left, right
+    if n <= PAIRWISE:
+        # What two contexts share at a side is the least of the steps between their ranks.
+        shared = []
+        for rank, step in zip(ranks, steps):
+            least = np.zeros((n, n), np.int64)
+            for k in range(n - 1):
+                least[k, k + 1 :] = np.minimum.accumulate(step[k + 1 :])
+            shared.append(np.maximum(least, least.T)[rank][:, rank])
+        hit = shared[0] + shared[1] >= length
+        return (shared[0] * hit).max(axis=1), (shared[1] * hit).max(axis=1)
     # A string that starts o bytes before the anchor is shared if both its parts are; the
     # classes of each part are the runs of sorted neighbours with that much in common.
     left[live] = -1
