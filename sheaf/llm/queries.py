@@ -225,3 +225,14 @@ def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     learned = train_rows(3, 1)
     model = train(docs.where(learned), table(spark, sf_dir, "labels").where(learned))
     return classify(docs.withColumn("held_out", held_out(3, 1)), model, keep=("doc_id", "held_out"))
+
+
+@query("op1_suffix_tree_lm")
+def op1_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import held_out, train_rows
+    from .suffix_tree_lm import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    tree, counts = train(docs.where(train_rows(7, 2)))
+    marked = docs.withColumn("held_out", held_out(7, 2))
+    return score(marked, tree, counts, keep=("doc_id", "held_out"))
