@@ -115,7 +115,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         share = 0.5 if not total else float(next(iter(total)))
         return Model(b"", b"", np.zeros(2), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
     chosen = C.stash(chosen.select("_id", "_y", "_n"), "chosen")  # at most 4 * docs_per_label rows
-    rows = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("_id")).select("_y", "_n", F.coalesce(text, F.lit("")).alias("_text")).collect()
+    texts = docs.select(F.col(doc_id).alias("_doc"), F.coalesce(text, F.lit("")).alias("_text"))
+    rows = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_y", "_n", "_text").collect()
     half = {y: min(docs_per_label, (total[y] + 1) // 2) for y in total}
     made = {y: dictionary([r["_text"].encode() for r in sorted(rows, key=lambda r: r["_n"]) if r["_y"] == y and r["_n"] <= half[y]]) for y in total}
     of = evidence(made[1], made[0])

@@ -247,10 +247,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each component; a row repeated in full is kept once."""
     found = near_duplicates(docs, doc_id, text).where(~F.col("first"))
-    gone = C.stash(found.select(F.col(doc_id).alias("_gone"), "text_key", "kept").distinct(), "gone")
-    same = F.col(doc_id).eqNullSafe(F.col("_gone")) & (F.xxhash64(text) == F.col("text_key"))
-    left = docs.join(gone.where(~F.col("kept")), same, "left_anti")
-    repeats = gone.where("kept")
+    found = found.select(F.col(doc_id).alias("_gone_id"), F.col("text_key").alias("_gone_key"), F.col("kept").alias("_gone_kept"))
+    gone = C.stash(found.distinct(), "gone")
+    same = F.col(doc_id).eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text) == F.col("_gone_key"))
+    left = docs.join(gone.where(~F.col("_gone_kept")), same, "left_anti")
+    repeats = gone.where("_gone_kept")
     if repeats.isEmpty():
         return left
     return left.join(repeats, same, "left_anti").unionByName(left.join(repeats, same, "left_semi").dropDuplicates([doc_id, text]))

@@ -36,7 +36,7 @@ def word_count(text: str) -> Column:
 def quality_weight(text: str) -> Column:
     """Share of characters that are no symbol, at least ``LEAST_WEIGHT``."""
     plain = F.length(F.translate(F.col(text), "#*$%&|<>{}[]\\^~_=+@!", "")) / F.length(text)
-    return F.coalesce(F.greatest(plain, F.lit(LEAST_WEIGHT)), F.lit(1.0))
+    return F.when(F.length(text) > 0, F.greatest(plain, F.lit(LEAST_WEIGHT))).otherwise(1.0)
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
