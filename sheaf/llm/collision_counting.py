@@ -40,6 +40,7 @@ CELL = 1.6  # width of a cell's side
 PARTNERS = 40  # unrelated vectors wanted in a cell
 COUNTED = 32
 WINDOW = 2.6  # in spreads of a pair at the threshold
+SORTED = 4.2  # the same on the sorted line, which every pair must pass
 BLOCK = 512
 SEED = 20240917
 
@@ -104,20 +105,21 @@ def keyed(sides: int, tables: int):
     return run
 
 
-def collisions(vectors: np.ndarray, group: np.ndarray, window: float, need: int) -> tuple[np.ndarray, np.ndarray]:
+def collisions(vectors: np.ndarray, group: np.ndarray, spread: float, need: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of one group that collide in at least ``need`` of the projections."""
     values = vectors @ directions(vectors.shape[1], COUNTED, 1)[0]
+    window, wide = WINDOW * spread, SORTED * spread
     # Groups lie far apart on the line that is sorted.
-    line = values[:, 0] - values[:, 0].min() + group * (np.ptp(values[:, 0]) + 4 * window)
+    line = values[:, 0] - values[:, 0].min() + group * (np.ptp(values[:, 0]) + 4 * wide)
     order = np.argsort(line, kind="stable")
     line = line[order]
-    upto = np.searchsorted(line, line + window, "right")
+    upto = np.searchsorted(line, line + wide, "right")
     ahead = upto - np.arange(len(line)) - 1
     a = np.repeat(np.arange(len(line)), ahead)
     b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(ahead) - ahead, ahead)
     a, b = order[a], order[b]
-    count = np.ones(len(a), np.int16)
-    for m in range(1, COUNTED):
+    count = np.zeros(len(a), np.int16)
+    for m in range(COUNTED):
         count += np.abs(values[a, m] - values[b, m]) <= window
         if m % 4 == 3:  # pairs that can't reach the count any more
             live = count + (COUNTED - 1 - m) >= need
@@ -127,7 +129,7 @@ def collisions(vectors: np.ndarray, group: np.ndarray, window: float, need: int)
 
 def verified(cosine: float, sides: int, tables: int):
     """Groups of one cell (or pair of its blocks): links and a label per vector."""
-    need, window = least_count(), WINDOW * math.sqrt(2 - 2 * cosine)
+    need, spread = least_count(), math.sqrt(2 - 2 * cosine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in C.grouped(batches, "cell", 2048):
@@ -139,7 +141,7 @@ def verified(cosine: float, sides: int, tables: int):
                 get = {c: part.column(c).to_numpy() for c in ("node", "times", "cell", "number", "own", "one")}
                 vectors = units(part.column("v"), int(size))
                 group = np.unique(get["cell"], return_inverse=True)[1]
-                a, b = collisions(vectors, group, window, need)
+                a, b = collisions(vectors, group, spread, need)
                 apart = get["one"][a] | (get["own"][a] != get["own"][b])  # of two blocks, only pairs across
                 a, b = a[apart], b[apart]
                 near = [np.einsum("ij,ij->i", vectors[a[k : k + 65536]], vectors[b[k : k + 65536]]) >= cosine for k in range(0, len(a), 65536)]
