@@ -308,21 +308,27 @@ def output_name_plan(spark, sf):
 # ---- errors, requests ------------------------------------------------------------------
 
 
-def _duck_family(pattern: str) -> str:
-    return "regexp_matches(message, '" + pattern + "')"
+# Families of this catalog's own messages (recipes.MESSAGES); the operator takes any.
+FAMILIES = [
+    ("(?i)stream ended early", "file-read"),
+    ("(?i)page tree", "invalid-pdf"),
+    ("(?i)bytes are no text", "invalid-markdown"),
+    ("(?i)pixels|picture", "invalid-image"),
+    ("(?i)word part", "invalid-docx"),
+    ("(?i)no drawing surface", "browser-capability"),
+    (r"(?i)^too (?:few|many)\b|^nothing\b", "input"),
+]
 
 
 @query(
     "classify_errors",
-    "SELECT code, count(*) AS n FROM (SELECT CASE WHEN error_class = 'read' OR "
-    + _duck_family(E.READ_FAILURE)
-    + " THEN 'file-read' WHEN error_class = 'archive' THEN CASE WHEN archive_code IN ('ARCHIVE_UNSAFE_PATH','ARCHIVE_DUPLICATE_PATH')"
-    + " THEN 'unsafe-container' ELSE 'invalid-container' END "
-    + " ".join(f"WHEN {_duck_family(p)} THEN '{c}'" for c, p in E.MESSAGE_FAMILIES)
+    "SELECT code, count(*) AS n FROM (SELECT CASE WHEN error_class = 'read' THEN 'file-read' WHEN error_class = 'archive' THEN "
+    + "CASE WHEN archive_code IN ('ARCHIVE_UNSAFE_PATH','ARCHIVE_DUPLICATE_PATH') THEN 'unsafe-container' ELSE 'invalid-container' END "
+    + " ".join(f"WHEN regexp_matches(message, '{p}') THEN '{c}'" for p, c in FAMILIES)
     + f" ELSE 'unknown' END AS code FROM ({R.MESSAGES_DUCK})) GROUP BY code",
 )
 def classify_errors(spark, sf):
-    return E.classify_errors(R.messages(spark, sf))
+    return E.classify_errors(R.messages(spark, sf), FAMILIES)
 
 
 @query(
@@ -460,7 +466,7 @@ def batch_totals(spark, sf):
     return B.batch_totals(R.files(spark, sf), dims.MAX_DROP_FILES, dims.MAX_DROP_BYTES)
 
 
-_SLUG = "CASE length(batch_id) % 2 + file_id * 0 WHEN 0 THEN 'combine-to-pdf' ELSE 'images-to-pdf' END"
+_SLUG = "CASE length(batch_id) % 3 + file_id * 0 WHEN 0 THEN 'combine-to-pdf' WHEN 1 THEN 'images-to-pdf' ELSE 'no-such-tool' END"
 _FOLD_DUCK = """list_reduce(list_sort(list({{'pos': pos, 'size': size, 'ok': own IS NULL, 'why': own, 'cap': cap, 'most': most}})),
     lambda s, x: CASE WHEN len(s.why) >= 0 AND s.n >= x.most THEN
         {{'n': s.n, 'b': s.b, 'pos': list_append(s.pos, x.pos), 'why': list_append(s.why, 'count')}}
@@ -472,10 +478,10 @@ _FOLD_DUCK = """list_reduce(list_sort(list({{'pos': pos, 'size': size, 'ok': own
 
 @query(
     "accept_files",
-    f"""WITH f AS (SELECT f.*, CASE WHEN NOT (list_contains(string_split(t.accept_mime, ','), f.mime) OR list_contains(string_split(t.accepts, ','),
+    f"""WITH f AS (SELECT f.*, CASE WHEN t.slug IS NULL THEN 'unknown-tool' WHEN NOT (list_contains(string_split(t.accept_mime, ','), f.mime) OR list_contains(string_split(t.accepts, ','),
         CASE WHEN contains(name, '.') THEN '.' || lower(split_part(name, '.', -1)) ELSE '' END)) THEN 'type'
-        WHEN size = 0 THEN 'empty' WHEN size > t.max_file_bytes THEN 'file-size' END AS own, t.max_total_bytes AS cap, t.max_files AS most
-      FROM (SELECT *, {_SLUG} AS slug FROM ({R.FILES_DUCK})) AS f JOIN ({dims.TOOL_RULES_SQL}) AS t ON t.slug = f.slug),
+        WHEN size = 0 THEN 'empty' WHEN size > t.max_file_bytes THEN 'file-size' END AS own, coalesce(t.max_total_bytes, 0) AS cap, coalesce(t.max_files, 1) AS most
+      FROM (SELECT *, {_SLUG} AS slug FROM ({R.FILES_DUCK})) AS f LEFT JOIN ({dims.TOOL_RULES_SQL}) AS t ON t.slug = f.slug),
     r AS (SELECT batch_id, {_FOLD_DUCK} AS s FROM f GROUP BY batch_id)
     SELECT batch_id, pos AS file_id, why IS NULL AS accepted, why AS reason FROM (SELECT batch_id, unnest(s.pos) AS pos, unnest(s.why) AS why FROM r)""",
 )

@@ -121,19 +121,19 @@ MESSAGES = """SELECT event_id AS id,
   CASE WHEN user_id % 2 = 0 THEN 'ARCHIVE_UNSAFE_PATH' WHEN user_id % 3 = 0 THEN 'ARCHIVE_DUPLICATE_PATH'
     ELSE 'ARCHIVE_MALFORMED' END AS archive_code,
   CASE user_id % 14
-    WHEN 0 THEN 'Invalid PDF structure at ' || event_type
-    WHEN 1 THEN 'The file is not valid UTF-8: ' || event_type
-    WHEN 2 THEN 'Signature image is too large (' || CAST(value AS STRING) || ')'
-    WHEN 3 THEN 'Could not read picture.png.'
-    WHEN 4 THEN 'Missing word/document.xml'
-    WHEN 5 THEN 'This Numbers file has no rows'
-    WHEN 6 THEN 'Canvas unavailable in tab'
-    WHEN 7 THEN 'Add at least one file'
-    WHEN 8 THEN 'It has more than 300 pages'
-    WHEN 9 THEN 'I/O read operation failed'
-    WHEN 10 THEN 'Only 20 files allowed for merging'
-    WHEN 11 THEN 'Could not render page 3'
-    WHEN 12 THEN 'Could not read this PDF, sorry'
+    WHEN 0 THEN 'Broken page tree after ' || event_type
+    WHEN 1 THEN 'These bytes are no text: ' || event_type
+    WHEN 2 THEN 'Too many pixels (' || CAST(value AS STRING) || ')'
+    WHEN 3 THEN 'picture.png: header cut short'
+    WHEN 4 THEN 'The word part of the package is missing'
+    WHEN 5 THEN 'Nothing to do in ' || event_type
+    WHEN 6 THEN 'This session has no drawing surface'
+    WHEN 7 THEN 'Too few files'
+    WHEN 8 THEN 'TOO MANY pages'
+    WHEN 9 THEN 'The stream ended early'
+    WHEN 10 THEN 'Toomany is one word'
+    WHEN 11 THEN 'A page tree of pixels'
+    WHEN 12 THEN 'There is nothing here'
     ELSE event_type END AS message
   FROM <events>"""
 MESSAGES_DUCK = duck(MESSAGES)

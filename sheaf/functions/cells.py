@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_trim, finite_or
+from .text import clean_trim, finite_number, finite_or
 
 A1 = r"(?i)^\$?([A-Z]+)\$?(\d+)\z"
 FAR = 10**15  # stands for any index no sheet can hold
@@ -77,8 +77,8 @@ def string_index(raw: Column) -> Column:
 def cell_value(kind: Column, raw: Column, shared: Column) -> Column:
     """Typed value: value_type, s, d, b (exactly one of the last three set)."""
     raw = F.coalesce(raw, F.lit(""))
-    number = raw.try_cast("double")
-    is_number = F.coalesce(kind, F.lit("")).eqNullSafe("") & number.isNotNull() & (F.abs(number) < float("inf")) & (raw != "")
+    number = finite_number(raw)
+    is_number = F.coalesce(kind, F.lit("")).eqNullSafe("") & number.isNotNull()
     value_type = F.when(kind == "s", "string").when(kind == "b", "bool").when(is_number, "double").otherwise("string")
     return F.struct(
         value_type.alias("value_type"),

@@ -135,13 +135,23 @@ def escape_xml(col: Column) -> Column:
 # ---- coercion, clamps, units ------------------------------------------------
 
 EMU_PER_POINT = 12_700
-POINTS_PER_CSS_PIXEL = 72 / 96
+# What counts as a number in a text: decimal with or without exponent, or hexadecimal.
+# A cast alone would also take Java's type suffixes, as in ``1d``.
+DECIMAL = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\z"
+HEXADECIMAL = r"^0[xX][0-9a-fA-F]{1,13}\z"
+
+
+def finite_number(col: Column) -> Column:
+    """The finite number a text holds (blanks around it aside), null if it holds none."""
+    bare = F.trim(col.cast("string"))
+    value = F.when(bare.rlike(DECIMAL), bare.try_cast("double")).when(
+        bare.rlike(HEXADECIMAL), F.conv(F.substr(bare, F.lit(3)), 16, 10).cast("double")
+    )
+    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
 
 
 def finite_or(col: Column, fallback: float) -> Column:
-    value = col.try_cast("double")
-    ok = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
-    return F.when(ok, value).otherwise(F.lit(float(fallback)))
+    return F.coalesce(finite_number(col), F.lit(float(fallback)))
 
 
 def clamp(col: Column, low: float, high: float, fallback: float) -> Column:

@@ -14,7 +14,7 @@ from ..functions.text import (
     safe_file_name,
     safe_request_name,
 )
-from .greedy import GROUP_LIMIT, admit
+from .greedy import admit
 
 
 def format_of(token: Column) -> Column:
@@ -109,8 +109,8 @@ def format_cap(name: Column) -> Column:
     )
 
 
-def accept_files(files: DataFrame, group: str = "batch_id", group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """Tool rules in order: count, type, empty, per-file cap, running byte cap.
+def accept_files(files: DataFrame, group: str = "batch_id") -> DataFrame:
+    """Tool rules in order: tool, count, type, empty, per-file cap, running byte cap.
 
     ``files``: group, pos, name, mime, size, slug; optional first_count,
     first_bytes for files taken before.
@@ -119,7 +119,7 @@ def accept_files(files: DataFrame, group: str = "batch_id", group_limit: int = G
     for prior in ("first_count", "first_bytes"):
         if prior not in files.columns:
             files = files.withColumn(prior, F.lit(0).cast("long"))
-    ruled = files.join(rules, "slug").select(
+    ruled = files.join(rules, "slug", "left").select(
         *files.columns,
         F.col("max_files").alias("max_count"),
         F.col("max_total_bytes").alias("max_bytes"),
@@ -131,15 +131,16 @@ def accept_files(files: DataFrame, group: str = "batch_id", group_limit: int = G
     )
     most = max(row[3] for row in dims.TOOL_RULES)
     tests = [
+        (F.col("max_count").isNull(), "unknown-tool"),
         (~F.col("type_ok"), "type"),
         (F.col("size") == 0, "empty"),
         (F.col("size") > F.col("max_file_bytes"), "file-size"),
     ]
-    out = admit(ruled, group, most, tests, group_limit)
+    out = admit(ruled, group, most, tests)
     return out.drop("max_count", "max_bytes", "max_file_bytes", "type_ok", "first_count", "first_bytes")
 
 
-def accept_drop(files: DataFrame, group: str = "batch_id", group_limit: int = GROUP_LIMIT) -> DataFrame:
+def accept_drop(files: DataFrame, group: str = "batch_id") -> DataFrame:
     """Mixed drop: count, per-format cap, running byte cap; no type or empty test."""
     ruled = files.select(
         "*",
@@ -149,7 +150,7 @@ def accept_drop(files: DataFrame, group: str = "batch_id", group_limit: int = GR
         F.lit(0).cast("long").alias("first_bytes"),
     )
     tests = [(F.col("size") > format_cap(F.col("name")), "format-size")]
-    out = admit(ruled, group, dims.MAX_DROP_FILES, tests, group_limit)
+    out = admit(ruled, group, dims.MAX_DROP_FILES, tests)
     return out.drop("max_count", "max_bytes", "first_count", "first_bytes")
 
 
@@ -258,20 +259,27 @@ def request_validation(requests: DataFrame) -> DataFrame:
     )
 
 
+SHARES = 64  # tasks over which the occurrences of one content may spread
+
+
 def dedup_snapshot(files: DataFrame, digest: Column, inspection: dict[str, Column]) -> DataFrame:
     """One inspection per distinct content, handed to every occurrence in its place.
 
-    Digest and inspection are taken where the content lies; only they are
-    shuffled.  Copies collapse on the map side, so the distinct side has one row
-    per content; on the way back a content that makes up a third of the files is
-    one hot digest on the many side only, which AQE cuts by map output.
+    Digest and inspection are taken where the content lies; only they are shuffled.
+    Copies are counted on the map side.  On the way back the occurrences of a content
+    are dealt into shares by file, and its row goes to each share that has any, so a
+    content that makes up a third of the files does not meet in one task.
     """
-    found = F.struct(F.col("file_id").alias("first_file"), *[c.alias(n) for n, c in inspection.items()])
+    found = F.struct(*[c.alias(n) for n, c in inspection.items()])
     keyed = files.select("file_id", "batch_id", "pos", digest.alias("digest"), found.alias("found"))
-    distinct = keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min_by("found", "file_id").alias("found"))
-    return keyed.select("file_id", "batch_id", "pos", "digest").join(distinct, "digest").select(
-        "file_id", "batch_id", "pos", "digest", "copies", "found.*"
-    )
+    keyed = keyed.where(F.col("digest").isNotNull())
+    share = F.pmod(F.xxhash64("file_id"), F.lit(SHARES)).cast("int")
+    slim = keyed.select("file_id", "batch_id", "pos", "digest").withColumn("share", share)
+    counts = slim.groupBy("digest", "share").agg(F.count(F.lit(1)).alias("n"), F.min("file_id").alias("first"))
+    totals = counts.groupBy("digest").agg(F.sum("n").alias("copies"), F.min("first").alias("first_file"), F.collect_list("share").alias("shares"))
+    first = totals.join(keyed.select(F.col("digest").alias("_digest"), "file_id", "found"), (F.col("digest") == F.col("_digest")) & (F.col("first_file") == F.col("file_id")))
+    distinct = first.select("digest", "copies", "first_file", "found", F.explode("shares").alias("share"))
+    return slim.join(distinct, ["digest", "share"]).select("file_id", "batch_id", "pos", "digest", "copies", "first_file", "found.*")
 
 
 def exactly_once(groups: DataFrame, members: DataFrame, key: str) -> DataFrame:

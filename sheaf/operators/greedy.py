@@ -1,25 +1,27 @@
-"""Greedy admission folds that stay exact on hot groups.
-
-A rejected element must not move the state, so a running sum is wrong.  Small
-groups are folded in one ``aggregate``; a group above ``group_limit`` rows is
-never collected: its accepted rows are found one per round, each round one
-filtered ``min_by`` with map-side combine.  A group accepts at most ``max_count``
-rows, which bounds the rounds.
+"""Greedy admission that stays exact on groups of any size.
+
+A rejected element must not move the state, so a running sum is wrong.  In rounds,
+each group offers its first ``STEP`` rows that lie behind the last one looked at and
+still fit; they are folded in order and the state moves behind them.  A row that does
+not fit once never fits later, and the first row offered always fits, so a group takes
+one row a round at least and is done after as many rounds as it may take rows.  Spark
+limits each group before the shuffle, so a group of any size sends ``STEP`` rows a map
+task and never meets in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
-GROUP_LIMIT = 100_000
+STEP = 64
 
 
-def _fold(members: Column, max_count: Column, left: Column) -> Column:
-    """Accepted positions of one group, in order."""
-    start = F.struct(F.expr("cast(array() as array<bigint>)").alias("taken"), left.cast("long").alias("left"))
+def _fold(members: Column, taken: Column, left: Column, max_count: Column) -> Column:
+    """Accepted positions of one group and the bytes left, after the offered members."""
+    start = F.struct(taken.alias("taken"), left.alias("left"))
 
     def step(state: Column, item: Column) -> Column:
         fits = (F.size(state["taken"]) < max_count) & (item["size"] <= state["left"])
@@ -31,83 +33,43 @@ def _fold(members: Column, max_count: Column, left: Column) -> Column:
             ),
         ).otherwise(state)
 
-    return F.aggregate(members, start, step, lambda s: s["taken"])
+    return F.aggregate(members, start, step)
 
 
-def greedy_picks(
-    candidates: DataFrame,
-    group: str,
-    max_rounds: int,
-    group_limit: int = GROUP_LIMIT,
-) -> DataFrame:
+def greedy_picks(candidates: DataFrame, group: str, max_rounds: int, step: int = STEP) -> DataFrame:
     """Per group the accepted positions in order.
 
     ``candidates``: group, pos (unique in its group), size, max_count, max_bytes
     (the last two constant in a group).  Result: group, taken ARRAY<BIGINT>.
     """
-    slim = candidates.select(group, F.col("pos").cast("long"), F.col("size").cast("long"), "max_count", "max_bytes")
-    sizes = slim.groupBy(group).agg(
-        F.count(F.lit(1)).alias("members"),
-        F.first("max_count").alias("max_count"),
-        F.first("max_bytes").alias("max_bytes"),
-    )
-    hot = sizes.where(F.col("members") > group_limit)
-    has_hot = not hot.isEmpty()
-    cool = slim
-    if has_hot:
-        cool = slim.join(hot.select(group), group, "left_anti")
-    folded = (
-        cool.groupBy(group)
-        .agg(
-            F.array_sort(F.collect_list(F.struct("pos", "size"))).alias("members"),
-            F.first("max_count").alias("max_count"),
-            F.first("max_bytes").alias("max_bytes"),
-        )
-        .select(group, _fold(F.col("members"), F.col("max_count"), F.col("max_bytes")).alias("taken"))
-    )
-    if not has_hot:
-        return folded
-    return folded.unionByName(_hot_rounds(slim.join(hot.select(group), group, "left_semi"), hot, group, max_rounds))
-
-
-def _hot_rounds(rows: DataFrame, hot: DataFrame, group: str, max_rounds: int) -> DataFrame:
-    checkpoint_dir(rows.sparkSession)
-    state = hot.select(
-        group,
-        F.col("max_count"),
-        F.col("max_bytes").cast("long").alias("left"),
-        F.lit(-(2**63)).alias("last"),
-        F.expr("cast(array() as array<bigint>)").alias("taken"),
+    checkpoint_dir(candidates.sparkSession)
+    rows = candidates.select(group, F.col("pos").cast("long"), F.col("size").cast("long"), "max_count", "max_bytes").checkpoint()
+    state = rows.groupBy(group).agg(F.first("max_count").alias("max_count"), F.first("max_bytes").cast("long").alias("left"))
+    state = state.select(
+        group, "max_count", "left", F.lit(-(2**63)).alias("last"), F.expr("cast(array() as array<bigint>)").alias("taken"), (F.col("max_count") > 0).alias("open")
     ).checkpoint()
-    for _ in range(max_rounds):
-        nxt = (
-            rows.select(group, "pos", "size")
-            .join(state.select(group, "left", "last", "max_count", F.size("taken").alias("n")), group)
-            .where((F.col("pos") > F.col("last")) & (F.col("size") <= F.col("left")) & (F.col("n") < F.col("max_count")))
-            .groupBy(group)
-            .agg(F.min(F.struct("pos", "size")).alias("pick"))
-        )
-        state = (
-            state.join(nxt, group, "left")
-            .select(
-                group,
-                "max_count",
-                F.when(F.col("pick").isNull(), F.col("left")).otherwise(F.col("left") - F.col("pick.size")).alias("left"),
-                F.coalesce("pick.pos", "last").alias("last"),
-                F.when(F.col("pick").isNull(), F.col("taken"))
-                .otherwise(F.concat("taken", F.array(F.col("pick.pos"))))
-                .alias("taken"),
-                F.col("pick").isNotNull().alias("moved"),
-            )
-            .checkpoint()
-        )
-        if state.where("moved").isEmpty():
+    first = Window.partitionBy(group).orderBy("pos")
+    for _ in range(max_rounds + 1):
+        live = state.where("open").select(group, "left", "last")
+        offered = rows.select(group, "pos", "size").join(live, group).where((F.col("pos") > F.col("last")) & (F.col("size") <= F.col("left")))
+        offered = offered.withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= step)
+        batch = offered.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("pos", "size"))).alias("members"))
+        moved = state.join(batch, group, "left").withColumn("after", F.when(F.col("members").isNotNull(), _fold(F.col("members"), F.col("taken"), F.col("left"), F.col("max_count"))))
+        state = moved.select(
+            group,
+            "max_count",
+            F.coalesce("after.left", "left").alias("left"),
+            F.coalesce(F.element_at("members", -1)["pos"], "last").alias("last"),
+            F.coalesce("after.taken", "taken").alias("taken"),
+            # Fewer than were asked for: there are no more.
+            F.coalesce((F.size("members") == step) & (F.size("after.taken") < F.col("max_count")), F.lit(False)).alias("open"),
+        ).checkpoint()
+        if state.where("open").isEmpty():
             break
-        state = state.drop("moved")
     return state.select(group, "taken")
 
 
-def admit(files: DataFrame, group: str, max_rounds: int, stateless: list[tuple[Column, str]], group_limit: int = GROUP_LIMIT) -> DataFrame:
+def admit(files: DataFrame, group: str, max_rounds: int, stateless: list[tuple[Column, str]]) -> DataFrame:
     """Adds ``accepted`` and ``reason`` to every row.
 
     ``files``: group, pos, size, max_count, max_bytes, first_count (rows taken
@@ -129,7 +91,6 @@ def admit(files: DataFrame, group: str, max_rounds: int, stateless: list[tuple[C
         ),
         group,
         max_rounds,
-        group_limit,
     )
     full_at = F.when(room <= 0, F.lit(-(2**63))).when(F.size("taken") >= room, F.element_at("taken", -1))
     joined = marked.join(picks, group, "left")

@@ -29,8 +29,21 @@ def test_greedy_rounds_equal_the_fold(spark):
         want[group] = taken
         rows += [(group, pos, size, 5, 100) for pos, size in enumerate(sizes)]
     df = spark.createDataFrame(rows, "g int, pos long, size long, max_count int, max_bytes long")
-    for limit in (50, 100_000):
-        assert {r.g: r.taken for r in G.greedy_picks(df, "g", 5, limit).collect()} == want
+    for step in (2, 64):
+        assert {r.g: r.taken for r in G.greedy_picks(df, "g", 5, step).collect()} == want
+
+
+def test_greedy_on_one_huge_group(spark):
+    """The rows of a group that no round needs are never brought together."""
+    df = spark.range(1_000_000).select(
+        F.lit(1).alias("g"), F.col("id").alias("pos"), (F.lit(30) - F.col("id") % 30).alias("size"), F.lit(5).alias("max_count"), F.lit(60).cast("long").alias("max_bytes")
+    )
+    taken, left = [], 60
+    for pos in range(1_000):
+        if len(taken) < 5 and 30 - pos % 30 <= left:
+            taken.append(pos)
+            left -= 30 - pos % 30
+    assert [r.taken for r in G.greedy_picks(df, "g", 5).collect()] == [taken]
 
 
 def test_admission_over_many_blocks(spark):
