@@ -16,7 +16,7 @@ from ..sources import office as O
 from ..sources import sinks as K
 from ..sources.archive import scan_archive_entries, scan_archive_parts
 from . import recipes as R
-from .packages import PARTS, SHAPES, TEXT_PART, pack_workbook, packages
+from .packages import BROKEN_WORKBOOKS, PARTS, SHAPES, TEXT_PART, pack_workbook, packages
 from .registry import query, table, wide_table
 
 # Expected parts per shape, as rows.
@@ -251,11 +251,22 @@ def scan_slide_items(spark, sf):
 # ---- files in, texts and reports out ------------------------------------------------------------
 
 
-@query("scan_files")
+@query(
+    "scan_files",
+    """SELECT source AS name, CASE WHEN length(source) % 2 = 0 THEN 'text/plain' ELSE '' END AS mime, sum(strlen(text) + 1)::BIGINT AS size,
+      md5(string_agg(text || chr(10), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY source""",
+)
 def scan_files(spark, sf):
-    """The table files themselves as a file table; names and sizes only, no bytes are read."""
-    files = S.scan_files(spark, sf, "*.parquet")
-    return files.select("name", "size").orderBy("name")
+    """The documents as files, one a source, scanned as a file table and given the types of
+    a manifest."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", F.col("text").alias("value"))
+    path = f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+    # One task a source: it is one file.
+    docs.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(path)
+    files = S.scan_files(spark, path, "*.txt").withColumn("name", F.regexp_extract("path", "source=([^/]*)", 1))
+    names = docs.select(F.col("source").alias("name")).distinct().where(F.length("name") % 2 == 0)
+    typed = S.with_manifest(files, names.withColumn("mime", F.lit("text/plain")))
+    return typed.select("name", "mime", "size", F.md5("content").alias("digest"))
 
 
 @query(
@@ -283,7 +294,7 @@ def write_text_docs(spark, sf):
         F.col("doc_id").alias("doc"), F.when(F.col("doc_id") % 9 != 0, F.col("text")).alias("text")
     )
     path = f"{checkpoint_dir(spark)}/texts-{uuid.uuid4().hex}"
-    K.write_text_docs(docs, path, shards=8)
+    K.write_text_docs(docs, path)
     return K.read_text_docs(spark, path).select("doc", F.md5(F.encode("text", "UTF-8")).alias("digest"))
 
 
@@ -312,11 +323,14 @@ def _workbooks(spark, sf):
         F.lit('<worksheet xmlns="urn:s"><sheetData>'), F.array_join(F.transform(_lines(), row), ""), ext, F.lit("</sheetData></worksheet>")
     )
     docs = wide_table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), xml.alias("xml"))
-    return docs.select("file_id", pack_workbook("xml").alias("content"))
+    return docs.select("file_id", pack_workbook("file_id", "xml").alias("content"))
 
 
 _WB_LINES = f"""SELECT doc_id, l, i FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i
-  FROM documents WHERE NOT {_PUBLIC} AND doc_id % 50 <> 0)"""
+  FROM documents WHERE NOT {_PUBLIC} AND doc_id % 50 NOT IN (0, {", ".join(map(str, BROKEN_WORKBOOKS))}))"""
+# Codes of the whole package come before what its first sheet says.
+_WHOLE = ("missing-content-types", "macros", "embedded-content", "no-sheets", "blank-sheet", "missing-relationships")
+_BROKEN = " ".join(f"WHEN {k} THEN '{code}'" for k, (code, *_) in BROKEN_WORKBOOKS.items())
 
 
 @query(
@@ -330,9 +344,26 @@ def workbook_cells_query(spark, sf):
     return cells.select("file_id", "row", "col", "value_type", "align", "bold", "shown")
 
 
+@query(
+    "sheet_rejects",
+    """SELECT doc_id AS file_id, ref, reason FROM documents, (VALUES ('A20001', 'off-grid'), ('SG3', 'off-grid'), ('7up', 'bad-reference')) r(ref, reason)
+      WHERE NOT """
+    + _PUBLIC
+    + " UNION ALL SELECT doc_id, NULL, 'malformed' FROM documents WHERE "
+    + _PUBLIC,
+)
+def sheet_rejects(spark, sf):
+    off = '<row><c r="A20001"/><c r="SG3"><v>1</v></c><c r="7up"/></row></sheetData>'
+    parts = _sheet_parts(spark, sf).withColumn("xml", F.replace("xml", F.lit("</sheetData>"), F.lit(off)))
+    # A part that the guard refuses is no worksheet.
+    parts = parts.withColumn("xml", F.when(O.xml_guard(F.col("xml")).isNull(), F.col("xml")))
+    return O.scan_sheet_rejects(parts).select("file_id", "ref", "reason")
+
+
 @query(
     "workbook_refusals",
-    f"SELECT doc_id AS file_id, CASE WHEN {_PUBLIC} THEN 'dtd-or-entity' ELSE 'external-formula' END AS problem FROM documents WHERE {_PUBLIC} OR doc_id % 50 = 0",
+    f"""SELECT file_id, problem FROM (SELECT doc_id AS file_id, CASE WHEN b IN {_WHOLE} THEN b WHEN {_PUBLIC} THEN 'dtd-or-entity'
+      WHEN doc_id % 50 = 0 THEN 'external-formula' ELSE b END AS problem FROM (SELECT *, CASE doc_id % 50 {_BROKEN} END AS b FROM documents)) WHERE problem IS NOT NULL""",
 )
 def workbook_refusals(spark, sf):
     _, refused = workbook_cells(_workbooks(spark, sf))

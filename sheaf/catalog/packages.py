@@ -87,13 +87,45 @@ WORKBOOK_PARTS = {
 }
 
 
-@F.arrow_udf(returnType=T.BinaryType())
-def pack_workbook(sheet_xml: pa.Array) -> pa.Array:
-    packed = []
-    for sheet in sheet_xml.to_pylist():
-        buffer = io.BytesIO()
-        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED) as archive:
-            for path, body in {**WORKBOOK_PARTS, "xl/worksheets/sheet1.xml": sheet}.items():
+RELATION = '<Relationship Id="{}" Type="t/worksheet" Target="{}"{}/>'
+TWO = {"xl/workbook.xml": ('r:id="rId7"/>', 'r:id="rId7"/><sheet name="More" sheetId="2" r:id="rId8"/>')}
+
+
+def _second(target: str) -> dict[str, tuple[str, str]]:
+    return {**TWO, "xl/_rels/workbook.xml.rels": ("</Relationships>", RELATION.format("rId8", target, "") + "</Relationships>")}
+
+
+# Remainder of the id by 50 → (code of the refusal, replacements in parts, parts more, parts less).
+BROKEN_WORKBOOKS: dict[int, tuple[str, dict[str, tuple[str, str]], dict[str, str], list[str]]] = {
+    1: ("missing-content-types", {}, {}, ["[Content_Types].xml"]),
+    2: ("macros", {}, {"xl/vbaProject.bin": "m"}, []),
+    3: ("embedded-content", {}, {"xl/embeddings/o.xml": "<o/>"}, []),
+    4: ("external-relationship", {"xl/_rels/workbook.xml.rels": ("</Relationships>", RELATION.format("rId9", "http://e.example", ' TargetMode="External"') + "</Relationships>")}, {}, []),
+    5: ("external-references", {"xl/workbook.xml": ("</workbook>", "<externalReferences/></workbook>")}, {}, []),
+    6: ("no-sheets", {"xl/workbook.xml": ('<sheet name="Lines" sheetId="1" r:id="rId7"/>', "")}, {}, []),
+    7: ("sheet-part-missing", _second("worksheets/gone.xml"), {}, []),
+    8: ("sheet-without-part", TWO, {}, []),
+    9: ("incomplete-relationship", {"xl/_rels/workbook.xml.rels": ("</Relationships>", '<Relationship Id="rId9"/></Relationships>')}, {}, []),
+    10: ("blank-sheet", _second("sheets/blank.xml"), {"xl/sheets/blank.xml": "<worksheet><sheetData/></worksheet>"}, []),
+    11: ("malformed", _second("../other/torn.xml"), {"other/torn.xml": "<worksheet><sheetData></worksheet></sheetData>"}, []),
+    12: ("too-many-sheets", {"xl/workbook.xml": ("<sheets>", "<sheets>" + '<sheet name="x" r:id="rId7"/>' * 100)}, {}, []),
+    13: ("missing-relationships", {}, {}, ["xl/_rels/workbook.xml.rels"]),
+}
+
+
+def _workbook(doc_id: int, sheet: str) -> bytes:
+    _, replaced, more, less = BROKEN_WORKBOOKS.get(doc_id % 50, ("", {}, {}, []))
+    parts = {**WORKBOOK_PARTS, "xl/worksheets/sheet1.xml": sheet, **more}
+    for path, (old, new) in replaced.items():
+        parts[path] = parts[path].replace(old, new)
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED) as archive:
+        for path, body in parts.items():
+            if path not in less:
                 archive.writestr(zipfile.ZipInfo(path, (1980, 1, 1, 0, 0, 0)), body)
-        packed.append(buffer.getvalue())
-    return pa.array(packed, type=pa.binary())
+    return buffer.getvalue()
+
+
+@F.arrow_udf(returnType=T.BinaryType())
+def pack_workbook(doc_id: pa.Array, sheet_xml: pa.Array) -> pa.Array:
+    return pa.array([_workbook(d, x) for d, x in zip(doc_id.to_pylist(), sheet_xml.to_pylist())], type=pa.binary())

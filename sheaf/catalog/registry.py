@@ -28,19 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# Tables whose rows fan out (lines, words, cells): worth spreading when the scan
-# itself gives fewer tasks than there are cores, as one small file does.
+# Tables whose rows fan out (lines, words, cells).
 SPREAD_KEYS = {"documents": "doc_id", "pages": "page_id"}
+SPREAD = "spark.sheaf.spreadPartitions"
 
 
 def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """``table``, spread by key only where the scan cannot fill the cores.
+    """``table``, spread by key over as many partitions as the session asks for.
 
-    A large table has one task per split and is left alone, so nothing is
-    shuffled at scale.
+    Unset or 0 (the default): one task per split, nothing is shuffled.  ``local_session``
+    sets it, since one small file is one split there.
     """
     df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, SPREAD_KEYS[name])
-    return df
+    partitions = int(spark.conf.get(SPREAD, "0"))
+    return df.repartition(partitions, SPREAD_KEYS[name]) if partitions else df

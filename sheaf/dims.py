@@ -33,7 +33,6 @@ MAX_SHEET_ROWS = 20_000
 MAX_SHEET_COLUMNS = 500
 MAX_SHEETS = 100
 MAX_SLIDES = 200
-MAX_SCENES = 200
 MAX_TABLE_ROWS = 10_000
 MAX_JPG_PAGES = 100
 MAX_TEXT_PAGES = 300
@@ -55,13 +54,6 @@ ARCHIVE_LIMITS = {
     "ratio": 200,
 }
 # The tighter archive limits for small devices.
-SMALL_ARCHIVE_LIMITS = {
-    "input_bytes": 25 * MIB,
-    "entries": 10_000,
-    "entry_bytes": 16 * MIB,
-    "total_bytes": 64 * MIB,
-    "ratio": 200,
-}
 
 DOCX_MIME = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 PPTX_MIME = "application/vnd.openxmlformats-officedocument.presentationml.presentation"
@@ -184,7 +176,6 @@ CAPABILITIES_SQL = values_sql(
     [(i, *row) for i, row in enumerate(CAPABILITIES)],
     "ord, id, kind, inputs, output, tool_slug, category, support",
 )
-NATIVE_PAIRS_SQL = values_sql(NATIVE_PAIRS, "id, pair, engine, fallback, status")
 ALLOWED_PAIRS_SQL = values_sql(
     [(p, e, f) for _, p, e, f, _ in NATIVE_PAIRS] + EXTRA_PAIRS, "pair, engine, fallback"
 )
@@ -207,10 +198,6 @@ def capabilities(spark: SparkSession) -> DataFrame:
     return spark.sql(CAPABILITIES_SQL)
 
 
-def native_pairs(spark: SparkSession) -> DataFrame:
-    return spark.sql(NATIVE_PAIRS_SQL)
-
-
 def allowed_pairs(spark: SparkSession) -> DataFrame:
     return spark.sql(ALLOWED_PAIRS_SQL)
 

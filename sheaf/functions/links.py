@@ -36,11 +36,6 @@ def is_external_target(target: Column, mode: Column | None = None) -> Column:
     return F.coalesce(F.lower(mode) == "external", F.lit(False)) | by_scheme
 
 
-def url_origin(url: Column) -> Column:
-    """``scheme://host[:port]``, lower case; null if there is no host."""
-    return F.lower(F.regexp_extract(url, r"(?i)^([a-z][a-z0-9+.-]*://)(?:[^/?#@]*@)?([^/?#]+)", 0)).alias("origin")
-
-
 def is_allowed_origin(url: Column, origins: list[str], suffix: str) -> Column:
     """Exact origin, or an https host below ``suffix`` with three labels or more."""
     scheme = F.lower(F.regexp_extract(url, r"(?i)^([a-z][a-z0-9+.-]*)://", 1))

@@ -71,10 +71,6 @@ def safe_request_name(name: Column, fallback: str = "document") -> Column:
     return _tidy(bare, r"[^A-Za-z0-9._\- ()\[\]]+", 100, fallback)
 
 
-def with_extension(base: Column, ext: str, fallback: str = "output") -> Column:
-    return F.concat(safe_file_name(base, fallback), F.lit(f".{ext}"))
-
-
 def format_bytes(size: Column) -> Column:
     """B/KB/MB/GB in steps of 1024.
 

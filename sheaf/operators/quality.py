@@ -12,13 +12,16 @@ def inventory(files: DataFrame, k: int = 12) -> DataFrame:
     """Count, bytes and the ``k`` largest of a whole corpus, one row."""
     totals = files.agg(F.count(F.lit(1)).alias("file_count"), F.sum("size").alias("total_bytes"))
     top = files.select("file_id", "size").orderBy(F.desc("size"), "file_id").limit(k)
-    largest = top.agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("s"), "file_id"))), lambda r: r["file_id"].cast("string")),
-            ",",
-        ).alias("largest")
+    none = F.lit(None).cast("long")
+    rows = totals.select("file_count", "total_bytes", none.alias("file_id"), none.alias("size")).unionByName(
+        top.select(none.alias("file_count"), none.alias("total_bytes"), "file_id", "size")
+    )
+    listed = F.collect_list(F.when(F.col("file_id").isNotNull(), F.struct((-F.col("size")).alias("s"), "file_id")))
+    return rows.agg(
+        F.max("file_count").alias("file_count"),
+        F.max("total_bytes").alias("total_bytes"),
+        F.array_join(F.transform(F.array_sort(listed), lambda r: r["file_id"].cast("string")), ",").alias("largest"),
     )
-    return totals.withColumn("one", F.lit(1)).join(largest.withColumn("one", F.lit(1)), "one").drop("one")
 
 
 def output_text_reconcile(texts: DataFrame, outputs: DataFrame, k: int = 5) -> DataFrame:

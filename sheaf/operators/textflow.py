@@ -127,31 +127,29 @@ def line_gaps(lines: DataFrame) -> DataFrame:
 
 BAND = 64.0
 SLACK = 4.0
-MOST_BANDS = 256
 
 
 def recover_links(lines: DataFrame, annotations: DataFrame) -> DataFrame:
     """Appends ``[link](url)`` for every allowed annotation over a line's height.
 
     A range join: both sides are cut into height bands, so lines meet only the
-    annotations near them.  An annotation of absurd height is joined by page.
+    annotations near them.  An annotation is cut to the span of its page's lines first,
+    so it has as many bands as the page at most.
     """
     low = F.least("y1", "y2") - SLACK
     high = F.greatest("y1", "y2") + SLACK
     notes = annotations.select(*PAGE, "ord", safe_extracted_link(F.col("url")).alias("url"), low.alias("low"), high.alias("high"))
-    notes = notes.where(F.col("url").isNotNull() & (F.col("url") != ""))
-    first_band, last_band = F.floor(F.col("low") / BAND), F.floor(F.col("high") / BAND)
-    tall = (last_band - first_band) > MOST_BANDS
+    span = lines.groupBy(*PAGE).agg(F.min("y").alias("_bottom"), F.max("y").alias("_top"))
+    notes = notes.where(F.col("url").isNotNull() & (F.col("url") != "")).join(span, PAGE)
+    first_band, last_band = F.floor(F.greatest("low", "_bottom") / BAND), F.floor(F.least("high", "_top") / BAND)
     packed = F.array_sort(F.collect_list(F.struct("ord", "url", "low", "high")))
     near = (
-        notes.where(~tall)
+        notes.where(first_band <= last_band)
         .withColumn("band", F.explode(F.sequence(first_band, last_band)))
         .groupBy(*PAGE, "band")
         .agg(packed.alias("near"))
     )
-    far = notes.where(tall).groupBy(*PAGE).agg(packed.alias("far"))
     nothing = F.expr("cast(array() as array<struct<ord:bigint,url:string,low:double,high:double>>)")
-    both = F.array_sort(F.concat(F.coalesce("near", nothing), F.coalesce("far", nothing)))
     # Annotation order, each url once.
     over = F.filter("notes", lambda n: (F.col("y") >= n["low"]) & (F.col("y") <= n["high"]))
     urls = F.array_distinct(F.transform(over, lambda n: n["url"]))
@@ -159,8 +157,7 @@ def recover_links(lines: DataFrame, annotations: DataFrame) -> DataFrame:
     return (
         lines.withColumn("band", F.floor(F.col("y") / BAND))
         .join(near, [*PAGE, "band"], "left")
-        .join(far, PAGE, "left")
-        .withColumn("notes", both)
+        .withColumn("notes", F.coalesce("near", nothing))
         .withColumn("linked", F.concat("text", tail))
         .select(*lines.columns, "linked")
     )

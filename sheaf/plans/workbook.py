@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import dims
 from ..functions.cells import is_external_formula
+from ..functions.links import is_external_target
 from ..operators import sheets as S
-from ..operators.archive import resolve_target, with_verdict
+from ..operators.archive import MACRO_TYPE, resolve_target, with_verdict
 from ..session import checkpoint_dir
 from ..sources.archive import part_rows
 from ..sources.office import (
@@ -17,6 +21,7 @@ from ..sources.office import (
     scan_relationships,
     scan_shared_strings,
     scan_sheet_cells,
+    scan_sheet_rejects,
     scan_styles,
     scan_workbook_sheets,
     xml_guard,
@@ -26,8 +31,13 @@ WORKBOOK = "xl/workbook.xml"
 RELS = "xl/_rels/workbook.xml.rels"
 STRINGS = "xl/sharedstrings.xml"
 STYLES = "xl/styles.xml"
-WANTED = r"^xl/(?:workbook\.xml|_rels/workbook\.xml\.rels|sharedstrings\.xml|styles\.xml|worksheets/[^/]+\.xml)\z"
+CONTENT_TYPES = "[content_types].xml"
+FIXED = [CONTENT_TYPES, WORKBOOK, RELS, STRINGS, STYLES]
+# Sheets lie where the relationships say, so any XML part may be one.
+WANTED = r"\.xml\z|^xl/_rels/workbook\.xml\.rels\z"
 BLOCKED = r"/embeddings/|/activex/|\.(?:bin|exe|js)\z"
+MACROS = r"vbaproject\.bin\z"
+ELSEWHERE = r"(?i)<(?:\w+:)?externalReferences\b"
 
 
 def workbook_parts(files: DataFrame) -> DataFrame:
@@ -38,7 +48,10 @@ def workbook_parts(files: DataFrame) -> DataFrame:
     judged = with_verdict(files)
     lower = F.transform("paths", F.lower)
     problem = (
-        F.when(F.col("archive_error").isNotNull(), F.col("archive_error"))
+        F.when(F.octet_length("content") > dims.MAX_OFFICE_BYTES, "too-large")
+        .when(F.col("archive_error").isNotNull(), F.col("archive_error"))
+        .when(~F.array_contains(lower, CONTENT_TYPES), "missing-content-types")
+        .when(F.exists(lower, lambda p: p.rlike(MACROS)), "macros")
         .when(F.exists(lower, lambda p: p.rlike(BLOCKED)), "embedded-content")
         .when(~F.array_contains(lower, WORKBOOK), "missing-workbook")
     )
@@ -61,26 +74,62 @@ def _of(parts: DataFrame, path: str) -> DataFrame:
     return parts.where(F.col("path") == path).select("file_id", "xml")
 
 
+def _package_problems(parts: DataFrame) -> DataFrame:
+    """file_id, problem: what the content types, the workbook part and its relationships
+    say against the whole file."""
+    rels = scan_relationships(_of(parts, RELS).withColumn("source_part", F.lit(WORKBOOK)))
+    blank = reduce(lambda a, b: a | b, (F.trim(F.coalesce(c, F.lit(""))) == "" for c in ("rel_id", "type", "target")))
+    away = is_external_target(F.coalesce("target", F.lit("")), F.col("mode"))
+    linked = rels.select("file_id", F.when(blank, "incomplete-relationship").when(away, "external-relationship").alias("problem"))
+    whole = parts.where(F.col("path").isin(CONTENT_TYPES, WORKBOOK)).select(
+        "file_id",
+        F.when((F.col("path") == CONTENT_TYPES) & F.col("xml").rlike(MACRO_TYPE), "macros")
+        .when((F.col("path") == WORKBOOK) & F.col("xml").rlike(ELSEWHERE), "external-references")
+        .alias("problem"),
+    )
+    unlinked = parts.where(F.col("path") == WORKBOOK).select("file_id").join(_of(parts, RELS).select("file_id"), "file_id", "left_anti")
+    found = linked.unionByName(whole).unionByName(unlinked.select("file_id", F.lit("missing-relationships").alias("problem")))
+    return found.where(F.col("problem").isNotNull())
+
+
 def workbook_cells(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``files``: file_id, content → (cells with their shown text, refused files).
 
-    The parts are checkpointed: six readers share one pass over the archives.
+    Every sheet of a workbook that is not refused gives cells; a sheet without a part to
+    read, with a part that is no worksheet, or without a filled cell refuses the file.
+    The parts are checkpointed: all readers share one pass over the archives.
     """
     checkpoint_dir(files.sparkSession)
     parts = workbook_parts(files).checkpoint()
-    refused = parts.where(F.col("problem").isNotNull()).groupBy("file_id").agg(F.min("problem").alias("problem"))
-    good = parts.join(refused.select("file_id"), "file_id", "left_anti")
+    fixed = F.col("path").isNull() | F.col("path").isin(FIXED)
+    refused = parts.where(fixed & F.col("problem").isNotNull()).select("file_id", "problem").unionByName(_package_problems(parts))
+    good = parts.where(F.col("problem").isNull()).join(refused.select("file_id").distinct(), "file_id", "left_anti")
 
-    rels = scan_relationships(_of(good, RELS).withColumn("source_part", F.lit(WORKBOOK)))
+    rels = scan_relationships(_of(parts, RELS).withColumn("source_part", F.lit(WORKBOOK)))
     targets = rels.select("file_id", "rel_id", F.lower(resolve_target(F.col("source_part"), F.col("target"))).alias("path"))
-    ordered = scan_workbook_sheets(_of(good, WORKBOOK)).join(targets, ["file_id", "rel_id"])
-    sheet_parts = ordered.select("file_id", "sheet_ord", "path").join(good, ["file_id", "path"])
+    named = scan_workbook_sheets(_of(parts, WORKBOOK)).join(targets, ["file_id", "rel_id"], "left")
+    # Every sheet the workbook names goes on from here: as a part to read or as a refusal.
+    found = named.select("file_id", "sheet_ord", "path").join(parts, ["file_id", "path"], "left")
+    why = F.when(F.col("path").isNull(), "sheet-without-part").otherwise(F.coalesce("problem", F.when(F.col("xml").isNull(), "sheet-part-missing")))
+    found = found.select("file_id", "sheet_ord", "xml", why.alias("problem")).checkpoint()
+    counts = named.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+    crowded = counts.where(F.col("n") > dims.MAX_SHEETS).select("file_id", F.lit("too-many-sheets").alias("problem"))
+    empty = _of(parts, WORKBOOK).select("file_id").join(counts, "file_id", "left_anti").select("file_id", F.lit("no-sheets").alias("problem"))
+    sheet_parts = found.where(F.col("problem").isNull()).select("file_id", "sheet_ord", "xml")
 
     raw = scan_sheet_cells(sheet_parts)
-    outside = raw.where(is_external_formula(F.col("f"))).groupBy("file_id").agg(F.lit("external-formula").alias("problem"))
-    kept = raw.join(outside.select("file_id"), "file_id", "left_anti")
+    outside = raw.where(is_external_formula(F.col("f"))).select("file_id", F.lit("external-formula").alias("problem"))
+    unread = scan_sheet_rejects(sheet_parts).where(F.col("reason") == "malformed").select("file_id", F.lit("malformed").alias("problem"))
+    blank = sheet_parts.select("file_id", "sheet_ord").join(raw.where("v <> '' or f is not null"), ["file_id", "sheet_ord"], "left_anti")
+    blank = blank.select("file_id", F.lit("blank-sheet").alias("problem"))
+    sheets = found.where(F.col("problem").isNotNull()).select("file_id", "problem")
+    # A package refused as a whole is not read further.
+    inner = reduce(DataFrame.unionByName, [sheets, crowded, empty, outside, unread, blank])
+    alone = parts.where(F.col("path").isNull() & F.col("problem").isNotNull()).select("file_id").distinct()
+    refused = refused.unionByName(inner.join(alone, "file_id", "left_anti")).groupBy("file_id").agg(F.min("problem").alias("problem")).checkpoint()
+    kept = raw.join(refused.select("file_id"), "file_id", "left_anti")
 
     styles = _of(good, STYLES)
     typed = S.typed_cells(S.shared_strings(kept, scan_shared_strings(_of(good, STRINGS))))
     styled = S.style_snowflake(typed, scan_styles(styles), scan_fonts(styles), scan_fills(styles), scan_number_formats(styles))
-    return S.display_text(S.dated_cells(styled)), refused.unionByName(outside)
+    return S.display_text(S.dated_cells(styled)), refused

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -36,6 +37,7 @@ def local_session(cores: int | str = "*", app: str = "sheaf", **conf: str) -> Sp
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.sheaf.spreadPartitions", str(os.cpu_count() if cores == "*" else cores))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in {**SQL_SETTINGS, **conf}.items():

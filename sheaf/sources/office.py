@@ -18,23 +18,44 @@ from ..functions.text import EMU_PER_POINT, clamp
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 DANGEROUS = r"(?i)<!DOCTYPE|<!ENTITY|\b(?:SYSTEM|PUBLIC)\b|\[\s*<!"
 ASIDE = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>"
-TAG = r"</?[A-Za-z_][^>]*>"
+NAME = r"[A-Za-z_:][\w:.\-]*"
+QUOTED = r"""(?:"[^"<]*"|'[^'<]*')"""
+# A tag ends at the first ``>`` outside quotes.
+TAG = r"""</?[A-Za-z_:](?:[^<>"']|"[^"]*"|'[^']*')*>"""
+WHOLE_TAG = rf"^(?:<{NAME}(?:\s+{NAME}\s*=\s*{QUOTED})*\s*/?>|</{NAME}\s*>)\z"
+REPEATED = r"\s([\w:.\-]+)\s*=.*\s\1\s*="
 
 
 def xml_guard(text: Column) -> Column:
-    """Reason to refuse an XML text, null when it may be parsed."""
+    """Reason to refuse an XML text, null when it may be parsed.
+
+    Well-formed means: every tag is whole, its attributes quoted and named once, tags
+    close in the order they opened, and there is one root.
+    """
     bare = F.regexp_replace(text, ASIDE, "")
     tags = F.regexp_extract_all(bare, F.lit(TAG), F.lit(0))
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("deepest"), F.lit(False).alias("torn"))
+    start = F.struct(
+        F.expr("cast(array() as array<string>)").alias("open"), F.lit(0).alias("deepest"), F.lit(0).alias("roots"), F.lit(False).alias("torn")
+    )
 
     def step(s: Column, tag: Column) -> Column:
-        inner = s["depth"] + F.when(tag.startswith("</"), -1).when(tag.endswith("/>"), 0).otherwise(1)
-        reached = s["depth"] + F.when(tag.startswith("</"), 0).otherwise(1)
+        name = F.regexp_extract(tag, r"^</?([^\s/>]+)", 1)
+        closes, alone, depth = tag.startswith("</"), tag.endswith("/>"), F.size(s["open"])
+        emptied = F.regexp_replace(tag, QUOTED, '""')
+        bad = ~tag.rlike(WHOLE_TAG) | emptied.rlike(REPEATED) | (closes & ~F.coalesce(F.element_at(s["open"], -1).eqNullSafe(name), F.lit(False)))
         return F.struct(
-            inner.alias("depth"), F.greatest(s["deepest"], reached).alias("deepest"), (s["torn"] | (inner < 0)).alias("torn")
+            F.when(closes, F.slice(s["open"], 1, F.greatest(depth - 1, F.lit(0))))
+            .when(alone, s["open"])
+            .otherwise(F.concat(s["open"], F.array(name)))
+            .alias("open"),
+            F.greatest(s["deepest"], depth + F.when(closes, 0).otherwise(1)).alias("deepest"),
+            (s["roots"] + F.when(~closes & (depth == 0), 1).otherwise(0)).alias("roots"),
+            (s["torn"] | bad).alias("torn"),
         )
 
+    # Counted before any fold: neither nodes nor depth may cost more than their caps.
     shape = F.aggregate(tags, start, step)
+    stray = F.regexp_replace(bare, TAG, "").contains("<")
     return (
         F.when(F.length(text) > dims.MAX_XML_BYTES, "too-large")
         .when(text.rlike(CONTROL), "control-character")
@@ -42,7 +63,7 @@ def xml_guard(text: Column) -> Column:
         .when(bare.rlike(UNDECLARED), "undeclared-entity")
         .when(F.regexp_count(bare, F.lit("<[A-Za-z_]")) > dims.MAX_XML_NODES, "too-many-nodes")
         .when(shape["deepest"] > dims.MAX_XML_DEPTH, "too-deep")
-        .when(shape["torn"] | (shape["depth"] != 0) | (F.size(tags) == 0), "malformed")
+        .when(shape["torn"] | (F.size(shape["open"]) != 0) | (shape["roots"] != 1) | stray, "malformed")
     )
 
 
@@ -62,27 +83,42 @@ def _sheet(parts: DataFrame) -> DataFrame:
     return parts.select("file_id", "sheet_ord", F.from_xml("xml", SHEET_SCHEMA, NO_NS).alias("x"))
 
 
-def scan_sheet_cells(parts: DataFrame) -> DataFrame:
-    """file_id, sheet_ord, row, col, ref, t, v, f, style_idx; cells off the grid are dropped."""
+def _cells(parts: DataFrame) -> DataFrame:
     rows = _sheet(parts).select("file_id", "sheet_ord", F.explode_outer("x.sheetData.row").alias("r"))
     cells = rows.select("file_id", "sheet_ord", F.explode_outer("r.c").alias("c"))
+    on_grid = (F.col("at.row") < dims.MAX_SHEET_ROWS) & (F.col("at.col") < dims.MAX_SHEET_COLUMNS)
+    placed = cells.where(F.col("c").isNotNull()).withColumn("at", a1_to_rowcol(F.coalesce("c._r", F.lit(""))))
+    return placed.withColumn("on_grid", F.coalesce(on_grid, F.lit(False)))
+
+
+def scan_sheet_cells(parts: DataFrame) -> DataFrame:
+    """file_id, sheet_ord, row, col, ref, t, v, f, style_idx of the cells on the grid;
+    ``scan_sheet_rejects`` has the others."""
     inline = F.coalesce("c.is.t", F.array_join(F.transform("c.is.r", lambda r: r["t"]), ""), F.lit(""))
-    return (
-        cells.select(
-            "file_id",
-            "sheet_ord",
-            a1_to_rowcol(F.coalesce("c._r", F.lit(""))).alias("at"),
-            F.col("c._r").alias("ref"),
-            F.col("c._t").alias("t"),
-            F.trim(F.when(F.col("c._t") == "inlineStr", inline).otherwise(F.coalesce("c.v", F.lit("")))).alias("v"),
-            F.nullif(F.trim("c.f"), F.lit("")).alias("f"),
-            F.coalesce(F.floor(F.col("c._s").try_cast("double")), F.lit(0)).cast("long").alias("style_idx"),
-        )
-        .where((F.col("at.row") < dims.MAX_SHEET_ROWS) & (F.col("at.col") < dims.MAX_SHEET_COLUMNS))
-        .select("file_id", "sheet_ord", F.col("at.row").alias("row"), F.col("at.col").alias("col"), "ref", "t", "v", "f", "style_idx")
+    return _cells(parts).where("on_grid").select(
+        "file_id",
+        "sheet_ord",
+        F.col("at.row").alias("row"),
+        F.col("at.col").alias("col"),
+        F.col("c._r").alias("ref"),
+        F.col("c._t").alias("t"),
+        F.trim(F.when(F.col("c._t") == "inlineStr", inline).otherwise(F.coalesce("c.v", F.lit("")))).alias("v"),
+        F.nullif(F.trim("c.f"), F.lit("")).alias("f"),
+        F.coalesce(F.floor(F.col("c._s").try_cast("double")), F.lit(0)).cast("long").alias("style_idx"),
     )
 
 
+def scan_sheet_rejects(parts: DataFrame) -> DataFrame:
+    """What a sheet holds and the grid does not: file_id, sheet_ord, ref, reason (bad
+    reference, or row or column beyond the grid's size); one row without a reference for
+    a part that is no worksheet."""
+    off = _cells(parts).where(~F.col("on_grid"))
+    known = F.col("at.row").isNotNull() & F.col("at.col").isNotNull()
+    cells = off.select("file_id", "sheet_ord", F.col("c._r").alias("ref"), F.when(known, "off-grid").otherwise("bad-reference").alias("reason"))
+    unread = _sheet(parts).where(F.col("x").isNull()).select("file_id", "sheet_ord", F.lit(None).cast("string").alias("ref"), F.lit("malformed").alias("reason"))
+    return cells.unionByName(unread)
+
+
 def scan_sheet_dims(parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Column spans, row heights and merges of worksheets."""
     sheet = _sheet(parts)

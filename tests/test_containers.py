@@ -127,6 +127,10 @@ def test_xml_parts(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(bad)], "i int, xml string")
     got = [r[0] for r in df.orderBy("i").select(O.xml_guard(F.col("xml"))).collect()]
     assert got == [None, "malformed", "dtd-or-entity", "control-character", "undeclared-entity", None, "malformed", "malformed"]
+    more = ['<a b="x>y"/>', "<a><v>1</w></a>", "<a b=c/>", '<a b="1" c="2" b="3"/>', "<a/><b/>", "<a><b></a></b>", "<a>1 < 2</a>", "<a b='1' ab='2'><c d=\"'\"/></a>"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(more)], "i int, xml string")
+    got = [r[0] for r in df.orderBy("i").select(O.xml_guard(F.col("xml"))).collect()]
+    assert got == [None, *["malformed"] * 6, None]
     rels = '<Relationships xmlns="urn:r"><Relationship Id="rId1" Type="t/hyperlink" Target="http://e.example" TargetMode="External"/></Relationships>'
     out = O.scan_relationships(spark.createDataFrame([(1, "word/document.xml", rels)], "file_id long, source_part string, xml string")).first()
     assert (out.rel_id, out.target, out.mode) == ("rId1", "http://e.example", "External")
