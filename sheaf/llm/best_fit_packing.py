@@ -32,22 +32,18 @@ END_ID = 2
 DOCUMENTS = 1024  # places for documents in a sequence: as many as it has tokens
 ATTENTION = TOKENS * TOKENS  # pairs of positions; one document of full length asks this much
 WEIGHTS = (1.0, 0.05, 0.25)
-CACHED = 200_000  # words whose ids a worker remembers
 BLOCK = 20_000
 
 
 class Encoder:
     """Ids of the byte-level BPE file ``path``, the same as the tokenizers library gives.
 
-    Between a word and a single blank its pre-tokens never meet, so words (with the
-    blank before them) are encoded once and remembered; the BPE itself is tiktoken's,
-    on the same vocabulary, which takes a sixth of the time.  Texts with other white
-    space runs, or with the special token's string, are left to the library itself.
+    The BPE is tiktoken's, on the same vocabulary and pattern, which takes a sixth of
+    the library's time; a text with a special token's string is left to the library.
     """
 
     def __init__(self, path: str):
         import base64
-        import re
 
         import public_tokenizers
         import tiktoken
@@ -60,32 +56,11 @@ class Encoder:
         self.bpe = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.runs = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
-        self.known = _Words(self.bpe)
 
     def encode(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        if self.runs.search(text):
-            return np.array(self.bpe.encode_ordinary(text), np.uint32)
-        if len(self.known) > CACHED:
-            self.known.clear()
-        # "a b\nc" is "a", " b", "\n", "c".
-        words = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") if "\x00" not in text else [text]
-        found = b"".join(map(self.known.__getitem__, words))
-        return np.frombuffer(found, np.uint32) if found else np.zeros(0, np.uint32)
-
-
-class _Words(dict):
-    def __init__(self, bpe):
-        super().__init__()
-        self.bpe = bpe
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.bpe.encode_ordinary(word), "<u4").tobytes()
-        if len(word) < 40:
-            self[word] = ids
-        return ids
+        return np.array(self.bpe.encode_ordinary(text), np.uint32)
 
 
 _ENCODERS: dict[str, Encoder] = {}
