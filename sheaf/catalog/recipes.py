@@ -103,10 +103,11 @@ def range_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- D4: a page table -------------------------------------------------------------
 
-PAGE_TABLE = """SELECT l_orderkey AS doc, CAST(l_linenumber AS BIGINT) AS page, l_orderkey % 50 AS batch_id,
-  max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 1 AS selected, 90 * (min(l_suppkey) % 4) AS rotation,
-  CAST(min(l_quantity) * 20 AS DOUBLE) AS width, CAST(max(l_quantity) * 20 AS DOUBLE) AS height
-  FROM <lineitem> GROUP BY l_orderkey, l_linenumber"""
+# The lines of an order, numbered by all their columns: line numbers repeat.
+NUMBERED = """SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+  l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS BIGINT) AS n FROM <lineitem>"""
+PAGE_TABLE = f"""SELECT l_orderkey AS doc, n AS page, l_orderkey % 50 AS batch_id, l_returnflag = 'R' AS selected, 90 * (l_suppkey % 4) AS rotation,
+  CAST(l_quantity * 20 AS DOUBLE) AS width, CAST((51 - l_quantity) * 20 AS DOUBLE) AS height FROM ({NUMBERED}) AS numbered"""
 PAGE_TABLE_DUCK = duck(PAGE_TABLE)
 
 
@@ -250,11 +251,10 @@ def text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir, NOTES, "documents", wide=True)
 
-# ---- D7: workbooks from lineitem: one sheet per order, one row per line number ------------------
+# ---- D7: workbooks from lineitem: one sheet per order, one row per line ------------------
 
-SHEET_ROWS = """SELECT l_orderkey AS file_id, CAST(0 AS BIGINT) AS sheet_ord, CAST(l_linenumber AS BIGINT) AS rown, min(l_suppkey) AS sk,
-  min(l_partkey) AS pk, CAST(min(l_quantity) AS BIGINT) AS q, CAST(floor(min(l_extendedprice)) AS BIGINT) AS price,
-  chr(min(ascii(l_returnflag))) AS flag, chr(min(ascii(l_linestatus))) AS stat FROM <lineitem> GROUP BY l_orderkey, l_linenumber"""
+SHEET_ROWS = f"""SELECT l_orderkey AS file_id, CAST(0 AS BIGINT) AS sheet_ord, n AS rown, l_suppkey AS sk, l_partkey AS pk,
+  CAST(l_quantity AS BIGINT) AS q, CAST(floor(l_extendedprice) AS BIGINT) AS price, l_returnflag AS flag, l_linestatus AS stat FROM ({NUMBERED}) AS numbered"""
 SHEET_ROWS_DUCK = duck(SHEET_ROWS)
 
 # col, type, value, formula, style
