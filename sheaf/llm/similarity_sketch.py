@@ -11,7 +11,7 @@ the cost of one or two rounds for all but the shortest texts.
 Bands of the sketch propose pairs, one bit of every coordinate screens them, and full
 shingle sets decide each of them.  Of a
 bucket's pairs only these are looked at: every member against the smallest one, and
-then, among members that this did not join, those of different components.  At
+then, inside the tasks, those of members whose components still differ.  At
 similarity 0.75 a pair shares no band with odds of 5e-6, less above it.
 
 Defined cases: a null or empty text, or one without words, has no shingles and is
@@ -39,7 +39,7 @@ PERCENT = 75
 LEAST_BITS = 414  # of 512 one-bit coordinates; a pair at 0.75 has fewer with odds of 3e-6
 BITS = [f"b{i}" for i in range(SIZE // 64)]
 HUB_SHARE = 2000  # members of a hub that meet in one task
-HEAVY = 1 << 22  # pairs of a bucket, beyond which a second band must agree as well
+BLOCK = 512  # members of a bucket compared at once
 
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -176,28 +176,112 @@ def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, doc_id: str, te
     return met.mapInArrow(compare, "a long, b long").distinct()
 
 
-def apart(multi: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
-    """Likely pairs of one bucket whose components differ.
+def blocked(multi: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the buckets in which components differ, dealt into groups.
 
-    The largest component of a bucket is compared with the others only, so a bucket
-    full of joined copies costs nothing.  A bucket with many pairs left asks for a
-    second common band.
+    The largest component of a bucket is only compared with the others, so a bucket full
+    of joined copies costs little.  Both sides are cut into blocks, and a group is one
+    block of the others with one block of either side: of a bucket of any size, a task
+    gets ``2 * BLOCK`` members at a time.
     """
     rows = multi.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("comp"))
     rows = C.stash(rows, "members")
     parts = rows.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c"))
     tops = parts.groupBy("band").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("parts"))
-    tops = C.stash(tops.where("parts > 1").select("band", F.col("top.comp").alias("major"), ((F.col("all") - F.col("top.c")) * F.col("all") > HEAVY).alias("heavy")), "split")
-    rows = rows.join(tops, "band").select("band", "node", "comp", (F.col("comp") != F.col("major")).alias("minor"), "heavy")
-    rows = rows.join(signed, "node").select(
-        F.explode(F.when(F.col("heavy"), F.transform(F.filter("bands", lambda b: b != F.col("band")), lambda b: F.xxhash64("band", b))).otherwise(F.array("band"))).alias("band"),
-        "node", "comp", "minor", "n", *BITS,
-    )
-    rows = C.stash(rows, "apart")
-    left, right = rows.where("minor").alias("l"), rows.alias("r")
-    cond = (F.col("l.band") == F.col("r.band")) & (F.col("l.comp") != F.col("r.comp")) & (~F.col("r.minor") | (F.col("l.node") < F.col("r.node")))
-    both = left.join(right, cond & likely("l", "r"))
-    return both.select(F.least("l.node", "r.node").alias("b"), F.greatest("l.node", "r.node").alias("a")).distinct().select("a", "b")
+    most, rest = F.ceil(F.col("top.c") / BLOCK), F.ceil((F.col("all") - F.col("top.c")) / BLOCK)
+    tops = C.stash(tops.where("parts > 1").select("band", F.col("top.comp").alias("major"), most.alias("most"), rest.alias("rest")), "split")
+    rows = rows.join(tops, "band").withColumn("minor", F.col("comp") != F.col("major"))
+    own = F.when(F.col("minor"), F.expr("pmod(xxhash64(node), rest)")).otherwise(F.expr("pmod(xxhash64(node), most)"))
+    rows = rows.withColumn("own", own)
+    each = F.sequence(F.lit(0).cast("long"), F.col("rest") - 1)
+    among = F.transform(each, lambda k: F.struct(F.lit(True).alias("among"), F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
+    across = F.transform(F.sequence(F.lit(0).cast("long"), F.col("most") - 1), lambda k: F.struct(F.lit(False).alias("among"), F.col("own").alias("i"), k.alias("j")))
+    theirs = F.transform(each, lambda k: F.struct(F.lit(False).alias("among"), k.alias("i"), F.col("own").alias("j")))
+    rows = rows.withColumn("g", F.explode(F.when(F.col("minor"), F.concat(among, across)).otherwise(theirs)))
+    return rows.select(
+        F.xxhash64("band", "g.among", "g.i", "g.j").alias("group"), "band", "node", "comp", "minor", "own", (F.col("g.among") & (F.col("g.i") == F.col("g.j"))).alias("one"), F.col("g.among").alias("among")
+    )
+
+
+def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per member of a group the members before it that it may be linked with: of another
+    component, of like size and bits, and in no earlier bucket together."""
+    names = ["group", "node", "comp", "partners"]
+    for table in C.grouped(batches, "group"):
+        n = table.num_rows
+        get = {c: table.column(c).to_numpy() for c in ("group", "node", "comp", "minor", "own", "one", "among", "n", "band")}
+        bits = np.stack([table.column(b).to_numpy() for b in BITS], axis=1).view(np.uint64)
+        keys = table.column("bands").combine_chunks().flatten().to_numpy().reshape(n, BANDS)
+        place = np.argmax(keys == get["band"][:, None], axis=1)  # the bucket's own band
+        wanted = np.zeros(n, bool)
+        found: list[np.ndarray] = []
+        for i in range(n):
+            j = np.flatnonzero(get["comp"][:i] != get["comp"][i])
+            # Members of one block meet in the block's own group, sides in theirs.
+            apart = np.where(get["among"][j], get["one"][j] | (get["own"][j] != get["own"][i]), get["minor"][j] != get["minor"][i])
+            j = j[apart]
+            small, large = np.minimum(get["n"][j], get["n"][i]), np.maximum(get["n"][j], get["n"][i])
+            j = j[100 * small >= PERCENT * large]
+            j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= SIZE - LEAST_BITS]
+            j = j[np.argmax(keys[j] == keys[i], axis=1) == place[i]]
+            wanted[i] |= bool(len(j))
+            wanted[j] = True
+            found.append(j)
+        if wanted.any():
+            at = np.flatnonzero(wanted)
+            ends = np.concatenate([[0], np.cumsum([len(found[i]) for i in at])]).astype(np.int32)
+            partners = get["node"][np.concatenate([found[i] for i in at])] if ends[-1] else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*[pa.array(get[c][at]) for c in names[:3]], pa.ListArray.from_arrays(pa.array(ends), pa.array(partners))], names=names)
+
+
+def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between components of a group by full sets; pairs that other links have
+    joined by then are left out, so a group gives fewer links than it has members."""
+    for table in C.grouped(batches, "group"):
+        data, bounds = C.text_buffer(table.column("text"))
+        grams, rows = zip(*(shingles(data[bounds[k] : bounds[k + 1]], np.array([0, bounds[k + 1] - bounds[k]])) for k in range(table.num_rows)))
+        k1, k2 = (np.array([set_keys(g, r, 1)[x][0] for g, r in zip(grams, rows)]) for x in (1, 2))
+        true = (k1 == table.column("k1").to_numpy()) & (k2 == table.column("k2").to_numpy())  # else another text under the id
+        nodes, comp = table.column("node").to_numpy(), table.column("comp").to_numpy()
+        sets = {int(nodes[k]): np.sort(grams[k]) for k in np.flatnonzero(true)}
+        parent = {int(c): int(c) for c in comp}
+        of = dict(zip(nodes.tolist(), comp.tolist()))
+
+        def top(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        links = []
+        for node, partners in zip(nodes.tolist(), table.column("partners").to_pylist()):
+            for other in partners:
+                x, y = top(of[node]), top(of[other])
+                if x == y or node not in sets or other not in sets:
+                    continue
+                a, b = sets[node], sets[other]
+                shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+                if 100 * shared >= PERCENT * (len(a) + len(b) - shared):
+                    parent[x] = y
+                    links.append((of[node], of[other]))
+        if links:
+            a, b = zip(*links)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def across_components(multi: DataFrame, labels: DataFrame, signed: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Links (a, b) of components that the links to the hubs have left apart.
+
+    Pairs are formed and decided inside the tasks: what leaves them has a row a member,
+    or a row a link, however many pairs a group has.
+    """
+    members = blocked(multi, labels).join(signed.select("node", "n", *BITS, "bands"), "node")
+    near = members.repartition("group").sortWithinPartitions("group").mapInArrow(screen, "group long, node long, comp long, partners array<long>")
+    wanted = C.stash(near.join(signed.select("node", "id", "k1", "k2"), "node"), "apart")
+    # One row a document on its way to the text; its groups follow from there.
+    asked = wanted.groupBy("node", "id", "k1", "k2", "comp").agg(F.collect_list(F.struct("group", "partners")).alias("groups"))
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).hint("merge").join(C.stash(asked, "asked"), F.col("_id").eqNullSafe(F.col("id")))
+    met = texts.select("node", "comp", "k1", "k2", "text", F.explode("groups").alias("g")).select("g.group", "node", "comp", "k1", "k2", "g.partners", "text")
+    return met.repartition("group").sortWithinPartitions("group").mapInArrow(settle, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -218,13 +302,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     links = C.stash(confirm(stars, docs, signed, doc_id, text), "links")
     labels = C.components(links)
 
-    more = C.stash(apart(multi, labels, signed).join(stars, ["a", "b"], "left_anti"), "pairs")
+    more = C.stash(across_components(multi, labels, signed, docs, doc_id, text), "links")
     if not more.isEmpty():
-        found = C.stash(confirm(more, docs, signed, doc_id, text), "links")
-        of = {s: labels.select(F.col("node").alias(s), F.col("label").alias(f"{s}_label")) for s in ("a", "b")}
-        joined = found.join(of["a"], "a", "left").join(of["b"], "b", "left")
-        joined = joined.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
-        higher = C.components(joined).select(F.col("node").alias("label"), F.col("label").alias("up"))
+        higher = C.components(more).select(F.col("node").alias("label"), F.col("label").alias("up"))
         single = higher.select(F.col("label").alias("node"), F.col("up").alias("label")).join(labels, "node", "left_anti")
         labels = labels.join(higher, "label", "left").select("node", F.coalesce("up", "label").alias("label")).unionByName(single)
         labels = C.stash(labels, "labels")
