@@ -24,7 +24,7 @@ from . import common as C
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
-BLOCK = 20_000  # documents of a block of keys
+BLOCK = 2_000  # documents of a block of keys
 WORD = r"[^\x20\x09-\x0D]+"
 LEAST_WEIGHT = 0.05
 
