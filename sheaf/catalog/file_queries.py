@@ -647,7 +647,9 @@ def scalar_numbers(spark, sf):
 
 @query(
     "scalar_binary",
-    f"""SELECT file_id, CASE WHEN file_id % 3 = 0 THEN upper(substr(md5(text), 1, 6)) ELSE '111827' END AS colour, octet_length(content) AS bytes,
+    f"""SELECT file_id, CASE WHEN file_id % 3 = 0 THEN upper(substr(md5(text), 1, 6)) ELSE '111827' END AS colour,
+      CASE file_id % 5 WHEN 0 THEN upper(substr(md5(text), 1, 6)) WHEN 1 THEN upper(repeat(substr(md5(text), 1, 1), 2) || repeat(substr(md5(text), 2, 1), 2) || repeat(substr(md5(text), 3, 1), 2))
+        WHEN 2 THEN '0C' || lpad(hex(file_id % 256), 2, '0') || 'FF' WHEN 3 THEN '010203' ELSE '1A1F26' END AS css, octet_length(content) AS bytes,
       CASE WHEN octet_length(content) >= 2 THEN CAST('0x' || substr(hex(content), 1, 4) AS BIGINT) END AS u16, md5(text) AS round_trip
     FROM (SELECT doc_id AS file_id, text, encode(text) AS content FROM documents)""",
 )
@@ -655,9 +657,18 @@ def scalar_binary(spark, sf):
     content = F.encode("text", "UTF-8")
     digest = F.md5(content)
     colour = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("#"), F.substring(digest, 1, 6))).otherwise("rgb(1,2,3)")
+    n, fid = F.pmod("doc_id", F.lit(256)).cast("string"), F.col("doc_id") % 5
+    css = (
+        F.when(fid == 0, F.concat(F.lit(" #"), F.substring(digest, 1, 6)))
+        .when(fid == 1, F.concat(F.lit("#"), F.substring(digest, 1, 3)))
+        .when(fid == 2, F.concat(F.lit("rgba(11.6, "), n, F.lit(", 999, 0.5)")))
+        .when(fid == 3, "RGB(1 2 3)")
+        .otherwise("#12")
+    )
     return table(spark, sf, "documents").select(
         F.col("doc_id").alias("file_id"),
         X.hex_colour(colour).alias("colour"),
+        X.css_colour(css).alias("css"),
         F.octet_length(content).cast("long").alias("bytes"),
         F.when(F.octet_length(content) >= 2, I.big_endian(content, 0, 2)).alias("u16"),
         F.md5(F.unbase64(F.base64(content))).alias("round_trip"),

@@ -293,7 +293,7 @@ CELLS_DUCK = _cells(SHEET_ROWS_DUCK, "duck")
 STRINGS = f"SELECT file_id, rown - 1 AS idx, 'text ' || CAST(pk AS STRING) AS text FROM ({SHEET_ROWS}) AS r"
 STYLES = f"""SELECT file_id, rown - 1 AS idx, sk % 3 AS font_id, pk % 3 AS fill_id, CASE sk % 5 WHEN 0 THEN 14 WHEN 1 THEN 165 WHEN 2 THEN 20 WHEN 3 THEN 166 ELSE 0 END AS num_fmt_id,
   CASE pk % 4 WHEN 0 THEN 'center' WHEN 1 THEN 'right' WHEN 2 THEN 'justify' ELSE NULL END AS align FROM ({SHEET_ROWS}) AS r"""
-FONTS = f"SELECT file_id, rown - 1 AS idx, sk % 2 = 0 AS bold, pk % 2 = 0 AS italic, '#0000' || lpad(CAST(q AS STRING), 2, '0') AS color FROM ({SHEET_ROWS}) AS r"
+FONTS = f"SELECT file_id, rown - 1 AS idx, sk % 2 = 0 AS bold, pk % 2 = 0 AS italic, pk % 3 = 0 AS underline, '#0000' || lpad(CAST(q AS STRING), 2, '0') AS color FROM ({SHEET_ROWS}) AS r"
 FILLS = f"SELECT file_id, rown - 1 AS idx, '#' || lpad(CAST(price % 1000000 AS STRING), 6, '0') AS fill FROM ({SHEET_ROWS}) AS r"
 NUM_FMTS = f"""SELECT file_id, CAST(164 + rown AS BIGINT) AS num_fmt_id, CASE rown WHEN 1 THEN 'yyyy-mm-dd' WHEN 2 THEN '[Red]0.00"day"' ELSE 'dd/mm' END AS code FROM ({SHEET_ROWS}) AS r"""
 MERGES = f"""SELECT file_id, sheet_ord, rown AS ord, rown - 1 AS row, sk % 4 AS col, 1 + pk % 2 AS rowspan, 1 + sk % 3 AS colspan

@@ -88,7 +88,7 @@ def external_workbooks(spark, sf):
     return S.external_workbooks(R.sheet(spark, sf, R.CELLS))
 
 
-_STYLED = f"""SELECT c.file_id, c.ref, c.v, c.t, s.align AS raw_align, fo.bold, fo.italic, fo.color, fi.fill, coalesce(n.code, b.code) AS code FROM ({CELLS}) AS c
+_STYLED = f"""SELECT c.file_id, c.ref, c.v, c.t, s.align AS raw_align, fo.bold, fo.italic, fo.underline, fo.color, fi.fill, coalesce(n.code, b.code) AS code FROM ({CELLS}) AS c
   LEFT JOIN ({D(R.STYLES)}) AS s ON s.file_id = c.file_id AND s.idx = c.style_idx
   LEFT JOIN ({D(R.FONTS)}) AS fo ON fo.file_id = s.file_id AND fo.idx = s.font_id LEFT JOIN ({D(R.FILLS)}) AS fi ON fi.file_id = s.file_id AND fi.idx = s.fill_id
   LEFT JOIN ({D(R.NUM_FMTS)}) AS n ON n.file_id = s.file_id AND n.num_fmt_id = s.num_fmt_id LEFT JOIN ({dims.NUMBER_FORMATS_SQL}) AS b ON b.num_fmt_id = s.num_fmt_id"""
@@ -102,11 +102,11 @@ def _styled(spark, sf, cells):
 
 @query(
     "style_snowflake",
-    f"""SELECT file_id, ref, bold, italic, color, fill, CASE WHEN raw_align IN ('left','center','right') THEN raw_align END AS align, code AS num_fmt_code FROM ({_STYLED})""",
+    f"""SELECT file_id, ref, bold, italic, underline, color, fill, CASE WHEN raw_align IN ('left','center','right') THEN raw_align END AS align, code AS num_fmt_code FROM ({_STYLED})""",
 )
 def style_snowflake(spark, sf):
     out = _styled(spark, sf, R.sheet(spark, sf, R.CELLS).select("file_id", "ref", "style_idx"))
-    return out.select("file_id", "ref", "bold", "italic", "color", "fill", "align", "num_fmt_code")
+    return out.select("file_id", "ref", "bold", "italic", "underline", "color", "fill", "align", "num_fmt_code")
 
 
 @query(

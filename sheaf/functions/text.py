@@ -175,3 +175,15 @@ def points_to_twips(col: Column) -> Column:
 def hex_colour(value: Column, fallback: str = "111827") -> Column:
     raw = F.regexp_replace(F.coalesce(value, F.lit(f"#{fallback}")), "^#", "")
     return F.when(raw.rlike(r"(?i)^[0-9a-f]{6}\z"), F.upper(raw)).otherwise(F.lit(fallback))
+
+
+def css_colour(value: Column, fallback: str = "1A1F26") -> Column:
+    """Six hex digits of ``#rgb``, ``#rrggbb`` or ``rgb()`` / ``rgba()`` (parts rounded and
+    held to 0..255); anything else is the fallback."""
+    bare = F.trim(value)
+    short = F.regexp_replace(F.regexp_extract(bare, r"(?i)^#([0-9a-f]{3})\z", 1), "(.)", "$1$1")
+    full = F.regexp_extract(bare, r"(?i)^#([0-9a-f]{6})\z", 1)
+    parts = [F.regexp_extract(value, r"(?i)rgba?\(\s*([\d.]+)[, ]+\s*([\d.]+)[, ]+\s*([\d.]+)", k).try_cast("double") for k in (1, 2, 3)]
+    bytes_ = [F.when(p.isNotNull(), F.lpad(F.hex(F.least(F.lit(255), F.floor(p + 0.5)).cast("long")), 2, "0")) for p in parts]
+    found = F.coalesce(F.nullif(full, F.lit("")), F.nullif(short, F.lit("")), F.concat(*bytes_), F.lit(fallback))
+    return F.upper(found)

@@ -59,7 +59,7 @@ def resolved_styles(styles: DataFrame, fonts: DataFrame, fills: DataFrame, num_f
     custom = num_fmts.select("file_id", "num_fmt_id", F.col("code").alias("_custom"))
     return (
         styles.withColumn("num_fmt_id", F.col("num_fmt_id").cast("long"))
-        .join(fonts.select("file_id", F.col("idx").alias("font_id"), "bold", "italic", "color"), ["file_id", "font_id"], "left")
+        .join(fonts.select("file_id", F.col("idx").alias("font_id"), "bold", "italic", "underline", "color"), ["file_id", "font_id"], "left")
         .join(fills.select("file_id", F.col("idx").alias("fill_id"), "fill"), ["file_id", "fill_id"], "left")
         .join(custom, ["file_id", "num_fmt_id"], "left")
         .join(builtin, "num_fmt_id", "left")
@@ -68,6 +68,7 @@ def resolved_styles(styles: DataFrame, fonts: DataFrame, fills: DataFrame, num_f
             F.col("idx").alias("style_idx"),
             "bold",
             "italic",
+            "underline",
             "color",
             "fill",
             F.when(F.col("align").isin("left", "center", "right"), F.col("align")).alias("align"),

@@ -329,7 +329,7 @@ def scan_fonts(parts: DataFrame) -> DataFrame:
     font = "struct<b: string, i: string, u: string, color: struct<_rgb: string>>"
     rows = _list(parts, f"struct<fonts: struct<font: array<{font}>>>", "fonts.font")
     return rows.select(
-        "file_id", "idx", F.col("e.b").isNotNull().alias("bold"), F.col("e.i").isNotNull().alias("italic"), _colour(F.col("e.color._rgb")).alias("color")
+        "file_id", "idx", F.col("e.b").isNotNull().alias("bold"), F.col("e.i").isNotNull().alias("italic"), F.col("e.u").isNotNull().alias("underline"), _colour(F.col("e.color._rgb")).alias("color")
     )
 
 
