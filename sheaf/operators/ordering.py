@@ -27,12 +27,20 @@ def block_of(order: str, block: int = BLOCK) -> Column:
     return F.floor(F.col(order) / block).cast("long")
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys that may be null; null meets null."""
+    meets = [left[k].eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    return left.join(renamed, meets).drop(*[f"_right_{k}" for k in keys])
+
+
 def exclusive_sum(
     totals: DataFrame, group: list[str], order: str, value: str, out: str, block: int = BLOCK, then: list[str] | None = None
 ) -> DataFrame:
     """Sum of ``value`` over the rows before this one.
 
-    Order is ``order`` (an integer) and ``then``; unique per group.
+    Order is ``order`` (an integer) and ``then``; unique per group.  Null groups and
+    orders are a group and a block of their own.
     """
     blocked = totals.withColumn("_xblock", block_of(order, block))
     sums = blocked.groupBy(*group, "_xblock").agg(F.sum(value).alias("_xsum"))
@@ -40,7 +48,7 @@ def exclusive_sum(
     starts = sums.select(*group, "_xblock", F.coalesce(F.sum("_xsum").over(before), F.lit(0)).alias("_xstart"))
     inside = Window.partitionBy(*group, "_xblock").orderBy(order, *(then or [])).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        blocked.join(starts, [*group, "_xblock"])
+        join_on(blocked, starts, [*group, "_xblock"])
         .withColumn(out, F.col("_xstart") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
         .drop("_xblock", "_xstart")
     )
@@ -53,7 +61,7 @@ def rank_in_group(rows: DataFrame, group: list[str], order: str, out: str, block
     starts = exclusive_sum(counts, group, "_block", "_n", "_start", block).select(*group, "_block", "_start")
     inside = Window.partitionBy(*group, "_block").orderBy(order, *(ties or []))
     return (
-        blocked.join(starts, [*group, "_block"])
+        join_on(blocked, starts, [*group, "_block"])
         .withColumn(out, (F.col("_start") + F.row_number().over(inside)).cast("long"))
         .drop("_block", "_start")
     )

@@ -75,6 +75,12 @@ def test_an_age_of_exactly_the_window_is_dropped():
     ]
 
 
+def test_null_groups_keep_their_rows(spark):
+    df = spark.createDataFrame([(None, 1, 2), (None, 2, 3), (1, 1, 4)], "g int, i long, v long")
+    assert sorted((r.g or 0, r.i, r.rn) for r in O.rank_in_group(df, ["g"], "i", "rn").collect()) == [(0, 1, 1), (0, 2, 2), (1, 1, 1)]
+    assert sorted((r.g or 0, r.i, r.s) for r in O.exclusive_sum(df, ["g"], "i", "v", "s").collect()) == [(0, 1, 0), (0, 2, 2), (1, 1, 0)]
+
+
 def test_ranks_and_sums_in_blocks(spark):
     rng = random.Random(1)
     rows = [(g, i, rng.randint(0, 9)) for g in range(3) for i in rng.sample(range(500), 200)]
