@@ -67,16 +67,17 @@ def rank_in_group(rows: DataFrame, group: list[str], order: str, out: str, block
     )
 
 
-def values_at_rank(rows: DataFrame, group: list[str], value: str, ranks: dict[str, Column], bucket: Column | None = None) -> DataFrame:
+def values_at_rank(rows: DataFrame, group: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
     """Exact order statistics per group.
 
-    ``ranks`` maps an output name to a zero-based rank written over ``n``, the
-    group size.  Equal values are counted first, the counts are summed per
-    ``bucket`` (an order-preserving coarse value), and only the bucket that holds
+    ``ranks`` maps an output name to a zero-based rank written over ``n``, the group size.
+    Equal values are counted first and dealt by range into buckets of about equal size,
+    whatever the values are; counts are summed per bucket, and only the bucket that holds
     a wanted rank is ranked value by value.
     """
-    bucket = F.floor(F.col(value)) if bucket is None else bucket
-    counts = rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c")).withColumn("_bucket", bucket)
+    checkpoint_dir(rows.sparkSession)
+    counts = rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c")).repartitionByRange(*group, value)
+    counts = counts.withColumn("_bucket", F.spark_partition_id()).checkpoint()
     buckets = counts.groupBy(*group, "_bucket").agg(F.sum("_c").alias("_b"))
     whole = Window.partitionBy(*group)
     upto = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
