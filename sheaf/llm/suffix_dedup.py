@@ -335,7 +335,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     meet = C.stash(halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "halves")
     wanted = halves.join(meet, "half").select("id", F.struct(F.col("half").alias("key"), "at", "before", "after", (F.col("c") > CROWD).alias("crowd")).alias("w"))
     wanted = C.stash(wanted.groupBy("id").agg(F.collect_list("w").alias("wants")), "wanted")  # bounded by the text itself
-    fetched = texts.join(wanted, "id").mapInArrow(contexts, "key long, id long, at long, crowd boolean, left binary, right binary")
+    # Merge joins at every size, so that both reads of the texts share one exchange.
+    fetched = texts.hint("merge").join(wanted, "id").mapInArrow(contexts, "key long, id long, at long, crowd boolean, left binary, right binary")
     met = fetched.where("not crowd").repartition("key").sortWithinPartitions("key").mapInArrow(sorted_matches(length), "id long, begin long, end long")
     spans = covered.unionByName(met)
     if meet.where(F.col("c") > CROWD).isEmpty():
@@ -384,7 +385,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
     key = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(text, F.lit("")))
     texts = docs.select(key.alias("id"), F.coalesce(text, F.lit("")).alias("text"), *[F.col(c).alias(h) for c, h in zip(keep, head)])
     spans = repeated_spans(texts, length).groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    joined = texts.join(spans, "id", "left")
+    joined = texts.hint("merge").join(spans, "id", "left")
     types = ", ".join(f"{h} {docs.schema[c].dataType.simpleString()}" for c, h in zip(keep, head))
     out = joined.mapInArrow(cut(as_text, head), f"{types}, n_bytes long, spans array<struct<begin:long,end:long>>, rest {'string' if as_text else 'binary'}")
     return out.select(*[F.col(h).alias(c) for c, h in zip(keep, head)], "n_bytes", "spans", "rest")

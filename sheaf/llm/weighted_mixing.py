@@ -128,7 +128,8 @@ def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **ho
     taken = mix(keyed, text=text, doc_id=doc_id, keep=("_mix_key",), **how)
     # Rows repeated in full share a key: their copies are dealt evenly, none is lost.
     taken = C.stash(taken.groupBy("_mix_key").agg(F.sum("times").alias("_times"), F.count(F.lit(1)).alias("_rows")), "taken")
-    single = keyed.join(taken.where("_rows = 1 and _times > 0").select("_mix_key", "_times"), "_mix_key")
+    # A merge join at every size: the other side has a row a document.
+    single = keyed.hint("merge").join(taken.where("_rows = 1 and _times > 0").select("_mix_key", "_times"), "_mix_key")
     same = taken.where("_rows > 1 and _times > 0")
     repeated = keyed.dropDuplicates(["_mix_key"]).join(same.select("_mix_key", "_times"), "_mix_key")
     both = [single] if same.isEmpty() else [single, repeated]
