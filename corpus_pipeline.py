@@ -22,8 +22,11 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not depleted by frequent lines."""
-    return line_frequency(docs, keep=tuple(docs.columns)).where("kept").select(*docs.columns)
+    """Documents that pass the base rules and are not depleted by frequent lines, without
+    these lines; ``n_chars`` follows."""
+    rest = line_frequency(docs, keep=tuple(docs.columns), rest="_rest").where("kept")
+    new = {"text": F.col("_rest"), "n_chars": F.length("_rest").cast("long")}
+    return rest.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Lines are normalised (A-Z lower-cased, white space runs made one space) and hashed;
 for each host the documents that hold a line are counted.  Lines in more documents
-than the limit are removed, and a document that loses too much by it is rejected.
+than the limit are removed, and a document that loses too much by it is rejected;
+``rest`` names a column for the text without these lines.
 
 Defined cases: a null or empty text has no words and fails the base rules; a null
 host is a host of its own; documents of one host with equal texts count as one (to
@@ -13,12 +14,14 @@ columns only those in ``keep`` are carried.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import common as C
 
@@ -28,6 +31,7 @@ LEAST_LEFT = 0.3  # share of its words that a document must keep
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
 
+WORD = re.compile(r"[^\x20\x09-\x0D]")
 SYMBOLS = np.zeros(256, np.int64)
 SYMBOLS[list(b"#*$%&|<>")] = 1
 
@@ -108,6 +112,20 @@ def profiles(docs: DataFrame, text: str, host: str, keep: list[str]) -> DataFram
     return kept.mapInArrow(run, schema)
 
 
+@F.arrow_udf(StringType())
+def without(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    """Texts without some of their lines, told by their places among the lines with a word."""
+    out = []
+    for text, places in zip(texts.to_pylist(), gone.to_pylist()):
+        if text is not None:
+            lines = text.split("\n")
+            full = [i for i, line in enumerate(lines) if WORD.search(line)]
+            drop = {full[k] for k in places}
+            text = "\n".join(line for i, line in enumerate(lines) if i not in drop)
+        out.append(text)
+    return pa.array(out, pa.string())
+
+
 def line_frequency(
     docs: DataFrame,
     text: str = "text",
@@ -116,15 +134,18 @@ def line_frequency(
     min_docs: int = MIN_DOCS,
     doc_share: float = DOC_SHARE,
     least_left: float = LEAST_LEFT,
+    rest: str | None = None,
 ) -> DataFrame:
-    """``keep``, the base counts, ``n_removed_words``, ``base_failed`` and ``kept``.
+    """``keep``, the base counts, ``n_removed_words``, ``base_failed``, ``kept`` and ``rest``.
 
-    The text is read once; what follows works on hashes of lines.  Counts are
-    combined before each shuffle, so a line may stand in any share of documents.
+    The text is read once; what follows works on hashes of lines, and on the texts that
+    lose lines.  Counts are combined before each shuffle, so a line may stand in any share
+    of documents.
     """
     keep = list(keep)
+    carried = keep if rest is None or text in keep else [*keep, text]
     # The number of a row is made before the file is written, and stays.
-    rows = C.stash(profiles(docs, text, host, keep).withColumn("_row", F.monotonically_increasing_id()), "lines")
+    rows = C.stash(profiles(docs, text, host, carried).withColumn("_row", F.monotonically_increasing_id()), "lines")
     copies = rows.groupBy("_host", "text_key").agg(F.min("_row").alias("_row"))
     hosts = copies.groupBy("_host").agg(F.count(F.lit(1)).alias("_docs"))
     one_each = rows.select("_row", "_host", F.array_distinct("lines").alias("lines")).join(copies.select("_row"), "_row", "left_semi")
@@ -132,20 +153,26 @@ def line_frequency(
     often = seen.where(F.col("_n") > min_docs)  # few are left before the hosts' sizes are looked up
     limit = F.greatest(F.lit(float(min_docs)), F.col("_docs") * doc_share)
     above = C.stash(often.alias("o").join(hosts.alias("h"), F.col("o._host").eqNullSafe(F.col("h._host"))).where(F.col("_n") > limit).select("o._host", "line"), "above")
-    each = rows.select("_row", "_host", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("_row", "_host", "l.lines", "l.line_words")
+    each = rows.select("_row", "_host", F.posexplode(F.arrays_zip("lines", "line_words")).alias("place", "l")).select("_row", "_host", "place", "l.lines", "l.line_words")
     lost = (
         each.alias("e")
         .join(above.alias("a"), (F.col("e.lines") == F.col("a.line")) & F.col("e._host").eqNullSafe(F.col("a._host")))
         .groupBy("_row")
-        .agg(F.sum("line_words").cast("long").alias("_lost"))
+        .agg(F.sum("line_words").cast("long").alias("_lost"), *([F.collect_list("place").alias("_gone")] if rest else []))
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     lost_words = F.coalesce("_lost", F.lit(0).cast("long"))
     depleted = F.col("n_words") - lost_words < F.col("n_words") * least_left
+    texts = []
+    if rest:
+        whole = F.col(f"k_{carried.index(text)}")
+        # Only texts that lose lines go to Python.
+        texts = [F.when(F.col("_gone").isNull(), whole).otherwise(without(F.when(F.col("_gone").isNotNull(), whole), "_gone")).alias(rest)]
     return rows.drop("lines", "line_words").join(lost, "_row", "left").select(
         *[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)],
         *COUNTS,
         lost_words.alias("n_removed_words"),
         failed.alias("base_failed"),
         (~failed & ~depleted).alias("kept"),
+        *texts,
     )

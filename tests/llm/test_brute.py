@@ -308,3 +308,31 @@ def test_pipeline(spark, texts):
     for r in seen[5].collect():
         packed[r["doc_id"]] += r["length"]
     assert packed == {d: ids[d] * n for d, n in mixed.items()}
+
+
+def test_frequent_lines_leave_the_texts(spark):
+    """Lines above the limit are gone after the stage, whatever their place, case and
+    spaces; lines of another or a smaller host stay, and a depleted document does not."""
+    random.seed(13)
+    own = lambda n: " ".join(f"w{random.randint(0, 10**9)}" for _ in range(n))
+    rows = []
+    for i in range(150):
+        lines = [own(12), "", own(3)]
+        lines.insert(i % 4, ("Share this  page", "share\tthis page ", "SHARE THIS PAGE")[i % 3])
+        rows += [(len(rows), "\n".join(lines), None if i % 2 else "large", 1)]
+        rows += [(len(rows), "\n".join(lines) + " x", "large" if i % 2 else None, 1)]
+    rows += [(len(rows), "share this page\n" * 20 + own(10), "large", 1), (len(rows) + 1, "share this page\n" + own(10) + "\n", "small", 1)]
+    norm = lambda line: line.lower().split()
+    held = Counter((r[2], " ".join(line)) for r in rows for line in {tuple(norm(x)) for x in r[1].split("\n")} if line)
+    hosts = Counter(r[2] for r in rows)
+    want = {}
+    for d, text, host, _ in rows:
+        lines = text.split("\n")
+        gone = [x for x in lines if norm(x) and held[host, " ".join(norm(x))] > max(100, 0.02 * hosts[host])]
+        n, lost = len(text.split()), sum(len(norm(x)) for x in gone)
+        if n - lost >= 0.3 * n:
+            want[d] = "\n".join(x for x in lines if x not in gone)
+    got = corpus_pipeline.quality_rules(spark, spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long"), SF)
+    assert got.columns == ["doc_id", "text", "source", "n_chars"]
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in got.collect()} == {d: (t, len(t)) for d, t in want.items()}
+    assert len(want) == 301 and sum(want[d] != rows[d][1] for d in want) > 100 and want[301] == rows[301][1]
