@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions.text import escape_xml
@@ -251,22 +253,49 @@ def scan_slide_items(spark, sf):
 # ---- files in, texts and reports out ------------------------------------------------------------
 
 
+FILE_DOCS = 200  # documents a file
+
+
+def digests(batches):
+    """Size and MD5 of each key's parts, in the order they come; no part is held with another."""
+    key, size, digest = None, 0, None
+    for batch in batches:
+        for k, content in zip(batch.column("key"), batch.column("content")):
+            if k.as_py() != key:
+                if digest:
+                    yield pa.RecordBatch.from_pydict({"key": [key], "size": [size], "digest": [digest.hexdigest()]})
+                key, size, digest = k.as_py(), 0, hashlib.md5()
+            data = content.as_buffer()
+            digest.update(data)
+            size += data.size
+    if digest:
+        yield pa.RecordBatch.from_pydict({"key": [key], "size": [size], "digest": [digest.hexdigest()]})
+
+
 @query(
     "scan_files",
     """SELECT source AS name, CASE WHEN length(source) % 2 = 0 THEN 'text/plain' ELSE '' END AS mime, sum(strlen(text) + 1)::BIGINT AS size,
       md5(string_agg(text || chr(10), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY source""",
 )
 def scan_files(spark, sf):
-    """The documents as files, one a source, scanned as a file table and given the types of
-    a manifest."""
-    docs = table(spark, sf, "documents").select("doc_id", "source", F.col("text").alias("value"))
+    """The documents as files of a few hundred each, scanned as a file table, told together by
+    source and given the types of a manifest."""
+    source, order = F.col("source"), F.asc_nulls_last("doc_id")
+    # A folder's name can be neither null nor of any length.
+    key = F.md5(F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).cast("binary")).alias("key")
+    docs = table(spark, sf, "documents").select("doc_id", "source", key, F.col("text").alias("value"))
     path = f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
-    # One task a source: it is one file.
-    docs.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(path)
-    files = S.scan_files(spark, path, "*.txt").withColumn("name", F.regexp_extract("path", "source=([^/]*)", 1))
-    names = docs.select(F.col("source").alias("name")).distinct().where(F.length("name") % 2 == 0)
+    dealt = docs.repartitionByRange("key", order).sortWithinPartitions("key", order).select("key", "value")
+    dealt.write.option("maxRecordsPerFile", FILE_DOCS).partitionBy("key").text(path)
+    place = r"key=(\w+)/part-(\d+)-.*[-.]c(\d+)\.txt$"
+    parts = S.scan_files(spark, path, "*.txt").select(
+        F.regexp_extract("path", place, 1).alias("key"), *[F.regexp_extract("path", place, k).cast("int").alias(c) for k, c in ((2, "task"), (3, "file"))], "content"
+    )
+    whole = parts.repartition("key").sortWithinPartitions("key", "task", "file").select("key", "content").mapInArrow(digests, "key string, size long, digest string")
+    files = whole.join(docs.select("key", source.alias("name")).distinct(), "key")
+    names = docs.select(source.alias("name")).distinct().where(F.length("name") % 2 == 0)
     typed = S.with_manifest(files, names.withColumn("mime", F.lit("text/plain")))
-    return typed.select("name", "mime", "size", F.md5("content").alias("digest"))
+    return typed.select("name", "mime", "size", "digest")
 
 
 @query(

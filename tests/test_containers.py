@@ -174,3 +174,24 @@ def test_files_manifests_sinks(spark, tmp_path):
     results = spark.createDataFrame([(1, True), (2, False)], "doc long, ok boolean")
     assert not K.write_report(results, str(tmp_path / "r1"), "t")
     assert K.write_report(results.where("ok"), str(tmp_path / "r2"), "t")
+
+
+def test_scan_files_in_parts(spark, tmp_path):
+    """A source is many files that no task or value holds together; a null source is a name."""
+    import hashlib
+
+    from sheaf.catalog import package_queries as P
+
+    rows = [(i * 7919 % 1000, ("even", "odd", None)[i % 3], f"text {i} é") for i in range(1000)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, scan = [], P.S.scan_files
+    P.S.scan_files = lambda *a: seen.append(scan(*a)) or seen[-1]
+    try:
+        got = {r["name"]: r for r in P.scan_files(spark, str(tmp_path)).collect()}
+    finally:
+        P.S.scan_files = scan
+    assert set(got) == {"even", "odd", None}
+    for name, r in got.items():
+        data = "".join(t + "\n" for _, s, t in sorted(rows, key=lambda x: x[0]) if s == name).encode()
+        assert (r["mime"], r["size"], r["digest"]) == ("text/plain" if name == "even" else "", len(data), hashlib.md5(data).hexdigest())
+    assert max(r["size"] for r in seen[0].select("size").collect()) <= P.FILE_DOCS * max(len(t.encode()) + 1 for _, _, t in rows)
