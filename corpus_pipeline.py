@@ -17,6 +17,10 @@ from sheaf.llm.similarity_sketch import keep_first
 from sheaf.llm.suffix_dedup import remove_repeats
 from sheaf.llm.weighted_mixing import mixed_rows
 
+# Bytes of a repeated passage: 51 words take some 330 bytes at the median, few of them
+# under 300.
+PASSAGE = 300
+
 # Suffix-array removal and packing have no SQL form; tests hold them against brute force.
 ORACLE_SQL = None
 
@@ -36,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of repeated passages; ``n_chars`` follows."""
-    rest = remove_repeats(docs, keep=tuple(c for c in docs.columns if c not in ("text", "n_chars")), as_text=True)
+    rest = remove_repeats(docs, keep=tuple(c for c in docs.columns if c not in ("text", "n_chars")), length=PASSAGE, as_text=True)
     new = {"text": F.col("rest"), "n_chars": F.length("rest").cast("long")}
     return rest.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
