@@ -26,7 +26,7 @@ from sheaf.llm.weighted_mixing import mix, mixed_rows
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, node long, label string, k_0 string, shard int"
 PROSE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
-LONG = " ".join(f"word{i * 7919 % 10007}" for i in range(40_000))
+LONG = " ".join(f"word{i * 7919 % 100_003}" for i in range(40_000))
 ROWS = [
     (1, PROSE, "en", "a", 5),
     (2, PROSE, "en", "a", 5),

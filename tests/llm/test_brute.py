@@ -299,7 +299,7 @@ def test_pipeline(spark, texts):
     alone = {r["doc_id"]: r["text"] for r in seen[2].collect()}
     assert set(alone) <= kept and seen[2].count() == len(alone)
     rest = {r["doc_id"]: r["text"] for r in seen[3].collect()}
-    assert rest == {d: bytes(x for x, m in zip(b, mark) if not m).decode("utf-8", "ignore") for d, (b, mark) in removed(alone).items()}
+    assert rest == {d: bytes(x for x, m in zip(b, mark) if not m).decode("utf-8", "ignore") for d, (b, mark) in removed(alone, corpus_pipeline.PASSAGE).items()}
     mixed = Counter(r["doc_id"] for r in seen[4].collect())
     assert mixed and set(mixed) <= set(rest) and max(mixed.values()) <= 3
     tokenizer = Tokenizer.from_file(tokenizer_path())
@@ -310,6 +310,27 @@ def test_pipeline(spark, texts):
     assert packed == {d: ids[d] * n for d, n in mixed.items()}
 
 
+def test_passages_leave_the_texts(spark):
+    """Passages of 51 to 60 words in two or three otherwise different documents."""
+    random.seed(17)
+    letters = "etaoinshrdlu"
+    word = lambda: "".join(random.choice(letters) for _ in range(random.choice((4, 5, 5, 6, 6, 7, 8))))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    rows, planted = [], {}
+    for p in range(40):
+        passage = prose(51 + p % 10)
+        for _ in range(2 + p % 2):
+            planted[len(rows)] = passage
+            rows.append((len(rows), f"{prose(random.randint(20, 300))} {passage} {prose(random.randint(20, 300))}", "s", 1))
+    rows += [(len(rows) + k, prose(400), "s", 1) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, docs, SF).collect()}
+    assert len(got) == len(rows)
+    # A cut may end a few bytes beyond the passage where texts go on alike by chance.
+    assert all(planted[d] not in got[d] and len(rows[d][1]) - len(got[d]) - len(planted[d]) in range(6) for d in planted)
+    assert all(got[d] == rows[d][1] for d in got if d not in planted)
+
+
 def test_frequent_lines_leave_the_texts(spark):
     """Lines above the limit are gone after the stage, whatever their place, case and
     spaces; lines of another or a smaller host stay, and a depleted document does not."""
