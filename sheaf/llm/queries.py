@@ -236,3 +236,29 @@ def op1_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree, counts = train(docs.where(train_rows(7, 2)))
     marked = docs.withColumn("held_out", held_out(7, 2))
     return score(marked, tree, counts, keep=("doc_id", "held_out"))
+
+
+@query("op11_overlap_tokens")
+def op11_overlap_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import digests, periodic_runs, planted
+
+    checksum = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", checksum.alias("checksum"))
+    return digests(periodic_runs(docs, order=("checksum", planted)))
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_repair import damaged, report
+
+    rows = table(spark, sf_dir, "conversations")
+    return report(rows, damaged(rows))
