@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from ..operators.admission import rolling_admission
 from ..streaming.admission import stream_admission
 from ..streaming.dedup import stream_dedup
 from ..streaming.intake import stream_intake
-from ..streaming.runs import run_available
+from ..streaming.runs import ClosingTicks, run_available
 from . import recipes as R
 from .file_queries import _INSPECTED_DUCK
 from .registry import query, table
@@ -42,8 +44,11 @@ def _stream(spark, sf, name):
 
 @query("stream_admission", _ADMISSION_DUCK)
 def stream_admission_query(spark, sf):
-    events = _events(_stream(spark, sf, "events")).withColumn("t", F.unix_micros("ts"))
-    return run_available(stream_admission(events, LIMIT, DAY), "admission")
+    ticks = ClosingTicks(_events(_stream(spark, sf, "events")))
+    # Two slices and the delay behind the newest event everything is decided.
+    newest = _events(table(spark, sf, "events")).agg(F.coalesce(F.max("ts"), F.timestamp_seconds(F.lit(0)))).first()[0]
+    admitted = stream_admission(ticks.stream, LIMIT, DAY)
+    return run_available(admitted, "admission", ticks=ticks, until=newest + timedelta(days=3))
 
 
 @query("stream_dedup", "SELECT DISTINCT sha256(text) AS digest FROM documents")
