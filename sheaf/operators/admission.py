@@ -1,11 +1,14 @@
 """Rolling-window admission: at most N admitted events per key in any window.
 
-Only admitted events count, so the fold is sequential per key.  To keep a hot
-key out of one task, time is cut into blocks of many windows.  All blocks are
-folded at once from an empty state; what a block admits in its last window is
-the entry state of the next one, and only blocks whose entry state turned out
-different are folded again, until nothing changes.  A fold streams over sorted
-rows and holds N stamps.
+Only admitted events count, so the fold is sequential per key.  To keep a hot key out
+of one task, time is cut into blocks of many windows and all blocks are folded at once
+from an empty state.  Where events pause for a window the state is empty indeed, and a
+block whose first event sees nothing of what the block before admitted is right as it
+is.  The others are folded again by units of ``FAN``, ``FAN`` squared, ... blocks: each
+unit runs on from its first block whose entry state is not what the block before left,
+and carries the state through its blocks in one stream.  When a unit spans the key, all
+of it is right; that takes one round per power of ``FAN`` in the number of blocks, and
+rounds end early once every block fits the one before.  A fold holds N stamps.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 
 BLOCK_KEYS = ["key", "block"]
+NOTHING = "cast(array() as array<bigint>)"
 
 
 def admit_stamps(stamps: deque, now: int, limit: int, width: int) -> bool:
@@ -32,6 +36,78 @@ def admit_stamps(stamps: deque, now: int, limit: int, width: int) -> bool:
     return True
 
 
+FAN = 16
+STATES = "key {key}, block long, entry array<long>, leaves array<long>"
+
+
+def _states(limit: int, width: int, length: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """What each block begins with, as far as its first event sees it, and what it leaves."""
+
+    def alive(stamps: deque, block: int) -> list[int]:
+        return [t for t in stamps if t > (block + 1) * length - width]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, stamps, entry = None, deque(), []
+        for pdf in batches:
+            out = []
+            for key, unit, block, now, start in zip(pdf["key"], pdf["unit"], pdf["block"], pdf["t"], pdf["start"]):
+                if current is None or (key, unit, block) != current:
+                    if current is not None:
+                        out.append((current[0], current[2], entry, alive(stamps, current[2])))
+                    if current is None or (key, unit) != current[:2]:
+                        stamps = deque(sorted(start) if start is not None else ())
+                    current, entry = (key, unit, block), [t for t in stamps if now - t < width]
+                admit_stamps(stamps, now, limit, width)
+            yield pd.DataFrame(out, columns=["key", "block", "entry", "leaves"])
+        if current is not None:
+            yield pd.DataFrame([(current[0], current[2], entry, alive(stamps, current[2]))], columns=["key", "block", "entry", "leaves"])
+
+    return fold
+
+
+def _fold_units(events: DataFrame, limit: int, width: int, length: int) -> DataFrame:
+    """``events`` with ``unit`` and ``start``, the state its first block begins with."""
+    return (
+        events.select("key", "unit", "block", "t", "event_id", "start")
+        .repartition("key", "unit")
+        .sortWithinPartitions("key", "unit", "block", "t", "event_id")
+        .mapInPandas(_states(limit, width, length), STATES.format(key=events.schema["key"].dataType.simpleString()))
+    )
+
+
+def _misfits(states: DataFrame, firsts: DataFrame, width: int) -> DataFrame:
+    """Blocks that begin with another state than the block before has left for them."""
+    left = states.select("key", (F.col("block") + 1).alias("block"), F.col("leaves").alias("given"))
+    seen = states.join(firsts, BLOCK_KEYS).join(left, BLOCK_KEYS, "left")
+    given = F.coalesce(F.filter("given", lambda t: F.col("first_t") - t < width), F.expr(NOTHING))
+    return seen.withColumn("given", given).where(F.col("given") != F.col("entry")).select("key", "block", "since", "given")
+
+
+def entry_states(slim: DataFrame, limit: int, width: int, length: int) -> tuple[DataFrame, int]:
+    """(key, block, entry) of all blocks that begin with stamps, and the rounds it took.
+
+    ``slim`` has key, event_id, t and block.
+    """
+    firsts = slim.groupBy(*BLOCK_KEYS).agg(F.min("t").alias("first_t"))
+    since = firsts.groupBy("key").agg(F.min("block").alias("since"))
+    firsts = firsts.join(since, "key").checkpoint()
+    alone = slim.select("*", F.col("block").alias("unit"), F.expr(NOTHING).alias("start"))
+    states = _fold_units(alone, limit, width, length).checkpoint()
+    rounds, size = 0, 1
+    while True:
+        bad = _misfits(states, firsts, width).checkpoint()
+        if bad.isEmpty():
+            return states.where(F.size("entry") > 0).select("key", "block", "entry"), rounds
+        rounds, size = rounds + 1, size * FAN
+        unit = F.floor((F.col("block") - F.col("since")) / size).cast("long")
+        # Each unit runs on from its first misfit.
+        runs = bad.groupBy("key", "since", unit.alias("unit")).agg(F.min("block").alias("first"), F.min_by("given", "block").alias("start"))
+        blocks = firsts.select(*BLOCK_KEYS, unit.alias("unit")).join(runs.drop("since"), ["key", "unit"])
+        again = slim.join(blocks.where(F.col("block") >= F.col("first")), BLOCK_KEYS)
+        fresh = _fold_units(again, limit, width, length).checkpoint()
+        states = states.join(fresh.select(*BLOCK_KEYS), BLOCK_KEYS, "left_anti").unionByName(fresh).checkpoint()
+
+
 def _folder(limit: int, width: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, stamps = None, deque()
@@ -46,11 +122,8 @@ def _folder(limit: int, width: int) -> Callable[[Iterator[pd.DataFrame]], Iterat
     return fold
 
 
-def _fold_blocks(events: DataFrame, entries: DataFrame | None, limit: int, width: int) -> DataFrame:
-    if entries is None:
-        events = events.withColumn("entry", F.expr("cast(null as array<bigint>)"))
-    else:
-        events = events.join(entries, BLOCK_KEYS, "left")
+def _fold_blocks(events: DataFrame, entries: DataFrame, limit: int, width: int) -> DataFrame:
+    events = events.join(entries, BLOCK_KEYS, "left")
     key_type = events.schema["key"].dataType.simpleString()
     return (
         events.select("key", "block", "t", "event_id", "entry")
@@ -60,14 +133,6 @@ def _fold_blocks(events: DataFrame, entries: DataFrame | None, limit: int, width
     )
 
 
-def _handed_on(folded: DataFrame, firsts: DataFrame, width: int, length: int) -> DataFrame:
-    """Entry state of each following block: stamps that its first event still sees."""
-    late = folded.where(F.col("admitted") & (F.col("t") > (F.col("block") + 1) * length - width))
-    stamps = late.groupBy("key", (F.col("block") + 1).alias("block")).agg(F.sort_array(F.collect_list("t")).alias("entry"))
-    seen = stamps.join(firsts, BLOCK_KEYS).withColumn("entry", F.filter("entry", lambda t: F.col("first_t") - t < width))
-    return seen.select("key", "block", "entry")
-
-
 def rolling_admission(
     events: DataFrame, limit: int = 20, window_seconds: float = 60.0, block_windows: int = 64
 ) -> DataFrame:
@@ -77,24 +142,5 @@ def rolling_admission(
     length = width * block_windows
     slim = events.select("key", F.col("event_id").cast("long"), F.unix_micros(F.col("ts")).alias("t"))
     slim = slim.withColumn("block", F.floor(F.col("t") / length).cast("long"))
-    firsts = slim.groupBy(*BLOCK_KEYS).agg(F.min("t").alias("first_t"))
-    empty = F.expr("cast(array() as array<bigint>)")
-
-    entries = _handed_on(_fold_blocks(slim, None, limit, width), firsts, width, length)
-    entries = entries.where(F.size("entry") > 0).checkpoint()
-    changed = entries
-    while not changed.isEmpty():
-        again = _fold_blocks(slim.join(changed.select(*BLOCK_KEYS), BLOCK_KEYS, "left_semi"), changed, limit, width)
-        handed = _handed_on(again, firsts, width, length)
-        # Blocks behind a refolded one whose entry state is not what was assumed.
-        behind = changed.select("key", (F.col("block") + 1).alias("block")).join(firsts.select(*BLOCK_KEYS), BLOCK_KEYS, "left_semi")
-        fresh = behind.join(handed, BLOCK_KEYS, "left").select(*BLOCK_KEYS, F.coalesce("entry", empty).alias("entry"))
-        before = entries.select(*BLOCK_KEYS, F.col("entry").alias("assumed"))
-        changed = (
-            fresh.join(before, BLOCK_KEYS, "left")
-            .where(F.col("entry") != F.coalesce("assumed", empty))
-            .select(*BLOCK_KEYS, "entry")
-            .checkpoint()
-        )
-        entries = entries.join(changed, BLOCK_KEYS, "left_anti").unionByName(changed).checkpoint()
+    entries, _ = entry_states(slim, limit, width, length)
     return _fold_blocks(slim, entries, limit, width).select("key", "event_id", "admitted")

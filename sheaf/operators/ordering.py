@@ -67,6 +67,28 @@ def rank_in_group(rows: DataFrame, group: list[str], order: str, out: str, block
     )
 
 
+def carry(rows: DataFrame, group: list[str], block: str, order: list[str], upto: dict[str, Column] | None = None, before: dict[str, Column] | None = None) -> DataFrame:
+    """The last value that is not null, in order, at or before each row (``upto``) or
+    strictly before it (``before``); one column per entry.
+
+    ``block`` rises with ``order`` (rising columns, unique per group).  Blocks hand on
+    their last values, one row a block, so only rows of one block meet in a task.
+    """
+    wanted = {**(upto or {}), **(before or {})}
+    at = F.struct(*order)
+    named = rows.select("*", *[value.alias(f"_v_{name}") for name, value in wanted.items()])
+    last = [F.max_by(f"_v_{name}", F.when(F.col(f"_v_{name}").isNotNull(), at)).alias(f"_l_{name}") for name in wanted]
+    ends = named.groupBy(*group, block).agg(*last)
+    past = Window.partitionBy(*group).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    handed = ends.select(*group, block, *[F.last(f"_l_{name}", ignorenulls=True).over(past).alias(f"_h_{name}") for name in wanted])
+    inside = Window.partitionBy(*group, block).orderBy(*order)
+    own = []
+    for name in wanted:
+        frame = inside.rowsBetween(Window.unboundedPreceding, 0 if name in (upto or {}) else -1)
+        own.append(F.coalesce(F.last(f"_v_{name}", ignorenulls=True).over(frame), f"_h_{name}").alias(name))
+    return join_on(named, handed, [*group, block]).select(*rows.columns, *own)
+
+
 def values_at_rank(rows: DataFrame, group: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
     """Exact order statistics per group.
 

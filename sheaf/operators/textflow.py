@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.links import safe_extracted_link
 from ..functions.text import WS_CLASS, clean_trim, collapse_spaces, is_blank, solid
+from .ordering import carry, join_on, kept_counts
 
 PAGE = ["doc", "page"]
 LINE = ["doc", "page", "line_no"]
 SHARE = 0.35
 LEAST_TOLERANCE = 2.0
 DEFAULT_SIZE = 12.0
+BAND = 64.0
 
 # What marks a list item, what ends a sentence, glyphs that join.
 LIST_START = f"^(?:[-*+•●◦▪‣]|\\d+[.)]){WS_CLASS}+"
@@ -44,40 +49,91 @@ def page_heights(items: DataFrame) -> DataFrame:
     )
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Heights that open a line; they come page by page and stack by stack, downwards."""
+    stack, top = None, 0.0
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("doc", "page", "stack", "y", "tolerance")))
+        opens = []
+        for doc, page, start, y, tolerance in rows:
+            if (doc, page, start) != stack or top - y > tolerance:
+                stack, top = (doc, page, start), y
+                opens.append(True)
+            else:
+                opens.append(False)
+        yield batch.select(["doc", "page", "y"]).filter(pa.array(opens, pa.bool_()))
+
+
+def line_tops(heights: DataFrame) -> DataFrame:
+    """doc, page, top, lower, line_no: heights at which lines of a page open, the next
+    one below, and their number from the top.
+
+    Going down, a height opens a line if the last line is too far above it.  The last
+    line is no lower than the height before, so a height too far from that one opens a
+    line for sure, whatever came before: pages fall into stacks of near heights, most
+    of one height each.  Only stacks of several heights are folded, in a stream that
+    holds the open line alone.
+    """
+    down = heights.where(F.col("size").isNotNull()).select(*PAGE, "y", (-F.col("y")).alias("_down"), _tolerance(F.col("size")).alias("tolerance"))
+    down = down.withColumn("_band", F.floor(F.col("_down") / BAND).cast("long"))
+    seen = carry(down, PAGE, "_band", ["_down"], before={"_above": F.col("y")})
+    sure = F.col("_above").isNull() | (F.col("_above") - F.col("y") > F.col("tolerance"))
+    stacked = carry(seen.withColumn("_sure", sure), PAGE, "_band", ["_down"], upto={"stack": F.when(F.col("_sure"), F.col("y"))})
+    stacked = kept_counts(stacked.select(*PAGE, "y", "_down", "_band", "_sure", "stack", "tolerance"))
+    several = stacked.where(~F.col("_sure")).select(*PAGE, "stack").distinct()
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in heights.schema if f.name in (*PAGE, "y"))
+    folded = (
+        stacked.join(several, [*PAGE, "stack"], "left_semi")
+        .select(*PAGE, "stack", "y", "tolerance", "_down")
+        .repartition(*PAGE, "stack")
+        .sortWithinPartitions(*PAGE, "stack", "_down")
+        .mapInArrow(_folded, types)
+    )
+    alone = stacked.join(several, [*PAGE, "stack"], "left_anti").select(*PAGE, "y")
+    tops = alone.unionByName(folded).select(*PAGE, F.col("y").alias("top"), (-F.col("y")).alias("_down"))
+    tops = tops.withColumn("_band", F.floor(F.col("_down") / BAND).cast("long"))
+    inside = Window.partitionBy(*PAGE, "_band").orderBy("_down")
+    bands = tops.groupBy(*PAGE, "_band").agg(F.count(F.lit(1)).alias("_n"), F.max("top").alias("_first"))
+    page = Window.partitionBy(*PAGE).orderBy("_band")
+    starts = bands.select(
+        *PAGE,
+        "_band",
+        F.coalesce(F.sum("_n").over(page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"),
+        F.lead("_first").over(page).alias("_next"),
+    )
+    return join_on(tops, starts, [*PAGE, "_band"]).select(
+        *PAGE, "top", F.coalesce(F.lead("top").over(inside), "_next").alias("lower"), (F.col("_start") + F.row_number().over(inside) - 1).cast("int").alias("line_no")
+    )
+
+
 def group_lines(items: DataFrame, heights: DataFrame | None = None) -> DataFrame:
     """Adds line_no and line_y: the first line, top to bottom, close enough to the item.
 
     A new line starts where some item finds none near enough, and among items of
-    one height the smallest one is the first to miss.  So the fold that finds the
-    lines of a page runs over its distinct heights, combined before the shuffle;
-    the items then look their line up.  ``heights`` may be handed in, cut down to
-    the documents wanted; items of other pages are dropped.
+    one height the smallest one is the first to miss.  So lines are found from the
+    distinct heights of a page, combined before the shuffle.  The first line near
+    enough is the highest one that lies no further above the item than it may: an as-of
+    match.  Lines and what items ask for, each different height and size once, are
+    merged by height in bands, and the lowest bands hand their last line on.
+    ``heights`` may be handed in, cut down to the documents wanted; items of other
+    pages are dropped.
     """
     placed = placed_items(items)
-    heights = page_heights(items) if heights is None else heights
-    heights = heights.where(F.col("size").isNotNull())
-    ordered = heights.groupBy(*PAGE).agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("up"), "size"))).alias("heights")
-    )
-    tops = F.aggregate(
-        "heights",
-        F.expr("cast(array() as array<double>)"),
-        lambda tops, b: F.when(F.exists(tops, lambda t: F.abs(t + b["up"]) <= _tolerance(b["size"])), tops).otherwise(
-            F.concat(tops, F.array(-b["up"]))
-        ),
-    )
-    lines = ordered.select(*PAGE, tops.alias("tops"))
-    joined = placed.join(lines, PAGE)
-    # Tops go down, so a line at the item's own height is the first match unless
-    # the line just above is near enough as well; only then is the list searched.
-    y, reach = F.col("y"), _tolerance(F.col("font_size"))
-    own = F.array_position("tops", y)
-    alone = (own == 1) | ((own > 1) & (F.element_at("tops", F.greatest(own - 1, F.lit(1)).cast("int")) - y > reach))
-    near = F.filter(F.transform("tops", lambda t, i: F.when(F.abs(t - y) <= reach, i + 1)), lambda i: i.isNotNull())
-    at = F.when(alone, own.cast("int")).otherwise(F.get(near, F.lit(0)))
-    return joined.withColumn("at", at).select(
-        *placed.columns, (F.col("at") - 1).alias("line_no"), F.element_at("tops", F.col("at")).alias("line_y")
+    tops = line_tops(page_heights(items) if heights is None else heights)
+    asked = placed.groupBy(*PAGE, "y", "font_size").agg(F.lit(1).alias("_one"))
+    # Rounding may take in a line a little too far off; then it is the next one below.
+    reach = _tolerance(F.col("font_size"))
+    limit = F.col("y") + reach + (F.abs("y") + reach) * 1e-12
+    line = F.struct("top", "lower", "line_no")
+    merged = tops.select(*PAGE, F.col("top").alias("v"), F.lit(0).alias("_kind"), line.alias("line"), F.lit(None).cast("double").alias("y"), F.lit(None).cast("double").alias("font_size"))
+    merged = merged.unionByName(asked.select(*PAGE, limit.alias("v"), F.lit(1).alias("_kind"), F.lit(None).cast(merged.schema["line"].dataType).alias("line"), "y", "font_size"))
+    merged = merged.withColumn("_band", F.floor(F.col("v") / BAND).cast("long"))
+    found = carry(merged, PAGE, "_band", ["v", "_kind", "y", "font_size"], upto={"at": F.col("line")}).where("_kind = 1")
+    near = F.abs(F.col("at.top") - F.col("y")) <= reach
+    lines = found.where(F.col("at").isNotNull()).select(
+        *PAGE, "y", "font_size", F.when(near, F.col("at.line_no")).otherwise(F.col("at.line_no") + 1).alias("line_no"), F.when(near, F.col("at.top")).otherwise(F.col("at.lower")).alias("line_y")
     )
+    return placed.join(lines, [*PAGE, "y", "font_size"]).select(*placed.columns, "line_no", "line_y")
 
 
 def join_items(grouped: DataFrame) -> DataFrame:
@@ -125,7 +181,6 @@ def line_gaps(lines: DataFrame) -> DataFrame:
     )
 
 
-BAND = 64.0
 SLACK = 4.0
 
 

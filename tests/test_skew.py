@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections import deque
 
@@ -68,6 +69,29 @@ def test_admission_over_many_blocks(spark):
         assert {(r.key, r.event_id): r.admitted for r in out} == want
 
 
+def test_a_saturated_key_takes_few_rounds(spark):
+    """Ten thousand blocks without a pause: a round per power of FAN, not one a block."""
+    second, window, limit = 1_000_000, 60, 3
+    times = [7 * i * second for i in range(172_000)]  # 9 events a window, 2 windows a block
+    slim = spark.range(len(times)).select(F.lit(1).alias("key"), F.col("id").alias("event_id"), (F.col("id") * 7 * second).alias("t"))
+    slim = slim.union(spark.createDataFrame([(2, 0, 5), (2, 1, 900 * second), (None, 2, 9)], "key int, event_id long, t long"))
+    width, length = window * second, 2 * window * second
+    slim = slim.withColumn("block", F.floor(F.col("t") / length).cast("long"))
+    entries, rounds = A.entry_states(slim.where("key is not null"), limit, width, length)
+    blocks = times[-1] // length + 1
+    assert blocks > 10_000 and 1 <= rounds <= 1 + math.ceil(math.log(blocks, A.FAN))
+    got = {r.block: r.entry for r in entries.collect() if r.key == 1}
+    stamps: deque = deque()
+    want, block = {}, 0
+    for now in times:
+        if now // length != block:
+            block = now // length
+            seen = [t for t in stamps if now - t < width]
+            want |= {block: seen} if seen else {}
+        A.admit_stamps(stamps, now, limit, width)
+    assert got == want
+
+
 def test_an_age_of_exactly_the_window_is_dropped():
     stamps = deque()
     assert [A.admit_stamps(stamps, t, 2, 60) for t in (0, 20, 40, 60, 80, 100, 120, 140)] == [
@@ -134,3 +158,35 @@ def test_links_by_band(spark):
         3: "l3 [link](mailto:m)",
         4: "l4 [link](mailto:m)",
     }
+
+
+def lines_of(items):
+    """The fold itself: (doc, page, ord) -> (line_no, line_y)."""
+    out, tops = {}, {}
+    for doc, page, o, text, x, y, width, size in sorted(items, key=lambda i: (i[0], i[1], -i[5], i[7] or 12.0, i[4])):
+        reach = max(2.0, 0.35 * max(1.0, abs(size if size is not None else 12.0)))
+        mine = tops.setdefault((doc, page), [])
+        near = [n for n, top in enumerate(mine) if abs(top - y) <= reach]
+        if not near:
+            mine.append(y)
+            near = [len(mine) - 1]
+        out[doc, page, o] = near[0], mine[near[0]]
+    return out
+
+
+def test_lines_of_a_hot_page(spark):
+    """Stacks of near heights over many bands, sizes that reach over several lines, and
+    pages of one item; no page is ever a row."""
+    rng = random.Random(12)
+    items = []
+    for page in range(5):
+        for o in range(1500 if page == 0 else rng.randint(1, 60)):
+            y = rng.choice([rng.random() * 900 - 100, float(rng.randint(0, 60) * 13), rng.randint(0, 500) / 4])
+            items.append((1, page, o, "w", rng.random() * 500, y, 5.0, rng.choice([None, 8.0, 12.0, -12.0, 30.0, 90.0])))
+    items += [(2, 0, o, "w", float(o), 700.0, 5.0, 12.0) for o in range(1500)] + [(3, 0, o, "w", 0.0, 3000 - 1.5 * o, 5.0, 9.0) for o in range(800)]
+    df = spark.createDataFrame(items, "doc long, page long, ord long, str string, x double, y double, width double, font_size double")
+    grouped = T.group_lines(df)
+    assert {(r.doc, r.page, r.ord): (r.line_no, r.line_y) for r in grouped.collect()} == lines_of(items)
+    assert not any("array" in f.dataType.simpleString() for f in T.line_tops(T.page_heights(df)).schema)
+    plan = grouped._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
