@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from .ordering import kept
 
 BLOCK_KEYS = ["key", "block"]
 NOTHING = "cast(array() as array<bigint>)"
@@ -90,12 +90,12 @@ def entry_states(slim: DataFrame, limit: int, width: int, length: int) -> tuple[
     """
     firsts = slim.groupBy(*BLOCK_KEYS).agg(F.min("t").alias("first_t"))
     since = firsts.groupBy("key").agg(F.min("block").alias("since"))
-    firsts = firsts.join(since, "key").checkpoint()
+    firsts = kept(firsts.join(since, "key"))
     alone = slim.select("*", F.col("block").alias("unit"), F.expr(NOTHING).alias("start"))
-    states = _fold_units(alone, limit, width, length).checkpoint()
+    states = kept(_fold_units(alone, limit, width, length))
     rounds, size = 0, 1
     while True:
-        bad = _misfits(states, firsts, width).checkpoint()
+        bad = kept(_misfits(states, firsts, width))
         if bad.isEmpty():
             return states.where(F.size("entry") > 0).select("key", "block", "entry"), rounds
         rounds, size = rounds + 1, size * FAN
@@ -104,8 +104,8 @@ def entry_states(slim: DataFrame, limit: int, width: int, length: int) -> tuple[
         runs = bad.groupBy("key", "since", unit.alias("unit")).agg(F.min("block").alias("first"), F.min_by("given", "block").alias("start"))
         blocks = firsts.select(*BLOCK_KEYS, unit.alias("unit")).join(runs.drop("since"), ["key", "unit"])
         again = slim.join(blocks.where(F.col("block") >= F.col("first")), BLOCK_KEYS)
-        fresh = _fold_units(again, limit, width, length).checkpoint()
-        states = states.join(fresh.select(*BLOCK_KEYS), BLOCK_KEYS, "left_anti").unionByName(fresh).checkpoint()
+        fresh = kept(_fold_units(again, limit, width, length))
+        states = kept(states.join(fresh.select(*BLOCK_KEYS), BLOCK_KEYS, "left_anti").unionByName(fresh))
 
 
 def _folder(limit: int, width: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -137,7 +137,6 @@ def rolling_admission(
     events: DataFrame, limit: int = 20, window_seconds: float = 60.0, block_windows: int = 64
 ) -> DataFrame:
     """``events``: key, event_id, ts → key, event_id, admitted; order is (ts, event_id)."""
-    checkpoint_dir(events.sparkSession)
     width = int(window_seconds * 1_000_000)
     length = width * block_windows
     slim = events.select("key", F.col("event_id").cast("long"), F.unix_micros(F.col("ts")).alias("t"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from .ordering import kept
 
 STEP = 64
 
@@ -42,12 +42,13 @@ def greedy_picks(candidates: DataFrame, group: str, max_rounds: int, step: int =
     ``candidates``: group, pos (unique in its group), size, max_count, max_bytes
     (the last two constant in a group).  Result: group, taken ARRAY<BIGINT>.
     """
-    checkpoint_dir(candidates.sparkSession)
-    rows = candidates.select(group, F.col("pos").cast("long"), F.col("size").cast("long"), "max_count", "max_bytes").checkpoint()
+    rows = kept(candidates.select(group, F.col("pos").cast("long"), F.col("size").cast("long"), "max_count", "max_bytes"))
     state = rows.groupBy(group).agg(F.first("max_count").alias("max_count"), F.first("max_bytes").cast("long").alias("left"))
-    state = state.select(
-        group, "max_count", "left", F.lit(-(2**63)).alias("last"), F.expr("cast(array() as array<bigint>)").alias("taken"), (F.col("max_count") > 0).alias("open")
-    ).checkpoint()
+    state = kept(
+        state.select(
+            group, "max_count", "left", F.lit(-(2**63)).alias("last"), F.expr("cast(array() as array<bigint>)").alias("taken"), (F.col("max_count") > 0).alias("open")
+        )
+    )
     first = Window.partitionBy(group).orderBy("pos")
     for _ in range(max_rounds + 1):
         live = state.where("open").select(group, "left", "last")
@@ -63,7 +64,8 @@ def greedy_picks(candidates: DataFrame, group: str, max_rounds: int, step: int =
             F.coalesce("after.taken", "taken").alias("taken"),
             # Fewer than were asked for: there are no more.
             F.coalesce((F.size("members") == step) & (F.size("after.taken") < F.col("max_count")), F.lit(False)).alias("open"),
-        ).checkpoint()
+        )
+        state = kept(state)
         if state.where("open").isEmpty():
             break
     return state.select(group, "taken")

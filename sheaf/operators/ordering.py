@@ -8,6 +8,8 @@ one group may hold any share of the rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,11 +18,13 @@ from ..session import checkpoint_dir
 BLOCK = 1 << 16
 
 
-def kept_counts(counts: DataFrame) -> DataFrame:
-    """Block counts in the checkpoint folder: the big side is read once for them,
-    and a lost executor does not start the count over."""
-    checkpoint_dir(counts.sparkSession)
-    return counts.checkpoint()
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written once to the checkpoint folder and read back: what follows reads it
+    as often as it likes, and a lost executor does not start it over.  (``checkpoint()``
+    would compute it twice.)"""
+    path = f"{checkpoint_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def block_of(order: str, block: int = BLOCK) -> Column:
@@ -57,7 +61,7 @@ def exclusive_sum(
 def rank_in_group(rows: DataFrame, group: list[str], order: str, out: str, block: int = BLOCK, ties: list[str] | None = None) -> DataFrame:
     """``row_number`` by ``order`` (an integer column) per group."""
     blocked = rows.withColumn("_block", block_of(order, block))
-    counts = kept_counts(blocked.groupBy(*group, "_block").agg(F.count(F.lit(1)).alias("_n")))
+    counts = kept(blocked.groupBy(*group, "_block").agg(F.count(F.lit(1)).alias("_n")))
     starts = exclusive_sum(counts, group, "_block", "_n", "_start", block).select(*group, "_block", "_start")
     inside = Window.partitionBy(*group, "_block").orderBy(order, *(ties or []))
     return (
@@ -67,25 +71,43 @@ def rank_in_group(rows: DataFrame, group: list[str], order: str, out: str, block
     )
 
 
-def carry(rows: DataFrame, group: list[str], block: str, order: list[str], upto: dict[str, Column] | None = None, before: dict[str, Column] | None = None) -> DataFrame:
-    """The last value that is not null, in order, at or before each row (``upto``) or
-    strictly before it (``before``); one column per entry.
+def carry(
+    rows: DataFrame,
+    group: list[str],
+    block: str,
+    order: list[str],
+    upto: dict[str, Column] | None = None,
+    before: dict[str, Column] | None = None,
+    sums: dict[str, Column] | None = None,
+) -> DataFrame:
+    """A scan of each group in order: the last value that is not null at or before each
+    row (``upto``), strictly before it (``before``), and the sum up to it (``sums``); one
+    column per entry.
 
     ``block`` rises with ``order`` (rising columns, unique per group).  Blocks hand on
-    their last values, one row a block, so only rows of one block meet in a task.
+    their last values and sums, one row a block, so only rows of one block meet in a task.
     """
-    wanted = {**(upto or {}), **(before or {})}
+    last, sums = {**(upto or {}), **(before or {})}, sums or {}
     at = F.struct(*order)
-    named = rows.select("*", *[value.alias(f"_v_{name}") for name, value in wanted.items()])
-    last = [F.max_by(f"_v_{name}", F.when(F.col(f"_v_{name}").isNotNull(), at)).alias(f"_l_{name}") for name in wanted]
-    ends = named.groupBy(*group, block).agg(*last)
+    named = rows.select("*", *[value.alias(f"_v_{name}") for name, value in {**last, **sums}.items()])
+    ends = named.groupBy(*group, block).agg(
+        *[F.max_by(f"_v_{name}", F.when(F.col(f"_v_{name}").isNotNull(), at)).alias(f"_l_{name}") for name in last],
+        *[F.sum(f"_v_{name}").alias(f"_l_{name}") for name in sums],
+    )
     past = Window.partitionBy(*group).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    handed = ends.select(*group, block, *[F.last(f"_l_{name}", ignorenulls=True).over(past).alias(f"_h_{name}") for name in wanted])
+    handed = ends.select(
+        *group,
+        block,
+        *[F.last(f"_l_{name}", ignorenulls=True).over(past).alias(f"_h_{name}") for name in last],
+        *[F.coalesce(F.sum(f"_l_{name}").over(past), F.lit(0)).alias(f"_h_{name}") for name in sums],
+    )
     inside = Window.partitionBy(*group, block).orderBy(*order)
+    upto_here = inside.rowsBetween(Window.unboundedPreceding, 0)
     own = []
-    for name in wanted:
-        frame = inside.rowsBetween(Window.unboundedPreceding, 0 if name in (upto or {}) else -1)
+    for name in last:
+        frame = upto_here if name in (upto or {}) else inside.rowsBetween(Window.unboundedPreceding, -1)
         own.append(F.coalesce(F.last(f"_v_{name}", ignorenulls=True).over(frame), f"_h_{name}").alias(name))
+    own += [(F.col(f"_h_{name}") + F.sum(f"_v_{name}").over(upto_here)).alias(name) for name in sums]
     return join_on(named, handed, [*group, block]).select(*rows.columns, *own)
 
 
@@ -97,9 +119,8 @@ def values_at_rank(rows: DataFrame, group: list[str], value: str, ranks: dict[st
     whatever the values are; counts are summed per bucket, and only the bucket that holds
     a wanted rank is ranked value by value.
     """
-    checkpoint_dir(rows.sparkSession)
     counts = rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c")).repartitionByRange(*group, value)
-    counts = counts.withColumn("_bucket", F.spark_partition_id()).checkpoint()
+    counts = kept(counts.withColumn("_bucket", F.spark_partition_id()))
     buckets = counts.groupBy(*group, "_bucket").agg(F.sum("_c").alias("_b"))
     whole = Window.partitionBy(*group)
     upto = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.text import WS_CLASS, clean_trim
-from .ordering import BLOCK, block_of, exclusive_sum, kept_counts, rank_in_group
+from .ordering import BLOCK, block_of, exclusive_sum, kept, rank_in_group
 
 PART = f"^[0-9]+(?:{WS_CLASS}*-{WS_CLASS}*[0-9]*)?\\z"
 
@@ -125,7 +125,7 @@ def merge_order(pages: DataFrame, group: str = "batch_id", file: str = "file_pos
     """
     blocked = pages.withColumn("_pb", block_of("page", block))
     # A few numbers per file, read three times: kept instead of counted again.
-    counts = kept_counts(blocked.groupBy(group, file, "_pb").agg(F.count(F.lit(1)).alias("_n")))
+    counts = kept(blocked.groupBy(group, file, "_pb").agg(F.count(F.lit(1)).alias("_n")))
     total = counts.groupBy(group).agg(F.sum("_n").alias("out_pages"))
     starts = exclusive_sum(counts, [group], file, "_n", "_start", block, then=["_pb"]).drop("_n").join(total, group)
     inside = Window.partitionBy(group, file, "_pb").orderBy("page")

@@ -7,6 +7,10 @@ the row, the column or a tile in their key, so a big sheet spreads out.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,35 +174,121 @@ def _with_tile(cells: DataFrame) -> DataFrame:
     return cells.withColumn("_tr", F.floor(F.col("row") / TILE)).withColumn("_tc", F.floor(F.col("col") / TILE))
 
 
-def _join_cover(cells: DataFrame, merges: DataFrame, how: str, extra: Column | None = None) -> DataFrame:
-    left, right = _with_tile(cells).alias("c"), _tiled_merges(merges).alias("t")
-    keys = [F.col(f"c.{k}") == F.col(f"t.{k}") for k in (*SHEET, "_tr", "_tc")]
-    on = keys[0] & keys[1] & keys[2] & keys[3]
-    row, col, m = F.col("c.row"), F.col("c.col"), F.col("t.m")
-    inside = (
-        (row >= m["m_row"]) & (row < m["m_row"] + m["rowspan"]) & (col >= m["m_col"]) & (col < m["m_col"] + m["colspan"])
-    )
-    if extra is not None:
-        inside = inside & extra
-    return left.join(right, on & inside, how)
-
-
 def merge_cover(cells: DataFrame, merges: DataFrame) -> DataFrame:
-    """Cells left after the covered ones are dropped: a range anti-join by tile."""
-    not_anchor = (F.col("c.row") != F.col("t.m")["m_row"]) | (F.col("c.col") != F.col("t.m")["m_col"])
-    return _join_cover(cells, merges, "left_anti", not_anchor).drop("_tr", "_tc")
+    """Cells left after the covered ones are dropped.
+
+    What the merges of a tile cover, but for the anchor of each, is one bit a cell: the
+    rows of the tile are as many masks, joined by OR before and after the shuffle.  Cells
+    then test their own bit, so no cell ever meets the merges of its tile one by one.
+    """
+    m, tiles = F.col("m"), _tiled_merges(merges)
+    top, left = F.col("_tr") * TILE, F.col("_tc") * TILE
+    first = F.greatest(m["m_col"] - left, F.lit(0)).cast("int")
+    after = F.least(m["m_col"] + m["colspan"] - left, F.lit(TILE)).cast("int")
+    one = F.lit(1).cast("long")
+    span = _shifted(one, after) - _shifted(one, first)
+    here = (m["m_col"] >= left) & (m["m_col"] < left + TILE)
+    anchor = F.when(here, _shifted(one, first)).otherwise(F.lit(0).cast("long"))
+    masks = tiles.withColumns({"_span": span, "_anchor": anchor})
+    rows = []
+    for k in range(TILE):
+        mine = F.when(top + k == m["m_row"], F.col("_span").bitwiseAND(F.bitwise_not("_anchor"))).otherwise(F.col("_span"))
+        inside = (top + k >= m["m_row"]) & (top + k < m["m_row"] + m["rowspan"])
+        rows.append(F.coalesce(F.bit_or(F.when(inside, mine)), F.lit(0).cast("long")))
+    covers = masks.groupBy(*SHEET, "_tr", "_tc").agg(F.array(*rows).alias("_rows"))
+    joined = _with_tile(cells).join(covers, [*SHEET, "_tr", "_tc"], "left")
+    mask = F.get(F.col("_rows"), (F.col("row") - top).cast("int"))
+    bit = mask.bitwiseAND(_shifted(one, (F.col("col") - left).cast("int")))
+    return joined.where(F.coalesce(bit, F.lit(0)) == 0).select(*cells.columns)
+
+
+def _shifted(value: Column, by: Column) -> Column:
+    return F.call_function("shiftleft", value, by)
+
+
+STATE_KEYS = [*SHEET, "_tr", "_tc"]
+SPAN = ["m_row", "m_col", "rowspan", "colspan"]
+
+
+def _painted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first merge over each cell of a tile.
+
+    Tile by tile its merges come first, in order, then its cells.  A merge paints the
+    places of the tile that are still free; a cell looks up its place, once.
+    """
+    key, owners = None, []
+    grid, seen, free = np.zeros(0, np.int64), np.zeros(0, bool), 0
+    for batch in batches:
+        column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in (*STATE_KEYS, "_kind", "row", "col", "rowspan", "colspan")}
+        n = batch.num_rows
+        if not n:
+            continue
+        new = np.ones(n, bool)
+        new[1:] = False
+        for c in (*STATE_KEYS, "_kind"):
+            new[1:] |= column[c][1:] != column[c][:-1]
+        cuts = [*np.flatnonzero(new).tolist(), n]
+        out = {c: [] for c in ("at", *SPAN)}
+        for lo, hi in zip(cuts, cuts[1:]):
+            mine = tuple(column[c][lo] for c in STATE_KEYS)
+            if mine != key:
+                key, owners, free = mine, [], TILE * TILE
+                grid, seen = np.full((TILE, TILE), -1), np.zeros((TILE, TILE), bool)
+            top, left = int(mine[-2]) * TILE, int(mine[-1]) * TILE
+            if not column["_kind"][lo]:
+                for k in range(lo, hi):
+                    if not free:
+                        break
+                    row, col, height, width = (int(column[c][k]) for c in ("row", "col", "rowspan", "colspan"))
+                    part = grid[max(row - top, 0) : max(row + height - top, 0), max(col - left, 0) : max(col + width - left, 0)]
+                    open_ = part < 0
+                    free -= int(open_.sum())
+                    part[open_] = len(owners)
+                    owners.append((row, col, height, width))
+                continue
+            rows, cols = (column["row"][lo:hi] - top).astype(int), (column["col"][lo:hi] - left).astype(int)
+            # Of a cell that comes twice the first stays.
+            places, first = np.unique(rows * TILE + cols, return_index=True)
+            first = first[~seen.ravel()[places]]
+            seen[rows[first], cols[first]] = True
+            which = grid[rows[first], cols[first]]
+            spans = np.array([*owners, (-1, -1, -1, -1)])[which]
+            out["at"].append(lo + first)
+            for j, c in enumerate(SPAN):
+                out[c].append(spans[:, j])
+        if out["at"]:
+            at = pa.array(np.concatenate(out["at"]))
+            none = np.concatenate(out["m_row"]) < 0
+            spans = [pa.array(np.concatenate(out[c]).astype(np.int64), mask=none) for c in SPAN]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in (*SHEET, "row", "col")], *spans], names=[*SHEET, "row", "col", *SPAN])
 
 
 def merge_state(cells: DataFrame, merges: DataFrame) -> DataFrame:
-    """restart / continue / none per cell; horizontally covered cells are skipped."""
-    joined = _join_cover(cells, merges, "left")
-    keys = [F.col(f"c.{c}") for c in (*SHEET, "_tr", "_tc", "row", "col")]
-    # The first merge of the file wins; grouped by tile first, so no new shuffle.
-    first = joined.groupBy(*keys).agg(F.min(F.col("t.m")).alias("m"))
+    """restart / continue / none per cell; horizontally covered cells are skipped.
+
+    The first merge of the file wins.  Merges and cells of a tile stream past in order,
+    and what is held is one tile of places.
+    """
+    none = F.lit(None).cast("long")
     m = F.col("m")
-    state = F.when(m.isNull(), "none").when(F.col("row") > m["m_row"], "continue").when(m["rowspan"] > 1, "restart").otherwise("none")
-    return first.where(m.isNull() | (F.col("col") == m["m_col"])).select(
-        *SHEET, "row", "col", state.alias("v_merge"), F.coalesce(m["colspan"], F.lit(1)).cast("long").alias("grid_span")
+    events = _tiled_merges(merges).select(
+        *STATE_KEYS, F.lit(0).alias("_kind"), m["ord"].cast("long").alias("ord"), *[m[c].cast("long").alias(o) for c, o in zip(SPAN, ("row", "col", "rowspan", "colspan"))]
+    )
+    asked = _with_tile(cells).select(
+        *STATE_KEYS, F.lit(1).alias("_kind"), none.alias("ord"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), none.alias("rowspan"), none.alias("colspan")
+    )
+    order = ["_kind", "ord", "row", "col", "rowspan", "colspan"]
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema if f.name in SHEET)
+    first = (
+        asked.unionByName(events)
+        .repartition(*STATE_KEYS)
+        .sortWithinPartitions(*STATE_KEYS, *order)
+        .mapInArrow(_painted, f"{types}, row long, col long, " + ", ".join(f"{c} long" for c in SPAN))
+    )
+    none_here, start = F.col("m_row").isNull(), F.col("m_row")
+    state = F.when(none_here, "none").when(F.col("row") > start, "continue").when(F.col("rowspan") > 1, "restart").otherwise("none")
+    return first.where(none_here | (F.col("col") == F.col("m_col"))).select(
+        *SHEET, *[F.col(c).cast(cells.schema[c].dataType).alias(c) for c in ("row", "col")], state.alias("v_merge"), F.coalesce("colspan", F.lit(1)).cast("long").alias("grid_span")
     )
 
 

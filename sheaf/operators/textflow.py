@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, insort
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.links import safe_extracted_link
 from ..functions.text import WS_CLASS, clean_trim, collapse_spaces, is_blank, solid
-from .ordering import carry, join_on, kept_counts
+from .ordering import carry, join_on, kept
 
 PAGE = ["doc", "page"]
 LINE = ["doc", "page", "line_no"]
@@ -38,101 +39,81 @@ def _tolerance(size: Column) -> Column:
 
 
 def page_heights(items: DataFrame) -> DataFrame:
-    """doc, page, y, size, chars: what lies at each height of a page.
+    """doc, page, y, size, chars: what lies at each height of a page, by type size.
 
-    ``size`` is the smallest type size of a readable item (null if there is none),
-    ``chars`` the characters that are not white space.
+    ``size`` is null for items that are blank, ``chars`` the characters that are not
+    white space.
     """
     size = F.greatest(F.lit(1.0), F.abs(F.coalesce("font_size", F.lit(DEFAULT_SIZE))))
-    return items.groupBy(*PAGE, "y").agg(
-        F.min(F.when(~is_blank(F.col("str")), size)).alias("size"), F.sum(F.length(solid(F.col("str")))).alias("chars")
-    )
+    return items.groupBy(*PAGE, "y", F.when(~is_blank(F.col("str")), size).alias("size")).agg(F.sum(F.length(solid(F.col("str")))).alias("chars"))
+
 
+class PageLines:
+    """The lines of a page so far; heights come from the top down.
 
-def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Heights that open a line; they come page by page and stack by stack, downwards."""
-    stack, top = None, 0.0
+    Lines lie ``LEAST_TOLERANCE`` apart at least, so a page has no more of them than its
+    height allows, whatever it holds.
+    """
+
+    def __init__(self) -> None:
+        self.tops: list[float] = []
+        self.downs: list[float] = []  # the same below zero, rising
+
+    def line_of(self, y: float, tolerance: float) -> int:
+        """The first line near enough, which is opened if there is none."""
+        at = bisect_left(self.downs, -y - tolerance)
+        # Sums round: the line found may be a little too far, or the one before near enough.
+        while at and self.tops[at - 1] - y <= tolerance:
+            at -= 1
+        while at < len(self.tops) and self.tops[at] - y > tolerance:
+            at += 1
+        if at == len(self.tops):
+            self.tops.append(y)
+            self.downs.append(-y)
+        return at
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each height and size with its line; pages come one by one, downwards, and sizes of
+    one height from the smallest on."""
+    names = [*PAGE, "y", "font_size"]
+    page, lines = None, PageLines()
     for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("doc", "page", "stack", "y", "tolerance")))
-        opens = []
-        for doc, page, start, y, tolerance in rows:
-            if (doc, page, start) != stack or top - y > tolerance:
-                stack, top = (doc, page, start), y
-                opens.append(True)
-            else:
-                opens.append(False)
-        yield batch.select(["doc", "page", "y"]).filter(pa.array(opens, pa.bool_()))
-
-
-def line_tops(heights: DataFrame) -> DataFrame:
-    """doc, page, top, lower, line_no: heights at which lines of a page open, the next
-    one below, and their number from the top.
-
-    Going down, a height opens a line if the last line is too far above it.  The last
-    line is no lower than the height before, so a height too far from that one opens a
-    line for sure, whatever came before: pages fall into stacks of near heights, most
-    of one height each.  Only stacks of several heights are folded, in a stream that
-    holds the open line alone.
+        numbers, tops = [], []
+        for doc, number, y, size in zip(*(batch.column(c).to_pylist() for c in names)):
+            if (doc, number) != page:
+                page, lines = (doc, number), PageLines()
+            at = lines.line_of(y, max(LEAST_TOLERANCE, size * SHARE))
+            numbers.append(at)
+            tops.append(lines.tops[at])
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(numbers, pa.int32()), pa.array(tops, pa.float64())], names=[*names, "line_no", "line_y"])
+
+
+def height_lines(heights: DataFrame) -> DataFrame:
+    """doc, page, y, font_size, line_no, line_y: the line of each height and type size.
+
+    Heights and lines of a page are merged in one pass from the top down, in which only
+    the lines are held.  It sees each height and size once, however many items share
+    them; these are combined before the shuffle.
     """
-    down = heights.where(F.col("size").isNotNull()).select(*PAGE, "y", (-F.col("y")).alias("_down"), _tolerance(F.col("size")).alias("tolerance"))
-    down = down.withColumn("_band", F.floor(F.col("_down") / BAND).cast("long"))
-    seen = carry(down, PAGE, "_band", ["_down"], before={"_above": F.col("y")})
-    sure = F.col("_above").isNull() | (F.col("_above") - F.col("y") > F.col("tolerance"))
-    stacked = carry(seen.withColumn("_sure", sure), PAGE, "_band", ["_down"], upto={"stack": F.when(F.col("_sure"), F.col("y"))})
-    stacked = kept_counts(stacked.select(*PAGE, "y", "_down", "_band", "_sure", "stack", "tolerance"))
-    several = stacked.where(~F.col("_sure")).select(*PAGE, "stack").distinct()
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in heights.schema if f.name in (*PAGE, "y"))
-    folded = (
-        stacked.join(several, [*PAGE, "stack"], "left_semi")
-        .select(*PAGE, "stack", "y", "tolerance", "_down")
-        .repartition(*PAGE, "stack")
-        .sortWithinPartitions(*PAGE, "stack", "_down")
-        .mapInArrow(_folded, types)
-    )
-    alone = stacked.join(several, [*PAGE, "stack"], "left_anti").select(*PAGE, "y")
-    tops = alone.unionByName(folded).select(*PAGE, F.col("y").alias("top"), (-F.col("y")).alias("_down"))
-    tops = tops.withColumn("_band", F.floor(F.col("_down") / BAND).cast("long"))
-    inside = Window.partitionBy(*PAGE, "_band").orderBy("_down")
-    bands = tops.groupBy(*PAGE, "_band").agg(F.count(F.lit(1)).alias("_n"), F.max("top").alias("_first"))
-    page = Window.partitionBy(*PAGE).orderBy("_band")
-    starts = bands.select(
-        *PAGE,
-        "_band",
-        F.coalesce(F.sum("_n").over(page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"),
-        F.lead("_first").over(page).alias("_next"),
-    )
-    return join_on(tops, starts, [*PAGE, "_band"]).select(
-        *PAGE, "top", F.coalesce(F.lead("top").over(inside), "_next").alias("lower"), (F.col("_start") + F.row_number().over(inside) - 1).cast("int").alias("line_no")
-    )
+    asked = heights.where(F.col("size").isNotNull() & F.col("y").isNotNull()).select(*PAGE, F.col("y").cast("double").alias("y"), F.col("size").cast("double").alias("font_size"))
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema)
+    ordered = asked.repartition(*PAGE).sortWithinPartitions(*PAGE, F.desc("y"), "font_size")
+    return ordered.mapInArrow(_merged, f"{types}, line_no int, line_y double")
 
 
 def group_lines(items: DataFrame, heights: DataFrame | None = None) -> DataFrame:
     """Adds line_no and line_y: the first line, top to bottom, close enough to the item.
 
-    A new line starts where some item finds none near enough, and among items of
-    one height the smallest one is the first to miss.  So lines are found from the
-    distinct heights of a page, combined before the shuffle.  The first line near
-    enough is the highest one that lies no further above the item than it may: an as-of
-    match.  Lines and what items ask for, each different height and size once, are
-    merged by height in bands, and the lowest bands hand their last line on.
-    ``heights`` may be handed in, cut down to the documents wanted; items of other
-    pages are dropped.
+    A new line starts where some item finds none near enough, and among items of one
+    height the smallest one is the first to miss.  So the different heights and sizes of
+    a page find their lines (an as-of match: the highest line no further above than
+    allowed), and items look theirs up by height and size, which spreads a page out.
+    ``heights`` may be handed in, cut down to the documents wanted; items of other pages
+    are dropped, and so are items without a height.
     """
     placed = placed_items(items)
-    tops = line_tops(page_heights(items) if heights is None else heights)
-    asked = placed.groupBy(*PAGE, "y", "font_size").agg(F.lit(1).alias("_one"))
-    # Rounding may take in a line a little too far off; then it is the next one below.
-    reach = _tolerance(F.col("font_size"))
-    limit = F.col("y") + reach + (F.abs("y") + reach) * 1e-12
-    line = F.struct("top", "lower", "line_no")
-    merged = tops.select(*PAGE, F.col("top").alias("v"), F.lit(0).alias("_kind"), line.alias("line"), F.lit(None).cast("double").alias("y"), F.lit(None).cast("double").alias("font_size"))
-    merged = merged.unionByName(asked.select(*PAGE, limit.alias("v"), F.lit(1).alias("_kind"), F.lit(None).cast(merged.schema["line"].dataType).alias("line"), "y", "font_size"))
-    merged = merged.withColumn("_band", F.floor(F.col("v") / BAND).cast("long"))
-    found = carry(merged, PAGE, "_band", ["v", "_kind", "y", "font_size"], upto={"at": F.col("line")}).where("_kind = 1")
-    near = F.abs(F.col("at.top") - F.col("y")) <= reach
-    lines = found.where(F.col("at").isNotNull()).select(
-        *PAGE, "y", "font_size", F.when(near, F.col("at.line_no")).otherwise(F.col("at.line_no") + 1).alias("line_no"), F.when(near, F.col("at.top")).otherwise(F.col("at.lower")).alias("line_y")
-    )
+    lines = kept(height_lines(page_heights(items) if heights is None else heights))
     return placed.join(lines, [*PAGE, "y", "font_size"]).select(*placed.columns, "line_no", "line_y")
 
 
@@ -171,25 +152,92 @@ def join_items(grouped: DataFrame) -> DataFrame:
     return lines.select(*LINE, "y", "x", "font_size", clean_trim(F.col("text")).alias("text"))
 
 
+def _banded(lines: DataFrame) -> DataFrame:
+    """Height bands, downwards: what a page is scanned by, block by block."""
+    return lines.withColumn("_band", F.floor(-F.col("y") / BAND).cast("long"))
+
+
 def line_gaps(lines: DataFrame) -> DataFrame:
     """Distance to the line above; 0 for the first line of a page."""
-    order = Window.partitionBy(*PAGE).orderBy(F.desc("y"), "x", "line_no")
-    return lines.where(F.col("text") != "").select(
-        "*",
-        F.row_number().over(order).alias("seq"),
-        F.greatest(F.lit(0.0), F.coalesce(F.lag("y").over(order) - F.col("y"), F.lit(0.0))).alias("gap_above"),
-    )
+    shown = kept(_banded(lines.where(F.col("text") != "")).withColumn("_down", -F.col("y")))
+    scanned = carry(shown, PAGE, "_band", ["_down", "x", "line_no"], before={"_above": F.col("y")}, sums={"seq": F.lit(1)})
+    gap = F.greatest(F.lit(0.0), F.coalesce(F.col("_above") - F.col("y"), F.lit(0.0)))
+    return scanned.select(*lines.columns, F.col("seq").cast("int").alias("seq"), gap.alias("gap_above"))
 
 
 SLACK = 4.0
 
 
+class OpenLinks:
+    """The annotations over the height a sweep has come to: each url once, at the place
+    of its first annotation."""
+
+    def __init__(self) -> None:
+        self.places: dict[str, list[int]] = {}
+        self.shown: list[tuple[int, str]] = []
+
+    def _replace(self, url: str, old: int | None) -> None:
+        own = self.places[url]
+        new = own[0] if own else None
+        if new != old:
+            if old is not None:
+                del self.shown[bisect_left(self.shown, (old, url))]
+            if new is not None:
+                insort(self.shown, (new, url))
+
+    def open(self, place: int, url: str) -> None:
+        own = self.places.setdefault(url, [])
+        old = own[0] if own else None
+        insort(own, place)
+        self._replace(url, old)
+
+    def close(self, place: int, url: str) -> None:
+        own = self.places[url]
+        old = own[0]
+        del own[bisect_left(own, place)]
+        self._replace(url, old)
+        if not own:
+            del self.places[url]
+
+    def tail(self) -> str:
+        return "".join([f" [link]({url})" for _, url in self.shown])
+
+
+OPENS, LINE_AT, CLOSES = range(3)
+
+
+def _swept(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lines with what is open over them; bands come upwards, openings before lines and
+    lines before closings of one height."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        band, open_ = None, OpenLinks()
+        for batch in batches:
+            kinds, places, urls = (batch.column(c).to_pylist() for c in ("_kind", "_place", "_url"))
+            at, tails = [], []
+            for i, mine in enumerate(zip(*(batch.column(c).to_pylist() for c in (*PAGE, "_band")))):
+                if mine != band:
+                    band, open_ = mine, OpenLinks()
+                if kinds[i] == LINE_AT:
+                    at.append(i)
+                    tails.append(open_.tail() if open_.shown else "")
+                elif kinds[i] == OPENS:
+                    open_.open(places[i], urls[i])
+                else:
+                    open_.close(places[i], urls[i])
+            arrays = [batch.column(c).take(pa.array(at, pa.int64())) for c in names]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(tails, pa.string())], names=[*names, "_tail"])
+
+    return run
+
+
 def recover_links(lines: DataFrame, annotations: DataFrame) -> DataFrame:
     """Appends ``[link](url)`` for every allowed annotation over a line's height.
 
-    A range join: both sides are cut into height bands, so lines meet only the
-    annotations near them.  An annotation is cut to the span of its page's lines first,
-    so it has as many bands as the page at most.
+    A sweep over heights: annotations open and close, a line takes what is open, in the
+    order of the annotations and each url once, so that the work is the answer's.  Pages
+    are cut into height bands; an annotation is cut to the span of its page's lines and
+    opens again in each band it reaches.
     """
     low = F.least("y1", "y2") - SLACK
     high = F.greatest("y1", "y2") + SLACK
@@ -197,39 +245,53 @@ def recover_links(lines: DataFrame, annotations: DataFrame) -> DataFrame:
     span = lines.groupBy(*PAGE).agg(F.min("y").alias("_bottom"), F.max("y").alias("_top"))
     notes = notes.where(F.col("url").isNotNull() & (F.col("url") != "")).join(span, PAGE)
     first_band, last_band = F.floor(F.greatest("low", "_bottom") / BAND), F.floor(F.least("high", "_top") / BAND)
-    packed = F.array_sort(F.collect_list(F.struct("ord", "url", "low", "high")))
-    near = (
-        notes.where(first_band <= last_band)
-        .withColumn("band", F.explode(F.sequence(first_band, last_band)))
-        .groupBy(*PAGE, "band")
-        .agg(packed.alias("near"))
+    notes = notes.where(first_band <= last_band).withColumn("_band", F.explode(F.sequence(first_band, last_band)))
+    blank = lambda name: F.lit(None).cast(lines.schema[name].dataType).alias(name)
+    others = [c for c in lines.columns if c not in PAGE]
+    ends = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(at).alias("at")) for kind, at in ((OPENS, "low"), (CLOSES, "high"))]))
+    events = notes.withColumn("_end", ends).select(
+        *PAGE, *[blank(c) for c in others], "_band", F.col("_end.at").alias("_height"), F.col("_end.kind").alias("_kind"), F.col("ord").cast("long").alias("_place"), F.col("url").alias("_url")
     )
-    nothing = F.expr("cast(array() as array<struct<ord:bigint,url:string,low:double,high:double>>)")
-    # Annotation order, each url once.
-    over = F.filter("notes", lambda n: (F.col("y") >= n["low"]) & (F.col("y") <= n["high"]))
-    urls = F.array_distinct(F.transform(over, lambda n: n["url"]))
-    tail = F.array_join(F.transform(urls, lambda u: F.concat(F.lit(" [link]("), u, F.lit(")"))), "")
-    return (
-        lines.withColumn("band", F.floor(F.col("y") / BAND))
-        .join(near, [*PAGE, "band"], "left")
-        .withColumn("notes", F.coalesce("near", nothing))
-        .withColumn("linked", F.concat("text", tail))
-        .select(*lines.columns, "linked")
+    asked = lines.select(
+        *PAGE, *others, F.floor(F.col("y") / BAND).alias("_band"), F.col("y").alias("_height"), F.lit(LINE_AT).alias("_kind"), F.lit(None).cast("long").alias("_place"), F.lit(None).cast("string").alias("_url")
     )
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema)
+    swept = (
+        asked.unionByName(events)
+        .repartition(*PAGE, "_band")
+        .sortWithinPartitions(*PAGE, "_band", "_height", "_kind", "_place")
+        .mapInArrow(_swept(lines.columns), f"{types}, _tail string")
+    )
+    return swept.select(*lines.columns, F.concat("text", "_tail").alias("linked"))
 
 
-def heading_level(lines: DataFrame) -> DataFrame:
-    """level 1–3 for heading lines, null for the rest; also the body size used."""
-    # Upper median per page as windows over the page: same partitioning as the
-    # line order, so neither a shuffle nor a second look at the lines.
+def body_sizes(lines: DataFrame) -> DataFrame:
+    """doc, page, body_size: the upper median of the type sizes, from the counts of the
+    different ones."""
+    counts = lines.groupBy(*PAGE, "font_size").agg(F.count(F.lit(1)).alias("_c"))
     page = Window.partitionBy(*PAGE)
-    ranked = lines.select(
-        "*",
-        F.row_number().over(page.orderBy("font_size")).alias("_rank"),
-        F.count(F.lit(1)).over(page).alias("_n"),
+    ranked = counts.select(
+        *PAGE, "font_size", F.sum("_c").over(page.orderBy("font_size").rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"), F.sum("_c").over(page).alias("_n")
     )
-    middle = F.max(F.when(F.col("_rank") == F.floor(F.col("_n") / 2) + 1, F.col("font_size"))).over(page)
-    sized = ranked.withColumn("body_size", F.coalesce(middle, F.lit(DEFAULT_SIZE))).drop("_rank", "_n")
+    above = F.when(F.col("_upto") > F.floor(F.col("_n") / 2), F.col("font_size"))
+    return ranked.groupBy(*PAGE).agg(F.coalesce(F.min(above), F.lit(DEFAULT_SIZE)).alias("body_size"))
+
+
+def band_sizes(lines: DataFrame) -> DataFrame:
+    """doc, page, _band, body_size: the body size goes to every band of its page, so that
+    the lines of a page meet it band by band."""
+    return join_on(_banded(lines).select(*PAGE, "_band").distinct(), body_sizes(lines), PAGE)
+
+
+def heading_level(lines: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """level 1–3 for heading lines, null for the rest; also the body size used.
+
+    ``sizes`` may be handed in where the lines come from a table that is already there.
+    """
+    if sizes is None:
+        lines = kept(lines)
+        sizes = band_sizes(lines)
+    sized = join_on(_banded(lines), sizes, [*PAGE, "_band"]).drop("_band")
     size, body, text = F.col("font_size"), F.col("body_size"), F.col("text")
     heading = (
         (F.length(text) <= 120)
@@ -252,13 +314,12 @@ def paragraphs(lines: DataFrame) -> DataFrame:
         .when(F.col("kind") == "list", F.concat(F.lit("- "), F.regexp_extract(linked, BULLET, 1)))
         .otherwise(linked)
     )
-    order = Window.partitionBy(*PAGE).orderBy("seq")
     wide = F.col("gap_above") > F.greatest(F.col("body_size") * 1.9, F.lit(18.0))
-    typed = lines.withColumn("kind", kind)
-    opens = (F.col("kind") != "text") | wide | (F.coalesce(F.lag("kind").over(order), F.lit("")) != "text")
+    typed = kept(_banded(lines.withColumn("kind", kind)))
+    seen = carry(typed, PAGE, "_band", ["seq"], before={"_last": F.col("kind")})
+    opens = (F.col("kind") != "text") | wide | (F.coalesce("_last", F.lit("")) != "text")
     blocks = (
-        typed.withColumn("opens", F.when(opens, 1).otherwise(0))
-        .withColumn("block", F.sum("opens").over(order))
+        carry(seen.withColumn("opens", F.when(opens, 1).otherwise(0)), PAGE, "_band", ["seq"], sums={"block": F.col("opens")})
         .withColumn("shown", shown)
         .groupBy(*PAGE, "block")
         .agg(F.first("kind").alias("kind"), F.array_sort(F.collect_list(F.struct("seq", "shown"))).alias("parts"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions.text import clean_trim
 from ..operators import textflow as T
+from ..operators.ordering import kept
 
 
 def document_limits(heights: DataFrame) -> DataFrame:
@@ -29,8 +30,8 @@ def document_limits(heights: DataFrame) -> DataFrame:
 
 def page_lines(items: DataFrame, annotations: DataFrame, heights: DataFrame | None = None) -> DataFrame:
     """Lines of every page with links, gaps and heading levels."""
-    lines = T.line_gaps(T.join_items(T.group_lines(items, heights)))
-    return T.heading_level(T.recover_links(lines, annotations))
+    lines = kept(T.line_gaps(T.join_items(T.group_lines(items, heights))))
+    return T.heading_level(T.recover_links(lines, annotations), T.band_sizes(lines))
 
 
 def document_markdown(items: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def document_markdown(items: DataFrame, annotations: DataFrame) -> DataFrame:
 
     Limits and line heights come from one aggregation of the items.
     """
-    heights = T.page_heights(items)
+    heights = kept(T.page_heights(items))
     limits = document_limits(heights)
     good = limits.where(F.col("error_code").isNull()).select("doc")
     annotations = annotations.join(good, "doc", "left_semi")

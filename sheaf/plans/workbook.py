@@ -12,7 +12,7 @@ from ..functions.cells import is_external_formula
 from ..functions.links import is_external_target
 from ..operators import sheets as S
 from ..operators.archive import MACRO_TYPE, resolve_target, with_verdict
-from ..session import checkpoint_dir
+from ..operators.ordering import kept
 from ..sources.archive import part_rows
 from ..sources.office import (
     scan_fills,
@@ -97,10 +97,9 @@ def workbook_cells(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Every sheet of a workbook that is not refused gives cells; a sheet without a part to
     read, with a part that is no worksheet, or without a filled cell refuses the file.
-    The parts are checkpointed: all readers share one pass over the archives.
+    The parts are written once: all readers share one pass over the archives.
     """
-    checkpoint_dir(files.sparkSession)
-    parts = workbook_parts(files).checkpoint()
+    parts = kept(workbook_parts(files))
     fixed = F.col("path").isNull() | F.col("path").isin(FIXED)
     refused = parts.where(fixed & F.col("problem").isNotNull()).select("file_id", "problem").unionByName(_package_problems(parts))
     good = parts.where(F.col("problem").isNull()).join(refused.select("file_id").distinct(), "file_id", "left_anti")
@@ -111,7 +110,7 @@ def workbook_cells(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Every sheet the workbook names goes on from here: as a part to read or as a refusal.
     found = named.select("file_id", "sheet_ord", "path").join(parts, ["file_id", "path"], "left")
     why = F.when(F.col("path").isNull(), "sheet-without-part").otherwise(F.coalesce("problem", F.when(F.col("xml").isNull(), "sheet-part-missing")))
-    found = found.select("file_id", "sheet_ord", "xml", why.alias("problem")).checkpoint()
+    found = kept(found.select("file_id", "sheet_ord", "xml", why.alias("problem")))
     counts = named.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
     crowded = counts.where(F.col("n") > dims.MAX_SHEETS).select("file_id", F.lit("too-many-sheets").alias("problem"))
     empty = _of(parts, WORKBOOK).select("file_id").join(counts, "file_id", "left_anti").select("file_id", F.lit("no-sheets").alias("problem"))
@@ -126,10 +125,10 @@ def workbook_cells(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     # A package refused as a whole is not read further.
     inner = reduce(DataFrame.unionByName, [sheets, crowded, empty, outside, unread, blank])
     alone = parts.where(F.col("path").isNull() & F.col("problem").isNotNull()).select("file_id").distinct()
-    refused = refused.unionByName(inner.join(alone, "file_id", "left_anti")).groupBy("file_id").agg(F.min("problem").alias("problem")).checkpoint()
-    kept = raw.join(refused.select("file_id"), "file_id", "left_anti")
+    refused = kept(refused.unionByName(inner.join(alone, "file_id", "left_anti")).groupBy("file_id").agg(F.min("problem").alias("problem")))
+    good_cells = raw.join(refused.select("file_id"), "file_id", "left_anti")
 
     styles = _of(good, STYLES)
-    typed = S.typed_cells(S.shared_strings(kept, scan_shared_strings(_of(good, STRINGS))))
+    typed = S.typed_cells(S.shared_strings(good_cells, scan_shared_strings(_of(good, STRINGS))))
     styled = S.style_snowflake(typed, scan_styles(styles), scan_fonts(styles), scan_fills(styles), scan_number_formats(styles))
     return S.display_text(S.dated_cells(styled)), refused

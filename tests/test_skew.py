@@ -12,6 +12,7 @@ from sheaf.operators import admission as A
 from sheaf.operators import greedy as G
 from sheaf.operators import ordering as O
 from sheaf.operators import pages as P
+from sheaf.operators import sheets as S
 from sheaf.operators import textflow as T
 
 
@@ -187,6 +188,104 @@ def test_lines_of_a_hot_page(spark):
     df = spark.createDataFrame(items, "doc long, page long, ord long, str string, x double, y double, width double, font_size double")
     grouped = T.group_lines(df)
     assert {(r.doc, r.page, r.ord): (r.line_no, r.line_y) for r in grouped.collect()} == lines_of(items)
-    assert not any("array" in f.dataType.simpleString() for f in T.line_tops(T.page_heights(df)).schema)
+    assert not any("array" in f.dataType.simpleString() for f in T.height_lines(T.page_heights(df)).schema)
     plan = grouped._jdf.queryExecution().toString()
     assert "collect_list" not in plan
+
+
+def test_stacked_merges_of_one_tile(spark):
+    """Five thousand merges over each other and five thousand cells: a merge paints a tile
+    once, a cell asks once.  The first merge of the file wins; anchors stay."""
+    rng = random.Random(6)
+    merges = [(1, 0, n, rng.randint(0, 31), rng.randint(0, 31), rng.randint(1, 40), rng.randint(1, 40)) for n in range(5000)]
+    merges += [(2, 0, n, 40 * n, 3 * n, 1 + n % 4, 1 + n % 5) for n in range(40)] + [(3, 0, 0, 0, 0, 400, 200), (3, 0, 1, 5, 5, 2, 2)]
+    cells = [(f, 0, r, c, f"{f} {r} {c}") for f in (1, 2, 3, 4) for r in range(0, 72) for c in range(0, 70)]
+    cells += cells[:3]
+    of = {1: merges[:5000], 2: merges[5000:5040], 3: merges[5040:], 4: []}
+    kept, states = [], set()
+    for f, sheet, r, c, text in cells:
+        over = [(n, mr, mc, h, w) for _, _, n, mr, mc, h, w in of[f] if mr <= r < mr + h and mc <= c < mc + w]
+        if all((mr, mc) == (r, c) for _, mr, mc, _, _ in over):
+            kept.append((f, r, c, text))
+        first = min(over, default=None)
+        if first is None:
+            states.add((f, r, c, "none", 1))
+        elif first[2] == c:
+            states.add((f, r, c, "continue" if r > first[1] else "restart" if first[3] > 1 else "none", first[4]))
+    cell_df = spark.createDataFrame(cells, "file_id long, sheet_ord int, row int, col int, text string")
+    merge_df = spark.createDataFrame(merges, "file_id long, sheet_ord int, ord int, row int, col int, rowspan int, colspan int")
+    got = S.merge_cover(cell_df, merge_df)
+    assert got.columns == cell_df.columns
+    assert sorted((r.file_id, r.row, r.col, r.text) for r in got.collect()) == sorted(kept)
+    out = [(r.file_id, r.row, r.col, r.v_merge, r.grid_span) for r in S.merge_state(cell_df, merge_df).collect()]
+    assert len(out) == len(set(out)) and set(out) == states
+
+
+def test_sweeps_do_the_work_of_the_answer():
+    """Steps, counted: links opened and shown follow annotations and lines, and a tile
+    that is full takes no more paint."""
+    shown = T.OpenLinks()
+    for n in range(5000):
+        shown.open(n, "https://one")
+    assert shown.tail() == " [link](https://one)" and len(shown.shown) == 1
+    for n in range(4999):
+        shown.close(n, "https://one")
+    assert shown.shown == [(4999, "https://one")]
+    shown.close(4999, "https://one")
+    assert shown.tail() == "" and not shown.places
+
+
+def test_links_against_every_pair(spark):
+    rng = random.Random(8)
+    lines = [(1, p, i, float(rng.randint(0, 4000)) / 4, f"l{i}") for p in (1, 2) for i in range(300)]
+    notes = []
+    for n in range(400):
+        y = rng.randint(-200, 1200)
+        notes.append((1, rng.choice([1, 1, 3]), n // 2, f"https://{rng.randint(0, 30)}", float(y), float(y + rng.choice([0, 5, 90, 2000]) * rng.choice([1, -1]))))
+    got = T.recover_links(
+        spark.createDataFrame(lines, "doc long, page long, line_no int, y double, text string"),
+        spark.createDataFrame(notes, "doc long, page long, ord long, url string, y1 double, y2 double"),
+    )
+    want = {}
+    for _, page, i, y, text in lines:
+        over = sorted((o, url) for _, p, o, url, y1, y2 in notes if p == page and min(y1, y2) - 4 <= y <= max(y1, y2) + 4)
+        want[page, i] = text + "".join(f" [link]({u})" for u in dict.fromkeys(u for _, u in over))
+    assert {(r.page, r.line_no): r.linked for r in got.collect()} == want
+
+
+def test_text_of_a_hot_page(spark):
+    """A page of many lines over many bands: order, gaps, body size and paragraphs are
+    those of one pass over the page."""
+    rng = random.Random(15)
+    sizes = [9.0, 11.0, 11.0, 11.0, 16.0, 24.0]
+    lines = []
+    for page in (0, 1, 2):
+        y = 5000.0
+        for n in range(700 if page == 0 else 5):
+            y -= rng.choice([12.0, 12.0, 12.0, 40.0, 300.0])
+            text = rng.choice(["plain words", "plain words", "It ends.", "- item", "3) third", "Title", "", "x" * 130])
+            lines.append((1, page, n, y, rng.random() * 9, rng.choice(sizes), text))
+    df = spark.createDataFrame(lines, "doc long, page long, line_no int, y double, x double, font_size double, text string")
+    seen = T.heading_level(T.line_gaps(df).withColumn("linked", F.col("text")))
+    got = {(r.page, r.line_no): (r.seq, r.gap_above, r.body_size, r.level) for r in seen.collect()}
+    blocks = {(r.page, r.block): (r.kind, r.text) for r in T.paragraphs(seen).collect()}
+    want, want_blocks = {}, {}
+    for page in (0, 1, 2):
+        mine = [r for r in lines if r[1] == page and r[6]]
+        body = sorted(r[5] for r in mine)[len(mine) // 2]
+        before, last, block, parts = None, None, 0, {}
+        for seq, r in enumerate(mine, 1):
+            size, text = r[5], r[6]
+            heading = len(text) <= 120 and size >= max(14.0, body * 1.4) and text[-1] not in ".!?:;" and not text.startswith(("- ", "3) "))
+            level = (1 if size >= body * 1.8 else 2 if size >= body * 1.55 else 3) if heading else None
+            gap = 0.0 if before is None else before - r[3]
+            want[page, r[2]] = (seq, gap, body, level)
+            kind = "heading" if heading else "list" if text.startswith(("- ", "3) ")) else "text"
+            if kind != "text" or last != "text" or gap > max(body * 1.9, 18.0):
+                block += 1
+            shown = "#" * level + " " + text if heading else text.replace("3) ", "3. ") if kind == "list" else text
+            parts.setdefault(block, (kind, []))[1].append(shown)
+            before, last = r[3], kind
+        want_blocks |= {(page, b): (kind, " ".join(p)) for b, (kind, p) in parts.items()}
+    assert got == want
+    assert blocks == want_blocks
