@@ -25,7 +25,7 @@ from pyspark.sql.types import StringType
 
 from . import common as C
 
-MIN_DOCS = 100  # a line in as many documents of a host is never removed
+MIN_DOCS = 5  # a line in as many documents of a host may be there by chance
 DOC_SHARE = 0.02  # nor one in at most this share of the host's documents
 LEAST_LEFT = 0.3  # share of its words that a document must keep
 MIN_WORDS = 10

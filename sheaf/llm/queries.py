@@ -56,7 +56,7 @@ WITH t AS (
 ), freq AS (
   SELECT f.source, f.norm, count(DISTINCT f.doc_id) AS n FROM full_ln f JOIN one USING (doc_id) GROUP BY ALL
 ), above AS (
-  SELECT f.source, f.norm FROM freq f JOIN host h ON f.source IS NOT DISTINCT FROM h.source WHERE f.n > greatest(100.0, h.docs * 0.02)
+  SELECT f.source, f.norm FROM freq f JOIN host h ON f.source IS NOT DISTINCT FROM h.source WHERE f.n > greatest(5.0, h.docs * 0.02)
 ), lost AS (
   SELECT f.doc_id, sum(len(f.lw))::BIGINT AS n
   FROM full_ln f JOIN above a ON f.source IS NOT DISTINCT FROM a.source AND f.norm = a.norm GROUP BY f.doc_id

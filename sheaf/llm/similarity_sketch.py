@@ -325,13 +325,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component; a row repeated in full is kept once."""
-    found = near_duplicates(docs, doc_id, text).where(~F.col("first"))
-    found = found.select(F.col(doc_id).alias("_gone_id"), F.col("text_key").alias("_gone_key"), F.col("kept").alias("_gone_kept"))
-    gone = C.stash(found.distinct(), "gone")
+    """``docs`` with one document of each component; a row repeated in full is kept once.
+
+    Rows are known by id and text, so ids may be null or shared: what goes is each pair
+    of them that is not the first of its component, and the copies of one that is.
+    """
+    pair = near_duplicates(docs, doc_id, text).groupBy(F.col(doc_id).alias("_gone_id"), F.col("text_key").alias("_gone_key"))
+    seen = pair.agg(F.bool_or("first").alias("_stays"), F.bool_or(~F.col("first")).alias("_goes"))
+    gone = C.stash(seen.where("_goes"), "gone")
     same = F.col(doc_id).eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text) == F.col("_gone_key"))
-    left = docs.join(gone.where(~F.col("_gone_kept")), same, "left_anti")
-    repeats = gone.where("_gone_kept")
+    left = docs.join(gone.where(~F.col("_stays")), same, "left_anti")
+    repeats = gone.where("_stays")
     if repeats.isEmpty():
         return left
     return left.join(repeats, same, "left_anti").unionByName(left.join(repeats, same, "left_semi").dropDuplicates([doc_id, text]))

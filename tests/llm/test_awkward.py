@@ -83,6 +83,15 @@ def test_similarity(docs, nothing):
     assert near_duplicates(nothing).count() == keep_first(nothing).count() == 0
 
 
+def test_near_texts_with_null_or_shared_ids(spark):
+    """One of each group stays, whatever the ids are; texts without words all stay."""
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join([*words, f"end{k}"]) for k in range(3)]
+    rows = [(None, t) for t in near] + [(7, t + " more") for t in near] + [(8, "alone in the world with some words")] * 2 + [(None, None)] * 2 + [(9, "")] * 2
+    left = keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], (r["text"] or "")[:2]) for r in left) == Counter({(7, "w0"): 1, (8, "al"): 1, (None, ""): 2, (9, ""): 2})
+
+
 def test_suffix(docs, nothing):
     twice = docs.where("doc_id = 11").withColumn("doc_id", F.lit(None).cast("long"))
     got = remove_repeats(docs.unionByName(twice), length=64).collect()
