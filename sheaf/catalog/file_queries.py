@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..operators import batch as B
 from ..operators import errors as E
 from ..operators import inspect as I
+from ..operators.registry import registry_order as registry_order_of
 from ..plans.intake import batch_plan
 from . import recipes as R
 from .registry import query, table
@@ -104,7 +105,7 @@ def png_header(spark, sf):
         lpad(hex(n_chars * 3 % 9000), 8, '0') || '0806000000AABBCCDD49454E44') AS content FROM documents WHERE doc_id % 2 = 0))
     UNION ALL
     SELECT doc_id, 'jpeg', w, h, w * h > 24000000, w * h > 40000000, w > 4096 OR h > 4096 OR w * h > 16000000
-    FROM (SELECT doc_id, n_chars AS w, 1 + n_chars * 7 % 9000 AS h FROM documents WHERE doc_id % 2 = 1)""",
+    FROM (SELECT doc_id, 1 + n_chars % 65535 AS w, 1 + n_chars * 7 % 9000 AS h FROM documents WHERE doc_id % 2 = 1)""",
 )
 def image_pixel_audit(spark, sf):
     def hexed(value, width):
@@ -115,15 +116,20 @@ def image_pixel_audit(spark, sf):
     png = F.concat(
         F.lit("89504E470D0A1A0A0000000D49484452"), hexed(chars, 8), hexed(chars * 3 % 9000, 8), F.lit("0806000000AABBCCDD49454E44")
     )
-    # Metadata segment of the length of the text first, then the frame header.
-    fill = F.least(chars, F.lit(30000)).cast("int")
+
+    # Metadata of the length of the text first, in as many segments as it takes, then
+    # the frame header.
+    def metadata(length):
+        return F.concat(F.lit("FFE1"), hexed(length + 2, 4), F.repeat(F.lit("41"), length.cast("int")))
+
+    most = F.lit(60000).cast("long")
     jpeg = F.concat(
-        F.lit("FFD8FFE1"),
-        hexed(fill.cast("long") + 2, 4),
-        F.repeat(F.lit("41"), fill),
+        F.lit("FFD8"),
+        F.repeat(metadata(most), F.floor(chars / most).cast("int")),
+        metadata(chars % most),
         F.lit("FFC0000B08"),
         hexed(1 + chars * 7 % 9000, 4),
-        hexed(chars, 4),
+        hexed(1 + chars % 65535, 4),
         F.lit("0101110000FFD9"),
     )
     content = F.unhex(F.when(F.col("doc_id") % 2 == 0, png).otherwise(jpeg))
@@ -586,20 +592,35 @@ def exactly_once(spark, sf):
 
 @query(
     "registry_reconcile",
-    f"""WITH l AS (SELECT name, kind FROM ({_KINDED_DUCK}) WHERE file_id % 10 <> 0), r AS (SELECT name, CASE WHEN file_id % 25 = 0 THEN 'other' ELSE kind END AS kind
-      FROM ({_KINDED_DUCK}) WHERE file_id % 15 <> 0)
+    f"""WITH l AS (SELECT name || CASE WHEN file_id % 10 = 0 THEN '.old' ELSE '' END AS name, kind FROM ({_KINDED_DUCK})),
+    r AS (SELECT name || CASE WHEN file_id % 15 = 0 THEN '.new' ELSE '' END AS name, CASE WHEN file_id % 25 = 0 THEN 'other' ELSE kind END AS kind FROM ({_KINDED_DUCK}))
     SELECT name, kind, 'left' AS side FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM r)
     UNION ALL SELECT name, kind, 'right' FROM (SELECT * FROM r EXCEPT ALL SELECT * FROM l)""",
 )
 def registry_reconcile(spark, sf):
     kinded = R.run(spark, sf, _KINDED, "documents")
-    left = kinded.where(F.col("file_id") % 10 != 0).select("name", "kind")
-    right = kinded.where(F.col("file_id") % 15 != 0).select(
-        "name", F.when(F.col("file_id") % 25 == 0, "other").otherwise(F.col("kind")).alias("kind")
+    fid = F.col("file_id")
+    left = kinded.select(F.concat("name", F.when(fid % 10 == 0, ".old").otherwise("")).alias("name"), "kind")
+    right = kinded.select(
+        F.concat("name", F.when(fid % 15 == 0, ".new").otherwise("")).alias("name"),
+        F.when(fid % 25 == 0, "other").otherwise(F.col("kind")).alias("kind"),
     )
     return B.registry_reconcile(left, right)
 
 
+# The smallest set of moved ids has no SQL form; tests hold it against brute force.
+@query("registry_order")
+def registry_order(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("source").alias("registry"), F.col("doc_id").alias("id"))
+    fid = F.col("id")
+    expected = docs.where(fid % 35 != 6).withColumn("pos", fid)
+    # Every twentieth id a stretch further down, some left out, some listed again.
+    placed = docs.where(fid % 45 != 5).withColumn("pos", 4 * fid + F.when(fid % 20 == 3, 802).otherwise(0))
+    again = docs.where((fid % 70 == 9) & (fid % 45 != 5)).withColumn("pos", 4 * fid + 1)
+    retired = docs.where(fid % 90 == 7)
+    return registry_order_of(expected, placed.unionByName(again), retired)
+
+
 @query(
     "batch_plan",
     f"""WITH i AS ({_INSPECTED_DUCK}),

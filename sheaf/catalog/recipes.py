@@ -300,15 +300,17 @@ MERGES = f"""SELECT file_id, sheet_ord, rown AS ord, rown - 1 AS row, sk % 4 AS
   FROM ({SHEET_ROWS}) AS r WHERE rown % 2 = 0"""
 SPANS = f"SELECT file_id, sheet_ord, rown AS ord, rown AS min_col, rown + sk % 4 AS max_col, q * 2.0 AS width FROM ({SHEET_ROWS}) AS r"
 ROW_DIMS = f"SELECT file_id, sheet_ord, rown - 1 AS row, CAST(CASE WHEN sk % 10 = 0 THEN NULL ELSE q * 6 END AS DOUBLE) AS height FROM ({SHEET_ROWS}) AS r"
-ITEMS = f"""SELECT file_id AS doc, 1 + rown % 3 AS scene, rown * 10 + k AS ord, CASE (sk + k) % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'table' WHEN 2 THEN 'shape' WHEN 3 THEN 'image' ELSE 'text' END AS item_kind,
-  (pk + k) % 4 AS z, CASE WHEN (sk + k) % 5 IN (0, 4) THEN flag || ' words ' || CAST(pk % 50 AS STRING) ELSE '' END AS text, q + k AS table_rows
+ITEMS = f"""SELECT file_id AS doc, 1 + rown % 3 AS scene, rown * 10 + k AS ord, CASE (sk + k) % 8 WHEN 0 THEN 'text' WHEN 1 THEN 'table' WHEN 2 THEN 'shape' WHEN 3 THEN 'image' WHEN 5 THEN 'note' WHEN 6 THEN 'cell' WHEN 7 THEN 'table' ELSE 'text' END AS item_kind,
+  (pk + k) % 4 AS z, CASE WHEN (sk + k) % 8 IN (0, 4, 5, 6) THEN flag || ' words ' || CAST(pk % 50 AS STRING) ELSE '' END AS text, q + k AS table_rows
   FROM (<<two>>) AS r"""
 _TWO = f"SELECT *, 0 AS k FROM ({SHEET_ROWS}) AS r UNION ALL SELECT *, 1 AS k FROM ({SHEET_ROWS}) AS r"
 ITEMS_DUCK = duck(ITEMS.replace("<<two>>", _TWO))
 ITEMS = ITEMS.replace("<<two>>", f"SELECT r.*, k FROM ({SHEET_ROWS}) AS r LATERAL VIEW explode(array(0, 1)) v AS k")
 EXPECTATIONS = f"""SELECT file_id AS doc, CASE WHEN file_id % 3 = 0 THEN count(*) ELSE NULL END AS scenes, CASE WHEN file_id % 3 = 1 THEN CAST(3 AS BIGINT) ELSE NULL END AS min_scenes,
   CAST(2 AS BIGINT) AS min_text_blocks, CASE WHEN file_id % 2 = 0 THEN min(sk) % 4 ELSE NULL END AS tables, CASE WHEN file_id % 5 = 0 THEN min(q) ELSE NULL END AS table_rows,
-  CASE WHEN file_id % 4 = 0 THEN min(pk) % 3 ELSE NULL END AS shapes, CASE WHEN file_id % 7 = 0 THEN CAST(0 AS BIGINT) ELSE NULL END AS charts,
+  CASE WHEN file_id % 4 = 0 THEN min(pk) % 3 ELSE NULL END AS shapes, CASE WHEN file_id % 7 = 0 THEN CAST(file_id % 2 AS BIGINT) ELSE NULL END AS charts,
+  CASE WHEN file_id % 6 = 1 THEN CAST(1 AS BIGINT) ELSE NULL END AS min_tables, CASE WHEN file_id % 13 = 0 THEN CAST(1 AS BIGINT) ELSE NULL END AS notes,
+  CASE WHEN file_id % 8 = 2 THEN 'N words' ELSE NULL END AS note_text, CASE WHEN file_id % 9 = 4 THEN 'words 7' ELSE NULL END AS cached_value,
   CASE WHEN file_id % 4 = 1 THEN min(sk) % 3 ELSE NULL END AS images, CASE WHEN file_id % 11 = 0 THEN 'A words' WHEN file_id % 11 = 1 THEN 'zzz' ELSE NULL END AS text
   FROM ({SHEET_ROWS}) AS r GROUP BY file_id"""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import first_k, values_at_rank
@@ -38,16 +38,21 @@ def output_text_reconcile(texts: DataFrame, outputs: DataFrame, k: int = 5) -> D
 # ---- summaries and expectations -------------------------------------------------
 
 
-def doc_summary(items: DataFrame, texts: int = 6) -> DataFrame:
+# How many texts of each kind a summary quotes, in this order.
+QUOTED = {"text": 6, "cell": 12, "note": 6}
+
+
+def doc_summary(items: DataFrame) -> DataFrame:
     """One row per document: scenes, text blocks, tables, objects by kind, first texts.
 
-    ``items``: doc, scene, ord, item_kind, text, table_rows.  Counts combine on the
-    map side; only the first texts and the table sizes of a document are listed.
+    ``items``: doc, scene, ord, item_kind, text, table_rows.  Counts combine on the map
+    side.  ``text_corpus`` joins the first texts, cells (both without empty ones) and
+    notes, ``note_text`` the notes alone; groups are limited before the shuffle.
+    ``table_rows`` maps a number of rows to how many tables have it.
     """
     kinds = ["text", "table", "shape", "image", "chart", "note"]
     per_scene = items.groupBy("doc", "scene").agg(
-        *[F.count_if(F.col("item_kind") == k).alias(k) for k in kinds],
-        F.collect_set(F.when(F.col("item_kind") == "table", F.col("table_rows"))).alias("sizes"),
+        *[F.count_if(F.col("item_kind") == k).alias(k) for k in kinds]
     )
     objects = F.create_map(*[c for k in ("chart", "image", "shape") for c in (F.lit(k), F.col(f"{k}s"))])
     counts = (
@@ -55,29 +60,45 @@ def doc_summary(items: DataFrame, texts: int = 6) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("scenes"),
             *[F.sum(k).alias("text_blocks" if k == "text" else f"{k}s") for k in kinds],
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("sizes")))).alias("table_row_counts"),
         )
         .withColumn("object_kinds", F.map_filter(objects, lambda k, n: n > 0))
     )
+    sized = items.where((F.col("item_kind") == "table") & F.col("table_rows").isNotNull()).groupBy("doc", "table_rows").agg(F.count(F.lit(1)).alias("n"))
+    rows = sized.groupBy("doc").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("table_rows", "n")))).alias("table_rows"))
+    kind, text = F.col("item_kind"), F.col("text")
+    quotable = ((kind == "note") & text.isNotNull()) | (kind.isin("text", "cell") & (text != ""))
+    limits = F.create_map(*[F.lit(v) for pair in QUOTED.items() for v in pair])
+    order = F.create_map(*[F.lit(v) for pair in enumerate(QUOTED) for v in reversed(pair)])
     firsts = (
-        first_k(items.where((F.col("item_kind") == "text") & (F.col("text") != "")), ["doc"], ["ord"], texts)
+        first_k(items.where(quotable), ["doc", "item_kind"], ["ord"], max(QUOTED.values()))
+        .where(F.col("rn") <= limits[kind])
         .groupBy("doc")
-        .agg(F.array_sort(F.collect_list(F.struct("rn", "text"))).alias("_t"))
-        .select("doc", F.array_join(F.transform("_t", lambda t: t["text"]), "\n").alias("text_corpus"))
+        .agg(F.array_sort(F.collect_list(F.struct(order[kind].alias("at"), "rn", "text"))).alias("_t"))
     )
-    return counts.join(firsts, "doc", "left").withColumn("text_corpus", F.coalesce("text_corpus", F.lit("")))
+
+    def joined(quotes: Column) -> Column:
+        return F.coalesce(F.array_join(F.transform(quotes, lambda t: t["text"]), "\n"), F.lit(""))
+
+    notes = F.filter("_t", lambda t: t["at"] == list(QUOTED).index("note"))
+    none = F.expr("cast(map() as map<bigint, bigint>)")
+    out = counts.join(rows, "doc", "left").join(firsts, "doc", "left")
+    out = out.withColumns({"table_rows": F.coalesce("table_rows", none), "text_corpus": joined(F.col("_t")), "note_text": joined(notes)})
+    return out.withColumn("table_row_counts", F.map_keys("table_rows")).drop("_t")
 
 
 def expectation_check(summaries: DataFrame, expectations: DataFrame) -> DataFrame:
     """doc, failures ARRAY<STRING>: the rules a summary breaks, in rule order.
 
-    An expectation column that is missing or null asks for nothing.
+    An expectation column that is missing or null asks for nothing.  ``table_rows`` is a
+    number of rows or an array of them, each of which a table must have.
     """
     optional = {
         "scenes": "long", "min_scenes": "long", "min_text_blocks": "long", "tables": "long", "min_tables": "long",
-        "table_rows": "long", "shapes": "long", "charts": "long", "images": "long", "notes": "long", "text": "string",
+        "table_rows": "array<long>", "shapes": "long", "charts": "long", "images": "long", "notes": "long", "text": "string",
         "note_text": "string", "cached_value": "string",
     }
+    if dict(expectations.dtypes).get("table_rows", "array").split("<")[0] != "array":
+        expectations = expectations.withColumn("table_rows", F.when(F.col("table_rows").isNotNull(), F.array("table_rows")))
     wanted = expectations.select(
         "doc",
         *[(F.col(c) if c in expectations.columns else F.lit(None)).cast(t).alias(f"x_{c}") for c, t in optional.items()],
@@ -97,20 +118,19 @@ def expectation_check(summaries: DataFrame, expectations: DataFrame) -> DataFram
     def absent(column: str):
         return lambda want: ~F.contains(F.coalesce(F.col(column), F.lit("")), want)
 
-    note_text = "note_text" if "note_text" in summaries.columns else "text_corpus"
     rules = F.array(
         rule("scenes", differs("scenes")),
         rule("min_scenes", below("scenes")),
         rule("min_text_blocks", below("text_blocks")),
         rule("tables", differs("tables")),
         rule("min_tables", below("tables")),
-        rule("table_rows", lambda want: ~F.coalesce(F.array_contains("table_row_counts", want), F.lit(False))),
+        rule("table_rows", lambda want: F.size(F.array_except(want, F.coalesce("table_row_counts", F.array().cast("array<long>")))) > 0),
         rule("shapes", differs("shapes")),
         rule("charts", differs("charts")),
         rule("images", differs("images")),
         rule("notes", below("notes")),
         rule("text", absent("text_corpus")),
-        rule("note_text", absent(note_text)),
+        rule("note_text", absent("note_text")),
         rule("cached_value", absent("text_corpus")),
     )
     failures = F.when(F.col("_seen").isNull(), F.array(F.lit("no-summary"))).otherwise(F.filter(rules, lambda r: r.isNotNull()))
