@@ -27,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -106,9 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     """``docs`` are the rows to learn from; ``labels`` has ``doc_id`` and ``label``."""
     known = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y"))
     drawn = known.withColumn("_u", C.uniform("quality", "_id")).join(docs.select(F.col(doc_id).alias("_id")), "_id", "left_semi")
-    first = Window.partitionBy("_y").orderBy("_u", "_id")
-    numbered = drawn.withColumn("_n", F.row_number().over(first))
-    chosen = numbered.where(F.col("_n") <= 2 * docs_per_label)
+    chosen = C.lowest(drawn, "_y", "_u", ["_id"], 2 * docs_per_label, "_n")
     shares = drawn.groupBy("_y").agg(F.count(F.lit(1)).alias("n"))
     total = {r["_y"]: r["n"] for r in shares.collect()}
     if len(total) < 2:

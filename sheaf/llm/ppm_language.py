@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -154,8 +154,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
         F.col(lang).alias("_lang"), F.col(text).alias("_text"), C.uniform("ppm", doc_id).alias("_u"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_id")
     )
     # Which documents: found without their texts, and few enough to look up by key.
-    first = Window.partitionBy("_lang").orderBy("_u", "_id")
-    edge = drawn.select("_lang", "_u", "_id").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= docs_per_lang)
+    edge = C.lowest(drawn.select("_lang", "_u", "_id"), "_lang", "_u", ["_id"], docs_per_lang, "_n")
     edge = C.stash(edge.groupBy("_lang").agg(F.max("_u").alias("_edge")), "edges")
     sample = drawn.join(edge, "_lang").where("_u <= _edge")
     found = C.stash(count_strings(sample, "_text", "_lang", order), "strings").toArrow()

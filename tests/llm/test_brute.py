@@ -185,6 +185,25 @@ def test_tree_is_a_distribution():
         assert math.isclose(shelf.probability(every, asked, p).sum(), 1, rel_tol=1e-9)
 
 
+def test_lowest_rows_of_each_group(spark):
+    """The first rows by key and tie as a plain sort has them, for large, small and equal keys."""
+    from sheaf.llm import common as C
+
+    random.seed(5)
+    keys = [0.0, 1e-17, 0.25, *[random.random() for _ in range(3000)]]
+    rows = [("hot", k, i) for i, k in enumerate(keys)] + [("few", 0.5, i) for i in range(7)] + [("same", 0.125, i) for i in range(400)]
+    random.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, u double, id long")
+    for most in (1, 5, 150, 5000):
+        got = {(r["g"], r["n"]): r["id"] for r in C.lowest(df, "g", "u", ["id"], most, "n").collect()}
+        want = {}
+        for g in ("hot", "few", "same"):
+            own = sorted((u, i) for x, u, i in rows if x == g)
+            want |= {(g, n + 1): i for n, (_, i) in enumerate(own[:most])}
+        assert got == want
+    assert C.lowest(df.limit(0), "g", "u", ["id"], 3, "n").count() == 0
+
+
 def test_language_query(spark):
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = QUERIES["op6_ppm_language"](spark, SF).collect()
