@@ -231,14 +231,16 @@ def lowest(rows: DataFrame, group: str, key: str, ties: list[str], most: int, ou
 
     Rows are counted by steps of the key's logarithm first, at most 52 * 64 of them a
     group, each 1.1 % wide.  Only rows up to the step that holds the last one wanted are
-    sorted, so a task sorts about ``most`` rows, whatever a group holds.
+    sorted, so a task sorts about ``most`` rows, whatever a group holds.  The last steps,
+    one row a group, are broadcast: groups are labels or languages, each with a model of
+    its own on the driver.
     """
     step = F.floor(F.log2(F.greatest(F.col(key), F.lit(2.0**-52))) * 64)
     before = Window.partitionBy(group).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy(group, step.alias("_step")).agg(F.count(F.lit(1)).alias("_n"))
     some = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_before") < most)
     edge = some.groupBy(group).agg(F.max("_step").alias("_edge"))
-    near = rows.withColumn("_step", step).join(edge, group).where("_step <= _edge").drop("_step", "_edge")
+    near = rows.withColumn("_step", step).join(F.broadcast(edge), group).where("_step <= _edge").drop("_step", "_edge")
     first = Window.partitionBy(group).orderBy(key, *ties)
     return near.withColumn(out, F.row_number().over(first)).where(F.col(out) <= most)
 
