@@ -389,6 +389,31 @@ def sheet_rejects(spark, sf):
     return O.scan_sheet_rejects(parts).select("file_id", "ref", "reason")
 
 
+_DIM_REJECTS = (
+    ("row", "20001", "off-grid"), ("row", "30000", "off-grid"), ("col", "499:501", "cut"), ("col", "501:600", "off-grid"), ("col", "9:8", "empty"),
+    ("merge", "A20001:B20002", "off-grid"), ("merge", "SF1:SG2", "cut"), ("merge", "A19999:A20001", "cut"), ("merge", "B2:?", "bad-reference"),
+)
+
+
+@query(
+    "sheet_dim_rejects",
+    f"""SELECT doc_id AS file_id, dim, ref, reason FROM documents, (VALUES {", ".join(map(str, _DIM_REJECTS))}) r(dim, ref, reason) WHERE NOT {_PUBLIC}
+      UNION ALL SELECT doc_id, 'row', CAST(i AS VARCHAR), 'off-grid' FROM (SELECT doc_id, unnest(generate_series(20001, len(string_split(text, chr(10))))) AS i FROM documents WHERE NOT {_PUBLIC})""",
+)
+def sheet_dim_rejects(spark, sf):
+    # Every sheet gets rows, spans and merges that the grid cannot hold, next to those it can.
+    off = {
+        "</cols>": '<col min="499" max="501" width="9"/><col min="501" max="600" width="9"/><col min="9" max="8"/></cols>',
+        "</sheetData>": '<row r="20001" ht="30"/><row r="30000"/></sheetData>',
+        "</mergeCells>": "".join(f'<mergeCell ref="{ref}"/>' for dim, ref, _ in _DIM_REJECTS if dim == "merge") + "</mergeCells>",
+    }
+    parts = _sheet_parts(spark, sf)
+    for end, more in off.items():
+        parts = parts.withColumn("xml", F.replace("xml", F.lit(end), F.lit(more)))
+    parts = parts.withColumn("xml", F.when(O.xml_guard(F.col("xml")).isNull(), F.col("xml")))
+    return O.scan_dim_rejects(parts).select("file_id", "dim", "ref", "reason")
+
+
 @query(
     "workbook_refusals",
     f"""SELECT file_id, problem FROM (SELECT doc_id AS file_id, CASE WHEN b IN {_WHOLE} THEN b WHEN {_PUBLIC} THEN 'dtd-or-entity'

@@ -154,9 +154,8 @@ _SIZES = f"SELECT file_id, sheet_ord, max(row) + 1 AS rows, max(col) + 1 AS cols
       ON c.file_id = g.file_id AND c.sheet_ord = g.sheet_ord AND c.row = g.row AND c.col = g.col GROUP BY g.file_id, g.row""",
 )
 def dense_grid(spark, sf):
-    grid = S.dense_grid(R.sheet(spark, sf, R.CELLS), "v")
-    rows = grid.groupBy("file_id", "row").agg(F.array_sort(F.collect_list(F.struct("col", "v"))).alias("cells"))
-    return rows.select("file_id", "row", F.array_join(F.transform("cells", lambda c: c["v"]), "|").alias("line"))
+    rows = S.dense_rows(R.sheet(spark, sf, R.CELLS), "v")
+    return rows.select("file_id", "row", F.array_join("values", "|").alias("line"))
 
 
 _COLS = f"""SELECT file_id, sheet_ord, col, arg_max(least(80, greatest(3, width)), ord) AS width FROM

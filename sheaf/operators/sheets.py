@@ -123,20 +123,35 @@ def sheet_sizes(cells: DataFrame) -> DataFrame:
     return cells.where(inside).groupBy(*SHEET).agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"))
 
 
-def dense_grid(cells: DataFrame, value: str) -> DataFrame:
-    """Every cell of the used rectangle, blanks filled with ''.
+def dense_rows(cells: DataFrame, value: str, ord: str | None = None) -> DataFrame:
+    """One row per sheet row of the used rectangle: ``values``, blanks filled with ''.
 
-    Rows are spread before the columns are exploded; the join key holds row and
-    column, so the size of one sheet does not matter.
+    The cells of a row meet in one array (500 at most) and the gaps are filled inside it,
+    so only cells that exist are shuffled.  Rows without a cell are made from the row
+    numbers of their sheet (20 000 at most) and stay where they are made.  Of several
+    cells at one place the last by ``ord`` stays, or the greatest value without one.
     """
-    grid = (
-        sheet_sizes(cells)
-        .withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
-        .withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)))
-        .select(*SHEET, "row", "col")
+    inside = (F.col("row") >= 0) & (F.col("row") < dims.MAX_SHEET_ROWS) & (F.col("col") >= 0) & (F.col("col") < dims.MAX_SHEET_COLUMNS)
+    text = F.coalesce(F.col(value).cast("string"), F.lit(""))
+    cell = F.struct(F.col("col").cast("int").alias("at"), (F.col(ord) if ord else F.lit(0)).alias("ord"), text.alias("size"))
+    rows = cells.where(inside).groupBy(*SHEET, "row").agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
+    last = F.filter("_cells", lambda c, i: F.coalesce(F.get("_cells", i + 1)["at"] != c["at"], F.lit(True)))
+    rows = rows.withColumn("_cells", last)
+    taken = F.array_sort(F.collect_list("row"))
+    sheets = rows.groupBy(*SHEET).agg((F.max(F.element_at("_cells", -1)["at"]) + 1).alias("cols"), taken.alias("_taken"))
+    all_rows = F.sequence(F.lit(0).cast("long"), F.element_at("_taken", -1).cast("long"))
+    blank = sheets.select(*SHEET, F.explode(F.array_except(all_rows, F.transform("_taken", lambda r: r.cast("long")))).alias("row"), "cols")
+    blank = blank.select(*SHEET, "row", F.array_repeat(F.lit(""), F.col("cols")).alias("values"))
+    filled = rows.join(sheets.select(*SHEET, "cols"), SHEET).select(
+        *SHEET, F.col("row").cast("long").alias("row"), _dense(F.col("_cells"), F.col("cols"), "").alias("values")
     )
-    kept = cells.select(*SHEET, "row", "col", value)
-    return grid.join(kept, [*SHEET, "row", "col"], "left").withColumn(value, F.coalesce(value, F.lit("")))
+    return filled.unionByName(blank)
+
+
+def dense_grid(cells: DataFrame, value: str, ord: str | None = None) -> DataFrame:
+    """Every cell of the used rectangle, a row each, blanks filled with ''."""
+    rows = dense_rows(cells, value, ord)
+    return rows.select(*SHEET, "row", F.posexplode("values").alias("col", value)).withColumn("col", F.col("col").cast("long"))
 
 
 def expand_col_widths(spans: DataFrame) -> DataFrame:
@@ -326,9 +341,11 @@ def _entries(rows: DataFrame, key: str, value: str, most: int, out: str) -> Data
     return rows.where(F.col(value).isNotNull()).groupBy(*SHEET).agg(F.array_sort(F.collect_list(pair)).alias(out))
 
 
-def _dense(found: Column, count: Column, default: float) -> Column:
-    """Sizes 0..count-1 with the default in every gap, in one pass."""
-    found = F.filter(F.coalesce(found, F.expr("cast(array() as array<struct<at:int,size:double>>)")), lambda e: e["at"] < count)
+def _dense(found: Column, count: Column, default: float | str) -> Column:
+    """Values 0..count-1 with the default in every gap, in one pass."""
+    if not isinstance(default, str):
+        found = F.coalesce(found, F.expr("cast(array() as array<struct<at:int,size:double>>)"))
+    found = F.filter(found, lambda e: e["at"] < count)
     filled = F.transform(
         found,
         lambda e, i: F.concat(

@@ -119,33 +119,56 @@ def scan_sheet_rejects(parts: DataFrame) -> DataFrame:
     return cells.unionByName(unread)
 
 
+def _spans(parts: DataFrame) -> DataFrame:
+    cols = _sheet(parts).select("file_id", "sheet_ord", F.posexplode_outer("x.cols.col").alias("ord", "c")).where(F.col("ord").isNotNull())
+    return cols.select("file_id", "sheet_ord", "ord", *[F.col(f"c._{a}").try_cast("double").alias(b) for a, b in (("min", "min_col"), ("max", "max_col"), ("width", "width"))])
+
+
+def _heights(parts: DataFrame) -> DataFrame:
+    """Rows with their index; one without a number follows its place in the file."""
+    rows = _sheet(parts).select("file_id", "sheet_ord", F.posexplode_outer("x.sheetData.row").alias("at", "r")).where(F.col("at").isNotNull())
+    number = F.floor(F.coalesce(F.col("r._r").try_cast("double"), F.col("at") + 1)) - 1
+    return rows.withColumn("row", F.greatest(F.lit(0), number).cast("long"))
+
+
+def _merges(parts: DataFrame) -> DataFrame:
+    merges = _sheet(parts).select("file_id", "sheet_ord", F.posexplode_outer("x.mergeCells.mergeCell").alias("ord", "m")).where(F.col("ord").isNotNull())
+    return merges.withColumn("box", range_to_box(F.coalesce("m._ref", F.lit(""))))
+
+
 def scan_sheet_dims(parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Column spans, row heights and merges of worksheets."""
-    sheet = _sheet(parts)
-    cols = sheet.select("file_id", "sheet_ord", F.posexplode_outer("x.cols.col").alias("ord", "c")).where(F.col("ord").isNotNull()).select(
-        "file_id",
-        "sheet_ord",
-        "ord",
-        F.col("c._min").try_cast("double").alias("min_col"),
-        F.col("c._max").try_cast("double").alias("max_col"),
-        F.col("c._width").try_cast("double").alias("width"),
+    """Column spans, row heights and merges of worksheets; ``scan_dim_rejects`` has what
+    lies beyond the grid or cannot be read."""
+    rows = _heights(parts).where(F.col("row") < dims.MAX_SHEET_ROWS).select(
+        "file_id", "sheet_ord", "row", clamp(F.col("r._ht").try_cast("double"), 10, 120, 20).alias("height")
     )
-    rows = sheet.select("file_id", "sheet_ord", F.posexplode_outer("x.sheetData.row").alias("at", "r")).where(F.col("at").isNotNull()).select(
-        "file_id",
-        "sheet_ord",
-        F.least(
-            F.lit(dims.MAX_SHEET_ROWS - 1),
-            F.greatest(F.lit(0), F.floor(F.coalesce(F.col("r._r").try_cast("double"), F.col("at") + 1)) - 1),
-        )
-        .cast("long")
-        .alias("row"),
-        clamp(F.col("r._ht").try_cast("double"), 10, 120, 20).alias("height"),
-    )
-    merges = sheet.select("file_id", "sheet_ord", F.posexplode_outer("x.mergeCells.mergeCell").alias("ord", "m")).select(
-        "file_id", "sheet_ord", "ord", range_to_box(F.coalesce("m._ref", F.lit(""))).alias("box")
+    merges = _merges(parts).where(F.col("box").isNotNull()).select("file_id", "sheet_ord", "ord", "box.*")
+    return _spans(parts), rows, merges
+
+
+def scan_dim_rejects(parts: DataFrame) -> DataFrame:
+    """What scan_sheet_dims, expand_col_widths and the merge operators leave out, a row
+    each: file_id, sheet_ord, dim (col, row, merge), ref, reason.
+
+    ``off-grid``: a row, a span's columns or a merge's anchor beyond the grid; ``cut``: a
+    span or merge that begins on the grid and ends beyond it (its part on the grid
+    counts); ``bad-reference``: a merge without a range; ``empty``: a span that ends
+    before it begins.
+    """
+    high, wide = F.lit(dims.MAX_SHEET_ROWS), F.lit(dims.MAX_SHEET_COLUMNS)
+    rows = _heights(parts).where(F.col("row") >= high).select(
+        "file_id", "sheet_ord", F.lit("row").alias("dim"), (F.col("row") + 1).cast("string").alias("ref"), F.lit("off-grid").alias("reason")
     )
-    merges = merges.where(F.col("box").isNotNull()).select("file_id", "sheet_ord", "ord", "box.*")
-    return cols, rows, merges
+    # Bounds of a span as expand_col_widths takes them.
+    low = F.greatest(F.lit(1), F.floor(F.coalesce("min_col", F.lit(1)))).cast("long")
+    last = F.floor(F.coalesce("max_col", low)).cast("long")
+    why = F.when(last < low, "empty").when(low > wide, "off-grid").when(last > wide, "cut")
+    spans = _spans(parts).select("file_id", "sheet_ord", F.lit("col").alias("dim"), F.concat_ws(":", low, last).alias("ref"), why.alias("reason"))
+    box, bottom, right = F.col("box"), F.col("box.row") + F.col("box.rowspan"), F.col("box.col") + F.col("box.colspan")
+    off = (F.col("box.row") >= high) | (F.col("box.col") >= wide)
+    why = F.when(box.isNull(), "bad-reference").when(off, "off-grid").when((bottom > high) | (right > wide), "cut")
+    merges = _merges(parts).select("file_id", "sheet_ord", F.lit("merge").alias("dim"), F.col("m._ref").alias("ref"), why.alias("reason"))
+    return rows.unionByName(spans.where(F.col("reason").isNotNull())).unionByName(merges.where(F.col("reason").isNotNull()))
 
 
 RELS_SCHEMA = "struct<Relationship: array<struct<_Id: string, _Type: string, _Target: string, _TargetMode: string>>>"

@@ -146,6 +146,27 @@ def test_xml_parts(spark):
     assert [tuple(m)[3:] for m in merges.collect()] == [(0, 0, 2, 2)] and cols.first().max_col == 3.0
 
 
+def test_dimensions_off_the_grid(spark):
+    """Heights beyond the grid stay apart, and whatever the grid leaves out has a row."""
+    sheet = (
+        '<worksheet xmlns="urn:s"><cols><col min="1" max="2" width="9"/><col min="400" max="900" width="9"/><col min="501" max="502"/><col min="7" max="3"/></cols>'
+        '<sheetData><row r="20000" ht="30"/><row r="20001" ht="40"/><row r="90000" ht="50"/><row ht="60"/></sheetData>'
+        '<mergeCells><mergeCell ref="A1:B2"/><mergeCell ref="nonsense"/><mergeCell/><mergeCell ref="A20001"/><mergeCell ref="SF20000:SG20001"/></mergeCells></worksheet>'
+    )
+    rows = [(1, 0, sheet), (2, 0, None), (3, 0, '<worksheet xmlns="urn:s"/>')]
+    parts = spark.createDataFrame(rows, "file_id long, sheet_ord int, xml string")
+    cols, heights, merges = O.scan_sheet_dims(parts)
+    assert sorted((r.row, r.height) for r in heights.collect()) == [(3, 60.0), (19_999, 30.0)]
+    assert cols.count() == 4 and merges.count() == 3
+    got = sorted((r.dim, r.ref or "", r.reason) for r in O.scan_dim_rejects(parts).collect())
+    assert got == [
+        ("col", "400:900", "cut"), ("col", "501:502", "off-grid"), ("col", "7:3", "empty"),
+        ("merge", "", "bad-reference"), ("merge", "A20001", "off-grid"), ("merge", "SF20000:SG20001", "cut"), ("merge", "nonsense", "bad-reference"),
+        ("row", "20001", "off-grid"), ("row", "90000", "off-grid"),
+    ]
+    assert O.scan_dim_rejects(parts.limit(0)).count() == 0
+
+
 def test_image_sizes(spark):
     png = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + struct.pack(">II", 5000, 5000) + b"\x08\x06\0\0\0crc4IEND"
     jpeg = b"\xff\xd8\xff\xe1" + struct.pack(">H", 40_002) + b"x" * 40_000 + b"\xff\xc0\0\x0b\x08" + struct.pack(">HH", 300, 200) + b"\x01\x01\x11\0\xff\xd9 padding"

@@ -289,3 +289,28 @@ def test_text_of_a_hot_page(spark):
         want_blocks |= {(page, b): (kind, " ".join(p)) for b, (kind, p) in parts.items()}
     assert got == want
     assert blocks == want_blocks
+
+
+def test_dense_rows_shuffle_only_cells(spark):
+    """Gaps are filled inside rows: a sheet of 1 500 by 500 places with 40 cells moves no blank."""
+    random.seed(8)
+    places = {(random.randrange(1500), random.randrange(500)): f"v{i}" for i in range(40)} | {(1499, 499): "end"}
+    rows = [(1, 0, r, c, v, 1) for (r, c), v in places.items()]
+    rows += [(1, 0, 1499, 499, "later", 2), (1, 0, 20_000, 3, "off", 1), (1, 0, 3, 500, "off", 1), (1, 0, None, 2, "null", 1), (2, 0, 0, 0, None, 1), (None, 0, 1, 1, "x", 1)]
+    cells = spark.createDataFrame(rows, "file_id long, sheet_ord int, row long, col long, v string, ord int")
+    got = {(r.file_id, r.row): r["values"] for r in S.dense_rows(cells, "v", "ord").collect()}
+    for r in range(1500):
+        assert got[1, r] == [("later" if (r, c) == (1499, 499) else places.get((r, c), "")) for c in range(500)]
+    assert got[2, 0] == [""] and len([k for k in got if k[0] == 1]) == 1500
+    assert S.dense_grid(cells.where("file_id = 1"), "v", "ord").where("v <> ''").count() == len(places)
+    assert S.dense_rows(cells.limit(0), "v").count() == 0
+    # No explode below an exchange: what is made is not shuffled.
+    plan = S.dense_rows(cells, "v")._jdf.queryExecution().executedPlan().toString()
+    below, depth = False, None
+    for line in plan.splitlines():
+        at = len(line) - len(line.lstrip(" :+-|"))
+        depth = None if depth is not None and at <= depth else depth
+        if "Exchange" in line and depth is None:
+            depth = at
+        below |= depth is not None and "Generate" in line
+    assert "Generate" in plan and not below
