@@ -225,3 +225,11 @@ def test_packed_documents_keep_the_verdict_of_their_shape(spark):
     rows = [(i, "x.zip", build(i, "the same words again and again\n" * 20_000)) for i in (0, 4, 6, 11)]
     out = A.archive_limits(frame(spark, rows).select("file_id", "content")).collect()
     assert {r.file_id: r.archive_error for r in out} == {0: None, 4: None, 6: None, 11: "ARCHIVE_COMPRESSION_RATIO"}
+
+
+def test_kind_of_a_package_with_a_text_of_repeats(spark):
+    from sheaf.catalog.packages import build
+
+    rows = [(i, f"x{i}.pages", build(i, "a b c d e f g h\n" * 30_000)) for i in (0, 1, 4)]
+    out = A.container_kind(frame(spark, rows)).collect()
+    assert {r.file_id: (r.kind, r.valid, r.safety) for r in out} == {0: ("docx", True, "safe"), 1: ("pptx", True, "safe"), 4: ("pages", True, "safe")}
