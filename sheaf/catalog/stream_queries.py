@@ -37,9 +37,12 @@ def rolling_admission_query(spark, sf):
 
 
 def _stream(spark, sf, name):
-    """The files of one table as a stream."""
-    schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 64).parquet(sf)
+    """The files of one table as a stream, be the table a folder of files or one file."""
+    given = table(spark, sf, name)
+    reader = spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 64)
+    if any(f"/{name}.parquet/" in path for path in given.inputFiles()[:1]):
+        return reader.parquet(f"{sf}/{name}.parquet")
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
 @query("stream_admission", _ADMISSION_DUCK)
@@ -56,7 +59,9 @@ def stream_dedup_query(spark, sf):
     docs = _stream(spark, sf, "documents").select(
         F.sha2(F.encode("text", "UTF-8"), 256).alias("digest"), F.timestamp_seconds(F.col("doc_id") + 86_400).alias("ts")
     )
-    return run_available(stream_dedup(docs, horizon="30 days"), "dedup").select("digest")
+    # One row per text of all files, in whatever order they come: the horizon spans all ids.
+    span = table(spark, sf, "documents").agg(F.max("doc_id") - F.min("doc_id")).first()[0] or 0
+    return run_available(stream_dedup(docs, horizon=f"{max(30, span // 86_400 + 1)} days"), "dedup").select("digest")
 
 
 @query("stream_intake", f"SELECT file_id, kind, valid, format_label, extension_match, mime_match FROM ({_INSPECTED_DUCK})")

@@ -89,3 +89,22 @@ def test_intake_and_dedup(spark, tmp_path):
     }
     keyed = stream.select(F.sha2("content", 256).alias("digest"), F.col("modificationTime").alias("ts"))
     assert run_available(stream_dedup(keyed), "t4").count() == 3
+
+
+def _tables(spark, tmp_path, parts):
+    """``documents`` as a folder of several files, in the order of ``parts``."""
+    for number, rows in enumerate(parts):
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.mode("append").parquet(
+            str(tmp_path / "documents.parquet")
+        )
+    return str(tmp_path)
+
+
+def test_dedup_query_over_a_folder_of_files(spark, tmp_path):
+    """Equal texts further apart than 30 days of ids, the newest first."""
+    import __spark_entry__ as entry
+
+    far = 40 * 86_400
+    sf = _tables(spark, tmp_path, [[(far, "a", "en", "s", 1), (far + 1, "b", "en", "s", 1)], [(1, "a", "en", "s", 1), (2, "c", "en", "s", 1)], [(far // 2, "b", "en", "s", 1)]])
+    digests = [r.digest for r in entry.queries()["stream_dedup"](spark, sf).collect()]
+    assert len(digests) == len(set(digests)) == 3
