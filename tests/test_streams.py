@@ -108,3 +108,10 @@ def test_dedup_query_over_a_folder_of_files(spark, tmp_path):
     sf = _tables(spark, tmp_path, [[(far, "a", "en", "s", 1), (far + 1, "b", "en", "s", 1)], [(1, "a", "en", "s", 1), (2, "c", "en", "s", 1)], [(far // 2, "b", "en", "s", 1)]])
     digests = [r.digest for r in entry.queries()["stream_dedup"](spark, sf).collect()]
     assert len(digests) == len(set(digests)) == 3
+
+
+def test_intake_query_over_a_folder_of_files(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    sf = _tables(spark, tmp_path, [[(2, "a", "en", "s", 1)], [(6, "b", "en", "s", 1), (7, "c", "en", "s", 1)]])
+    assert sorted(r.file_id for r in entry.queries()["stream_intake"](spark, sf).collect()) == [2, 6, 7]
