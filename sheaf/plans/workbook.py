@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.cells import is_external_formula
 from ..functions.links import is_external_target
 from ..operators import sheets as S
 from ..operators.archive import MACRO_TYPE, resolve_target, with_verdict
@@ -21,7 +20,7 @@ from ..sources.office import (
     scan_relationships,
     scan_shared_strings,
     scan_sheet_cells,
-    scan_sheet_rejects,
+    scan_sheet_facts,
     scan_styles,
     scan_workbook_sheets,
     xml_guard,
@@ -117,13 +116,13 @@ def workbook_cells(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     sheet_parts = found.where(F.col("problem").isNull()).select("file_id", "sheet_ord", "xml")
 
     raw = scan_sheet_cells(sheet_parts)
-    outside = raw.where(is_external_formula(F.col("f"))).select("file_id", F.lit("external-formula").alias("problem"))
-    unread = scan_sheet_rejects(sheet_parts).where(F.col("reason") == "malformed").select("file_id", F.lit("malformed").alias("problem"))
-    blank = sheet_parts.select("file_id", "sheet_ord").join(raw.where("v <> '' or f is not null"), ["file_id", "sheet_ord"], "left_anti")
-    blank = blank.select("file_id", F.lit("blank-sheet").alias("problem"))
+    told = scan_sheet_facts(sheet_parts)
+    codes = (("external", "external-formula"), ("unread", "malformed"), ("blank", "blank-sheet"))
+    facts = F.array(*[F.when(~F.col("filled") if c == "blank" else F.col(c), code) for c, code in codes])
+    bad = told.select("file_id", F.explode(F.array_compact(facts)).alias("problem"))
     sheets = found.where(F.col("problem").isNotNull()).select("file_id", "problem")
     # A package refused as a whole is not read further.
-    inner = reduce(DataFrame.unionByName, [sheets, crowded, empty, outside, unread, blank])
+    inner = reduce(DataFrame.unionByName, [sheets, crowded, empty, bad])
     alone = parts.where(F.col("path").isNull() & F.col("problem").isNotNull()).select("file_id").distinct()
     refused = kept(refused.unionByName(inner.join(alone, "file_id", "left_anti")).groupBy("file_id").agg(F.min("problem").alias("problem")))
     good_cells = raw.join(refused.select("file_id"), "file_id", "left_anti")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import dims
-from ..functions.cells import a1_to_rowcol, range_to_box
+from ..functions.cells import a1_to_rowcol, is_external_formula, range_to_box
 from ..functions.html import UNDECLARED
 from ..functions.text import EMU_PER_POINT, clamp
 
@@ -32,38 +32,63 @@ def xml_guard(text: Column) -> Column:
     Well-formed means: every tag is whole, its attributes quoted and named once, tags
     close in the order they opened, and there is one root.
     """
-    bare = F.regexp_replace(text, ASIDE, "")
-    tags = F.regexp_extract_all(bare, F.lit(TAG), F.lit(0))
+    def once(value: Column, then) -> Column:
+        """``then`` of a value that is worked out a single time, however often it is used."""
+        return F.get(F.transform(F.array(value), then), F.lit(0))
+
     start = F.struct(
         F.expr("cast(array() as array<string>)").alias("open"), F.lit(0).alias("deepest"), F.lit(0).alias("roots"), F.lit(False).alias("torn")
     )
 
-    def step(s: Column, tag: Column) -> Column:
-        name = F.regexp_extract(tag, r"^</?([^\s/>]+)", 1)
-        closes, alone, depth = tag.startswith("</"), tag.endswith("/>"), F.size(s["open"])
-        emptied = F.regexp_replace(tag, QUOTED, '""')
-        bad = ~tag.rlike(WHOLE_TAG) | emptied.rlike(REPEATED) | (closes & ~F.coalesce(F.element_at(s["open"], -1).eqNullSafe(name), F.lit(False)))
-        return F.struct(
-            F.when(closes, F.slice(s["open"], 1, F.greatest(depth - 1, F.lit(0))))
-            .when(alone, s["open"])
-            .otherwise(F.concat(s["open"], F.array(name)))
-            .alias("open"),
-            F.greatest(s["deepest"], depth + F.when(closes, 0).otherwise(1)).alias("deepest"),
-            (s["roots"] + F.when(~closes & (depth == 0), 1).otherwise(0)).alias("roots"),
-            (s["torn"] | bad).alias("torn"),
+    def mark(tag: Column) -> Column:
+        """``name`` of what opens, ``/name`` of what closes, nothing for what does both."""
+        return F.when(tag.endswith("/>") & ~tag.startswith("</"), "").otherwise(F.regexp_extract(tag, r"^<(/?[^\s/>]+)", 1))
+
+    def step(s: Column, mark: Column) -> Column:
+        closes, depth = mark.startswith("/"), F.size(s["open"])
+        return F.when(
+            closes,
+            F.struct(
+                F.slice(s["open"], 1, F.greatest(depth - 1, F.lit(0))).alias("open"),
+                F.greatest(s["deepest"], depth).alias("deepest"),
+                s["roots"].alias("roots"),
+                (s["torn"] | ~F.coalesce(F.concat(F.lit("/"), F.get(s["open"], depth - 1)).eqNullSafe(mark), F.lit(False))).alias("torn"),
+            ),
+        ).otherwise(
+            F.struct(
+                F.when(mark == "", s["open"]).otherwise(F.concat(s["open"], F.array(mark))).alias("open"),
+                F.greatest(s["deepest"], depth + 1).alias("deepest"),
+                (s["roots"] + F.when(depth == 0, 1).otherwise(0)).alias("roots"),
+                s["torn"].alias("torn"),
+            )
+        )
+
+    def broken(tag: Column) -> Column:
+        twice = F.when(tag.rlike("=[^=]*="), F.regexp_replace(tag, QUOTED, '""').rlike(REPEATED)).otherwise(False)
+        return ~tag.rlike(WHOLE_TAG) | twice
+
+    def by_tags(bare: Column, tags: Column) -> Column:
+        stray = F.regexp_replace(bare, TAG, "").contains("<")
+        return once(
+            F.aggregate(F.transform(tags, mark), start, step),
+            lambda shape: F.when(shape["deepest"] > dims.MAX_XML_DEPTH, "too-deep").when(
+                shape["torn"] | (F.size(shape["open"]) != 0) | (shape["roots"] != 1) | F.exists(tags, broken) | stray, "malformed"
+            ),
+        )
+
+    def by_text(bare: Column) -> Column:
+        # Counted before any fold: neither nodes nor depth may cost more than their caps.
+        return (
+            F.when(bare.rlike(UNDECLARED), "undeclared-entity")
+            .when(F.regexp_count(bare, F.lit("<[A-Za-z_]")) > dims.MAX_XML_NODES, "too-many-nodes")
+            .otherwise(once(F.regexp_extract_all(bare, F.lit(TAG), F.lit(0)), lambda tags: by_tags(bare, tags)))
         )
 
-    # Counted before any fold: neither nodes nor depth may cost more than their caps.
-    shape = F.aggregate(tags, start, step)
-    stray = F.regexp_replace(bare, TAG, "").contains("<")
     return (
         F.when(F.length(text) > dims.MAX_XML_BYTES, "too-large")
         .when(text.rlike(CONTROL), "control-character")
         .when(text.rlike(DANGEROUS), "dtd-or-entity")
-        .when(bare.rlike(UNDECLARED), "undeclared-entity")
-        .when(F.regexp_count(bare, F.lit("<[A-Za-z_]")) > dims.MAX_XML_NODES, "too-many-nodes")
-        .when(shape["deepest"] > dims.MAX_XML_DEPTH, "too-deep")
-        .when(shape["torn"] | (F.size(shape["open"]) != 0) | (shape["roots"] != 1) | stray, "malformed")
+        .when(text.isNotNull(), once(F.regexp_replace(text, ASIDE, ""), by_text))
     )
 
 
@@ -83,18 +108,46 @@ def _sheet(parts: DataFrame) -> DataFrame:
     return parts.select("file_id", "sheet_ord", F.from_xml("xml", SHEET_SCHEMA, NO_NS).alias("x"))
 
 
-def _cells(parts: DataFrame) -> DataFrame:
-    rows = _sheet(parts).select("file_id", "sheet_ord", F.explode_outer("x.sheetData.row").alias("r"))
-    cells = rows.select("file_id", "sheet_ord", F.explode_outer("r.c").alias("c"))
+def _all_cells(parts: DataFrame) -> DataFrame:
+    """Cells, and a row without one for what has none; ``unread`` marks what is no worksheet."""
+    rows = _sheet(parts).select("file_id", "sheet_ord", F.col("x").isNull().alias("unread"), F.explode_outer("x.sheetData.row").alias("r"))
+    cells = rows.select("file_id", "sheet_ord", "unread", F.explode_outer("r.c").alias("c"))
     on_grid = (F.col("at.row") < dims.MAX_SHEET_ROWS) & (F.col("at.col") < dims.MAX_SHEET_COLUMNS)
-    placed = cells.where(F.col("c").isNotNull()).withColumn("at", a1_to_rowcol(F.coalesce("c._r", F.lit(""))))
+    placed = cells.withColumn("at", F.when(F.col("c").isNotNull(), a1_to_rowcol(F.coalesce("c._r", F.lit("")))))
     return placed.withColumn("on_grid", F.coalesce(on_grid, F.lit(False)))
 
 
+def _cells(parts: DataFrame) -> DataFrame:
+    return _all_cells(parts).where(F.col("c").isNotNull())
+
+
+def _value_of() -> tuple[Column, Column]:
+    """Value and formula of a cell ``c``."""
+    inline = F.coalesce("c.is.t", F.array_join(F.transform("c.is.r", lambda r: r["t"]), ""), F.lit(""))
+    value = F.trim(F.when(F.col("c._t") == "inlineStr", inline).otherwise(F.coalesce("c.v", F.lit(""))))
+    return value, F.nullif(F.trim("c.f"), F.lit(""))
+
+
+def scan_sheet_facts(parts: DataFrame) -> DataFrame:
+    """file_id, sheet_ord, unread, external, filled: whether a part is no worksheet, and
+    whether its cells on the grid hold an outside formula, and anything at all; one pass."""
+    value, formula = _value_of()
+    told = _all_cells(parts).select("file_id", "sheet_ord", "unread", "on_grid", value.alias("v"), formula.alias("f"))
+
+    def some(what: Column) -> Column:
+        return F.coalesce(F.bool_or(F.col("on_grid") & what), F.lit(False))
+
+    return told.groupBy("file_id", "sheet_ord").agg(
+        F.bool_or("unread").alias("unread"),
+        some(is_external_formula(F.col("f"))).alias("external"),
+        some((F.col("v") != "") | F.col("f").isNotNull()).alias("filled"),
+    )
+
+
 def scan_sheet_cells(parts: DataFrame) -> DataFrame:
     """file_id, sheet_ord, row, col, ref, t, v, f, style_idx of the cells on the grid;
     ``scan_sheet_rejects`` has the others."""
-    inline = F.coalesce("c.is.t", F.array_join(F.transform("c.is.r", lambda r: r["t"]), ""), F.lit(""))
+    value, formula = _value_of()
     return _cells(parts).where("on_grid").select(
         "file_id",
         "sheet_ord",
@@ -102,8 +155,8 @@ def scan_sheet_cells(parts: DataFrame) -> DataFrame:
         F.col("at.col").alias("col"),
         F.col("c._r").alias("ref"),
         F.col("c._t").alias("t"),
-        F.trim(F.when(F.col("c._t") == "inlineStr", inline).otherwise(F.coalesce("c.v", F.lit("")))).alias("v"),
-        F.nullif(F.trim("c.f"), F.lit("")).alias("f"),
+        value.alias("v"),
+        formula.alias("f"),
         F.coalesce(F.floor(F.col("c._s").try_cast("double")), F.lit(0)).cast("long").alias("style_idx"),
     )
 
@@ -112,11 +165,10 @@ def scan_sheet_rejects(parts: DataFrame) -> DataFrame:
     """What a sheet holds and the grid does not: file_id, sheet_ord, ref, reason (bad
     reference, or row or column beyond the grid's size); one row without a reference for
     a part that is no worksheet."""
-    off = _cells(parts).where(~F.col("on_grid"))
+    off = _all_cells(parts).where(F.col("unread") | (F.col("c").isNotNull() & ~F.col("on_grid")))
     known = F.col("at.row").isNotNull() & F.col("at.col").isNotNull()
-    cells = off.select("file_id", "sheet_ord", F.col("c._r").alias("ref"), F.when(known, "off-grid").otherwise("bad-reference").alias("reason"))
-    unread = _sheet(parts).where(F.col("x").isNull()).select("file_id", "sheet_ord", F.lit(None).cast("string").alias("ref"), F.lit("malformed").alias("reason"))
-    return cells.unionByName(unread)
+    reason = F.when(F.col("unread"), "malformed").when(known, "off-grid").otherwise("bad-reference")
+    return off.select("file_id", "sheet_ord", F.col("c._r").alias("ref"), reason.alias("reason"))
 
 
 def _spans(parts: DataFrame) -> DataFrame:
@@ -124,11 +176,15 @@ def _spans(parts: DataFrame) -> DataFrame:
     return cols.select("file_id", "sheet_ord", "ord", *[F.col(f"c._{a}").try_cast("double").alias(b) for a, b in (("min", "min_col"), ("max", "max_col"), ("width", "width"))])
 
 
+def _row_number(r: Column, at: Column) -> Column:
+    number = F.floor(F.coalesce(r["_r"].try_cast("double"), at + 1)) - 1
+    return F.greatest(F.lit(0), number).cast("long")
+
+
 def _heights(parts: DataFrame) -> DataFrame:
     """Rows with their index; one without a number follows its place in the file."""
     rows = _sheet(parts).select("file_id", "sheet_ord", F.posexplode_outer("x.sheetData.row").alias("at", "r")).where(F.col("at").isNotNull())
-    number = F.floor(F.coalesce(F.col("r._r").try_cast("double"), F.col("at") + 1)) - 1
-    return rows.withColumn("row", F.greatest(F.lit(0), number).cast("long"))
+    return rows.withColumn("row", _row_number(F.col("r"), F.col("at")))
 
 
 def _merges(parts: DataFrame) -> DataFrame:
@@ -156,19 +212,30 @@ def scan_dim_rejects(parts: DataFrame) -> DataFrame:
     before it begins.
     """
     high, wide = F.lit(dims.MAX_SHEET_ROWS), F.lit(dims.MAX_SHEET_COLUMNS)
-    rows = _heights(parts).where(F.col("row") >= high).select(
-        "file_id", "sheet_ord", F.lit("row").alias("dim"), (F.col("row") + 1).cast("string").alias("ref"), F.lit("off-grid").alias("reason")
-    )
-    # Bounds of a span as expand_col_widths takes them.
-    low = F.greatest(F.lit(1), F.floor(F.coalesce("min_col", F.lit(1)))).cast("long")
-    last = F.floor(F.coalesce("max_col", low)).cast("long")
-    why = F.when(last < low, "empty").when(low > wide, "off-grid").when(last > wide, "cut")
-    spans = _spans(parts).select("file_id", "sheet_ord", F.lit("col").alias("dim"), F.concat_ws(":", low, last).alias("ref"), why.alias("reason"))
-    box, bottom, right = F.col("box"), F.col("box.row") + F.col("box.rowspan"), F.col("box.col") + F.col("box.colspan")
-    off = (F.col("box.row") >= high) | (F.col("box.col") >= wide)
-    why = F.when(box.isNull(), "bad-reference").when(off, "off-grid").when((bottom > high) | (right > wide), "cut")
-    merges = _merges(parts).select("file_id", "sheet_ord", F.lit("merge").alias("dim"), F.col("m._ref").alias("ref"), why.alias("reason"))
-    return rows.unionByName(spans.where(F.col("reason").isNotNull())).unionByName(merges.where(F.col("reason").isNotNull()))
+
+    def reject(dim: str, ref: Column, reason: Column) -> Column:
+        return F.struct(F.lit(dim).alias("dim"), ref.alias("ref"), reason.alias("reason"))
+
+    def row(r: Column, at: Column) -> Column:
+        number = _row_number(r, at)
+        return reject("row", (number + 1).cast("string"), F.when(number >= high, "off-grid"))
+
+    def span(c: Column) -> Column:
+        # Bounds of a span as expand_col_widths takes them.
+        low = F.greatest(F.lit(1), F.floor(F.coalesce(c["_min"].try_cast("double"), F.lit(1)))).cast("long")
+        last = F.floor(F.coalesce(c["_max"].try_cast("double"), low)).cast("long")
+        return reject("col", F.concat_ws(":", low, last), F.when(last < low, "empty").when(low > wide, "off-grid").when(last > wide, "cut"))
+
+    def merge(m: Column) -> Column:
+        box = range_to_box(F.coalesce(m["_ref"], F.lit("")))
+        bottom, right = box["row"] + box["rowspan"], box["col"] + box["colspan"]
+        off = (box["row"] >= high) | (box["col"] >= wide)
+        return reject("merge", m["_ref"], F.when(box.isNull(), "bad-reference").when(off, "off-grid").when((bottom > high) | (right > wide), "cut"))
+
+    # All three kinds leave the sheet in one pass over its text.
+    lists = [F.transform(F.col(f"x.{path}"), why) for path, why in (("sheetData.row", row), ("cols.col", span), ("mergeCells.mergeCell", merge))]
+    told = F.concat(*[F.coalesce(F.filter(each, lambda w: w["reason"].isNotNull()), F.filter(F.array(reject("", F.lit(""), F.lit(""))), lambda w: F.lit(False))) for each in lists])
+    return _sheet(parts).select("file_id", "sheet_ord", F.inline_outer(told)).where(F.col("dim").isNotNull())
 
 
 RELS_SCHEMA = "struct<Relationship: array<struct<_Id: string, _Type: string, _Target: string, _TargetMode: string>>>"

@@ -233,3 +233,23 @@ def test_kind_of_a_package_with_a_text_of_repeats(spark):
     rows = [(i, f"x{i}.pages", build(i, "a b c d e f g h\n" * 30_000)) for i in (0, 1, 4)]
     out = A.container_kind(frame(spark, rows)).collect()
     assert {r.file_id: (r.kind, r.valid, r.safety) for r in out} == {0: ("docx", True, "safe"), 1: ("pptx", True, "safe"), 4: ("pages", True, "safe")}
+
+
+def test_guard_folds_a_text_once(spark):
+    """Each use of the folded tags worked them out again, cleaned text and all."""
+    df = spark.createDataFrame([("<a><b/></a>",)], "xml string").select(O.xml_guard(F.col("xml")).alias("g"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # The count of nodes is an extraction of its own.
+    assert plan.count("aggregate(") == 1 and plan.count("regexp_extract_all(") == 2
+    assert df.first().g is None
+
+
+def test_rejects_and_facts_read_a_sheet_once(spark):
+    xml = '<worksheet><cols><col min="9" max="8"/></cols><sheetData><row r="30000"><c r="7up"/><c r="A1"><f>[1]B!A1</f></c></row></sheetData></worksheet>'
+    parts = spark.createDataFrame([(1, 0, xml), (2, 0, None), (3, 0, "<worksheet><sheetData/></worksheet>")], "file_id long, sheet_ord int, xml string")
+    cells, dims_ = O.scan_sheet_rejects(parts), O.scan_dim_rejects(parts)
+    for df in (cells, dims_, O.scan_sheet_facts(parts)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") == 1
+    assert {(r.file_id, r.ref, r.reason) for r in cells.collect()} == {(1, "7up", "bad-reference"), (2, None, "malformed")}
+    assert {(r.file_id, r.dim, r.ref, r.reason) for r in dims_.collect()} == {(1, "row", "30000", "off-grid"), (1, "col", "9:8", "empty")}
+    assert {(r.file_id, r.unread, r.external, r.filled) for r in O.scan_sheet_facts(parts).collect()} == {(1, False, True, True), (2, True, False, False), (3, False, False, False)}
