@@ -98,17 +98,20 @@ def carry(
     handed = ends.select(
         *group,
         block,
+        F.lit(False).alias("_own"),
         *[F.last(f"_l_{name}", ignorenulls=True).over(past).alias(f"_h_{name}") for name in last],
         *[F.coalesce(F.sum(f"_l_{name}").over(past), F.lit(0)).alias(f"_h_{name}") for name in sums],
     )
-    inside = Window.partitionBy(*group, block).orderBy(*order)
+    # What a block is handed is its first row, so that its rows are dealt and sorted once.
+    both = named.withColumn("_own", F.lit(True)).unionByName(handed, allowMissingColumns=True)
+    inside = Window.partitionBy(*group, block).orderBy("_own", *order)
     upto_here = inside.rowsBetween(Window.unboundedPreceding, 0)
     own = []
     for name in last:
         frame = upto_here if name in (upto or {}) else inside.rowsBetween(Window.unboundedPreceding, -1)
-        own.append(F.coalesce(F.last(f"_v_{name}", ignorenulls=True).over(frame), f"_h_{name}").alias(name))
-    own += [(F.col(f"_h_{name}") + F.sum(f"_v_{name}").over(upto_here)).alias(name) for name in sums]
-    return join_on(named, handed, [*group, block]).select(*rows.columns, *own)
+        own.append(F.coalesce(F.last(f"_v_{name}", ignorenulls=True).over(frame), F.first(f"_h_{name}").over(upto_here)).alias(name))
+    own += [(F.first(f"_h_{name}").over(upto_here) + F.sum(f"_v_{name}").over(upto_here)).alias(name) for name in sums]
+    return both.select(*rows.columns, "_own", *own).where("_own").drop("_own")
 
 
 def values_at_rank(rows: DataFrame, group: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:

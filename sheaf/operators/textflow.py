@@ -5,7 +5,9 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,13 +41,14 @@ def _tolerance(size: Column) -> Column:
 
 
 def page_heights(items: DataFrame) -> DataFrame:
-    """doc, page, y, size, chars: what lies at each height of a page, by type size.
+    """doc, page, y, size, chars, items: what lies at each height of a page, by type size.
 
     ``size`` is null for items that are blank, ``chars`` the characters that are not
     white space.
     """
     size = F.greatest(F.lit(1.0), F.abs(F.coalesce("font_size", F.lit(DEFAULT_SIZE))))
-    return items.groupBy(*PAGE, "y", F.when(~is_blank(F.col("str")), size).alias("size")).agg(F.sum(F.length(solid(F.col("str")))).alias("chars"))
+    sized = items.groupBy(*PAGE, "y", F.when(~is_blank(F.col("str")), size).alias("size"))
+    return sized.agg(F.sum(F.length(solid(F.col("str")))).alias("chars"), F.count(F.lit(1)).alias("items"))
 
 
 class PageLines:
@@ -76,11 +79,11 @@ class PageLines:
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each height and size with its line; pages come one by one, downwards, and sizes of
     one height from the smallest on."""
-    names = [*PAGE, "y", "font_size"]
+    names = [*PAGE, "y", "font_size", "items"]
     page, lines = None, PageLines()
     for batch in batches:
         numbers, tops = [], []
-        for doc, number, y, size in zip(*(batch.column(c).to_pylist() for c in names)):
+        for doc, number, y, size in zip(*(batch.column(c).to_pylist() for c in names[:-1])):
             if (doc, number) != page:
                 page, lines = (doc, number), PageLines()
             at = lines.line_of(y, max(LEAST_TOLERANCE, size * SHARE))
@@ -90,13 +93,13 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def height_lines(heights: DataFrame) -> DataFrame:
-    """doc, page, y, font_size, line_no, line_y: the line of each height and type size.
+    """doc, page, y, font_size, items, line_no, line_y: the line of each height and type size.
 
     Heights and lines of a page are merged in one pass from the top down, in which only
     the lines are held.  It sees each height and size once, however many items share
     them; these are combined before the shuffle.
     """
-    asked = heights.where(F.col("size").isNotNull() & F.col("y").isNotNull()).select(*PAGE, F.col("y").cast("double").alias("y"), F.col("size").cast("double").alias("font_size"))
+    asked = heights.where(F.col("size").isNotNull() & F.col("y").isNotNull()).select(*PAGE, F.col("y").cast("double").alias("y"), F.col("size").cast("double").alias("font_size"), "items")
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema)
     ordered = asked.repartition(*PAGE).sortWithinPartitions(*PAGE, F.desc("y"), "font_size")
     return ordered.mapInArrow(_merged, f"{types}, line_no int, line_y double")
@@ -117,39 +120,211 @@ def group_lines(items: DataFrame, heights: DataFrame | None = None) -> DataFrame
     return placed.join(lines, [*PAGE, "y", "font_size"]).select(*placed.columns, "line_no", "line_y")
 
 
+# An item of a run as it is sent: what its order and its gap need; the words lie beside it.
+ITEM = np.dtype([("x", "<f8"), ("width", "<f8"), ("ord", "<i8"), ("bytes", "<u4"), ("nulls", "u1")])
+NUMBERS = ("x", "width", "ord")
+RUN = 256  # items in a run at most
+FOLDED = 1 << 18  # items put in order at once in a task
+OPENING, CLOSING = (np.frombuffer(marks, np.uint8) for marks in (b",.;:!?%)", b"([{/"))  # as in NO_SPACE_BEFORE, NO_SPACE_AFTER
+
+
+def _starts(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    """Where rows begin that differ from the row before them."""
+    new = np.ones(batch.num_rows, bool)
+    if batch.num_rows > 1:
+        new[1:] = False
+        for column in map(batch.column, names):
+            here, before = column.slice(1), column.slice(0, len(column) - 1)
+            one_null = pc.xor(here.is_null(), before.is_null())
+            new[1:] |= pc.coalesce(pc.not_equal(here, before), one_null).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def _packed(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Neighbouring items with equal ``names`` as one row: their number, their numbers byte
+    by byte, and their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.num_rows
+            items = np.zeros(size, ITEM)
+            for bit, name in enumerate(NUMBERS):
+                column = batch.column(name)
+                items["nulls"] |= column.is_null().to_numpy(zero_copy_only=False).astype(np.uint8) << bit
+                items[name] = column.fill_null(0).to_numpy(zero_copy_only=False)
+            words = batch.column("value").cast(pa.large_binary())
+            at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + size + 1] if size else np.zeros(1, np.int64)
+            items["bytes"] = np.diff(at)
+            data = memoryview(words.buffers()[2] or b"")
+            starts = _starts(batch, names)
+            place = np.arange(size) - np.repeat(starts, np.diff(np.append(starts, size)))
+            starts = np.flatnonzero(place % RUN == 0)
+            spans = list(zip(starts.tolist(), [*starts[1:].tolist(), size]))[: len(starts)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(c).take(pa.array(starts)) for c in names],
+                    pa.array([hi - lo for lo, hi in spans], pa.int32()),
+                    pa.array([items[lo:hi].view(np.uint8).reshape(-1, ITEM.itemsize).T.tobytes() for lo, hi in spans], pa.binary()),
+                    pa.array([bytes(data[at[lo] : at[hi]]) for lo, hi in spans], pa.binary()),
+                ],
+                names=[*names, "packed", "numbers", "words"],
+            )
+
+    return run
+
+
+def _texts(rows: pa.Table, groups: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """x and text of each line; ``groups`` numbers the lines of the runs, 0, 1, ... in order."""
+    counts = rows.column("packed").to_numpy()
+    parts = [np.frombuffer(b, np.uint8).reshape(ITEM.itemsize, -1).T.copy().view(ITEM).reshape(-1) for b in rows.column("numbers").to_pylist()]
+    items = np.concatenate(parts)
+    data = b"".join(rows.column("words").to_pylist())
+    words = pa.Array.from_buffers(
+        pa.large_string(), len(items), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(items["bytes"], dtype=np.int64)])), pa.py_buffer(data)]
+    )
+    group = np.repeat(groups, counts)
+    y = rows.column("y").to_numpy()
+    down = np.repeat(np.where(np.isnan(y), -np.inf, -y), counts)
+    given = {name: items["nulls"] & (1 << bit) == 0 for bit, name in enumerate(NUMBERS)}
+    order = np.lexsort((items["ord"], given["ord"], down, items["x"], given["x"], group))
+    items, group, words = items[order], group[order], words.take(pa.array(order))
+    x, has_x = items["x"], given["x"][order]
+    reach = np.where(has_x & given["width"][order], x + items["width"], -np.inf)
+    firsts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    ends = np.append(firsts[1:], len(items))
+    edge = np.zeros(len(items))
+    for lo, hi in zip(firsts.tolist(), ends.tolist()):
+        np.maximum.accumulate(reach[lo : hi - 1], out=edge[lo + 1 : hi])
+    edge = np.maximum(edge, 0.0)
+    at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(items) + 1]
+    letters = np.frombuffer(words.buffers()[2] or b"\0", np.uint8)
+    some = np.diff(at) > 0
+    head = some & np.isin(letters[np.minimum(at[:-1], len(letters) - 1)], OPENING)
+    tail = some & np.isin(letters[np.maximum(at[1:] - 1, 0)], CLOSING)
+    # A sum that is no number is above any gap.
+    with np.errstate(invalid="ignore"):
+        space = has_x & ~(x - edge <= 1.5) & ~head
+    space[1:] &= ~tail[:-1]
+    space[firsts] = False
+    pieces = pc.binary_join_element_wise(pc.if_else(pa.array(space), " ", "").cast(pa.large_string()), words, pa.scalar("", pa.large_string()))
+    at = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + len(items) + 1]
+    text = pa.Array.from_buffers(pa.large_string(), len(firsts), [None, pa.py_buffer(np.append(at[firsts], at[-1])), pieces.buffers()[2]])
+    left = np.fmin.reduceat(np.where(has_x, x, np.nan), firsts)
+    return pa.array(left, mask=~np.logical_or.reduceat(has_x, firsts)), text.cast(pa.string())
+
+
+def _line_texts(rows: pa.Table, groups: np.ndarray) -> tuple[pa.ChunkedArray, pa.ChunkedArray]:
+    """``_texts`` of lines that together are ``FOLDED`` items, and so on."""
+    firsts = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
+    part = np.cumsum(np.add.reduceat(rows.column("packed").to_numpy().astype(np.int64), firsts)) // FOLDED
+    cuts = [*firsts[np.flatnonzero(np.append(True, part[1:] != part[:-1]))].tolist(), rows.num_rows]
+    done = [_texts(rows.slice(lo, hi - lo), groups[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]
+    return pa.chunked_array([x for x, _ in done]), pa.chunked_array([text for _, text in done])
+
+
+def _scattered(values: pa.ChunkedArray, where: np.ndarray) -> pa.Array:
+    """The values in the places that are marked, null in the others."""
+    return values.combine_chunks().take(pa.array(np.cumsum(where) - 1, mask=~where))
+
+
+SENT = [*LINE, "line_y", "y", "font_size", "packed", "numbers", "words", "x", "text"]
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs that are all of their line become its text; others stay as they are."""
+    for batch in batches:
+        whole = pc.equal(batch.column("packed"), batch.column("line_items")).to_numpy(zero_copy_only=False)
+        columns = {c: batch.column(c) for c in SENT[:9]}
+        if whole.any():
+            x, text = _line_texts(pa.Table.from_batches([batch.filter(pa.array(whole))]), np.arange(whole.sum()))
+            columns |= {"x": _scattered(x, whole), "text": _scattered(text, whole)}
+            for name in ("numbers", "words"):
+                columns[name] = pc.if_else(pa.array(whole), pa.scalar(None, pa.binary()), columns[name])
+        else:
+            columns |= {"x": pa.nulls(batch.num_rows, pa.float64()), "text": pa.nulls(batch.num_rows, pa.string())}
+        yield pa.RecordBatch.from_arrays([columns[c] for c in SENT], names=SENT)
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per line; its runs come one after the other."""
+
+    def finish(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        starts = _starts(rows.to_batches()[0], LINE)
+        groups = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, rows.num_rows)))
+        lines = rows.take(pa.array(starts))
+        x, text = lines.column("x"), lines.column("text")
+        open_ = rows.column("text").is_null().to_numpy()
+        if open_.any():
+            found, numbered = np.unique(groups[open_], return_inverse=True)
+            left, joined = _line_texts(rows.filter(pa.array(open_)), numbered)
+            mine = np.isin(np.arange(len(starts)), found)
+            x, text = (pc.if_else(pa.array(mine), _scattered(new, mine), old) for new, old in ((left, x), (joined, text)))
+        size = pa.array(np.maximum.reduceat(rows.column("font_size").to_numpy(), starts))
+        out = pa.Table.from_arrays([*[lines.column(c) for c in (*LINE, "line_y")], x, size, text], names=[*LINE, "y", "x", "font_size", "text"])
+        return out.combine_chunks().to_batches()[0]
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and any(batch.column(c)[0] != held[-1].column(c)[-1] for c in LINE):
+            yield finish(held)
+            held = []
+        last = int(_starts(batch, LINE)[-1])
+        if last:
+            yield finish([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield finish(held)
+
+
+def _runs(items: DataFrame, names: list[str]) -> DataFrame:
+    """``names``, packed, numbers, words: neighbouring items as one row."""
+    sent = items.select(
+        *names, *[F.col(c).cast("long" if c == "ord" else "double").alias(c) for c in NUMBERS], collapse_spaces(F.col("str")).alias("value")
+    )
+    types = ", ".join(f"`{c}` {sent.schema[c].dataType.simpleString()}" for c in names)
+    return sent.mapInArrow(_packed(names), f"{types}, packed int, numbers binary, words binary")
+
+
+def _lines(runs: DataFrame, x: str) -> DataFrame:
+    kinds = {c: runs.schema[c].dataType.simpleString() for c in PAGE}
+    head = "".join(f"`{c}` {kind}, " for c, kind in kinds.items()) + "line_no int, "
+    lines = (
+        runs.repartition(*LINE).sortWithinPartitions(*LINE).mapInArrow(_joined, head + "y double, x double, font_size double, text string")
+    )
+    return lines.select(*LINE, "y", F.col("x").cast(x).alias("x"), "font_size", clean_trim(F.col("text")).alias("text"))
+
+
 def join_items(grouped: DataFrame) -> DataFrame:
     """One row per line: text, y, x, font_size.
 
     A space goes in where the gap to everything before exceeds 1.5 units, unless
-    punctuation says otherwise.
+    punctuation says otherwise.  Neighbouring items are sent as one row.
     """
-    value = collapse_spaces(F.col("str"))
-    order = Window.partitionBy(*LINE).orderBy("x", F.desc("y"), "ord")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    edged = grouped.withColumn("value", value).select(
-        *LINE,
-        "line_y",
-        "x",
-        "font_size",
-        "value",
-        F.row_number().over(order).alias("rn"),
-        F.greatest(F.lit(0.0), F.coalesce(F.max(F.col("x") + F.col("width")).over(before), F.lit(0.0))).alias("edge"),
-        F.lag("value").over(order).alias("left_value"),
-    )
-    space = (
-        (F.col("rn") > 1)
-        & (F.col("x") - F.col("edge") > 1.5)
-        & ~F.col("value").rlike(NO_SPACE_BEFORE)
-        & ~F.col("left_value").rlike(NO_SPACE_AFTER)
-    )
-    piece = F.concat(F.when(space, " ").otherwise(""), F.col("value"))
-    lines = edged.withColumn("piece", piece).groupBy(*LINE).agg(
-        F.first("line_y").alias("y"),
-        F.min("x").alias("x"),
-        F.max("font_size").alias("font_size"),
-        F.expr("listagg(piece, '') within group (order by rn)").alias("text"),
-    )
-    return lines.select(*LINE, "y", "x", "font_size", clean_trim(F.col("text")).alias("text"))
+    placed = grouped.select("*", F.col("y").cast("double").alias("_y"), F.col("font_size").cast("double").alias("_size")).drop("y", "font_size")
+    runs = _runs(placed.withColumnsRenamed({"_y": "y", "_size": "font_size"}), [*LINE, "line_y", "y", "font_size"])
+    sent = runs.select("*", F.lit(None).cast("double").alias("x"), F.lit(None).cast("string").alias("text"))
+    return _lines(sent, grouped.schema["x"].dataType.simpleString())
+
+
+def text_lines(items: DataFrame, heights: DataFrame | None = None) -> DataFrame:
+    """``join_items`` of ``group_lines``, with items sent once, in runs.
+
+    Neighbouring items of one height and size are a run, which finds its line as
+    ``group_lines`` says.  A run as long as its line is the line, and only the text goes
+    on; the others of a line meet in ``join_items``.
+    """
+    placed = placed_items(items).withColumn("y", F.col("y").cast("double"))
+    lines = height_lines(page_heights(items) if heights is None else heights)
+    lines = kept(lines.withColumn("line_items", F.sum("items").over(Window.partitionBy(*LINE))).drop("items"))
+    runs = _runs(placed.withColumn("font_size", F.col("font_size").cast("double")), [*PAGE, "y", "font_size"])
+    found = runs.join(lines, [*PAGE, "y", "font_size"])
+    types = {f.name: f.dataType.simpleString() for f in found.schema} | {"x": "double", "text": "string"}
+    sent = found.mapInArrow(_whole, ", ".join(f"`{c}` {types[c]}" for c in SENT))
+    return _lines(sent, items.schema["x"].dataType.simpleString())
 
 
 def _banded(lines: DataFrame) -> DataFrame:
@@ -315,12 +490,12 @@ def paragraphs(lines: DataFrame) -> DataFrame:
         .otherwise(linked)
     )
     wide = F.col("gap_above") > F.greatest(F.col("body_size") * 1.9, F.lit(18.0))
-    typed = kept(_banded(lines.withColumn("kind", kind)))
+    # Only the text shown goes on, since each scan sends the lines once.
+    typed = kept(_banded(lines.withColumn("kind", kind)).select(*PAGE, "_band", "seq", "kind", wide.alias("wide"), shown.alias("shown")))
     seen = carry(typed, PAGE, "_band", ["seq"], before={"_last": F.col("kind")})
-    opens = (F.col("kind") != "text") | wide | (F.coalesce("_last", F.lit("")) != "text")
+    opens = (F.col("kind") != "text") | F.col("wide") | (F.coalesce("_last", F.lit("")) != "text")
     blocks = (
         carry(seen.withColumn("opens", F.when(opens, 1).otherwise(0)), PAGE, "_band", ["seq"], sums={"block": F.col("opens")})
-        .withColumn("shown", shown)
         .groupBy(*PAGE, "block")
         .agg(F.first("kind").alias("kind"), F.array_sort(F.collect_list(F.struct("seq", "shown"))).alias("parts"))
     )

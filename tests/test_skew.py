@@ -314,3 +314,39 @@ def test_dense_rows_shuffle_only_cells(spark):
             depth = at
         below |= depth is not None and "Generate" in line
     assert "Generate" in plan and not below
+
+
+def test_lines_from_runs_are_those_of_single_items(spark):
+    """Items of a line that are apart, of several heights and sizes, or without numbers."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(900):
+        y = rng.choice([700.0, 699.0, 680.0, 660.5, None])
+        x = rng.choice([None, float(rng.randrange(0, 60, 4)), float("nan")] + [float(rng.randrange(60))] * 6)
+        text = rng.choice(["a", "é b", " , c", "(", "d[", " ", "", "x  y", None])
+        rows.append((i % 3 and rng.randrange(3), 1, i, text, x, y, rng.choice([None, 3.0, 8.0, 0.5]), rng.choice([12.0, 9.0, None])))
+    schema = "doc long, page long, ord long, str string, x double, y double, width double, font_size double"
+    items = spark.createDataFrame(rows, schema).repartition(5)
+    grouped = T.group_lines(items).collect()
+    lines = {}
+    for r in grouped:
+        lines.setdefault((r.doc, r.page, r.line_no), []).append(r)
+    want = {}
+    for key, own in lines.items():
+        nan = lambda v: (v is not None, v != v, v if v == v else 0)
+        own.sort(key=lambda r: (nan(r.x), -r.y, r.ord))
+        text, reach, left = "", [], ""
+        for r in own:
+            value = " ".join(r.str.split())
+            edge = max(reach, default=0.0, key=lambda v: (v != v, v if v == v else 0))
+            edge = edge if edge != edge else max(0.0, edge)
+            wide = r.x is not None and not (r.x - edge <= 1.5)
+            text += (" " if left and wide and value[0] not in ",.;:!?%)" and left[-1] not in "([{/" else "") + value
+            left = value
+            if r.x is not None and r.width is not None:
+                reach.append(r.x + r.width)
+        want[key] = (own[0].line_y, max(r.font_size for r in own), text.strip())
+    for out in (T.text_lines(items), T.join_items(T.group_lines(items))):
+        got = {(r.doc, r.page, r.line_no): (r.y, r.font_size, r.text) for r in out.collect()}
+        assert got == want
+    assert max(map(len, lines.values())) > 60
