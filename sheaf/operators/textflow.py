@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
@@ -123,6 +124,7 @@ def group_lines(items: DataFrame, heights: DataFrame | None = None) -> DataFrame
 # An item of a run as it is sent: what its order and its gap need; the words lie beside it.
 ITEM = np.dtype([("x", "<f8"), ("width", "<f8"), ("ord", "<i8"), ("bytes", "<u4"), ("nulls", "u1")])
 NUMBERS = ("x", "width", "ord")
+STEPPED = ("x", "ord")
 RUN = 256  # items in a run at most
 FOLDED = 1 << 18  # items put in order at once in a task
 OPENING, CLOSING = (np.frombuffer(marks, np.uint8) for marks in (b",.;:!?%)", b"([{/"))  # as in NO_SPACE_BEFORE, NO_SPACE_AFTER
@@ -141,8 +143,8 @@ def _starts(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
 
 
 def _packed(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Neighbouring items with equal ``names`` as one row: their number, their numbers byte
-    by byte, and their words."""
+    """Neighbouring items with equal ``names`` as one row: their number and, deflated, their
+    numbers byte by byte and their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,15 +161,20 @@ def _packed(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             starts = _starts(batch, names)
             place = np.arange(size) - np.repeat(starts, np.diff(np.append(starts, size)))
             starts = np.flatnonzero(place % RUN == 0)
+            # Steps repeat where values do not; those of x are steps of its bits.
+            for name in STEPPED:
+                bits = np.ascontiguousarray(items[name]).view(np.int64)
+                steps = np.diff(bits, prepend=0)
+                steps[starts] = bits[starts]
+                items[name] = steps.view(items[name].dtype)
             spans = list(zip(starts.tolist(), [*starts[1:].tolist(), size]))[: len(starts)]
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(c).take(pa.array(starts)) for c in names],
                     pa.array([hi - lo for lo, hi in spans], pa.int32()),
-                    pa.array([items[lo:hi].view(np.uint8).reshape(-1, ITEM.itemsize).T.tobytes() for lo, hi in spans], pa.binary()),
-                    pa.array([bytes(data[at[lo] : at[hi]]) for lo, hi in spans], pa.binary()),
+                    pa.array([zlib.compress(items[lo:hi].view(np.uint8).reshape(-1, ITEM.itemsize).T.tobytes() + data[at[lo] : at[hi]], 1) for lo, hi in spans], pa.binary()),
                 ],
-                names=[*names, "packed", "numbers", "words"],
+                names=[*names, "packed", "content"],
             )
 
     return run
@@ -176,9 +183,14 @@ def _packed(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 def _texts(rows: pa.Table, groups: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """x and text of each line; ``groups`` numbers the lines of the runs, 0, 1, ... in order."""
     counts = rows.column("packed").to_numpy()
-    parts = [np.frombuffer(b, np.uint8).reshape(ITEM.itemsize, -1).T.copy().view(ITEM).reshape(-1) for b in rows.column("numbers").to_pylist()]
-    items = np.concatenate(parts)
-    data = b"".join(rows.column("words").to_pylist())
+    parts = [zlib.decompress(b) for b in rows.column("content").to_pylist()]
+    sizes = (counts.astype(np.int64) * ITEM.itemsize).tolist()
+    items = np.concatenate([np.frombuffer(b, np.uint8, n).reshape(ITEM.itemsize, -1).T.copy().view(ITEM).reshape(-1) for b, n in zip(parts, sizes)])
+    data = b"".join([b[n:] for b, n in zip(parts, sizes)])
+    for name in STEPPED:
+        upto = np.cumsum(np.ascontiguousarray(items[name]).view(np.int64))
+        before = np.append(0, upto)[np.cumsum(counts, dtype=np.int64) - counts]
+        items[name] = (upto - np.repeat(before, counts)).view(items[name].dtype)
     words = pa.Array.from_buffers(
         pa.large_string(), len(items), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(items["bytes"], dtype=np.int64)])), pa.py_buffer(data)]
     )
@@ -227,22 +239,19 @@ def _scattered(values: pa.ChunkedArray, where: np.ndarray) -> pa.Array:
     return values.combine_chunks().take(pa.array(np.cumsum(where) - 1, mask=~where))
 
 
-SENT = [*LINE, "line_y", "y", "font_size", "packed", "numbers", "words", "x", "text"]
+SENT = [*LINE, "line_y", "y", "font_size", "packed", "content"]
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs that are all of their line become its text; others stay as they are."""
     for batch in batches:
         whole = pc.equal(batch.column("packed"), batch.column("line_items")).to_numpy(zero_copy_only=False)
-        columns = {c: batch.column(c) for c in SENT[:9]}
+        columns = {c: batch.column(c) for c in SENT} | {"x": pa.nulls(batch.num_rows, pa.float64()), "text": pa.nulls(batch.num_rows, pa.string())}
         if whole.any():
             x, text = _line_texts(pa.Table.from_batches([batch.filter(pa.array(whole))]), np.arange(whole.sum()))
             columns |= {"x": _scattered(x, whole), "text": _scattered(text, whole)}
-            for name in ("numbers", "words"):
-                columns[name] = pc.if_else(pa.array(whole), pa.scalar(None, pa.binary()), columns[name])
-        else:
-            columns |= {"x": pa.nulls(batch.num_rows, pa.float64()), "text": pa.nulls(batch.num_rows, pa.string())}
-        yield pa.RecordBatch.from_arrays([columns[c] for c in SENT], names=SENT)
+            columns["content"] = pc.if_else(pa.array(whole), pa.scalar(None, pa.binary()), columns["content"])
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,15 +260,8 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def finish(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(parts).combine_chunks()
         starts = _starts(rows.to_batches()[0], LINE)
-        groups = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, rows.num_rows)))
         lines = rows.take(pa.array(starts))
-        x, text = lines.column("x"), lines.column("text")
-        open_ = rows.column("text").is_null().to_numpy()
-        if open_.any():
-            found, numbered = np.unique(groups[open_], return_inverse=True)
-            left, joined = _line_texts(rows.filter(pa.array(open_)), numbered)
-            mine = np.isin(np.arange(len(starts)), found)
-            x, text = (pc.if_else(pa.array(mine), _scattered(new, mine), old) for new, old in ((left, x), (joined, text)))
+        x, text = _line_texts(rows, np.repeat(np.arange(len(starts)), np.diff(np.append(starts, rows.num_rows))))
         size = pa.array(np.maximum.reduceat(rows.column("font_size").to_numpy(), starts))
         out = pa.Table.from_arrays([*[lines.column(c) for c in (*LINE, "line_y")], x, size, text], names=[*LINE, "y", "x", "font_size", "text"])
         return out.combine_chunks().to_batches()[0]
@@ -281,12 +283,12 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _runs(items: DataFrame, names: list[str]) -> DataFrame:
-    """``names``, packed, numbers, words: neighbouring items as one row."""
+    """``names``, packed, content: neighbouring items as one row."""
     sent = items.select(
         *names, *[F.col(c).cast("long" if c == "ord" else "double").alias(c) for c in NUMBERS], collapse_spaces(F.col("str")).alias("value")
     )
     types = ", ".join(f"`{c}` {sent.schema[c].dataType.simpleString()}" for c in names)
-    return sent.mapInArrow(_packed(names), f"{types}, packed int, numbers binary, words binary")
+    return sent.mapInArrow(_packed(names), f"{types}, packed int, content binary")
 
 
 def _lines(runs: DataFrame, x: str) -> DataFrame:
@@ -306,16 +308,15 @@ def join_items(grouped: DataFrame) -> DataFrame:
     """
     placed = grouped.select("*", F.col("y").cast("double").alias("_y"), F.col("font_size").cast("double").alias("_size")).drop("y", "font_size")
     runs = _runs(placed.withColumnsRenamed({"_y": "y", "_size": "font_size"}), [*LINE, "line_y", "y", "font_size"])
-    sent = runs.select("*", F.lit(None).cast("double").alias("x"), F.lit(None).cast("string").alias("text"))
-    return _lines(sent, grouped.schema["x"].dataType.simpleString())
+    return _lines(runs, grouped.schema["x"].dataType.simpleString())
 
 
 def text_lines(items: DataFrame, heights: DataFrame | None = None) -> DataFrame:
     """``join_items`` of ``group_lines``, with items sent once, in runs.
 
     Neighbouring items of one height and size are a run, which finds its line as
-    ``group_lines`` says.  A run as long as its line is the line, and only the text goes
-    on; the others of a line meet in ``join_items``.
+    ``group_lines`` says.  A run as long as its line is the line and done; the others of a
+    line meet as in ``join_items``.  The result is read from tables.
     """
     placed = placed_items(items).withColumn("y", F.col("y").cast("double"))
     lines = height_lines(page_heights(items) if heights is None else heights)
@@ -323,8 +324,11 @@ def text_lines(items: DataFrame, heights: DataFrame | None = None) -> DataFrame:
     runs = _runs(placed.withColumn("font_size", F.col("font_size").cast("double")), [*PAGE, "y", "font_size"])
     found = runs.join(lines, [*PAGE, "y", "font_size"])
     types = {f.name: f.dataType.simpleString() for f in found.schema} | {"x": "double", "text": "string"}
-    sent = found.mapInArrow(_whole, ", ".join(f"`{c}` {types[c]}" for c in SENT))
-    return _lines(sent, items.schema["x"].dataType.simpleString())
+    sent = kept(found.mapInArrow(_whole, ", ".join(f"`{c}` {types[c]}" for c in [*SENT, "x", "text"])).withColumn("text", clean_trim(F.col("text"))))
+    x = items.schema["x"].dataType.simpleString()
+    whole = sent.where(F.col("text").isNotNull())
+    apart = sent.where(F.col("text").isNull()).select(*SENT)
+    return whole.select(*LINE, F.col("line_y").alias("y"), F.col("x").cast(x).alias("x"), "font_size", "text").unionByName(kept(_lines(apart, x)))
 
 
 def _banded(lines: DataFrame) -> DataFrame:
@@ -332,9 +336,17 @@ def _banded(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_band", F.floor(-F.col("y") / BAND).cast("long"))
 
 
-def line_gaps(lines: DataFrame) -> DataFrame:
-    """Distance to the line above; 0 for the first line of a page."""
-    shown = kept(_banded(lines.where(F.col("text") != "")).withColumn("_down", -F.col("y")))
+def shown_lines(lines: DataFrame) -> DataFrame:
+    """The lines with a text, in bands: what gaps, spans and sizes are read from."""
+    return _banded(lines.where(F.col("text") != "")).withColumn("_down", -F.col("y"))
+
+
+def line_gaps(lines: DataFrame, shown: DataFrame | None = None) -> DataFrame:
+    """Distance to the line above; 0 for the first line of a page.
+
+    ``shown`` may be handed in: the ``shown_lines`` of lines that are in a table.
+    """
+    shown = kept(shown_lines(lines)) if shown is None else shown
     scanned = carry(shown, PAGE, "_band", ["_down", "x", "line_no"], before={"_above": F.col("y")}, sums={"seq": F.lit(1)})
     gap = F.greatest(F.lit(0.0), F.coalesce(F.col("_above") - F.col("y"), F.lit(0.0)))
     return scanned.select(*lines.columns, F.col("seq").cast("int").alias("seq"), gap.alias("gap_above"))
@@ -378,46 +390,56 @@ class OpenLinks:
         return "".join([f" [link]({url})" for _, url in self.shown])
 
 
-OPENS, LINE_AT, CLOSES = range(3)
+GIVES, OPENS, LINE_AT, CLOSES = range(4)
 
 
 def _swept(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Lines with what is open over them; bands come upwards, openings before lines and
-    lines before closings of one height."""
+    """Lines with what is open over them and the size their band is given; bands come
+    upwards, openings before lines and lines before closings of one height."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band, open_ = None, OpenLinks()
+        band, open_, size = None, OpenLinks(), None
         for batch in batches:
+            given = batch.column("body_size").to_pylist() if "body_size" in names else []
             kinds, places, urls = (batch.column(c).to_pylist() for c in ("_kind", "_place", "_url"))
-            at, tails = [], []
+            at, tails, sizes = [], [], []
             for i, mine in enumerate(zip(*(batch.column(c).to_pylist() for c in (*PAGE, "_band")))):
                 if mine != band:
-                    band, open_ = mine, OpenLinks()
-                if kinds[i] == LINE_AT:
+                    band, open_, size = mine, OpenLinks(), None
+                if kinds[i] == GIVES:
+                    size = given[i]
+                elif kinds[i] == LINE_AT:
                     at.append(i)
                     tails.append(open_.tail() if open_.shown else "")
+                    sizes.append(given[i] if given and size is None else size)
                 elif kinds[i] == OPENS:
                     open_.open(places[i], urls[i])
                 else:
                     open_.close(places[i], urls[i])
-            arrays = [batch.column(c).take(pa.array(at, pa.int64())) for c in names]
+            arrays = [pa.array(sizes, pa.float64()) if c == "body_size" else batch.column(c).take(pa.array(at, pa.int64())) for c in names]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(tails, pa.string())], names=[*names, "_tail"])
 
     return run
 
 
-def recover_links(lines: DataFrame, annotations: DataFrame) -> DataFrame:
+def recover_links(lines: DataFrame, annotations: DataFrame, shown: DataFrame | None = None) -> DataFrame:
     """Appends ``[link](url)`` for every allowed annotation over a line's height.
 
     A sweep over heights: annotations open and close, a line takes what is open, in the
     order of the annotations and each url once, so that the work is the answer's.  Pages
     are cut into height bands; an annotation is cut to the span of its page's lines and
     opens again in each band it reaches.
+
+    With ``shown``, the table that the lines were read from, they also get the
+    ``body_size`` of their page, which each band is given first.
     """
+    places = lines if shown is None else shown
+    if shown is not None:
+        lines = lines.withColumn("body_size", F.lit(None).cast("double"))
     low = F.least("y1", "y2") - SLACK
     high = F.greatest("y1", "y2") + SLACK
     notes = annotations.select(*PAGE, "ord", safe_extracted_link(F.col("url")).alias("url"), low.alias("low"), high.alias("high"))
-    span = lines.groupBy(*PAGE).agg(F.min("y").alias("_bottom"), F.max("y").alias("_top"))
+    span = places.groupBy(*PAGE).agg(F.min("y").alias("_bottom"), F.max("y").alias("_top"))
     notes = notes.where(F.col("url").isNotNull() & (F.col("url") != "")).join(span, PAGE)
     first_band, last_band = F.floor(F.greatest("low", "_bottom") / BAND), F.floor(F.least("high", "_top") / BAND)
     notes = notes.where(first_band <= last_band).withColumn("_band", F.explode(F.sequence(first_band, last_band)))
@@ -430,6 +452,10 @@ def recover_links(lines: DataFrame, annotations: DataFrame) -> DataFrame:
     asked = lines.select(
         *PAGE, *others, F.floor(F.col("y") / BAND).alias("_band"), F.col("y").alias("_height"), F.lit(LINE_AT).alias("_kind"), F.lit(None).cast("long").alias("_place"), F.lit(None).cast("string").alias("_url")
     )
+    if shown is not None:
+        bands = shown.select(*PAGE, F.floor(F.col("y") / BAND).alias("_band")).distinct()
+        sizes = join_on(bands, body_sizes(shown), PAGE).withColumn("_kind", F.lit(GIVES)).withColumn("body_size", F.col("body_size").cast("double"))
+        events = events.unionByName(sizes, allowMissingColumns=True)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema)
     swept = (
         asked.unionByName(events)
@@ -452,21 +478,18 @@ def body_sizes(lines: DataFrame) -> DataFrame:
     return ranked.groupBy(*PAGE).agg(F.coalesce(F.min(above), F.lit(DEFAULT_SIZE)).alias("body_size"))
 
 
-def band_sizes(lines: DataFrame) -> DataFrame:
-    """doc, page, _band, body_size: the body size goes to every band of its page, so that
-    the lines of a page meet it band by band."""
-    return join_on(_banded(lines).select(*PAGE, "_band").distinct(), body_sizes(lines), PAGE)
+def heading_level(lines: DataFrame) -> DataFrame:
+    """level 1–3 for heading lines, null for the rest; also the body size used, which may
+    be there already.
 
-
-def heading_level(lines: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
-    """level 1–3 for heading lines, null for the rest; also the body size used.
-
-    ``sizes`` may be handed in where the lines come from a table that is already there.
+    The body size goes to every band of its page, so that the lines of a page meet it
+    band by band.
     """
-    if sizes is None:
+    sized = lines
+    if "body_size" not in lines.columns:
         lines = kept(lines)
-        sizes = band_sizes(lines)
-    sized = join_on(_banded(lines), sizes, [*PAGE, "_band"]).drop("_band")
+        sizes = join_on(_banded(lines).select(*PAGE, "_band").distinct(), body_sizes(lines), PAGE)
+        sized = join_on(_banded(lines), sizes, [*PAGE, "_band"]).drop("_band")
     size, body, text = F.col("font_size"), F.col("body_size"), F.col("text")
     heading = (
         (F.length(text) <= 120)
@@ -478,8 +501,11 @@ def heading_level(lines: DataFrame, sizes: DataFrame | None = None) -> DataFrame
     return sized.withColumn("level", F.when(heading, level))
 
 
-def paragraphs(lines: DataFrame) -> DataFrame:
-    """doc, page, block, kind, text from lines with level, seq, gap_above, linked."""
+def paragraphs(lines: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """doc, page, block, kind, text from lines with level, seq, gap_above, linked.
+
+    Blocks are dealt by ``by``, by page and block if it is not given.
+    """
     linked = F.col("linked")
     kind = F.when(F.col("level").isNotNull(), "heading").when(linked.rlike(BULLET) | linked.rlike(NUMBERED), "list").otherwise("text")
     numbered = F.concat(F.regexp_extract(linked, NUMBERED, 1), F.lit(". "), F.regexp_extract(linked, NUMBERED, 2))
@@ -490,12 +516,14 @@ def paragraphs(lines: DataFrame) -> DataFrame:
         .otherwise(linked)
     )
     wide = F.col("gap_above") > F.greatest(F.col("body_size") * 1.9, F.lit(18.0))
-    # Only the text shown goes on, since each scan sends the lines once.
+    # Blocks are numbered without texts, which meet their numbers once.
     typed = kept(_banded(lines.withColumn("kind", kind)).select(*PAGE, "_band", "seq", "kind", wide.alias("wide"), shown.alias("shown")))
-    seen = carry(typed, PAGE, "_band", ["seq"], before={"_last": F.col("kind")})
+    seen = carry(typed.drop("shown"), PAGE, "_band", ["seq"], before={"_last": F.col("kind")})
     opens = (F.col("kind") != "text") | F.col("wide") | (F.coalesce("_last", F.lit("")) != "text")
+    numbered = carry(seen.withColumn("opens", F.when(opens, 1).otherwise(0)), PAGE, "_band", ["seq"], sums={"block": F.col("opens")})
+    placed = join_on(typed.select(*PAGE, "seq", "kind", "shown"), numbered.select(*PAGE, "seq", "block"), [*PAGE, "seq"])
     blocks = (
-        carry(seen.withColumn("opens", F.when(opens, 1).otherwise(0)), PAGE, "_band", ["seq"], sums={"block": F.col("opens")})
+        (placed.repartition(*by) if by else placed)
         .groupBy(*PAGE, "block")
         .agg(F.first("kind").alias("kind"), F.array_sort(F.collect_list(F.struct("seq", "shown"))).alias("parts"))
     )

@@ -350,3 +350,17 @@ def test_lines_from_runs_are_those_of_single_items(spark):
         got = {(r.doc, r.page, r.line_no): (r.y, r.font_size, r.text) for r in out.collect()}
         assert got == want
     assert max(map(len, lines.values())) > 60
+
+
+def test_sizes_given_in_the_sweep_are_those_of_the_join(spark):
+    rng = random.Random(5)
+    lines = [(d, p, i, 2000.0 - 19 * i, 0.0, rng.choice([10.0, 10.0, 21.0]), f"l{i}") for d in range(3) for p in range(2) for i in range(80)]
+    lines.append((9, 1, 0, 5.0, 0.0, 14.0, "alone"))
+    texts = spark.createDataFrame(lines, "doc long, page long, line_no int, y double, x double, font_size double, text string")
+    notes = spark.createDataFrame([(1, 1, 0, 1990.0, 900.0, "https://e.example/a")], "doc long, page long, ord long, y1 double, y2 double, url string")
+    shown = T.shown_lines(texts)
+    given = T.heading_level(T.recover_links(T.line_gaps(texts, shown), notes, shown))
+    columns = ["doc", "page", "seq", "linked", "body_size", "level"]
+    joined = T.heading_level(T.recover_links(T.line_gaps(texts), notes))
+    assert sorted(map(str, given.select(*columns).collect())) == sorted(map(str, joined.select(*columns).collect()))
+    assert given.where("body_size IS NULL").count() == 0 and given.count() == len(lines)
