@@ -127,25 +127,28 @@ def dense_rows(cells: DataFrame, value: str, ord: str | None = None) -> DataFram
     """One row per sheet row of the used rectangle: ``values``, blanks filled with ''.
 
     The cells of a row meet in one array (500 at most) and the gaps are filled inside it,
-    so only cells that exist are shuffled.  Rows without a cell are made from the row
-    numbers of their sheet (20 000 at most) and stay where they are made.  Of several
-    cells at one place the last by ``ord`` stays, or the greatest value without one.
+    so only cells that exist are shuffled, and they are read once: the width of a sheet and
+    the gap before each row come from a window over its rows (20 000 at most).  Rows without
+    a cell are made in that gap.  Of several cells at one place the last by ``ord`` stays, or
+    the greatest value without one.
     """
     inside = (F.col("row") >= 0) & (F.col("row") < dims.MAX_SHEET_ROWS) & (F.col("col") >= 0) & (F.col("col") < dims.MAX_SHEET_COLUMNS)
     text = F.coalesce(F.col(value).cast("string"), F.lit(""))
     cell = F.struct(F.col("col").cast("int").alias("at"), (F.col(ord) if ord else F.lit(0)).alias("ord"), text.alias("size"))
-    rows = cells.where(inside).groupBy(*SHEET, "row").agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
+    rows = cells.where(inside).groupBy(*SHEET, F.col("row").cast("long").alias("_last")).agg(F.sort_array(F.collect_list(cell)).alias("_cells"))
     last = F.filter("_cells", lambda c, i: F.coalesce(F.get("_cells", i + 1)["at"] != c["at"], F.lit(True)))
-    rows = rows.withColumn("_cells", last)
-    taken = F.array_sort(F.collect_list("row"))
-    sheets = rows.groupBy(*SHEET).agg((F.max(F.element_at("_cells", -1)["at"]) + 1).alias("cols"), taken.alias("_taken"))
-    all_rows = F.sequence(F.lit(0).cast("long"), F.element_at("_taken", -1).cast("long"))
-    blank = sheets.select(*SHEET, F.explode(F.array_except(all_rows, F.transform("_taken", lambda r: r.cast("long")))).alias("row"), "cols")
-    blank = blank.select(*SHEET, "row", F.array_repeat(F.lit(""), F.col("cols")).alias("values"))
-    filled = rows.join(sheets.select(*SHEET, "cols"), SHEET).select(
-        *SHEET, F.col("row").cast("long").alias("row"), _dense(F.col("_cells"), F.col("cols"), "").alias("values")
-    )
-    return filled.unionByName(blank)
+    once = F.size(F.array_distinct("_cells.at")) == F.size("_cells")
+    rows = rows.withColumn("_cells", F.when(once, F.col("_cells")).otherwise(last))
+    sheet = Window.partitionBy(*SHEET).orderBy("_last")
+    whole = sheet.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    width = F.element_at("_cells.at", -1) + 1
+    rows = rows.withColumn("cols", F.max(width).over(whole)).withColumn("_first", F.coalesce(F.lag("_last").over(sheet) + 1, F.lit(0).cast("long")))
+    each = rows.select(*SHEET, F.explode(F.sequence("_first", "_last")).alias("row"), "_last", "_cells", "cols")
+    # Most rows have no gap before their last cell.
+    full = F.concat(F.col("_cells.size"), F.array_repeat(F.lit(""), F.col("cols") - F.size("_cells")))
+    own = F.when(width == F.size("_cells"), full).otherwise(_dense(F.col("_cells"), F.col("cols"), ""))
+    values = F.when(F.col("row") == F.col("_last"), own).otherwise(F.array_repeat(F.lit(""), F.col("cols")))
+    return each.select(*SHEET, "row", values.alias("values"))
 
 
 def dense_grid(cells: DataFrame, value: str, ord: str | None = None) -> DataFrame:
