@@ -299,8 +299,7 @@ def clip_merges(spark, sf):
     JOIN ({_WINDOWS}) AS w ON w.file_id = m.file_id AND w.first_col <= m.col AND m.col + m.colspan - 1 <= w.last_col""",
 )
 def window_merges(spark, sf):
-    layout = _layout(spark, sf)
-    out = S.window_merges(R.sheet(spark, sf, _TALL), S.row_pages(layout), S.column_windows(layout))
+    out = S.window_merges(R.sheet(spark, sf, _TALL), _layout(spark, sf))
     return out.select(
         "file_id", "ord", F.col("page").cast("long").alias("page"), F.col("window").cast("long").alias("window_no"), "row", "col", "rowspan", "colspan"
     )

@@ -11,8 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import dims
 from ..functions.cells import cell_value, excel_date, infer_kind, is_external_formula, rowcol_to_a1, string_index
@@ -146,7 +148,7 @@ def dense_rows(cells: DataFrame, value: str, ord: str | None = None) -> DataFram
     each = rows.select(*SHEET, F.explode(F.sequence("_first", "_last")).alias("row"), "_last", "_cells", "cols")
     # Most rows have no gap before their last cell.
     full = F.concat(F.col("_cells.size"), F.array_repeat(F.lit(""), F.col("cols") - F.size("_cells")))
-    own = F.when(width == F.size("_cells"), full).otherwise(_dense(F.col("_cells"), F.col("cols"), ""))
+    own = F.when(width == F.size("_cells"), full).otherwise(_dense(F.col("_cells"), F.col("cols")))
     values = F.when(F.col("row") == F.col("_last"), own).otherwise(F.array_repeat(F.lit(""), F.col("cols")))
     return each.select(*SHEET, "row", values.alias("values"))
 
@@ -337,74 +339,88 @@ def merge_span(merges: DataFrame, col_widths: DataFrame, row_heights: DataFrame,
 # ---- page plans -----------------------------------------------------------------------------
 
 
-def _entries(rows: DataFrame, key: str, value: str, most: int, out: str) -> DataFrame:
-    """Explicit sizes of each sheet in order of their index (one row per index)."""
+def _entries(rows: DataFrame, key: str, value: str, most: int, out: str, bounded) -> DataFrame:
+    """Explicit sizes of each sheet, held to their bounds, in order of their index (one row per index)."""
     rows = rows.where(F.col(key) < most)
-    pair = F.struct(F.col(key).cast("int").alias("at"), F.col(value).cast("double").alias("size"))
-    return rows.where(F.col(value).isNotNull()).groupBy(*SHEET).agg(F.array_sort(F.collect_list(pair)).alias(out))
+    pair = F.struct(F.col(key).cast("int").alias("at"), bounded(F.col(value).cast("double")).alias("size"))
+    return rows.where(F.col(value).isNotNull()).groupBy(*SHEET).agg(F.sort_array(F.collect_list(pair)).alias(out))
 
 
-def _dense(found: Column, count: Column, default: float | str) -> Column:
-    """Values 0..count-1 with the default in every gap, in one pass."""
-    if not isinstance(default, str):
-        found = F.coalesce(found, F.expr("cast(array() as array<struct<at:int,size:double>>)"))
-    found = F.filter(found, lambda e: e["at"] < count)
+def _dense(found: Column, count: Column) -> Column:
+    """Texts 0..count-1 with '' in every gap, in one pass (``found`` is a plain column)."""
     filled = F.transform(
         found,
-        lambda e, i: F.concat(
-            F.array_repeat(F.lit(default), e["at"] - F.coalesce(F.get(found, i - 1)["at"], F.lit(-1)) - 1), F.array(e["size"])
-        ),
+        lambda e, i: F.concat(F.array_repeat(F.lit(""), e["at"] - F.coalesce(F.get(found, i - 1)["at"], F.lit(-1)) - 1), F.array(e["size"])),
     )
-    rest = F.array_repeat(F.lit(default), count - F.coalesce(F.get(found, F.size(found) - 1)["at"], F.lit(-1)) - 1)
+    rest = F.array_repeat(F.lit(""), count - F.coalesce(F.get(found, F.size(found) - 1)["at"], F.lit(-1)) - 1)
     return F.concat(F.flatten(filled), rest)
 
 
+@F.arrow_udf(returnType=T.ArrayType(T.DoubleType()))
+def _dense_sizes(at: pa.Array, size: pa.Array, count: pa.Array, default: pa.Array) -> pa.Array:
+    """Sizes 0..count-1 of each sheet, the default where none is given."""
+    counts = pc.fill_null(count, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    given = pc.fill_null(pc.list_value_length(at), 0).to_numpy(zero_copy_only=False)
+    ends = np.append(0, np.cumsum(counts))
+    which = np.repeat(np.arange(len(counts)), given)
+    places, sizes = at.flatten().to_numpy(zero_copy_only=False), size.flatten().to_numpy(zero_copy_only=False)
+    own = (places >= 0) & (places < counts[which])
+    flat = np.repeat(default.to_numpy(zero_copy_only=False), counts)
+    flat[ends[:-1][which[own]] + places[own]] = sizes[own]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
+
 def sheet_layout(sizes: DataFrame, col_widths: DataFrame, row_heights: DataFrame) -> DataFrame:
     """One row per sheet: column widths, row heights, page orientation."""
+
+    def bounded(low: float, high: float, factor: float = 1.0):
+        return lambda v: F.least(F.lit(high), F.greatest(F.lit(low), v)) * factor
+
     joined = (
-        sizes.join(_entries(col_widths, "col", "width", dims.MAX_SHEET_COLUMNS, "_w"), SHEET, "left")
-        .join(_entries(row_heights, "row", "height", dims.MAX_SHEET_ROWS, "_h"), SHEET, "left")
+        sizes.join(_entries(col_widths, "col", "width", dims.MAX_SHEET_COLUMNS, "_w", bounded(3.0, 28.0, 7.0)), SHEET, "left")
+        .join(_entries(row_heights, "row", "height", dims.MAX_SHEET_ROWS, "_h", bounded(12.0, 72.0)), SHEET, "left")
         .withColumn("rows", F.least(F.col("rows"), F.lit(dims.MAX_SHEET_ROWS)).cast("int"))
         .withColumn("cols", F.least(F.col("cols"), F.lit(dims.MAX_SHEET_COLUMNS)).cast("int"))
     )
-
-    def bounded(values: Column, low: float, high: float, factor: float = 1.0) -> Column:
-        return F.transform(values, lambda v: F.least(F.lit(high), F.greatest(F.lit(low), v)) * factor)
-
+    # A column without a width counts 12 characters, a row without a height 20 points.
     return joined.select(
         *SHEET,
         "rows",
         "cols",
-        bounded(_dense(F.col("_w"), F.col("cols"), 12.0), 3.0, 28.0, 7.0).alias("widths"),
-        bounded(_dense(F.col("_h"), F.col("rows"), 20.0), 12.0, 72.0).alias("heights"),
+        _dense_sizes("_w.at", "_w.size", "cols", F.lit(12.0 * 7.0)).alias("widths"),
+        _dense_sizes("_h.at", "_h.size", "rows", F.lit(20.0)).alias("heights"),
     ).withColumn("landscape", F.aggregate("widths", F.lit(0.0), lambda a, w: a + w) > PORTRAIT[0] - 2 * MARGIN)
 
 
+@F.arrow_udf(returnType=T.ArrayType(T.IntegerType()))
+def _page_starts(sizes: pa.Array, room: pa.Array, head: pa.Array) -> pa.Array:
+    """Start index of every page of a greedy pack.  All sheets of a batch go step by step
+    together, the longest first, so sums are those of one sheet after the other."""
+    count = pc.fill_null(pc.list_value_length(sizes), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, first = sizes.flatten().to_numpy(zero_copy_only=False), np.cumsum(count) - count
+    order = np.argsort(-count, kind="stable")
+    begin, room, head = first[order], room.to_numpy(zero_copy_only=False)[order], head.to_numpy(zero_copy_only=False)[order]
+    left = np.searchsorted(-count[order], -np.arange(int(count.max(initial=0))), "left")
+    used, turns = np.zeros(len(order)), np.zeros(len(flat), bool)
+    for i, n in enumerate(left):
+        size = flat[begin[:n] + i]
+        more = used[:n] + size
+        turn = np.full(n, True) if i == 0 else more > room[:n]
+        used[:n] = size if i == 0 else np.where(turn, size + head[:n], more)
+        turns[begin[:n] + i] = turn
+    at = np.flatnonzero(turns)
+    ends = np.searchsorted(at, np.append(first, len(flat)))
+    which = np.repeat(np.arange(len(order)), np.diff(ends))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at - first[which], pa.int32()))
+
+
 def _pack(sizes: Column, room: Column, header: bool = False) -> Column:
     """Start index of every page of a greedy pack; each page takes one at least.
 
     With ``header`` the first size is repeated on every page but the first.
     """
     head = F.coalesce(F.get(sizes, F.lit(0)), F.lit(0.0)) if header else F.lit(0.0)
-    start = F.struct(
-        F.expr("cast(array() as array<int>)").alias("starts"),
-        F.lit(0.0).alias("used"),
-        F.lit(0).alias("i"),
-        head.alias("head"),
-        room.alias("room"),
-    )
-
-    def step(s: Column, size: Column) -> Column:
-        turn = (s["i"] == 0) | (s["used"] + size > s["room"])
-        return F.struct(
-            F.when(turn, F.concat(s["starts"], F.array(s["i"]))).otherwise(s["starts"]).alias("starts"),
-            F.when(s["i"] == 0, size).when(turn, size + s["head"]).otherwise(s["used"] + size).alias("used"),
-            (s["i"] + 1).alias("i"),
-            s["head"].alias("head"),
-            s["room"].alias("room"),
-        )
-
-    return F.aggregate(sizes, start, step, lambda s: s["starts"])
+    return _page_starts(sizes, room, head)
 
 
 def _page_height(landscape: Column) -> Column:
@@ -415,37 +431,43 @@ def _page_width(landscape: Column) -> Column:
     return F.when(landscape, PORTRAIT[1]).otherwise(PORTRAIT[0])
 
 
-def _spans(layout: DataFrame, starts: Column, total: str, names: tuple[str, str, str]) -> DataFrame:
+def _spans(starts: str, total: str, names: tuple[str, str, str]) -> Column:
+    """First and last index of every page, as one array."""
     number, first, last = names
-    packed = layout.select(*SHEET, "landscape", F.col(total).alias("_total"), starts.alias("_starts"))
-    spans = F.transform(
-        "_starts",
-        lambda s, i: F.struct(
-            i.alias(number), s.alias(first), (F.coalesce(F.get("_starts", i + 1), F.col("_total")) - 1).alias(last)
-        ),
+    return F.transform(
+        starts, lambda s, i: F.struct(i.alias(number), s.alias(first), (F.coalesce(F.get(starts, i + 1), F.col(total)) - 1).alias(last))
     )
-    return packed.select(*SHEET, "landscape", F.inline_outer(spans)).where(F.col(first).isNotNull())
+
+
+WINDOW, PAGE = ("window", "first_col", "last_col"), ("page", "first_row", "last_row")
+
+
+def _window_starts() -> Column:
+    return _pack(F.col("widths"), _page_width(F.col("landscape")) - 2 * MARGIN)
+
+
+def _row_starts() -> Column:
+    return _pack(F.col("heights"), _page_height(F.col("landscape")) - 2 * MARGIN - TITLE, header=True)
+
+
+def _spread(layout: DataFrame, starts: Column, total: str, names: tuple[str, str, str]) -> DataFrame:
+    packed = layout.select(*SHEET, "landscape", F.col(total).alias("_total"), starts.alias("_starts"))
+    return packed.select(*SHEET, "landscape", F.inline_outer(_spans("_starts", "_total", names))).where(F.col(names[1]).isNotNull())
 
 
 def column_windows(layout: DataFrame) -> DataFrame:
-    room = _page_width(F.col("landscape")) - 2 * MARGIN
-    spans = _spans(layout, _pack(F.col("widths"), room), "cols", ("window", "first_col", "last_col"))
-    return spans.select(*SHEET, "window", "first_col", "last_col", "landscape")
+    return _spread(layout, _window_starts(), "cols", WINDOW).select(*SHEET, *WINDOW, "landscape")
 
 
 def row_pages(layout: DataFrame) -> DataFrame:
     """Row pages with the first row repeated on every page but the first."""
-    room = _page_height(F.col("landscape")) - 2 * MARGIN - TITLE
-    starts = _pack(F.col("heights"), room, header=True)
-    return _spans(layout, starts, "rows", ("page", "first_row", "last_row")).select(*SHEET, "page", "first_row", "last_row")
+    return _spread(layout, _row_starts(), "rows", PAGE).select(*SHEET, *PAGE)
 
 
 def table_row_pages(layout: DataFrame) -> DataFrame:
     """Variant without a repeated header and with a top margin of 48."""
     room = F.greatest(F.lit(120.0), _page_height(F.col("landscape")) - 96.0)
-    return _spans(layout, _pack(F.col("heights"), room), "rows", ("page", "first_row", "last_row")).select(
-        *SHEET, "page", "first_row", "last_row"
-    )
+    return _spread(layout, _pack(F.col("heights"), room), "rows", PAGE).select(*SHEET, *PAGE)
 
 
 def clip_merges(merges: DataFrame, pages: DataFrame) -> DataFrame:
@@ -453,7 +475,7 @@ def clip_merges(merges: DataFrame, pages: DataFrame) -> DataFrame:
 
     The pages of a sheet travel as one array, so this is one equi-join.
     """
-    packed = pages.groupBy(*SHEET).agg(F.array_sort(F.collect_list(F.struct("page", "first_row", "last_row"))).alias("pages"))
+    packed = pages.groupBy(*SHEET).agg(F.sort_array(F.collect_list(F.struct("page", "first_row", "last_row"))).alias("pages"))
     end = F.col("row") + F.col("rowspan")
     reached = F.filter("pages", lambda p: (p["first_row"] < end) & (p["last_row"] >= F.col("row")))
     hit = merges.join(packed, SHEET).select("*", F.explode(reached).alias("p"))
@@ -470,20 +492,20 @@ def clip_merges(merges: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
-def window_merges(merges: DataFrame, pages: DataFrame, windows: DataFrame) -> DataFrame:
+def window_merges(merges: DataFrame, layout: DataFrame) -> DataFrame:
     """Spreadsheet variant: a merge stays only inside a column window and with its
-    anchor row on the page (the repeated first row counts)."""
-    packed = pages.groupBy(*SHEET).agg(F.array_sort(F.collect_list(F.struct("page", "first_row", "last_row"))).alias("pages"))
-    spans = windows.groupBy(*SHEET).agg(F.array_sort(F.collect_list(F.struct("window", "first_col", "last_col"))).alias("windows"))
+    anchor row on the page (the repeated first row counts).
+
+    Pages and windows of a sheet are arrays of its one row: the layout is made once and
+    meets the merges in one equi-join.
+    """
+    starts = layout.select(*SHEET, "rows", "cols", _row_starts().alias("_rows"), _window_starts().alias("_cols"))
+    packed = starts.select(*SHEET, _spans("_rows", "rows", PAGE).alias("pages"), _spans("_cols", "cols", WINDOW).alias("windows"))
     row, col = F.col("row"), F.col("col")
     on_page = F.filter("pages", lambda p: ((p["first_row"] <= row) & (p["last_row"] >= row)) | ((row == 0) & (p["page"] > 0)))
     in_window = F.filter("windows", lambda w: (w["first_col"] <= col) & (col + F.col("colspan") - 1 <= w["last_col"]))
-    hit = (
-        merges.join(packed, SHEET)
-        .join(spans, SHEET)
-        .withColumn("w", F.explode(in_window))
-        .withColumn("p", F.explode(on_page))
-    )
+    hit = merges.join(packed, SHEET).withColumn("w", F.explode_outer(in_window)).where(F.col("w").isNotNull())
+    hit = hit.withColumn("p", F.explode_outer(on_page)).where(F.col("p").isNotNull())
     local = F.when(row == 0, 0).otherwise(row - F.col("p.first_row") + F.when(F.col("p.page") > 0, 1).otherwise(0))
     return hit.select(
         *SHEET,

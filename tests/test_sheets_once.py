@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
+from pyspark.sql import functions as F
+
 from sheaf.operators import sheets as S
 
 CELL = "file_id long, sheet_ord int, row long, col long, v string"
@@ -16,3 +20,48 @@ def test_dense_rows_read_their_cells_once(spark):
     assert [got[1, r] for r in range(4)] == [["a", "b"], ["", ""], ["", ""], ["c", ""]]
     assert got[2, 0] == ["", "", "z"] and len(got) == 7
     assert out._jdf.queryExecution().sparkPlan().toString().count("Scan ExistingRDD") == 1
+
+
+def test_pages_of_many_sheets_are_packed_together(spark):
+    """Long and short sheets, one without rows, one with a row higher than a page; packed as one by one."""
+    rng = random.Random(21)
+    sizes = {k: [rng.choice((12.0, 20.1, 33.3, 71.9)) for _ in range(n)] for k, n in enumerate((0, 1, 900, 3, 40, 41, 900))}
+    sizes[3] = [5.0, 800.0, 5.0]
+    want = {}
+    for k, heights in sizes.items():
+        starts, used = [], 0.0
+        for i, h in enumerate(heights):
+            if not starts:
+                starts, used = [0], h
+            elif used + h > 733.0:
+                starts, used = [*starts, i], h + heights[0]
+            else:
+                used += h
+        want[k] = starts
+    df = spark.createDataFrame([*sizes.items(), (9, None)], "k int, heights array<double>").coalesce(1)
+    packed = df.select("k", S._pack(F.col("heights"), F.lit(733.0), header=True).alias("starts"))
+    assert {r.k: r.starts or [] for r in packed.collect()} == want | {9: []}
+    # Not a fold of boxed numbers in the row.
+    assert "aggregate(" not in packed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_window_merges_make_the_layout_once(spark):
+    """Sizes outside their bounds, two windows and two pages; sizes, widths, heights and merges are read once."""
+    sizes = spark.createDataFrame([(1, 0, 60, 40)], "file_id long, sheet_ord int, rows long, cols long")
+    widths = spark.createDataFrame([(1, 0, 1, 99.0), (1, 0, 45, 9.0)], "file_id long, sheet_ord int, col long, width double")
+    heights = spark.createDataFrame([(1, 0, 2, 1.0), (1, 0, 0, 500.0)], "file_id long, sheet_ord int, row long, height double")
+    merges = spark.createDataFrame([(1, 0, 1, 0, 0, 1, 2), (1, 0, 2, 50, 2, 3, 1), (1, 0, 3, 4, 0, 1, 40)], "file_id long, sheet_ord int, ord int, row long, col long, rowspan long, colspan long")
+    layout = S.sheet_layout(sizes, widths, heights)
+    got = layout.first()
+    assert got.widths == [84.0, 196.0] + [84.0] * 38 and got.heights == [72.0, 20.0, 12.0] + [20.0] * 57
+    pages = [tuple(r)[2:] for r in S.row_pages(layout).collect()]
+    windows = [tuple(r)[2:5] for r in S.column_windows(layout).collect()]
+    want = set()
+    for o, row, col, colspan in ((1, 0, 0, 2), (2, 50, 2, 1), (3, 4, 0, 40)):
+        for w, first, last in windows:
+            for p, top, bottom in pages:
+                if first <= col and col + colspan - 1 <= last and (top <= row <= bottom or row == 0):
+                    want.add((o, p, w, 0 if row == 0 else row - top + (p > 0), col - first))
+    out = S.window_merges(merges, layout)
+    assert {(r.ord, r.page, r.window, r.row, r.col) for r in out.collect()} == want and len(pages) > 1 and len(windows) > 1
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Scan ExistingRDD") == 4
