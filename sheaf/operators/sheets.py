@@ -226,83 +226,114 @@ def _shifted(value: Column, by: Column) -> Column:
     return F.call_function("shiftleft", value, by)
 
 
-STATE_KEYS = [*SHEET, "_tr", "_tc"]
 SPAN = ["m_row", "m_col", "rowspan", "colspan"]
+# A tile and what its row is, in one number: tile row, tile column, 0 for a merge or 1 for a cell.
+WIDE = 1 << 20
 
 
 def _painted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first merge over each cell of a tile.
 
     Tile by tile its merges come first, in order, then its cells.  A merge paints the
-    places of the tile that are still free; a cell looks up its place, once.
+    places of the tile that are still free; a cell looks up its place, once.  The k-th
+    merges of all tiles of a batch paint together; a tile that goes on in the next batch
+    hands over its places.
     """
-    key, owners = None, []
-    grid, seen, free = np.zeros(0, np.int64), np.zeros(0, bool), 0
+    key, held, met = None, None, None  # the last tile: spans by place (4, TILE, TILE), cells seen
+    places = np.arange(TILE)
     for batch in batches:
-        column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in (*STATE_KEYS, "_kind", "row", "col", "rowspan", "colspan")}
         n = batch.num_rows
         if not n:
             continue
-        new = np.ones(n, bool)
-        new[1:] = False
-        for c in (*STATE_KEYS, "_kind"):
-            new[1:] |= column[c][1:] != column[c][:-1]
-        cuts = [*np.flatnonzero(new).tolist(), n]
-        out = {c: [] for c in ("at", *SPAN)}
-        for lo, hi in zip(cuts, cuts[1:]):
-            mine = tuple(column[c][lo] for c in STATE_KEYS)
-            if mine != key:
-                key, owners, free = mine, [], TILE * TILE
-                grid, seen = np.full((TILE, TILE), -1), np.zeros((TILE, TILE), bool)
-            top, left = int(mine[-2]) * TILE, int(mine[-1]) * TILE
-            if not column["_kind"][lo]:
-                for k in range(lo, hi):
-                    if not free:
-                        break
-                    row, col, height, width = (int(column[c][k]) for c in ("row", "col", "rowspan", "colspan"))
-                    part = grid[max(row - top, 0) : max(row + height - top, 0), max(col - left, 0) : max(col + width - left, 0)]
-                    open_ = part < 0
-                    free -= int(open_.sum())
-                    part[open_] = len(owners)
-                    owners.append((row, col, height, width))
+        names = ("_at", "row", "col", "rowspan", "colspan")
+        column = {c: pc.fill_null(batch.column(c), 0).to_numpy(zero_copy_only=False) for c in names}
+        sheet = [pc.dictionary_encode(batch.column(c), null_encoding="encode").indices.to_numpy() for c in SHEET]
+        tile, cell = column["_at"] >> 1, (column["_at"] & 1).astype(bool)
+        new = np.zeros(n, bool)
+        for values in (*sheet, tile):
+            new[1:] |= values[1:] != values[:-1]
+        group = np.cumsum(new)
+        mine = [(*(batch.column(c)[i].as_py() for c in SHEET), tile[i].item()) for i in (0, n - 1)]
+        goes_on = mine[0] == key
+        top, left = (tile // WIDE) * TILE, (tile % WIDE) * TILE
+        r0, c0 = column["row"] - top, column["col"] - left
+
+        # Only tiles with merges get places.
+        merged = np.flatnonzero(~cell)
+        tiles = np.unique(np.append(group[merged], 0) if goes_on else group[merged])
+        slot = np.full(group[-1] + 1, -1)
+        slot[tiles] = np.arange(len(tiles))
+        grid, free = np.full((len(tiles), TILE, TILE), -1, np.int32), np.full(len(tiles), TILE * TILE)
+        owners = np.stack([column[c][merged] for c in ("row", "col", "rowspan", "colspan")])
+        if goes_on:
+            taken = np.flatnonzero(held[2].ravel() > 0)
+            grid[0].ravel()[taken] = owners.shape[1] + np.arange(len(taken))
+            owners = np.concatenate([owners, held.reshape(4, -1)[:, taken]], axis=1)
+            free[0] -= len(taken)
+        turn = np.arange(len(merged)) - np.searchsorted(group[merged], group[merged])
+        order = np.argsort(turn, kind="stable")
+        for lo, hi in _runs(turn[order], 1024):
+            at = order[lo:hi]
+            at = at[free[slot[group[merged[at]]]] > 0]
+            if not len(at):
                 continue
-            rows, cols = (column["row"][lo:hi] - top).astype(int), (column["col"][lo:hi] - left).astype(int)
-            # Of a cell that comes twice the first stays.
-            places, first = np.unique(rows * TILE + cols, return_index=True)
-            first = first[~seen.ravel()[places]]
-            seen[rows[first], cols[first]] = True
-            which = grid[rows[first], cols[first]]
-            spans = np.array([*owners, (-1, -1, -1, -1)])[which]
-            out["at"].append(lo + first)
-            for j, c in enumerate(SPAN):
-                out[c].append(spans[:, j])
-        if out["at"]:
-            at = pa.array(np.concatenate(out["at"]))
-            none = np.concatenate(out["m_row"]) < 0
-            spans = [pa.array(np.concatenate(out[c]).astype(np.int64), mask=none) for c in SPAN]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in (*SHEET, "row", "col")], *spans], names=[*SHEET, "row", "col", *SPAN])
+            i = merged[at]
+            rows = (places >= r0[i, None]) & (places < (r0 + column["rowspan"])[i, None])
+            cols = (places >= c0[i, None]) & (places < (c0 + column["colspan"])[i, None])
+            where = slot[group[i]]
+            part = grid[where]
+            open_ = rows[:, :, None] & cols[:, None, :] & (part < 0)
+            grid[where] = np.where(open_, at.astype(np.int32)[:, None, None], part)
+            free[where] -= open_.sum(axis=(1, 2))
+
+        # Of a cell that comes twice the first stays.
+        asked = np.flatnonzero(cell)
+        place = r0[asked] * TILE + c0[asked]
+        _, once = np.unique(group[asked] * (TILE * TILE) + place, return_index=True)
+        once.sort()
+        if goes_on:
+            once = once[~((group[asked[once]] == 0) & met[place[once]])]
+        seen = met.copy() if goes_on and group[-1] == 0 else np.zeros(TILE * TILE, bool)
+        seen[place[once][group[asked[once]] == group[-1]]] = True
+        asked, place = asked[once], place[once]
+        which = slot[group[asked]]
+        owner = np.full(len(asked), -1)
+        owner[which >= 0] = grid.reshape(len(tiles), TILE * TILE)[which[which >= 0], place[which >= 0]]
+        spans = np.concatenate([owners, np.full((4, 1), -1)], axis=1)
+        last = slot[group[-1]]
+        here = spans[:, grid[last]] if last >= 0 else np.full((4, TILE, TILE), -1)
+        key, held, met = mine[1], here, seen
+        if len(asked):
+            out = [pa.array(x, mask=owner < 0) for x in spans[:, owner]]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(asked)) for c in (*SHEET, "row", "col")], *out], names=[*SHEET, "row", "col", *SPAN])
+
+
+def _runs(values: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal values, in pieces of ``most`` at most."""
+    cuts = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), len(values)]
+    return [(at, min(at + most, hi)) for lo, hi in zip(cuts, cuts[1:]) for at in range(lo, hi, most)]
 
 
 def merge_state(cells: DataFrame, merges: DataFrame) -> DataFrame:
     """restart / continue / none per cell; horizontally covered cells are skipped.
 
     The first merge of the file wins.  Merges and cells of a tile stream past in order,
-    and what is held is one tile of places.
+    and what is held is a batch and the places of its tiles.
     """
     none = F.lit(None).cast("long")
     m = F.col("m")
+    at = (F.col("_tr") * WIDE + F.col("_tc")) * 2
     events = _tiled_merges(merges).select(
-        *STATE_KEYS, F.lit(0).alias("_kind"), m["ord"].cast("long").alias("ord"), *[m[c].cast("long").alias(o) for c, o in zip(SPAN, ("row", "col", "rowspan", "colspan"))]
+        *SHEET, at.alias("_at"), m["ord"].cast("long").alias("ord"), *[m[c].cast("long").alias(o) for c, o in zip(SPAN, ("row", "col", "rowspan", "colspan"))]
     )
     asked = _with_tile(cells).select(
-        *STATE_KEYS, F.lit(1).alias("_kind"), none.alias("ord"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), none.alias("rowspan"), none.alias("colspan")
+        *SHEET, (at + 1).alias("_at"), none.alias("ord"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), none.alias("rowspan"), none.alias("colspan")
     )
-    order = ["_kind", "ord", "row", "col", "rowspan", "colspan"]
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema if f.name in SHEET)
     first = (
         asked.unionByName(events)
-        .repartition(*STATE_KEYS)
-        .sortWithinPartitions(*STATE_KEYS, *order)
+        .repartition(*SHEET, F.shiftright("_at", 1))
+        .sortWithinPartitions(*SHEET, "_at", "ord", "row", "col", "rowspan", "colspan")
         .mapInArrow(_painted, f"{types}, row long, col long, " + ", ".join(f"{c} long" for c in SPAN))
     )
     none_here, start = F.col("m_row").isNull(), F.col("m_row")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sheaf.operators import sheets as S
@@ -65,3 +67,32 @@ def test_window_merges_make_the_layout_once(spark):
     out = S.window_merges(merges, layout)
     assert {(r.ord, r.page, r.window, r.row, r.col) for r in out.collect()} == want and len(pages) > 1 and len(windows) > 1
     assert out._jdf.queryExecution().sparkPlan().toString().count("Scan ExistingRDD") == 4
+
+
+def test_merges_of_many_tiles_are_painted_together(spark, monkeypatch):
+    """Tiles that go on over batches, cells that come twice, sheets without ids; not one step a tile."""
+    rng = random.Random(4)
+    files = [None, *range(12)]
+    merges = [(f, 0, o, rng.randrange(70), rng.randrange(40), rng.randint(1, 6), rng.randint(1, 40)) for f in files for o in range(rng.choice((0, 3, 25)))]
+    cells = [(f, 0, rng.randrange(75), rng.randrange(45)) for f in files for _ in range(200)]
+    want = set()
+    for f, _, row, col in cells:
+        over = next((m for m in merges if m[0] == f and m[3] <= row < m[3] + m[5] and m[4] <= col < m[4] + m[6]), None)
+        if over is None:
+            want.add((f, row, col, "none", 1))
+        elif over[4] == col:
+            want.add((f, row, col, "continue" if row > over[3] else "restart" if over[5] > 1 else "none", over[6]))
+    cell_df = spark.createDataFrame(cells, "file_id int, sheet_ord int, row long, col long")
+    merge_df = spark.createDataFrame(merges, "file_id int, sheet_ord int, ord int, row long, col long, rowspan long, colspan long")
+    for size in ("3", "50", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = [tuple(r)[:1] + tuple(r)[2:] for r in S.merge_state(cell_df, merge_df).collect()]
+        assert len(got) == len(want) and set(got) == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    calls, unique = [], np.unique
+    monkeypatch.setattr(np, "unique", lambda *a, **k: calls.append(1) or unique(*a, **k))
+    n = 500
+    rows = {"file_id": range(n), "sheet_ord": [0] * n, "_tr": [0] * n, "_tc": [0] * n, "_kind": [1] * n, "_at": [1] * n, "row": [1] * n, "col": [2] * n, "rowspan": [None] * n, "colspan": [None] * n}
+    batch = pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in rows.items()})
+    assert sum(b.num_rows for b in S._painted(iter([batch]))) == n and len(calls) < 5
