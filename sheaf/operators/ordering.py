@@ -134,26 +134,20 @@ def values_at_rank(rows: DataFrame, group: list[str], value: str, ranks: dict[st
         F.sum("_b").over(whole).alias("n"),
         F.coalesce(F.sum("_b").over(upto), F.lit(0)).alias("_start"),
     )
-    hits = wanted.select(
-        *group,
-        "_bucket",
-        "_start",
-        "n",
-        F.explode(
-            F.filter(
-                F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items()]),
-                lambda r: (r["rank"] >= F.col("_start")) & (r["rank"] < F.col("_start") + F.col("_b")),
-            )
-        ).alias("_want"),
-    )
-    inside = Window.partitionBy(*group, "_bucket", "_want").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.join(hits, [*group, "_bucket"]).withColumn(
-        "_at", F.col("_start") + F.coalesce(F.sum("_c").over(inside), F.lit(0))
-    )
-    found = placed.where((F.col("_want.rank") >= F.col("_at")) & (F.col("_want.rank") < F.col("_at") + F.col("_c")))
+    asked = F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items()])
+    mine = F.filter(asked, lambda r: (r["rank"] >= F.col("_start")) & (r["rank"] < F.col("_start") + F.col("_b")))
+    hits = wanted.select(*group, "_bucket", "_start", "n", mine.alias("_wants"), F.lit(False).alias("_own")).where(F.size("_wants") > 0)
+    # A bucket's wishes are its first row, so that its values are dealt and sorted once.
+    both = counts.withColumn("_own", F.lit(True)).unionByName(hits, allowMissingColumns=True)
+    inside = Window.partitionBy(*group, "_bucket").orderBy("_own", value)
+    head = inside.rowsBetween(Window.unboundedPreceding, 0)
+    at = F.first("_start").over(head) + F.coalesce(F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = both.select(*group, value, "_own", "_c", at.alias("_at"), F.first("n").over(head).alias("n"), F.first("_wants").over(head).alias("_wants"))
+    here = F.filter("_wants", lambda r: (r["rank"] >= F.col("_at")) & (r["rank"] < F.col("_at") + F.col("_c")))
+    found = placed.where(F.col("_own") & F.col("_wants").isNotNull()).select(*group, value, "n", F.explode(here["name"]).alias("_name"))
     return found.groupBy(*group).agg(
         F.max("n").alias("n"),
-        *[F.max(F.when(F.col("_want.name") == name, F.col(value))).alias(name) for name in ranks],
+        *[F.max(F.when(F.col("_name") == name, F.col(value))).alias(name) for name in ranks],
     )
 
 
