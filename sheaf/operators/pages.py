@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.text import WS_CLASS, clean_trim
-from .ordering import BLOCK, block_of, exclusive_sum, kept, rank_in_group
+from .ordering import BLOCK, block_of, exclusive_sum, join_on, kept, rank_in_group
 
 PART = f"^[0-9]+(?:{WS_CLASS}*-{WS_CLASS}*[0-9]*)?\\z"
 
@@ -127,14 +127,15 @@ def merge_order(pages: DataFrame, group: str = "batch_id", file: str = "file_pos
     # A few numbers per file, read three times: kept instead of counted again.
     counts = kept(blocked.groupBy(group, file, "_pb").agg(F.count(F.lit(1)).alias("_n")))
     total = counts.groupBy(group).agg(F.sum("_n").alias("out_pages"))
-    starts = exclusive_sum(counts, [group], file, "_n", "_start", block, then=["_pb"]).drop("_n").join(total, group)
-    inside = Window.partitionBy(group, file, "_pb").orderBy("page")
-    numbered = blocked.join(starts, [group, file, "_pb"]).withColumn(
-        "out_page", (F.col("_start") + F.row_number().over(inside)).cast("long")
-    )
-    return numbered.withColumn(
-        "label", F.concat(F.col("out_page").cast("string"), F.lit(" / "), F.col("out_pages").cast("string"))
-    ).drop("_pb", "_start")
+    sums = exclusive_sum(counts, [group], file, "_n", "_start", block, then=["_pb"])
+    starts = join_on(sums, total, [group]).select(group, file, "_pb", "_start", "out_pages", F.lit(False).alias("_own"))
+    # What a block starts with is its first row, so that its pages are dealt and sorted once.
+    both = blocked.withColumn("_own", F.lit(True)).unionByName(starts, allowMissingColumns=True)
+    inside = Window.partitionBy(group, file, "_pb").orderBy("_own", "page")
+    head = inside.rowsBetween(Window.unboundedPreceding, 0)
+    out_page = (F.first("_start").over(head) + F.row_number().over(inside) - 1).cast("long")
+    numbered = both.select(*pages.columns, "_own", out_page.alias("out_page"), F.first("out_pages").over(head).alias("out_pages")).where("_own").drop("_own")
+    return numbered.withColumn("label", F.concat(F.col("out_page").cast("string"), F.lit(" / "), F.col("out_pages").cast("string")))
 
 
 def combine_segments(sources: list[DataFrame], group: str = "batch_id", file: str = "file_pos") -> DataFrame:
