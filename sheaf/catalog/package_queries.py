@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import escape_xml
 from ..operators import archive as A
+from ..operators.ordering import kept
 from ..plans.intake import batch_plan
 from ..plans.workbook import workbook_cells
 from ..session import checkpoint_dir
@@ -91,7 +92,8 @@ def embedded_policy(spark, sf):
     SELECT batch_id, count(*) AS file_count, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds, bool_and(valid AND kind = 'docx') AS batch_ok FROM f WHERE rn <= 20 GROUP BY batch_id""",
 )
 def package_plan(spark, sf):
-    files = packages(spark, sf)
+    # Admission, inspection and the look into containers read the same packages: made once.
+    files = kept(packages(spark, sf))
     plan = batch_plan(files, A.container_kind(files.select("file_id", "name", "content")))
     return plan.select("batch_id", "file_count", "kinds", "batch_ok")
 

@@ -253,3 +253,10 @@ def test_rejects_and_facts_read_a_sheet_once(spark):
     assert {(r.file_id, r.ref, r.reason) for r in cells.collect()} == {(1, "7up", "bad-reference"), (2, None, "malformed")}
     assert {(r.file_id, r.dim, r.ref, r.reason) for r in dims_.collect()} == {(1, "row", "30000", "off-grid"), (1, "col", "9:8", "empty")}
     assert {(r.file_id, r.unread, r.external, r.filled) for r in O.scan_sheet_facts(parts).collect()} == {(1, False, True, True), (2, True, False, False), (3, False, False, False)}
+
+
+def test_package_plan_makes_its_packages_once(spark):
+    from sheaf.catalog import QUERIES
+
+    plan = QUERIES["package_plan"](spark, "/root/testdata/sf0.001")
+    assert "_pack(" not in plan._jdf.queryExecution().optimizedPlan().toString() and plan.count() > 0
