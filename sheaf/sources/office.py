@@ -24,6 +24,22 @@ QUOTED = r"""(?:"[^"<]*"|'[^'<]*')"""
 TAG = r"""</?[A-Za-z_:](?:[^<>"']|"[^"]*"|'[^']*')*>"""
 WHOLE_TAG = rf"^(?:<{NAME}(?:\s+{NAME}\s*=\s*{QUOTED})*\s*/?>|</{NAME}\s*>)\z"
 REPEATED = r"\s([\w:.\-]+)\s*=.*\s\1\s*="
+# A whole tag, no attribute twice, with the text behind it; an element of nothing inside another; a root of nothing.
+ATTRIBUTE = rf"\s+{NAME}\s*=\s*{QUOTED}"
+TWICE = rf"(?:{ATTRIBUTE})*?\s+({NAME})\s*=\s*{QUOTED}(?:{ATTRIBUTE})*?\s+\2\s*="
+BARE_TAG = rf"<(?:({NAME})(?!{TWICE})(?:{ATTRIBUTE})*+\s*+(/?)|(/{NAME})\s*+)>[^<]*+"
+LEAF = rf"(?<=>)<(?:({NAME})></\1|{NAME}/)>(?=<)"
+BARE_ROOT = rf"^<(?:({NAME})></\1|{NAME}/)>\z"
+PLAIN_DEPTH = 16
+
+
+def plainly_formed(bare: Column) -> Column:
+    """Surely well-formed, without a fold over the tags: of the names alone, elements without
+    content vanish level by level until the root is left.  False also for what is deeper."""
+    names = F.regexp_replace(bare, BARE_TAG, "<$1$3$4>")
+    for _ in range(min(PLAIN_DEPTH, dims.MAX_XML_DEPTH) - 1):
+        names = F.regexp_replace(names, LEAF, "")
+    return names.rlike(BARE_ROOT)
 
 
 def xml_guard(text: Column) -> Column:
@@ -80,15 +96,17 @@ def xml_guard(text: Column) -> Column:
         # Counted before any fold: neither nodes nor depth may cost more than their caps.
         return (
             F.when(bare.rlike(UNDECLARED), "undeclared-entity")
-            .when(F.regexp_count(bare, F.lit("<[A-Za-z_]")) > dims.MAX_XML_NODES, "too-many-nodes")
-            .otherwise(once(F.regexp_extract_all(bare, F.lit(TAG), F.lit(0)), lambda tags: by_tags(bare, tags)))
+            .when((F.length(bare) > 2 * dims.MAX_XML_NODES) & (F.regexp_count(bare, F.lit("<[A-Za-z_]")) > dims.MAX_XML_NODES), "too-many-nodes")
+            .when(~plainly_formed(bare), once(F.regexp_extract_all(bare, F.lit(TAG), F.lit(0)), lambda tags: by_tags(bare, tags)))
         )
 
+    # What DANGEROUS finds holds one of these.
+    suspect = text.contains("<!") | F.upper(text).contains("SYSTEM") | F.upper(text).contains("PUBLIC")
     return (
         F.when(F.length(text) > dims.MAX_XML_BYTES, "too-large")
         .when(text.rlike(CONTROL), "control-character")
-        .when(text.rlike(DANGEROUS), "dtd-or-entity")
-        .when(text.isNotNull(), once(F.regexp_replace(text, ASIDE, ""), by_text))
+        .when(suspect & text.rlike(DANGEROUS), "dtd-or-entity")
+        .when(text.isNotNull(), once(F.when(text.contains("<!") | text.contains("<?"), F.regexp_replace(text, ASIDE, "")).otherwise(text), by_text))
     )
 
 

@@ -260,3 +260,24 @@ def test_package_plan_makes_its_packages_once(spark):
 
     plan = QUERIES["package_plan"](spark, "/root/testdata/sf0.001")
     assert "_pack(" not in plan._jdf.queryExecution().optimizedPlan().toString() and plan.count() > 0
+
+
+def test_guard_needs_no_fold_for_plain_texts(spark):
+    deep = "<a>" * 40 + "</a>" * 40
+    texts = {
+        '<w><r n="1"><c/>x</r> <r n=\'2\' m="it\'s">&amp;</r ></w>': (True, None),
+        "<r/>": (True, None),
+        deep: (False, None),
+        "<a>" * 129 + "</a>" * 129: (False, "too-deep"),
+        "<a></a><b/>": (False, "malformed"),
+        "<a><b x='1' y='2' x='3'/></a>": (False, "malformed"),
+        "<a><b c/></a>": (False, "malformed"),
+        "<a><b></a></b>": (False, "malformed"),
+        "<a></a b='1'>": (False, "malformed"),
+        "<a x='<'></a>": (False, "malformed"),
+        "<a>publication, ecosystems</a>": (True, None),
+        "<a>Public</a>": (True, "dtd-or-entity"),
+    }
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: (r["plain"], r["refused"]) for r in rows.select("t", O.plainly_formed(F.col("t")).alias("plain"), O.xml_guard(F.col("t")).alias("refused")).collect()}
+    assert got == texts
