@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -19,10 +19,11 @@ from ..sources.office import (
     scan_number_formats,
     scan_relationships,
     scan_shared_strings,
-    scan_sheet_cells,
-    scan_sheet_facts,
+    scan_sheet_rows,
     scan_styles,
     scan_workbook_sheets,
+    sheet_cells,
+    sheet_facts,
     xml_guard,
 )
 
@@ -96,34 +97,40 @@ def workbook_cells(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Every sheet of a workbook that is not refused gives cells; a sheet without a part to
     read, with a part that is no worksheet, or without a filled cell refuses the file.
-    The parts are written once: all readers share one pass over the archives.
+    The parts are written once: all readers share one pass over the archives, and those of
+    the few fixed parts do not read the sheets.  Cells are written once too, and what they
+    say against their file is told from them.
     """
-    parts = kept(workbook_parts(files))
-    fixed = F.col("path").isNull() | F.col("path").isin(FIXED)
-    refused = parts.where(fixed & F.col("problem").isNotNull()).select("file_id", "problem").unionByName(_package_problems(parts))
-    good = parts.where(F.col("problem").isNull()).join(refused.select("file_id").distinct(), "file_id", "left_anti")
+    parts = kept(workbook_parts(files).withColumn("has_xml", F.col("xml").isNotNull()))
+    fixed = kept(parts.where(F.col("path").isNull() | F.col("path").isin(FIXED)))
+    refused = fixed.where(F.col("problem").isNotNull()).select("file_id", "problem").unionByName(_package_problems(fixed))
+    good = fixed.where(F.col("problem").isNull()).join(refused.select("file_id").distinct(), "file_id", "left_anti")
 
-    rels = scan_relationships(_of(parts, RELS).withColumn("source_part", F.lit(WORKBOOK)))
+    rels = scan_relationships(_of(fixed, RELS).withColumn("source_part", F.lit(WORKBOOK)))
     targets = rels.select("file_id", "rel_id", F.lower(resolve_target(F.col("source_part"), F.col("target"))).alias("path"))
-    named = scan_workbook_sheets(_of(parts, WORKBOOK)).join(targets, ["file_id", "rel_id"], "left")
-    # Every sheet the workbook names goes on from here: as a part to read or as a refusal.
-    found = named.select("file_id", "sheet_ord", "path").join(parts, ["file_id", "path"], "left")
-    why = F.when(F.col("path").isNull(), "sheet-without-part").otherwise(F.coalesce("problem", F.when(F.col("xml").isNull(), "sheet-part-missing")))
-    found = kept(found.select("file_id", "sheet_ord", "xml", why.alias("problem")))
+    named = kept(scan_workbook_sheets(_of(fixed, WORKBOOK)).join(targets, ["file_id", "rel_id"], "left"))
     counts = named.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+    # Every sheet the workbook names goes on from here: as a part to read or as a refusal.
+    # Of a workbook with too many, which gives no cells, each part is read for its first name only.
+    again = F.row_number().over(Window.partitionBy("file_id", "path").orderBy("sheet_ord")) > 1
+    listed = named.select("file_id", "sheet_ord", "path", again.alias("again")).join(counts, "file_id")
+    found = listed.join(parts.select("file_id", "path", "problem", "has_xml"), ["file_id", "path"], "left")
+    why = F.when(F.col("path").isNull(), "sheet-without-part").otherwise(F.coalesce("problem", F.when(~F.coalesce("has_xml", F.lit(False)), "sheet-part-missing")))
+    skipped = F.col("again") & (F.col("n") > dims.MAX_SHEETS)
+    found = kept(found.select("file_id", "sheet_ord", "path", skipped.alias("skipped"), why.alias("problem")))
     crowded = counts.where(F.col("n") > dims.MAX_SHEETS).select("file_id", F.lit("too-many-sheets").alias("problem"))
-    empty = _of(parts, WORKBOOK).select("file_id").join(counts, "file_id", "left_anti").select("file_id", F.lit("no-sheets").alias("problem"))
-    sheet_parts = found.where(F.col("problem").isNull()).select("file_id", "sheet_ord", "xml")
+    empty = _of(fixed, WORKBOOK).select("file_id").join(counts, "file_id", "left_anti").select("file_id", F.lit("no-sheets").alias("problem"))
+    readable = found.where(F.col("problem").isNull() & ~F.col("skipped")).select("file_id", "path", "sheet_ord")
+    rows = kept(scan_sheet_rows(readable.join(parts.select("file_id", "path", "xml"), ["file_id", "path"]).select("file_id", "sheet_ord", "xml")))
 
-    raw = scan_sheet_cells(sheet_parts)
-    told = scan_sheet_facts(sheet_parts)
+    raw, told = sheet_cells(rows), sheet_facts(rows)
     codes = (("external", "external-formula"), ("unread", "malformed"), ("blank", "blank-sheet"))
     facts = F.array(*[F.when(~F.col("filled") if c == "blank" else F.col(c), code) for c, code in codes])
     bad = told.select("file_id", F.explode(F.array_compact(facts)).alias("problem"))
     sheets = found.where(F.col("problem").isNotNull()).select("file_id", "problem")
     # A package refused as a whole is not read further.
     inner = reduce(DataFrame.unionByName, [sheets, crowded, empty, bad])
-    alone = parts.where(F.col("path").isNull() & F.col("problem").isNotNull()).select("file_id").distinct()
+    alone = fixed.where(F.col("path").isNull() & F.col("problem").isNotNull()).select("file_id").distinct()
     refused = kept(refused.unionByName(inner.join(alone, "file_id", "left_anti")).groupBy("file_id").agg(F.min("problem").alias("problem")))
     good_cells = raw.join(refused.select("file_id"), "file_id", "left_anti")
 

@@ -135,10 +135,6 @@ def _all_cells(parts: DataFrame) -> DataFrame:
     return placed.withColumn("on_grid", F.coalesce(on_grid, F.lit(False)))
 
 
-def _cells(parts: DataFrame) -> DataFrame:
-    return _all_cells(parts).where(F.col("c").isNotNull())
-
-
 def _value_of() -> tuple[Column, Column]:
     """Value and formula of a cell ``c``."""
     inline = F.coalesce("c.is.t", F.array_join(F.transform("c.is.r", lambda r: r["t"]), ""), F.lit(""))
@@ -146,37 +142,50 @@ def _value_of() -> tuple[Column, Column]:
     return value, F.nullif(F.trim("c.f"), F.lit(""))
 
 
-def scan_sheet_facts(parts: DataFrame) -> DataFrame:
-    """file_id, sheet_ord, unread, external, filled: whether a part is no worksheet, and
-    whether its cells on the grid hold an outside formula, and anything at all; one pass."""
+def scan_sheet_rows(parts: DataFrame) -> DataFrame:
+    """What ``sheet_facts`` and ``sheet_cells`` tell of, from one reading of each part: its
+    cells, on the grid or not, or a row without one; ``unread`` marks what is no worksheet."""
     value, formula = _value_of()
-    told = _all_cells(parts).select("file_id", "sheet_ord", "unread", "on_grid", value.alias("v"), formula.alias("f"))
+    return _all_cells(parts).select(
+        "file_id",
+        "sheet_ord",
+        "unread",
+        "on_grid",
+        F.col("at.row").alias("row"),
+        F.col("at.col").alias("col"),
+        F.col("c._r").alias("ref"),
+        F.col("c._t").alias("t"),
+        value.alias("v"),
+        formula.alias("f"),
+        F.coalesce(F.floor(F.col("c._s").try_cast("double")), F.lit(0)).cast("long").alias("style_idx"),
+    )
 
+
+def sheet_facts(rows: DataFrame) -> DataFrame:
     def some(what: Column) -> Column:
         return F.coalesce(F.bool_or(F.col("on_grid") & what), F.lit(False))
 
-    return told.groupBy("file_id", "sheet_ord").agg(
+    return rows.groupBy("file_id", "sheet_ord").agg(
         F.bool_or("unread").alias("unread"),
         some(is_external_formula(F.col("f"))).alias("external"),
         some((F.col("v") != "") | F.col("f").isNotNull()).alias("filled"),
     )
 
 
+def sheet_cells(rows: DataFrame) -> DataFrame:
+    return rows.where("on_grid").drop("unread", "on_grid")
+
+
+def scan_sheet_facts(parts: DataFrame) -> DataFrame:
+    """file_id, sheet_ord, unread, external, filled: whether a part is no worksheet, and
+    whether its cells on the grid hold an outside formula, and anything at all; one pass."""
+    return sheet_facts(scan_sheet_rows(parts))
+
+
 def scan_sheet_cells(parts: DataFrame) -> DataFrame:
     """file_id, sheet_ord, row, col, ref, t, v, f, style_idx of the cells on the grid;
     ``scan_sheet_rejects`` has the others."""
-    value, formula = _value_of()
-    return _cells(parts).where("on_grid").select(
-        "file_id",
-        "sheet_ord",
-        F.col("at.row").alias("row"),
-        F.col("at.col").alias("col"),
-        F.col("c._r").alias("ref"),
-        F.col("c._t").alias("t"),
-        value.alias("v"),
-        formula.alias("f"),
-        F.coalesce(F.floor(F.col("c._s").try_cast("double")), F.lit(0)).cast("long").alias("style_idx"),
-    )
+    return sheet_cells(scan_sheet_rows(parts))
 
 
 def scan_sheet_rejects(parts: DataFrame) -> DataFrame:

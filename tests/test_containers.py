@@ -281,3 +281,28 @@ def test_guard_needs_no_fold_for_plain_texts(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     got = {r["t"]: (r["plain"], r["refused"]) for r in rows.select("t", O.plainly_formed(F.col("t")).alias("plain"), O.xml_guard(F.col("t")).alias("refused")).collect()}
     assert got == texts
+
+
+def test_crowded_workbooks_are_read_once_a_part(spark):
+    """Every name of a part was a reading of its own, 101 of them in a workbook refused for their number."""
+    from sheaf.catalog.packages import WORKBOOK_PARTS
+    from sheaf.plans import workbook as W
+
+    read, names = [], '<sheet name="x" r:id="rId7"/>'
+    sheet = '<worksheet><sheetData><row r="1"><c r="A1"><v>1</v></c></row></sheetData></worksheet>'
+
+    def book(n):
+        parts = {**WORKBOOK_PARTS, "xl/worksheets/sheet1.xml": sheet}
+        parts["xl/workbook.xml"] = parts["xl/workbook.xml"].replace("<sheets>", "<sheets>" + names * n)
+        return pack(parts)
+
+    files = spark.createDataFrame([(1, book(1)), (2, book(100))], "file_id long, content binary")
+    real = W.kept
+    W.kept = lambda df: read.append(real(df)) or read[-1]
+    try:
+        cells, refused = W.workbook_cells(files)
+        assert [(r.file_id, r.problem) for r in refused.collect()] == [(2, "too-many-sheets")]
+        assert sorted((r.file_id, r.sheet_ord, r.ref) for r in cells.collect()) == [(1, 0, "A1"), (1, 1, "A1")]
+    finally:
+        W.kept = real
+    assert [df.where("file_id = 2").count() for df in read if "unread" in df.columns] == [1]
