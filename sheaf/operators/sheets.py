@@ -32,12 +32,12 @@ TILE = 32
 
 def shared_strings(cells: DataFrame, strings: DataFrame) -> DataFrame:
     """Adds ``shared``: the string a cell of type ``s`` points to, '' if there is none."""
-    # Cells of other types get spread-out keys that no string has.
-    elsewhere = -1.0 - F.pmod(F.xxhash64("ref"), F.lit(1024))
-    index = F.when(F.col("t") == "s", string_index(F.col("v"))).otherwise(elsewhere)
+    # Only the cells that point are dealt out; the others stay where they are.
+    points = F.col("t").eqNullSafe("s")
     table = strings.select("file_id", F.col("idx").cast("double").alias("_idx"), F.col("text").alias("_text"))
-    joined = cells.withColumn("_idx", index).join(table, ["file_id", "_idx"], "left")
-    return joined.withColumn("shared", F.when(F.col("t") == "s", F.coalesce("_text", F.lit("")))).drop("_idx", "_text")
+    joined = cells.where(points).withColumn("_idx", string_index(F.col("v"))).join(table, ["file_id", "_idx"], "left")
+    pointing = joined.select(*cells.columns, F.coalesce("_text", F.lit("")).alias("shared"))
+    return pointing.unionByName(cells.where(~points).withColumn("shared", F.lit(None).cast("string")))
 
 
 def typed_cells(cells: DataFrame) -> DataFrame:
