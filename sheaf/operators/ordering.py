@@ -18,12 +18,12 @@ from ..session import checkpoint_dir
 BLOCK = 1 << 16
 
 
-def kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame, codec: str | None = None) -> DataFrame:
     """``df`` written once to the checkpoint folder and read back: what follows reads it
     as often as it likes, and a lost executor does not start it over.  (``checkpoint()``
-    would compute it twice.)"""
+    would compute it twice.)  ``codec`` is for tables of long texts."""
     path = f"{checkpoint_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -324,11 +324,11 @@ def text_lines(items: DataFrame, heights: DataFrame | None = None) -> DataFrame:
     runs = _runs(placed.withColumn("font_size", F.col("font_size").cast("double")), [*PAGE, "y", "font_size"])
     found = runs.join(lines, [*PAGE, "y", "font_size"])
     types = {f.name: f.dataType.simpleString() for f in found.schema} | {"x": "double", "text": "string"}
-    sent = kept(found.mapInArrow(_whole, ", ".join(f"`{c}` {types[c]}" for c in [*SENT, "x", "text"])).withColumn("text", clean_trim(F.col("text"))))
+    sent = kept(found.mapInArrow(_whole, ", ".join(f"`{c}` {types[c]}" for c in [*SENT, "x", "text"])).withColumn("text", clean_trim(F.col("text"))), "zstd")
     x = items.schema["x"].dataType.simpleString()
     whole = sent.where(F.col("text").isNotNull())
     apart = sent.where(F.col("text").isNull()).select(*SENT)
-    return whole.select(*LINE, F.col("line_y").alias("y"), F.col("x").cast(x).alias("x"), "font_size", "text").unionByName(kept(_lines(apart, x)))
+    return whole.select(*LINE, F.col("line_y").alias("y"), F.col("x").cast(x).alias("x"), "font_size", "text").unionByName(kept(_lines(apart, x), "zstd"))
 
 
 def _banded(lines: DataFrame) -> DataFrame:
@@ -336,9 +336,26 @@ def _banded(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_band", F.floor(-F.col("y") / BAND).cast("long"))
 
 
+# What of a list item decides that it is one: the mark, and how the rest goes on.
+MARK = f"^((?:[-*+•●◦▪‣]|\\d+[.)]){WS_CLASS}*)"
+BREAK = r"[\n\r\x{85}\x{2028}\x{2029}]"
+
+
+def line_marks(lines: DataFrame) -> DataFrame:
+    """The lines with a text, without it: ``title`` if it may be a heading by its words,
+    ``head`` what tells a list item, the same for the patterns as the text itself."""
+    text = F.col("text")
+    mark = F.regexp_extract(text, MARK, 1)
+    rest = F.substring(text, F.length(mark) + 1, F.length(text))
+    head = F.when(mark != "", F.concat(mark, F.when(rest == "", "").when(rest.rlike(BREAK), "x\n").otherwise("x"))).otherwise("")
+    return lines.where(text != "").select(*[c for c in lines.columns if c != "text"], _title(text).alias("title"), head.alias("head"))
+
+
 def shown_lines(lines: DataFrame) -> DataFrame:
-    """The lines with a text, in bands: what gaps, spans and sizes are read from."""
-    return _banded(lines.where(F.col("text") != "")).withColumn("_down", -F.col("y"))
+    """The lines with a text, or their ``line_marks``, in bands: what gaps, spans and sizes
+    are read from."""
+    lines = lines.where(F.col("text") != "") if "text" in lines.columns else lines
+    return _banded(lines).withColumn("_down", -F.col("y"))
 
 
 def line_gaps(lines: DataFrame, shown: DataFrame | None = None) -> DataFrame:
@@ -433,6 +450,12 @@ def recover_links(lines: DataFrame, annotations: DataFrame, shown: DataFrame | N
     With ``shown``, the table that the lines were read from, they also get the
     ``body_size`` of their page, which each band is given first.
     """
+    swept = link_tails(lines, annotations, shown)
+    return swept.select(*[c for c in swept.columns if c != "tail"], F.concat("text", "tail").alias("linked"))
+
+
+def link_tails(lines: DataFrame, annotations: DataFrame, shown: DataFrame | None = None) -> DataFrame:
+    """``recover_links`` with what is appended alone, as ``tail``."""
     places = lines if shown is None else shown
     if shown is not None:
         lines = lines.withColumn("body_size", F.lit(None).cast("double"))
@@ -463,7 +486,7 @@ def recover_links(lines: DataFrame, annotations: DataFrame, shown: DataFrame | N
         .sortWithinPartitions(*PAGE, "_band", "_height", "_kind", "_place")
         .mapInArrow(_swept(lines.columns), f"{types}, _tail string")
     )
-    return swept.select(*lines.columns, F.concat("text", "_tail").alias("linked"))
+    return swept.withColumnRenamed("_tail", "tail")
 
 
 def body_sizes(lines: DataFrame) -> DataFrame:
@@ -478,9 +501,13 @@ def body_sizes(lines: DataFrame) -> DataFrame:
     return ranked.groupBy(*PAGE).agg(F.coalesce(F.min(above), F.lit(DEFAULT_SIZE)).alias("body_size"))
 
 
+def _title(text: Column) -> Column:
+    return (F.length(text) <= 120) & ~text.rlike(SENTENCE_END) & ~text.rlike(LIST_START)
+
+
 def heading_level(lines: DataFrame) -> DataFrame:
     """level 1–3 for heading lines, null for the rest; also the body size used, which may
-    be there already.
+    be there already.  ``title`` may stand for the text.
 
     The body size goes to every band of its page, so that the lines of a page meet it
     band by band.
@@ -490,38 +517,43 @@ def heading_level(lines: DataFrame) -> DataFrame:
         lines = kept(lines)
         sizes = join_on(_banded(lines).select(*PAGE, "_band").distinct(), body_sizes(lines), PAGE)
         sized = join_on(_banded(lines), sizes, [*PAGE, "_band"]).drop("_band")
-    size, body, text = F.col("font_size"), F.col("body_size"), F.col("text")
-    heading = (
-        (F.length(text) <= 120)
-        & (size >= F.greatest(F.lit(14.0), body * 1.4))
-        & ~text.rlike(SENTENCE_END)
-        & ~text.rlike(LIST_START)
-    )
+    size, body = F.col("font_size"), F.col("body_size")
+    title = F.col("title") if "title" in lines.columns else _title(F.col("text"))
+    heading = title & (size >= F.greatest(F.lit(14.0), body * 1.4))
     level = F.when(size >= body * 1.8, 1).when(size >= body * 1.55, 2).otherwise(3)
     return sized.withColumn("level", F.when(heading, level))
 
 
-def paragraphs(lines: DataFrame, by: list[str] | None = None) -> DataFrame:
+def paragraphs(lines: DataFrame, by: list[str] | None = None, texts: DataFrame | None = None) -> DataFrame:
     """doc, page, block, kind, text from lines with level, seq, gap_above, linked.
 
-    Blocks are dealt by ``by``, by page and block if it is not given.
+    Blocks are dealt by ``by``, by page and block if it is not given.  With ``texts``, the
+    texts by line, the lines have ``head`` and ``tail`` in place of ``linked``.
     """
+    key, told = ([*PAGE, "seq"], F.col("linked")) if texts is None else (LINE, F.concat("head", "tail"))
+    kind = F.when(F.col("level").isNotNull(), "heading").when(told.rlike(BULLET) | told.rlike(NUMBERED), "list").otherwise("text")
+    wide = F.col("gap_above") > F.greatest(F.col("body_size") * 1.9, F.lit(18.0))
+    # Blocks are numbered without texts, which meet their numbers once.
+    names = list(dict.fromkeys([*key, "seq", "_band", "kind", "level", "linked" if texts is None else "tail"]))
+    typed = kept(_banded(lines.withColumn("kind", kind)).select(*names, wide.alias("wide")))
+    seen = carry(typed.select(*dict.fromkeys([*key, "seq"]), "_band", "kind", "wide"), PAGE, "_band", ["seq"], before={"_last": F.col("kind")})
+    opens = (F.col("kind") != "text") | F.col("wide") | (F.coalesce("_last", F.lit("")) != "text")
+    opened = seen.select(*dict.fromkeys([*key, "seq"]), "_band", F.when(opens, 1).otherwise(0).alias("opens"))
+    numbered = carry(opened, PAGE, "_band", ["seq"], sums={"block": F.col("opens")}).select(*key, "block")
+    typed = typed.drop("_band", "wide")
+    if texts is None:
+        placed = join_on(typed, numbered, key)
+    else:  # read from tables of ``text_lines``, whose lines have no nulls
+        placed = typed.join(numbered, LINE).join(texts.select(*LINE, "text"), LINE).withColumn("linked", F.concat("text", "tail"))
     linked = F.col("linked")
-    kind = F.when(F.col("level").isNotNull(), "heading").when(linked.rlike(BULLET) | linked.rlike(NUMBERED), "list").otherwise("text")
-    numbered = F.concat(F.regexp_extract(linked, NUMBERED, 1), F.lit(". "), F.regexp_extract(linked, NUMBERED, 2))
+    numbers = F.concat(F.regexp_extract(linked, NUMBERED, 1), F.lit(". "), F.regexp_extract(linked, NUMBERED, 2))
     shown = (
         F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), linked))
-        .when((F.col("kind") == "list") & linked.rlike(NUMBERED), numbered)
+        .when((F.col("kind") == "list") & linked.rlike(NUMBERED), numbers)
         .when(F.col("kind") == "list", F.concat(F.lit("- "), F.regexp_extract(linked, BULLET, 1)))
         .otherwise(linked)
     )
-    wide = F.col("gap_above") > F.greatest(F.col("body_size") * 1.9, F.lit(18.0))
-    # Blocks are numbered without texts, which meet their numbers once.
-    typed = kept(_banded(lines.withColumn("kind", kind)).select(*PAGE, "_band", "seq", "kind", wide.alias("wide"), shown.alias("shown")))
-    seen = carry(typed.drop("shown"), PAGE, "_band", ["seq"], before={"_last": F.col("kind")})
-    opens = (F.col("kind") != "text") | F.col("wide") | (F.coalesce("_last", F.lit("")) != "text")
-    numbered = carry(seen.withColumn("opens", F.when(opens, 1).otherwise(0)), PAGE, "_band", ["seq"], sums={"block": F.col("opens")})
-    placed = join_on(typed.select(*PAGE, "seq", "kind", "shown"), numbered.select(*PAGE, "seq", "block"), [*PAGE, "seq"])
+    placed = placed.select(*PAGE, "block", "kind", "seq", shown.alias("shown"))
     blocks = (
         (placed.repartition(*by) if by else placed)
         .groupBy(*PAGE, "block")
