@@ -25,8 +25,10 @@ BAND = 64.0
 
 # What marks a list item, what ends a sentence, glyphs that join.
 LIST_START = f"^(?:[-*+•●◦▪‣]|\\d+[.)]){WS_CLASS}+"
-BULLET = f"^[-*+•●◦▪‣]{WS_CLASS}+(.+)\\z"
-NUMBERED = f"^(\\d+)[.)]{WS_CLASS}+(.+)\\z"
+# The rest of a line; Java's dot would also stop at U+0085.
+REST = r"[^\n\r\x{2028}\x{2029}]+"
+BULLET = f"^[-*+•●◦▪‣]{WS_CLASS}+({REST})\\z"
+NUMBERED = f"^(\\d+)[.)]{WS_CLASS}+({REST})\\z"
 SENTENCE_END = r"[.!?:;]\z"
 NO_SPACE_BEFORE = r"^[,.;:!?%)]"
 NO_SPACE_AFTER = r"[(\[{/]\z"
@@ -338,7 +340,7 @@ def _banded(lines: DataFrame) -> DataFrame:
 
 # What of a list item decides that it is one: the mark, and how the rest goes on.
 MARK = f"^((?:[-*+•●◦▪‣]|\\d+[.)]){WS_CLASS}*)"
-BREAK = r"[\n\r\x{85}\x{2028}\x{2029}]"
+BREAK = r"[\n\r\x{2028}\x{2029}]"
 
 
 def line_marks(lines: DataFrame) -> DataFrame:
